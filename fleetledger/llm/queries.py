@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
-from . import common, exact_dedup
+import public_tokenizers
+
+from . import byte_bpe, common, exact_dedup, token_counts
 
 
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(common.table(spark, sf_dir, "documents"))
 
 
+def op2_byte_bpe(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.encode(common.table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, out=byte_bpe.DIGESTS)
+
+
+def op4_token_counts(spark, sf_dir):
+    return token_counts.token_counts(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_token_counts": op4_token_counts,
 }
 
 ORACLE = {
