@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, common, exact_dedup, token_counts
+from . import byte_bpe, common, decontaminate, exact_dedup, simhash, token_counts, token_output
 
 
 def op3_exact_dedup(spark, sf_dir):
@@ -20,10 +20,25 @@ def op4_token_counts(spark, sf_dir):
     return token_counts.token_counts(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_token_output(spark, sf_dir):
+    return token_output.token_output(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_simhash(spark, sf_dir):
+    return simhash.near_dedup(common.table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark, sf_dir):
+    return decontaminate.contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_counts": op4_token_counts,
+    "op5_token_output": op5_token_output,
+    "op7_simhash": op7_simhash,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLE = {
@@ -32,4 +47,24 @@ ORACLE = {
              g as (select h, min(doc_id) as keep_id, count(*) as group_size from n group by h)
         select n.doc_id, g.keep_id, cast(g.group_size as bigint) as group_size, n.doc_id = g.keep_id as kept, n.h as text_sha256
         from n join g using (h)""",
+    "op9_decontamination": r"""
+        with d as (select row_number() over () as r, doc_id,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+                   from documents),
+             b as (select item_id,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+                   from benchmark),
+             s as (select distinct least(10, len(w)) as k from b where len(w) > 0),
+             bw as (select item_id, k, array_to_string(w[i + 1 : i + k], ' ') as x
+                    from (select item_id, w, least(10, len(w)) as k, unnest(range(0, len(w) - least(10, len(w)) + 1)) as i from b where len(w) > 0)),
+             dw as (select r, k, i, array_to_string(w[i + 1 : i + k], ' ') as x
+                    from (select r, w, k, unnest(range(0, len(w) - k + 1)) as i from d, s where len(w) >= k)),
+             hit as (select distinct r, i, dw.k, item_id from dw join bw on dw.x = bw.x and dw.k = bw.k),
+             pos as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + k)) as p from hit) group by r),
+             its as (select r, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as items
+                     from hit group by r)
+        select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+               cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(items, '')) as items_sha256,
+               coalesce(n_hit, 0) > 0 as contaminated
+        from d left join pos using (r) left join its using (r)""",
 }
