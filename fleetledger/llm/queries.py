@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, common, decontaminate, exact_dedup, simhash, token_counts, token_output
+from . import byte_bpe, common, decontaminate, exact_dedup, simhash, token_counts, token_output, toxicity
 
 
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(common.table(spark, sf_dir, "documents"))
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.toxicity(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op2_byte_bpe(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.encode(common.table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, out=byte_bpe.DIGESTS)
@@ -33,6 +37,7 @@ def op9_decontamination(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_counts": op4_token_counts,
