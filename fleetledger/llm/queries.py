@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, common, decontaminate, exact_dedup, simhash, token_counts, token_output, toxicity
+from . import byte_bpe, common, decontaminate, exact_dedup, simhash, suffix_dedup, token_counts, token_output, toxicity
 
 
 def op3_exact_dedup(spark, sf_dir):
@@ -28,6 +28,10 @@ def op5_token_output(spark, sf_dir):
     return token_output.token_output(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(common.table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark, sf_dir):
     return simhash.near_dedup(common.table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_token_counts": op4_token_counts,
     "op5_token_output": op5_token_output,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_simhash": op7_simhash,
     "op9_decontamination": op9_decontamination,
 }
