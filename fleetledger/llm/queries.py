@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, common, decontaminate, exact_dedup, simhash, suffix_dedup, token_counts, token_output, toxicity
+from . import byte_bpe, common, decontaminate, exact_dedup, simhash, suffix_dedup, token_counts, token_output, toxicity, url_filter, warc
 
 
 def op3_exact_dedup(spark, sf_dir):
@@ -36,10 +36,23 @@ def op7_simhash(spark, sf_dir):
     return simhash.near_dedup(common.table(spark, sf_dir, "documents"))
 
 
+#: Fixed by the query's contract: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op8_url_filter(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(common.table(spark, sf_dir, "pages"), rules)
+
+
 def op9_decontamination(spark, sf_dir):
     return decontaminate.contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 
+def op10_warc(spark, sf_dir):
+    return warc.round_trip(common.table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
@@ -48,10 +61,22 @@ QUERIES = {
     "op5_token_output": op5_token_output,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_simhash": op7_simhash,
+    "op8_url_filter": op8_url_filter,
     "op9_decontamination": op9_decontamination,
+    "op10_warc": op10_warc,
 }
 
 ORACLE = {
+    "op8_url_filter": r"""
+        with p as (select page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                          regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') as path from pages),
+             r(h, q, v) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+             u as (select distinct host, path from p),
+             f as (select host, path, h || q as rule, v,
+                          row_number() over (partition by host, path order by length(h || q) desc, length(h) desc) as n
+                   from u join r on (host = h or ends_with(host, '.' || h)) and starts_with(path, q))
+        select page_id, p.host as host, p.path as path, rule, coalesce(v, 'allow') as verdict
+        from p left join (select * from f where n = 1) f on p.host = f.host and p.path = f.path""",
     "op3_exact_dedup": r"""
         with n as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as h from documents),
              g as (select h, min(doc_id) as keep_id, count(*) as group_size from n group by h)
