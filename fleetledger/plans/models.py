@@ -6,7 +6,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import cycle, stock
+from ..functions.tables import stored
+from ..operators import cycle, gap, need, stock
 from ..sources import ledger as src
 
 
@@ -99,3 +100,73 @@ class Models:
     @cached_property
     def fleet(self) -> DataFrame:
         return stock.weekly_fleet(self.daily, self.v)
+
+    # need and gap: nodes that many models read are written once
+    @cached_property
+    def changes_t(self) -> DataFrame:
+        return stored(self.changes, "changes")
+
+    @cached_property
+    def daily_t(self) -> DataFrame:
+        return stored(stock.daily_stock(self.changes_t), "daily")
+
+    @cached_property
+    def calendar(self) -> DataFrame:
+        return stored(need.need_calendar(self.daily_t, self.changes_t, self.v), "calendar")
+
+    @cached_property
+    def use(self) -> DataFrame:
+        return stored(need.daily_use(self.daily_t, self.changes_t, self.calendar), "use")
+
+    @cached_property
+    def variability(self) -> DataFrame:
+        return stored(need.use_variability(self.use, self.calendar, self.v), "variability")
+
+    @cached_property
+    def service(self) -> DataFrame:
+        return stored(need.service_curve(self.variability, self.use, self.calendar, self.policy), "service")
+
+    @cached_property
+    def scenarios(self) -> DataFrame:
+        return src.escenarios_brecha(self.spark)
+
+    @cached_property
+    def cost_t(self) -> DataFrame:
+        return stored(self.cost, "cost")
+
+    @cached_property
+    def levels(self) -> DataFrame:
+        return stored(need.economic_level(self.variability, self.cost_t, self.scenarios, self.policy, self.service), "levels")
+
+    @cached_property
+    def plan(self) -> tuple[DataFrame, DataFrame]:
+        return src.production_plan(self.customer, self.v)
+
+    @cached_property
+    def demand(self) -> DataFrame:
+        return stored(need.plan_demand(*self.plan, self.variability, self.policy), "demand")
+
+    @cached_property
+    def need(self) -> DataFrame:
+        return need.scenario_need(self.demand, self.levels)
+
+    @cached_property
+    def plants(self) -> DataFrame:
+        return src.plantas(self.spark)
+
+    @cached_property
+    def projected(self) -> DataFrame:
+        fleet = stock.weekly_fleet(self.daily_t, self.v)
+        return stored(need.projected_fleet(self.customer, self.calendar, cycle.cost_comparison(self.cost_t), self.routes, self.changes_t, fleet, self.demand, self.v), "projected")
+
+    @cached_property
+    def balance(self) -> DataFrame:
+        return gap.material_balance(self.levels, self.projected, self.need, self.plants)
+
+    @cached_property
+    def lent(self) -> DataFrame:
+        return stored(gap.loans(self.balance), "lent")
+
+    @cached_property
+    def gap(self) -> DataFrame:
+        return gap.scenario_gap(self.lent, self.prices, self.projected, self.need, self.policy)

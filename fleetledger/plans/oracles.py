@@ -12,7 +12,7 @@ CUTOFF = f"date '{L.VARS.fecha_extraccion}'"
 
 def values(name_and_columns: str, rows: list[tuple]) -> str:
     """A relation of fixed rows."""
-    quoted = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}::double" if isinstance(x, float) else str(x) for x in r) + ")" for r in rows)
+    quoted = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else "null" if x is None else f"{x}::double" if isinstance(x, float) else str(x) for x in r) + ")" for r in rows)
     return f"select * from (values {quoted}) as {name_and_columns}"
 
 
@@ -157,6 +157,83 @@ SQL: dict[str, tuple[str, str]] = {
         select planta, cliente, tipo_material, cast(date_trunc('week', fecha_contab) as date) as semana, sum(case when mov_type = '621' then abs(cantidad) else 0 end)::bigint as salidas,
                sum(case when mov_type = '622' then abs(cantidad) else 0 end)::bigint as recogidas, sum(case when mov_type = '702' then abs(cantidad) else 0 end)::bigint as faltante
         from cust where mov_type in ('621', '622', '702') group by all"""),
+    "scen": ("", values("t(escenario, solo, factor, capital, z_fija, ajuste)", L.ESCENARIOS_BRECHA)),
+    "cal": ("dstock smov", f"""
+        with b as (select (select min(fecha) from dstock) as apertura, {CUTOFF} as corte, exists (select 1 from smov where estado = 'cliente' and evento = 'apertura') as hay),
+             c as (select apertura, corte, corte - (isodow(corte) % 7)::int as fin_base, cast(date_trunc('week', apertura + 7) as date) + case when hay then 0 else 91 end as inicio_estable from b)
+        select apertura, corte, inicio_estable, fin_base, fin_base - 90 as inicio_base, greatest(fin_base - 363, inicio_estable) as inicio_sigma, fin_base - 90 as inicio_prueba, fin_base - 91 as fin_estimacion,
+               greatest(fin_base - 454, inicio_estable) as inicio_estimacion, fin_base - 181 as inicio_calibracion, fin_base - 182 as fin_est_calibracion, greatest(fin_base - 545, inicio_estable) as inicio_est_calibracion from c"""),
+    "use": ("dstock smov cal", """
+        with k as (select distinct planta, material, tipo_material from dstock), d as (select unnest(generate_series(apertura, corte, interval 1 day))::date as fecha from cal),
+             u as (select planta, material, fecha, sum(delta) as n from dstock where estado <> 'vacios' group by all), o as (select planta, material, fecha, sum(delta) as n from smov where estado = 'cliente' and evento = 'salida_cliente' group by all)
+        select k.planta, k.material, k.tipo_material, d.fecha, (sum(coalesce(u.n, 0)) over (partition by k.planta, k.material order by d.fecha rows unbounded preceding))::bigint as en_uso, coalesce(o.n, 0)::bigint as salidas
+        from k cross join d left join u on u.planta = k.planta and u.material = k.material and u.fecha = d.fecha left join o on o.planta = k.planta and o.material = k.material and o.fecha = d.fecha"""),
+    "vari": ("use cal", """
+        with w as (select 'necesidad' as ventana, inicio_sigma as a, fin_base as z from cal union all select 'backtest', inicio_estimacion, fin_estimacion from cal union all select 'calibracion', inicio_est_calibracion, fin_est_calibracion from cal),
+             p as (select ventana, planta, material, tipo_material, avg(case when fecha >= a and fecha <= z then en_uso end) as uso_promedio, stddev_pop(case when fecha >= a and fecha <= z then en_uso end) as sigma_uso,
+                          sum(case when fecha >= a and fecha <= z then salidas end)::double / (z - a + 1) as d_ventana, sum(case when fecha > z - 91 and fecha <= z then salidas end)::double / 91 as d_base
+                   from use cross join w group by ventana, planta, material, tipo_material, a, z)
+        select *, sum(uso_promedio) over (partition by ventana, planta, tipo_material) / nullif(sum(d_ventana) over (partition by ventana, planta, tipo_material), 0) as ciclo_dias from p"""),
+    "curve": ("vari use cal params", """
+        select v.tipo_material, g.k / 100.0::double as z, avg(case when u.en_uso > v.d_base * v.ciclo_dias + greatest(dias_cobertura * v.d_base, coalesce(g.k / 100.0::double * v.sigma_uso * sqrt(v.d_base / nullif(v.d_base, 0)), 0)) then 1.0 else 0.0 end) as quiebre
+        from vari v join params using (tipo_material) join use u on u.planta = v.planta and u.material = v.material cross join cal cross join (select unnest(range(100, 405, 5))::double as k) g
+        where v.ventana = 'calibracion' and u.fecha >= inicio_calibracion and u.fecha < inicio_prueba group by 1, 2"""),
+    "level": ("vari tcomat scen params curve", """
+        with c as (select tipo_material, sum(costo_unitario_usd * viajes) / sum(viajes)::double as costo, max(desechable_equiv_usd) as des from tcomat group by 1),
+             y as (select tipo_material, sum(uso_promedio) / sum(d_ventana) as ciclo from vari where ventana = 'calibracion' group by 1),
+             e as (select escenario, tipo_material, solo is null or solo = tipo_material as suyo, coalesce(case when solo is null or solo = tipo_material then factor end, factor_costo_quiebre) as f,
+                          coalesce(case when solo is null or solo = tipo_material then capital end, costo_capital_anual_pct) as k, case when solo is null or solo = tipo_material then z_fija end as zf,
+                          coalesce(case when solo is null or solo = tipo_material then ajuste end, 0) as aj from scen cross join params),
+             o as (select *, des * f / ciclo as corto, costo * k / 100 / 365 as exceso from e join c using (tipo_material) join y using (tipo_material)),
+             q as (select *, corto / (corto + exceso) as razon from o),
+             z as (select q.escenario, q.tipo_material, min(z) as ze from q join curve on curve.tipo_material = q.tipo_material and quiebre <= 1 - razon group by 1, 2)
+        select q.escenario, q.tipo_material, f as factor_costo_quiebre, k as costo_capital_anual_pct, zf as z_fija, aj as ajuste_ciclo_dias, round(ciclo, 2) as ciclo_dias, corto as costo_corto_dia, exceso as costo_exceso_dia,
+               round(razon, 4) as razon_critica, round(1 - razon, 4) as objetivo_quiebre, coalesce(zf, ze) as z_servicio, curve.quiebre as quiebre_calibracion
+        from q left join z using (escenario, tipo_material) left join curve on curve.tipo_material = q.tipo_material and round(curve.z * 100) = round(coalesce(zf, ze) * 100)"""),
+    "parts": ("cust", f"""
+        select *, concat(cliente, '-', material) as parte, 10 + num as ppc from (select planta, cliente, material, tipo_material, sum(abs(cantidad))::bigint as n, cast(split_part(material, '-', 2) as bigint) as num
+        from cust where mov_type = '621' and fecha_contab > {CUTOFF} - 91 group by 1, 2, 3, 4)"""),
+    "plan": ("parts", f"""
+        select planta, parte, material, tipo_material, ppc, cast(date_trunc('week', {CUTOFF}) as date) + 7 * k::int as semana, (n * ppc * case when num % 5 = 0 and k >= 6 then 13 else 10 end) // 130 as piezas
+        from parts cross join (select unnest(range(1, 13)) as k)"""),
+    "dem": ("plan vari params", """
+        with h as (select * from vari where ventana = 'necesidad'), c as (select distinct planta, tipo_material, ciclo_dias from h),
+             p as (select planta, material, tipo_material, semana, sum(piezas::double / ppc) / 7 as d_plan from plan group by 1, 2, 3, 4)
+        select p.*, h.d_base, coalesce(h.ciclo_dias, c.ciclo_dias) as ciclo_dias, h.sigma_uso, dias_cobertura, coalesce(h.d_base, 0) > 0 and h.sigma_uso is not null as con_historia
+        from p left join h on h.planta = p.planta and h.material = p.material left join c on c.planta = p.planta and c.tipo_material = p.tipo_material join params on params.tipo_material = p.tipo_material"""),
+    "need": ("dem level", """
+        select *, ceil(uso_plan + stock_seguridad)::bigint as necesidad from (
+          select escenario, dem.*, z_servicio, ajuste_ciclo_dias, d_plan * (dem.ciclo_dias + ajuste_ciclo_dias) as uso_plan,
+                 greatest(dias_cobertura * d_plan, coalesce(z_servicio * sigma_uso * sqrt(d_plan / nullif(d_base, 0)), 0)) as stock_seguridad from dem join level using (tipo_material))"""),
+    "proj": ("cust cal tcomat routes smov fleet dem", f"""
+        with t as (select planta, tipo_material, tasa_merma_pct / 100 as tasa from tcomat),
+             o as (select planta, material, tipo_material, cliente, sum(abs(cantidad)) as n from cust where mov_type = '621' and fecha_contab > (select max(fecha_contab) from cust where mov_type = '702') - 120 group by all),
+             p as (select o.planta, o.material, sum(n * coalesce(r.tasa_merma_pct / 100, tasa)) as pend from o left join routes r using (planta, cliente) left join t on t.planta = o.planta and t.tipo_material = o.tipo_material group by 1, 2),
+             w as (select distinct semana from dem),
+             a as (select f.planta, f.material, f.tipo_material, w.semana, coalesce(d_plan, 0) as d_plan, ciclo_dias, flota, coalesce(pend, 0) as pend,
+                          sum(coalesce(d_plan, 0) * 7 * tasa) over (partition by f.planta, f.material order by w.semana rows unbounded preceding) as perd
+                   from (select planta, material, tipo_material, flota from fleet where fecha_cierre = {CUTOFF}) f cross join w left join dem on dem.planta = f.planta and dem.material = f.material and dem.semana = w.semana
+                   left join p on p.planta = f.planta and p.material = f.material join t on t.planta = f.planta and t.tipo_material = f.tipo_material)
+        select planta, material, tipo_material, semana, d_plan, ciclo_dias, flota as flota_corte, round(pend, 2) as merma_pendiente, round(perd, 2) as perdida_acumulada, round(flota - pend - perd, 2) as flota_proyectada from a"""),
+    "bal": ("level proj need plants", """
+        select e.escenario, f.planta, pais, f.material, f.tipo_material, greatest(max(coalesce(necesidad, 0) - flota_proyectada), 0) as deficit_pico, greatest(min(flota_proyectada - coalesce(necesidad, 0)), 0) as sobrante, max(f.ciclo_dias) as ciclo_dias
+        from proj f cross join (select distinct escenario from level) e join plants using (planta) left join need n on n.escenario = e.escenario and n.planta = f.planta and n.material = f.material and n.semana = f.semana group by 1, 2, 3, 4, 5"""),
+    "lend": ("bal", """
+        with a as (select *, sum(deficit_pico) over p as d, sum(sobrante) over p as s from bal window p as (partition by escenario, material, pais)),
+             b as (select *, case when d > 0 then deficit_pico * least(1, s / d) else 0 end as r1, case when s > 0 then sobrante * least(1, d / s) else 0 end as l1 from a),
+             c as (select *, deficit_pico - r1 as d2, sobrante - l1 as s2 from b), e as (select *, sum(d2) over m as dd, sum(s2) over m as ss from c window m as (partition by escenario, material))
+        select escenario, planta, pais, material, tipo_material, ciclo_dias, deficit_pico, sobrante, r1 as recibido_mismo_pais, case when dd > 0 then d2 * least(1, ss / dd) else 0 end as recibido_otro_pais,
+               l1 as prestado_mismo_pais, case when ss > 0 then s2 * least(1, dd / ss) else 0 end as prestado_otro_pais from e"""),
+    "gap": ("lend prices proj need params", """
+        with w as (select n.escenario, f.planta, f.material, necesidad - flota_proyectada as corto, row_number() over (partition by n.escenario, f.planta, f.material order by f.semana) as k
+                   from proj f join need n on n.planta = f.planta and n.material = f.material and n.semana = f.semana),
+             v as (select l.escenario, l.planta, l.material, sum(greatest(corto - recibido_mismo_pais - recibido_otro_pais, 0) * 7 / ciclo_dias) as v from lend l join params using (tipo_material)
+                   join w on w.escenario = l.escenario and w.planta = l.planta and w.material = l.material and k <= lead_time_semanas group by 1, 2, 3),
+             c as (select l.*, costo_unitario_usd as usd, params.* exclude (tipo_material), ceil(greatest(deficit_pico - recibido_mismo_pais - recibido_otro_pais - 1e-6, 0))::bigint as compra, coalesce(v, 0) as v,
+                          sobrante - prestado_mismo_pais - prestado_otro_pais as fin from lend l join prices using (tipo_material) join params using (tipo_material) left join v using (escenario, planta, material))
+        select escenario, planta, pais, material, tipo_material, round(deficit_pico, 1) as deficit_pico, round(sobrante, 1) as sobrante, round(recibido_mismo_pais, 1) as recibido_mismo_pais, round(recibido_otro_pais, 1) as recibido_otro_pais,
+               round(prestado_mismo_pais, 1) as prestado_mismo_pais, round(prestado_otro_pais, 1) as prestado_otro_pais, compra, round(v, 1) as viajes_desechable, round(fin, 1) as sobrante_final,
+               round(usd * (recibido_mismo_pais * flete_mismo_pais_pct + recibido_otro_pais * flete_otro_pais_pct) / 100, 2) as usd_flete, round(compra * usd, 2) as usd_compra, round(v * desechable_equiv_usd, 2) as usd_desechable, round(fin * usd, 2) as usd_capital_ocioso from c"""),
 }
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import rounded
-from ..operators import cycle, stock
+from ..operators import cycle, gap, need, stock
 from .models import Models
 from .oracles import statement
 
@@ -77,6 +77,75 @@ TABLE: dict[str, tuple[Build, str, str]] = {
     "mart_flota_semanal": (lambda m: m.fleet, "fleet", "select * from fleet"),
     "mart_flujos_semanales": (lambda m: stock.weekly_flows(m.ledger, m.places, m.classes), "flows", "select * from flows"),
     "mart_red_semanal": (lambda m: stock.weekly_network(m.customer, m.classes), "net", "select * from net"),
+    "int_calendario_necesidad": (lambda m: m.calendar, "cal", "select * from cal"),
+    "int_uso_diario": (lambda m: m.use, "use", "select * from use"),
+    "int_variabilidad_uso": (
+        lambda m: six(m.variability, "uso_promedio", "sigma_uso", "d_ventana", "d_base", "ciclo_dias"),
+        "vari",
+        "select ventana, planta, material, tipo_material, round(uso_promedio, 6) as uso_promedio, round(sigma_uso, 6) as sigma_uso, round(d_ventana, 6) as d_ventana, round(d_base, 6) as d_base, round(ciclo_dias, 6) as ciclo_dias from vari",
+    ),
+    "int_curva_z": (lambda m: six(m.service, "quiebre"), "curve", "select tipo_material, z, round(quiebre, 6) as quiebre from curve"),
+    "int_z_economico": (
+        lambda m: six(m.levels, "costo_corto_dia", "costo_exceso_dia", "quiebre_calibracion"),
+        "level",
+        "select * replace (round(costo_corto_dia, 6) as costo_corto_dia, round(costo_exceso_dia, 6) as costo_exceso_dia, round(quiebre_calibracion, 6) as quiebre_calibracion) from level",
+    ),
+    "int_demanda_plan": (
+        lambda m: six(m.demand, "d_plan", "d_base", "ciclo_dias", "sigma_uso"),
+        "dem",
+        "select * replace (round(d_plan, 6) as d_plan, round(d_base, 6) as d_base, round(ciclo_dias, 6) as ciclo_dias, round(sigma_uso, 6) as sigma_uso) from dem",
+    ),
+    "int_necesidad_escenario": (
+        lambda m: six(m.need, "d_plan", "d_base", "ciclo_dias", "sigma_uso", "uso_plan", "stock_seguridad"),
+        "need",
+        "select * replace (round(d_plan, 6) as d_plan, round(d_base, 6) as d_base, round(ciclo_dias, 6) as ciclo_dias, round(sigma_uso, 6) as sigma_uso, round(uso_plan, 6) as uso_plan, round(stock_seguridad, 6) as stock_seguridad) from need",
+    ),
+    "mart_necesidad_flota": (
+        lambda m: need.fleet_need(m.need),
+        "need",
+        """select planta, material, tipo_material, semana, round(d_plan, 4) as d_plan, round(d_base, 4) as d_base, round(ciclo_dias, 2) as ciclo_dias, round(sigma_uso, 2) as sigma_uso, con_historia, round(uso_plan, 1) as uso_plan,
+                  round(stock_seguridad, 1) as stock_seguridad, round(stock_seguridad / nullif(d_plan, 0), 1) as stock_seguridad_dias, necesidad from need where escenario = 'base'""",
+    ),
+    "int_flota_proyectada": (
+        lambda m: six(m.projected, "d_plan", "ciclo_dias"),
+        "proj",
+        "select * replace (round(d_plan, 6) as d_plan, round(ciclo_dias, 6) as ciclo_dias) from proj",
+    ),
+    "int_balance_material": (
+        lambda m: six(m.balance, "deficit_pico", "sobrante", "ciclo_dias"),
+        "bal",
+        "select * replace (round(deficit_pico, 6) as deficit_pico, round(sobrante, 6) as sobrante, round(ciclo_dias, 6) as ciclo_dias) from bal",
+    ),
+    "int_prestamos": (
+        lambda m: six(m.lent, "ciclo_dias", "deficit_pico", "sobrante", "recibido_mismo_pais", "recibido_otro_pais", "prestado_mismo_pais", "prestado_otro_pais"),
+        "lend",
+        "select escenario, planta, pais, material, tipo_material, round(columns(* exclude (escenario, planta, pais, material, tipo_material)), 6) from lend",
+    ),
+    "int_brecha_escenario": (lambda m: m.gap, "gap", "select * from gap"),
+    "mart_brecha_flota": (lambda m: gap.base_gap(m.gap), "gap", "select * exclude (escenario) from gap where escenario = 'base'"),
+    "mart_sensibilidad_brecha": (
+        lambda m: gap.gap_sensitivity(m.gap, m.need, m.levels),
+        "gap need level",
+        """, f as (select escenario, tipo_material, sum(necesidad)::bigint as necesidad_semana_1 from need where semana = (select min(semana) from need) group by 1, 2),
+             t as (select escenario, tipo_material, sum(case when deficit_pico > 0 then 1 else 0 end)::bigint as materiales_deficit, round(sum(deficit_pico), 1) as deficit, round(sum(recibido_mismo_pais), 1) as recibido_mismo_pais,
+                          round(sum(recibido_otro_pais), 1) as recibido_otro_pais, sum(compra)::bigint as compra, round(sum(viajes_desechable), 1) as viajes_desechable, round(sum(usd_flete), 2) as usd_flete, round(sum(usd_compra), 2) as usd_compra,
+                          round(sum(usd_desechable), 2) as usd_desechable, round(sum(usd_flete) + sum(usd_compra) + sum(usd_desechable), 2) as usd_brecha, round(sum(sobrante_final), 1) as sobrante_final, round(sum(usd_capital_ocioso), 2) as usd_capital_ocioso from gap group by 1, 2)
+        select t.*, factor_costo_quiebre, costo_capital_anual_pct, z_fija, ajuste_ciclo_dias, objetivo_quiebre, z_servicio, necesidad_semana_1 from t join level using (escenario, tipo_material) join f using (escenario, tipo_material)""",
+    ),
+    "mart_red_prestamos": (
+        lambda m: gap.loan_network(m.lent, m.prices, m.policy),
+        "lend prices params",
+        """, p as (select * from lend where escenario = 'base'),
+             x as (select d.planta as planta_origen, d.pais as pais_origen, r.planta as planta_destino, r.pais as pais_destino, r.material, r.tipo_material, 'mismo_pais' as etapa,
+                          r.recibido_mismo_pais * d.prestado_mismo_pais / sum(d.prestado_mismo_pais) over (partition by r.planta, r.material) as n from p r join p d on d.material = r.material and d.pais = r.pais
+                   where r.recibido_mismo_pais > 0 and d.prestado_mismo_pais > 0
+                   union all
+                   select d.planta, d.pais, r.planta, r.pais, r.material, r.tipo_material, 'otro_pais', r.recibido_otro_pais * d.prestado_otro_pais / sum(d.prestado_otro_pais) over (partition by r.planta, r.material)
+                   from p r join p d on d.material = r.material where r.recibido_otro_pais > 0 and d.prestado_otro_pais > 0)
+        select planta_origen, pais_origen, planta_destino, pais_destino, tipo_material, etapa, count(distinct material) as materiales, round(sum(n), 1) as contenedores,
+               round(sum(n * costo_unitario_usd * case when etapa = 'mismo_pais' then flete_mismo_pais_pct else flete_otro_pais_pct end) / 100, 2) as usd_flete
+        from x join prices using (tipo_material) join params using (tipo_material) group by all""",
+    ),
 }
 
 

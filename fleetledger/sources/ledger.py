@@ -49,6 +49,15 @@ PARAMETROS_SCHEMA = (
     "tipo_material string, dias_cobertura int, lead_time_semanas int, factor_costo_quiebre double, costo_capital_anual_pct double, "
     "flete_mismo_pais_pct double, flete_otro_pais_pct double, vida_util_ciclos int, mant_por_ciclo_usd double, desechable_equiv_usd double"
 )
+#: escenario, tipo_material, factor_costo_quiebre, costo_capital_anual_pct, z_fija, ajuste_ciclo_dias
+ESCENARIOS_BRECHA = [
+    ("base", None, None, None, None, None), ("quiebre_1", None, 1.0, None, None, None), ("quiebre_1_5", None, 1.5, None, None, None),
+    ("quiebre_2_5", None, 2.5, None, None, None), ("quiebre_3", None, 3.0, None, None, None), ("capital_8", None, None, 8.0, None, None),
+    ("capital_10", None, None, 10.0, None, None), ("capital_15", None, None, 15.0, None, None), ("optimista", None, 1.0, 15.0, None, None),
+    ("conservador", None, 3.0, 8.0, None, None), ("z_fija_3", None, None, None, 3.0, None), ("lavado_klt_1_dia", "KLT", None, None, None, -1.4),
+    ("lavado_klt_3_dias", "KLT", None, None, None, 1.4), ("reparacion_rack_baja", "RACK", None, None, None, -0.6), ("reparacion_rack_alta", "RACK", None, None, None, 0.9),
+]
+ESCENARIOS_SCHEMA = "escenario string, tipo_material string, factor_costo_quiebre double, costo_capital_anual_pct double, z_fija double, ajuste_ciclo_dias double"
 PLANTAS = [("P0", "MX"), ("P1", "MX"), ("P2", "US"), ("P3", "US"), ("P4", "NI")]
 PRECIOS = [("KLT", 25.0), ("RACK", 180.0), ("CARTON", 8.0)]
 
@@ -73,6 +82,27 @@ def plantas(spark):
     return seed(spark, PLANTAS, "planta string, pais string")
 
 
+def escenarios_brecha(spark):
+    return seed(spark, ESCENARIOS_BRECHA, ESCENARIOS_SCHEMA)
+
+
+def production_plan(customer: DataFrame, v: Vars = VARS) -> tuple[DataFrame, DataFrame]:
+    """Plan (planta, parte, semana, piezas) and packing instruction (planta, parte, material, tipo_material,
+    piezas_por_contenedor): a part for each account with outflow in the base window, for the twelve weeks after the cutoff at
+    the window's mean; from the sixth week on by three tenths more where the material's number divides by five."""
+    weeks = v.ventana_base_semanas
+    number = F.split("material", "-")[1].cast("int")
+    recent = customer.where((F.col("mov_type") == "621") & (F.col("fecha_contab") > F.date_sub(F.lit(v.fecha_extraccion), 7 * weeks)))
+    out = recent.groupBy("planta", "cliente", "material", "tipo_material").agg(F.sum(F.abs("cantidad")).cast("long").alias("n")).withColumn("numero", number)
+    parts = out.withColumn("parte", F.concat_ws("-", "cliente", "material")).withColumn("piezas_por_contenedor", (10 + F.col("numero")).cast("long"))
+    monday = F.date_add(F.trunc(F.lit(v.fecha_extraccion), "week"), 7 * F.col("k"))
+    factor = F.when((F.col("numero") % 5 == 0) & (F.col("k") >= 6), 13).otherwise(10)
+    plan = parts.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(12)))).select(
+        "planta", "parte", monday.alias("semana"), F.floor(F.col("n") * F.col("piezas_por_contenedor") * factor / (10 * weeks)).cast("long").alias("piezas")
+    )
+    return plan, parts.select("planta", "parte", "material", "tipo_material", "piezas_por_contenedor")
+
+
 def customer_ledger(spark: SparkSession, sf_dir: str, v: Vars = VARS) -> DataFrame:
     """Movements with customers: 601/621 out, 622 back, 702 recognised loss."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("f", F.to_date("l_shipdate")).where(F.col("f") <= F.lit(v.fecha_extraccion))
