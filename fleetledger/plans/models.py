@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.tables import stored
-from ..operators import cycle, gap, need, stock
+from ..operators import capacity, cycle, gap, need, quality, stock
 from ..sources import ledger as src
 
 
@@ -170,3 +170,34 @@ class Models:
     @cached_property
     def gap(self) -> DataFrame:
         return gap.scenario_gap(self.lent, self.prices, self.projected, self.need, self.policy)
+
+    # quality
+    @cached_property
+    def lines(self) -> DataFrame:
+        return stored(src.dirty_lines(self.ledger, self.classes, self.v), "lines")
+
+    @cached_property
+    def master(self) -> DataFrame:
+        return self.moves.select("planta", "material", self.moves["costo_unitario_usd"].alias("costo")).distinct()
+
+    @cached_property
+    def violations(self) -> DataFrame:
+        found = stored(quality.movement_rules(self.lines, self.places, self.master, self.v), "violations")
+        return quality.violations(found, self.spark.createDataFrame(quality.REGLAS, "regla string, severidad string, cifra_afectada string"))
+
+    # capacity
+    @cached_property
+    def days(self) -> DataFrame:
+        return capacity.capacity_calendar(self.calendar)
+
+    @cached_property
+    def lots(self) -> DataFrame:
+        return stored(capacity.station_lots(self.ledger, self.places, self.classes), "lots")
+
+    @cached_property
+    def release(self) -> DataFrame:
+        return capacity.limited_release(capacity.daily_capacity(self.lots, self.days, 0.9))
+
+    @cached_property
+    def empties(self) -> DataFrame:
+        return capacity.empties_delta(self.daily_t)

@@ -5,6 +5,7 @@ Each entry is (relations it reads, its text). `statement` puts what a query need
 
 from __future__ import annotations
 
+from ..operators.quality import CIFRAS, REGLAS
 from ..sources import ledger as L
 
 CUTOFF = f"date '{L.VARS.fecha_extraccion}'"
@@ -157,6 +158,8 @@ SQL: dict[str, tuple[str, str]] = {
         select planta, cliente, tipo_material, cast(date_trunc('week', fecha_contab) as date) as semana, sum(case when mov_type = '621' then abs(cantidad) else 0 end)::bigint as salidas,
                sum(case when mov_type = '622' then abs(cantidad) else 0 end)::bigint as recogidas, sum(case when mov_type = '702' then abs(cantidad) else 0 end)::bigint as faltante
         from cust where mov_type in ('621', '622', '702') group by all"""),
+    "rules": ("", values("t(regla, severidad, cifra_afectada)", REGLAS)),
+    "figures": ("", values("t(cifra)", [(c,) for c in CIFRAS])),
     "scen": ("", values("t(escenario, solo, factor, capital, z_fija, ajuste)", L.ESCENARIOS_BRECHA)),
     "cal": ("dstock smov", f"""
         with b as (select (select min(fecha) from dstock) as apertura, {CUTOFF} as corte, exists (select 1 from smov where estado = 'cliente' and evento = 'apertura') as hay),
@@ -234,6 +237,63 @@ SQL: dict[str, tuple[str, str]] = {
         select escenario, planta, pais, material, tipo_material, round(deficit_pico, 1) as deficit_pico, round(sobrante, 1) as sobrante, round(recibido_mismo_pais, 1) as recibido_mismo_pais, round(recibido_otro_pais, 1) as recibido_otro_pais,
                round(prestado_mismo_pais, 1) as prestado_mismo_pais, round(prestado_otro_pais, 1) as prestado_otro_pais, compra, round(v, 1) as viajes_desechable, round(fin, 1) as sobrante_final,
                round(usd * (recibido_mismo_pais * flete_mismo_pais_pct + recibido_otro_pais * flete_otro_pais_pct) / 100, 2) as usd_flete, round(compra * usd, 2) as usd_compra, round(v * desechable_equiv_usd, 2) as usd_desechable, round(fin * usd, 2) as usd_capital_ocioso from c"""),
+    "days": ("cal", """
+        select fecha, isodow(fecha) <= 5 as habil, fecha between inicio_estable and fin_base as estable, isodow(fecha) = 1 and fecha between inicio_estable and fin_base - 28 as inicio_paro
+        from cal, (select unnest(generate_series((select apertura from cal), (select corte from cal), interval 1 day))::date as fecha)"""),
+    "lots": ("led places classes", """
+        with m as (select led.*, estado from led join places using (almacen) join classes using (mov_type) where evento like 'traslado%')
+        select a.planta, a.tipo_material, a.material, case a.estado when 'sucios' then 'lavado' else 'reparacion' end as estacion, coalesce(z.estado = 'vacios', false) as a_vacios, a.fecha_contab as fecha, -sum(a.cantidad)::bigint as cantidad
+        from m a left join m z on z.cantidad > 0 and z.planta = a.planta and z.anio_contable = a.anio_contable and z.doc_material = a.doc_material and z.material = a.material
+        where a.cantidad < 0 and a.estado in ('sucios', 'reparacion') group by all"""),
+    "queue": ("lots days", """
+        with r as (select planta, tipo_material, estacion, fecha, sum(cantidad)::double as listo from lots group by all), k as (select distinct planta, tipo_material, estacion from r),
+             d as (select k.*, days.fecha, habil, estable, coalesce(listo, 0) as listo from k cross join days left join r on r.planta = k.planta and r.tipo_material = k.tipo_material and r.estacion = k.estacion and r.fecha = days.fecha),
+             m as (select *, case when habil then round(sum(case when estable then listo end) over p / count(case when estable and habil then 1 end) over p / 0.9, 4) else 0 end as capacidad from d window p as (partition by planta, tipo_material, estacion)),
+             c as (select *, sum(listo) over w as rr, sum(capacidad) over w as cc from m window w as (partition by planta, tipo_material, estacion order by fecha rows unbounded preceding)),
+             l as (select *, round(cc + least(0, min(rr - cc) over w), 6) as liberado_acum from c window w as (partition by planta, tipo_material, estacion order by fecha rows unbounded preceding))
+        select planta, tipo_material, estacion, fecha, listo, capacidad, liberado_acum - coalesce(lag(liberado_acum) over (partition by planta, tipo_material, estacion order by fecha), 0) as liberado, liberado_acum, rr - liberado_acum as cola from l"""),
+    "emp": ("dstock", "select planta, tipo_material, material, fecha, sum(delta)::bigint as delta from dstock where estado = 'vacios' group by all"),
+    "dirty": ("led prices classes", f"""
+        with a as (select *, (posicion * 31 + cast(right(doc_material, 6) as bigint)) % 997 as h from led),
+             b as (select planta, cliente, material, almacen, fecha_contab, anio_contable, mov_type, cantidad, h, case when mov_type = '311' then concat(doc_material, '-', posicion // 2) else doc_material end as doc_material,
+                          case when mov_type = '311' then 1 + posicion % 2 else posicion end as posicion from a),
+             c as (select planta, case h when 3 then null when 7 then '00' || cliente else cliente end as cliente, case h when 8 then '000' || material else material end as material, case when h = 2 and almacen is not null then 'XX99' else almacen end as almacen,
+                          case h when 6 then {CUTOFF} + 3 else fecha_contab end as fecha_contab, anio_contable, case h when 1 then '999' else mov_type end as mov_type,
+                          case when h = 0 then -cantidad when h = 9 and mov_type = '622' then cantidad * 50 else cantidad end as cantidad, doc_material, posicion, h, case when mov_type = '621' then 'R' || doc_material end as ref_externa,
+                          case when h = 5 then last_day(fecha_contab) + 15 else fecha_contab + posicion % 5 end as fecha_registro from b),
+             d as (select * exclude (doc_material), case when h = 10 and copia = 1 then 'Z' || doc_material else doc_material end as doc_material from (select *, unnest(case when h in (4, 10) then [0, 1] else [0] end) as copia from c)),
+             e as (select *, case substr(material, 1, 4) when 'KLT-' then 'KLT' when 'RCK-' then 'RACK' when 'CTN-' then 'CARTON' end as tipo_material from d)
+        select * from e left join prices using (tipo_material) left join classes using (mov_type)"""),
+    "mastr": ("cust prices", "select distinct planta, material, costo_unitario_usd as costo from cust join prices using (tipo_material)"),
+    "viol": ("dirty places mastr", f"""
+        with k as (select planta, material, anio_contable, doc_material, posicion, sum(abs(cantidad)) - max(abs(cantidad)) as n, max(costo_unitario_usd) as c, count(*) as f from dirty group by 1, 2, 3, 4, 5 having count(*) > 1),
+             lin as (select *, case when evento is null then 'bwart_fuera_de_catalogo' when almacen is not null and almacen not in (select almacen from places) then 'lgort_fuera_de_catalogo'
+                              when evento in ('salida_cliente', 'recogida_cliente', 'faltante_cliente', 'salida_desechable') and cliente is null then 'cliente_vacio'
+                              when (evento in ('salida_cliente', 'faltante_cliente', 'salida_desechable') and cantidad >= 0) or (evento = 'recogida_cliente' and cantidad <= 0)
+                                   or (evento = 'traslado' and not ((posicion = 1 and cantidad < 0) or (posicion = 2 and cantidad > 0))) then 'signo_invertido' end as regla from dirty),
+             dia as (select planta, cliente, material, fecha_contab, sum(case when evento = 'salida_cliente' then 1 else -1 end * abs(cantidad)) as delta, sum(case when evento = 'salida_cliente' then abs(cantidad) else 0 end) as ent
+                     from dirty where evento in ('salida_cliente', 'recogida_cliente', 'faltante_cliente') and cliente is not null group by 1, 2, 3, 4),
+             acu as (select *, sum(delta) over w as saldo, sum(ent) over w as ents, sum(delta) over w - delta as antes from dia window w as (partition by planta, cliente, material order by fecha_contab)),
+             mf as (select d.*, m.material as em, m.costo from dirty d join mastr m on m.planta = d.planta and ltrim(m.material, '0') = ltrim(d.material, '0') and m.material <> d.material where d.tipo_material is null),
+             cs as (select distinct planta, cliente from dirty where evento = 'salida_cliente' and cliente is not null),
+             cc as (select planta, ltrim(cliente, '0') as cod, min(cliente) as cuenta from cs group by 1, 2),
+             kf as (select d.*, cuenta from dirty d join cc on cc.planta = d.planta and cc.cod = ltrim(d.cliente, '0') and cuenta <> d.cliente
+                    where evento in ('salida_cliente', 'recogida_cliente', 'faltante_cliente') and not exists (select 1 from cs where cs.planta = d.planta and cs.cliente = d.cliente)),
+             fm as (select planta, anio_contable, doc_material, posicion from mf union select planta, anio_contable, doc_material, posicion from kf),
+             rp as (select *, row_number() over w as rn, first_value(doc_material) over w as primero from (select planta, ref_externa, material, cliente, cantidad, fecha_contab, anio_contable, doc_material, min(fecha_registro) as reg
+                    from dirty where evento = 'salida_cliente' and ref_externa is not null group by all) window w as (partition by planta, ref_externa, material, cliente, cantidad, fecha_contab order by reg, anio_contable, doc_material))
+        select 'llave_duplicada' as regla, planta, material, anio_contable, doc_material, posicion, n::bigint as unidades, n * c as usd_expuesto, f || ' filas con la misma llave' as detalle from k
+        union all select regla, planta, material, anio_contable, doc_material, posicion, abs(cantidad), abs(cantidad) * costo_unitario_usd, mov_type || ' ' || coalesce(almacen, '-') || ' ' || cantidad from lin where regla is not null
+        union all select 'recogida_sin_saldo', d.planta, d.material, d.anio_contable, d.doc_material, d.posicion, abs(cantidad), abs(cantidad) * costo_unitario_usd, 'saldo al cierre ' || saldo
+                  from dirty d join acu a on a.planta = d.planta and a.cliente = d.cliente and a.material = d.material and a.fecha_contab = d.fecha_contab
+                  where evento = 'recogida_cliente' and (ents = 0 or (saldo < 0 and antes >= 0)) and not exists (select 1 from fm where fm.planta = d.planta and fm.anio_contable = d.anio_contable and fm.doc_material = d.doc_material and fm.posicion = d.posicion)
+        union all select 'registro_despues_del_cierre', planta, material, anio_contable, doc_material, posicion, abs(cantidad), abs(cantidad) * costo_unitario_usd, 'registrado ' || fecha_registro || ', contabilizado ' || fecha_contab from dirty where fecha_registro > last_day(fecha_contab) + 10
+        union all select 'budat_despues_del_corte', planta, material, anio_contable, doc_material, posicion, abs(cantidad), abs(cantidad) * costo_unitario_usd, 'contabilizado ' || fecha_contab || ', extracto al ' || {CUTOFF} from dirty where fecha_contab > {CUTOFF}
+        union all select 'documento_repetido', d.planta, d.material, d.anio_contable, d.doc_material, d.posicion, abs(d.cantidad), abs(d.cantidad) * costo_unitario_usd, 'entrega ' || d.ref_externa || ', primero en ' || primero
+                  from dirty d join rp on rp.planta = d.planta and rp.ref_externa = d.ref_externa and rp.material = d.material and rp.cliente = d.cliente and rp.cantidad = d.cantidad and rp.fecha_contab = d.fecha_contab
+                  and rp.anio_contable = d.anio_contable and rp.doc_material = d.doc_material where rn > 1 and evento = 'salida_cliente'
+        union all select 'matnr_con_formato', planta, material, anio_contable, doc_material, posicion, abs(cantidad), abs(cantidad) * costo, 'en el maestro como ' || em from mf
+        union all select 'kunnr_con_formato', planta, material, anio_contable, doc_material, posicion, abs(cantidad), abs(cantidad) * costo_unitario_usd, 'cuenta ' || cuenta from kf"""),
 }
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import rounded
-from ..operators import cycle, gap, need, stock
+from ..operators import capacity, cycle, gap, need, quality, stock
 from .models import Models
 from .oracles import statement
 
@@ -146,6 +146,50 @@ TABLE: dict[str, tuple[Build, str, str]] = {
                round(sum(n * costo_unitario_usd * case when etapa = 'mismo_pais' then flete_mismo_pais_pct else flete_otro_pais_pct end) / 100, 2) as usd_flete
         from x join prices using (tipo_material) join params using (tipo_material) group by all""",
     ),
+    "int_calidad_mb51": (lambda m: m.violations.drop("severidad", "cifra_afectada"), "viol", "select * from viol"),
+    "int_calidad_violaciones": (lambda m: m.violations, "viol rules", "select * from viol left join rules using (regla)"),
+    "mart_calidad_datos": (
+        lambda m: quality.board(m.violations, m.lines),
+        "viol rules dirty",
+        """select regla, severidad, cifra_afectada, planta, material, count(*) as violaciones, sum(unidades)::bigint as unidades, sum(usd_expuesto) as usd_expuesto, universo_planta
+           from viol left join rules using (regla) left join (select planta, count(*) as universo_planta from dirty group by 1) using (planta) group by all""",
+    ),
+    "cifras_bloqueadas": (
+        lambda m: quality.blocked_figures(m.violations),
+        "viol rules figures",
+        """, x as (select distinct regla, unnest(string_split(cifra_afectada, ' ')) as c from viol join rules using (regla) where severidad = 'bloquea'),
+             y as (select distinct regla, figures.cifra from x join figures on c = figures.cifra or c = 'todas')
+        select cifra, string_agg(regla, ', ' order by regla) as reglas from y group by 1""",
+    ),
+    "int_sim_calendario": (lambda m: m.days, "days", "select * from days"),
+    "int_sim_lotes": (lambda m: m.lots, "lots", "select * from lots"),
+    "int_sim_vacios": (lambda m: m.empties, "emp", "select * from emp"),
+    "sim_liberacion": (
+        lambda m: six(m.release, "liberado", "liberado_acum", "cola"),
+        "queue",
+        "select * replace (round(liberado, 6) as liberado, round(liberado_acum, 6) as liberado_acum, round(cola, 6) as cola) from queue",
+    ),
+    "sim_liberacion_por_lote": (
+        lambda m: six(capacity.lot_release(m.lots, m.release), "cantidad"),
+        "lots queue",
+        """, l as (select *, sum(cantidad) over (partition by planta, tipo_material, estacion order by fecha, material, a_vacios rows unbounded preceding)::double as z from lots),
+             q as (select *, liberado_acum - liberado as a from queue where liberado > 0),
+             m as (select l.planta, l.tipo_material, l.estacion, material, a_vacios, l.fecha as fecha_lista, q.fecha as fecha_salida, least(z, liberado_acum) - greatest(z - cantidad, a) as cantidad
+                   from l join q on q.planta = l.planta and q.tipo_material = l.tipo_material and q.estacion = l.estacion and a < z and z - cantidad < liberado_acum),
+             t as (select planta, tipo_material, estacion, max(liberado_acum) as fin from q group by all)
+        select * replace (round(cantidad, 6) as cantidad) from (
+          select * from m union all
+          select l.planta, l.tipo_material, l.estacion, material, a_vacios, l.fecha, null, least(cantidad, z - fin) from l join t on t.planta = l.planta and t.tipo_material = l.tipo_material and t.estacion = l.estacion where z > fin)
+        where cantidad > 1e-6""",
+    ),
+    "sim_vacios_con_piso": (
+        lambda m: capacity.capped_empties(m.empties, m.calendar),
+        "emp days",
+        """, d as (select k.*, fecha, coalesce(delta, 0) as delta from (select distinct planta, tipo_material, material from emp) k cross join (select fecha from days) left join emp using (planta, tipo_material, material, fecha)),
+             s as (select *, sum(delta) over w as s from d window w as (partition by planta, tipo_material, material order by fecha rows unbounded preceding)),
+             f as (select *, -least(0, min(s) over w) as f from s window w as (partition by planta, tipo_material, material order by fecha rows unbounded preceding))
+        select planta, tipo_material, material, fecha, delta::bigint as delta, f::bigint as faltante_acum, (s + f)::bigint as saldo from f""",
+    ),
 }
 
 

@@ -169,3 +169,30 @@ def maestro(ledger: DataFrame) -> DataFrame:
 def no_snapshot(spark: SparkSession) -> DataFrame:
     """An opening snapshot without rows."""
     return spark.createDataFrame([], "planta string, almacen string, material string, tipo_material string, cliente string, cantidad long, fecha date")
+
+
+def dirty_lines(ledger: DataFrame, classes: DataFrame, v: Vars = VARS) -> DataFrame:
+    """The ledger's lines with their event, master type and cost, and faults on a thousandth of the lines each, picked by
+    arithmetic of the key: what the quality rules are checked on. Transfers get their leg (1 out, 2 in) as position."""
+    moved = F.col("mov_type") == "311"
+    mark = (F.col("posicion") * 31 + F.substring("doc_material", -6, 6).cast("long")) % 997
+    base = ledger.select("*", mark.alias("h")).select(
+        "planta", "cliente", "material", "almacen", "fecha_contab", "anio_contable", "mov_type", "cantidad", "h",
+        F.when(moved, F.concat("doc_material", F.lit("-"), F.floor(F.col("posicion") / 2).cast("string"))).otherwise(F.col("doc_material")).alias("doc_material"),
+        F.when(moved, 1 + F.col("posicion") % 2).otherwise(F.col("posicion")).cast("int").alias("posicion"),
+    )
+    hit = lambda k, a, b: F.when(F.col("h") == k, a).otherwise(F.col(b)).alias(b)
+    made = base.select(
+        "planta", F.when(F.col("h") == 3, None).when(F.col("h") == 7, F.concat(F.lit("00"), "cliente")).otherwise(F.col("cliente")).alias("cliente"),
+        hit(8, F.concat(F.lit("000"), "material"), "material"), F.when((F.col("h") == 2) & F.col("almacen").isNotNull(), "XX99").otherwise(F.col("almacen")).alias("almacen"),
+        hit(6, F.date_add(F.lit(v.fecha_extraccion), 3), "fecha_contab"), "anio_contable", hit(1, F.lit("999"), "mov_type"),
+        F.when(F.col("h") == 0, -F.col("cantidad")).when((F.col("h") == 9) & (F.col("mov_type") == "622"), F.col("cantidad") * 50).otherwise(F.col("cantidad")).cast("long").alias("cantidad"),
+        "doc_material", "posicion", "h", F.when(F.col("mov_type") == "621", F.concat(F.lit("R"), "doc_material")).alias("ref_externa"),
+        F.when(F.col("h") == 5, F.date_add(F.last_day("fecha_contab"), 15)).otherwise(F.date_add("fecha_contab", F.col("posicion") % 5)).alias("fecha_registro"),
+    )
+    again = made.withColumn("copia", F.explode(F.when(F.col("h").isin(4, 10), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    again = again.withColumn("doc_material", F.when((F.col("h") == 10) & (F.col("copia") == 1), F.concat(F.lit("Z"), "doc_material")).otherwise(F.col("doc_material")))
+    kind = F.regexp_extract("material", "^(KLT|RCK|CTN)-", 1)
+    tipo = F.when(kind == "KLT", "KLT").when(kind == "RCK", "RACK").when(kind == "CTN", "CARTON")
+    price = F.element_at(F.create_map(*[F.lit(x) for p in PRECIOS for x in p]), F.col("tipo_material"))
+    return again.withColumn("tipo_material", tipo).withColumn("costo_unitario_usd", price).join(F.broadcast(classes), "mov_type", "left").drop("h", "copia")
