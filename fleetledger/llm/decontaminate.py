@@ -41,6 +41,12 @@ def lowered(word: Column) -> Column:
     return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
 
+def term_of(word: str) -> Column:
+    """A word as the index knows it. Outer generators and this non-null form keep the optimizer from guarding them with
+    filters that would cut each text, and lower each word, once more; the null of a wordless text meets no term."""
+    return lowered(F.coalesce(F.col(word), F.lit("")))
+
+
 def items_of(benchmark: DataFrame) -> DataFrame:
     """item (a key of its own), item_id, words, n; items without words are left out."""
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
@@ -50,7 +56,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """How often each of the terms occurs in all documents: term, freq (terms that don't occur are left out)."""
-    every = docs.select(F.explode(words_of(F.col("text"))).alias("word")).select(lowered(F.col("word")).alias("term"))
+    every = docs.select(F.explode_outer(words_of(F.col("text"))).alias("word")).select(term_of("word").alias("term"))
     parts = [every.join(F.broadcast(t), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("freq")) for t in blocks(terms, "term")]
     return functools.reduce(DataFrame.unionByName, parts)
 
@@ -87,7 +93,7 @@ def outward(words: str, at: str, reach: int) -> list[Column]:
 def build_postings(docs: DataFrame, terms: DataFrame, window: int) -> DataFrame:
     """Postings of the given terms: term, key, doc_id, pos, before, after."""
     base = docs.select(common.row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
-    every = base.select("key", "doc_id", "words", F.posexplode("words").alias("pos", "word")).withColumn("term", lowered(F.col("word")))
+    every = base.select("key", "doc_id", "words", F.posexplode_outer("words").alias("pos", "word")).withColumn("term", term_of("word"))
     near = [F.transform(c, lowered).alias(n) for c, n in zip(outward("words", "pos", window - 1), ("before", "after"))]
     parts = [every.join(F.broadcast(t), "term", "left_semi").select("term", "key", "doc_id", "pos", *near) for t in blocks(terms, "term")]
     return functools.reduce(DataFrame.unionByName, parts)
