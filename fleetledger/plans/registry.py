@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.kernels import rounded
-from ..operators import capacity, cycle, gap, need, quality, stock
+from ..operators import capacity, contract, cycle, gap, need, quality, reports, stock
 from .models import Models
 from .oracles import statement
 
@@ -190,6 +191,77 @@ TABLE: dict[str, tuple[Build, str, str]] = {
              f as (select *, -least(0, min(s) over w) as f from s window w as (partition by planta, tipo_material, material order by fecha rows unbounded preceding))
         select planta, tipo_material, material, fecha, delta::bigint as delta, f::bigint as faltante_acum, (s + f)::bigint as saldo from f""",
     ),
+    "foto_al_corte": (
+        lambda m: stock.snapshot_at(m.ledger, m.snapshot, m.places, dt.date(1999, 1, 1)),
+        "led places snap",
+        """, x as (select planta, material, tipo_material, almacen, null as cliente, cantidad from snap
+                   union all select planta, material, tipo_material, almacen, null, cantidad from led join places using (almacen) where estado <> 'fuera_ciclo' and fecha_contab < date '1999-01-01'
+                   union all select planta, material, tipo_material, null, cliente, case when mov_type = '621' then 1 else -1 end * abs(cantidad) from led where mov_type in ('621', '622', '702') and fecha_contab < date '1999-01-01')
+        select planta, material, tipo_material, almacen, cliente, sum(cantidad)::bigint as cantidad, date '1998-12-31' as fecha from x group by all having sum(cantidad) <> 0""",
+    ),
+    "contrato_movimientos": (
+        lambda m: contract.failures(m.lines, contract.MOVEMENTS, ("doc_material", "posicion")),
+        "dirty",
+        """, x as (select unnest([case when length(almacen) not between 4 and 12 then {'c': 'almacen', 'k': 'str_length(4, 12)', 'v': almacen} end,
+                                  case when length(cliente) not between 1 and 3 then {'c': 'cliente', 'k': 'str_length(1, 3)', 'v': cliente} end]) as x, doc_material || '|' || posicion as llave from dirty)
+        select 'raw_mb51' as tabla, x.c as columna, x.k as chequeo, x.v as valor, llave from x where x is not null""",
+    ),
+    "reporte_titular": (
+        lambda m: reports.headline(cycle.losses_usd(m.moves), m.routes),
+        "loss routes",
+        """, l as (select sum(n * costo_unitario_usd) as perdida_usd, sum(n)::bigint as unidades from loss where mov_type = '702')
+        select l.*, round(sum(faltantes) * 100.0::double / sum(salidas_conciliadas)::double, 3) as tasa_flota_pct, count(case when ruta_rota then 1 end) as rutas_rotas, count(*) as rutas from routes, l group by all""",
+    ),
+    "reporte_perdida_por_tipo": (
+        lambda m: reports.loss_by_type(cycle.losses_usd(m.moves)),
+        "loss",
+        "select tipo_material, sum(n * costo_unitario_usd) as perdida_usd, sum(n)::bigint as unidades from loss where mov_type = '702' group by 1",
+    ),
+    "reporte_perdida_por_mes": (
+        lambda m: reports.loss_by_month(cycle.losses_usd(m.moves)),
+        "loss",
+        """select cast(date_trunc('month', fecha_contab) as date) as mes, sum(case when tipo_material = 'KLT' then n * costo_unitario_usd else 0 end) as KLT, sum(case when tipo_material = 'RACK' then n * costo_unitario_usd else 0 end) as RACK
+           from loss where mov_type = '702' group by 1""",
+    ),
+    "reporte_pareto": (
+        lambda m: reports.pareto(cycle.losses_usd(m.moves)),
+        "loss",
+        """, p as (select planta, sum(n * costo_unitario_usd) as perdida_usd from loss where mov_type = '702' group by 1),
+             a as (select *, sum(perdida_usd) over (order by perdida_usd desc, planta rows unbounded preceding) / sum(perdida_usd) over () as a from p)
+        select planta, perdida_usd, round(a * 100, 2) as acumulado_pct, coalesce(lag(a) over (order by perdida_usd desc, planta), 0) < 0.8 as en_80 from a""",
+    ),
+    "reporte_top_materiales": (
+        lambda m: reports.top_materials(cycle.losses_usd(m.moves)),
+        "loss",
+        """select planta, material, tipo_material, sum(n * costo_unitario_usd) as perdida_usd, sum(n)::bigint as unidades from loss where mov_type = '702' group by 1, 2, 3
+           order by perdida_usd desc, planta, material limit 15""",
+    ),
+    "reporte_costo_por_viaje": (
+        lambda m: reports.cost_per_trip(cycle.cost_comparison(m.cost)),
+        "tcomat",
+        """select tipo_material, sum(viajes)::bigint as viajes, round(sum(round(costo_unitario_usd / vida_esperada_ciclos + mant_por_ciclo_usd, 4) * viajes) / sum(viajes)::double, 4) as costo_retornable_por_ciclo_usd,
+                  round(sum(desechable_equiv_usd * viajes) / sum(viajes)::double, 4) as desechable_equiv_usd, sum(round(viajes * (desechable_equiv_usd - (costo_unitario_usd / vida_esperada_ciclos + mant_por_ciclo_usd)), 2)) as ahorro_neto_usd
+           from tcomat group by 1""",
+    ),
+    "reporte_cobertura": (
+        lambda m: reports.coverage(stock.weekly_fleet(m.daily_t, m.v), m.use, m.policy),
+        "fleet use params",
+        """, r as (select planta, material, sum(salidas)::double / 91 as d from use where fecha > (select max(fecha) from use) - 91 group by 1, 2),
+             f as (select planta, material, tipo_material, arg_max(vacios, semana) as vacios from fleet group by 1, 2, 3)
+        select planta, material, tipo_material, vacios, round(d, 4) as demanda, round(vacios / nullif(d, 0), 2) as dias, coalesce(vacios / nullif(d, 0) < dias_cobertura, false) as alerta
+        from f join r using (planta, material) join params using (tipo_material)""",
+    ),
+    "reporte_perfil": (
+        lambda m: reports.profile(m.ledger),
+        "led",
+        """, p as (select mov_type, planta, cast(date_trunc('month', fecha_contab) as date) as mes, count(*) as lineas, sum(abs(cantidad))::bigint as unidades from led group by 1, 2, 3)
+        select *, round(lineas * 100.0::double / (sum(lineas) over (partition by planta, mes))::double, 4) as pct_planta_mes from p""",
+    ),
+    "reporte_encabezado": (
+        lambda m: reports.header(m.ledger),
+        "led",
+        "select count(distinct planta) as plantas, count(distinct date_trunc('month', fecha_contab)) as meses, max(fecha_contab) as ultima from led",
+    ),
 }
 
 

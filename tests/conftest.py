@@ -9,7 +9,6 @@ ROOT = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, ROOT)
 os.environ["PYTHONPATH"] = ":".join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
 
-SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
