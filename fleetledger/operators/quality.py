@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import running
+from ..functions.kernels import ratio, rounded, running
 from ..sources.ledger import VARS, Vars
 
 KEY = ("planta", "material", "anio_contable", "doc_material", "posicion")
@@ -149,3 +149,141 @@ def require(found: DataFrame, figures: list[str]) -> None:
     bad = [f"{r['cifra']}: {r['reglas']}" for r in blocked_figures(found).where(F.col("cifra").isin(figures)).orderBy("cifra").collect()]
     if bad:
         raise ValueError("blocked figures: " + "; ".join(bad))
+
+
+# --- master, plan and snapshot ------------------------------------------------------------------------------------
+
+#: objeto, defecto and unidad of every rule beside those above
+REGLAS_TABLAS = [
+    ("material_sin_foto", "bloquea", "brecha ocioso flota capacidad"), ("parte_sin_instruccion", "bloquea", "brecha ocioso necesidad"), ("parte_sin_registro", "bloquea", "brecha ocioso necesidad"),
+    ("piezas_en_cero", "bloquea", "brecha ocioso necesidad"), ("instruccion_a_desechable", "bloquea", "brecha ocioso necesidad"), ("instruccion_fuera_de_planta", "bloquea", "brecha ocioso necesidad"),
+    ("llave_plan_duplicada", "bloquea", "brecha ocioso necesidad"), ("unidad_de_precio", "bloquea", "perdida brecha ocioso"), ("grupo_contradice_codigo", "bloquea", "perdida tco brecha ocioso"),
+    ("material_sin_maestro", "bloquea", "todas"), ("grupo_fuera_de_catalogo", "bloquea", "todas"), ("moneda_distinta", "bloquea", "perdida tco brecha ocioso necesidad"), ("llave_maestro_duplicada", "bloquea", "todas"),
+]
+TABLE_LOG = ("regla", "planta", "material", "parte", "unidades", "usd_expuesto", "detalle")
+
+
+def table_log(rows: DataFrame, rule: Column, units: Column, usd: Column, detail: Column) -> DataFrame:
+    none = F.lit(None).cast("string")
+    have = {c: F.col(c) if c in rows.columns else none.alias(c) for c in ("planta", "material", "parte")}
+    return rows.select(rule.alias("regla"), have["planta"], have["material"], have["parte"], units.cast("double").alias("unidades"), usd.cast("double").alias("usd_expuesto"), detail.alias("detalle"))
+
+
+def stock_of(snapshot: DataFrame) -> DataFrame:
+    return snapshot.groupBy("planta", "material").agg(F.sum("cantidad").alias("flota"))
+
+
+def master_rules(master: DataFrame, groups: DataFrame, prefixes: dict[str, str], snapshot: DataFrame, used: DataFrame, paid: DataFrame, v: Vars = VARS) -> DataFrame:
+    """Rules of the material master (planta, material, grupo_articulos, tipo_material, precio, unidad_precio, moneda, costo).
+    `used` is every plant and material in any table, `paid` the mean price of documents."""
+    band = master.groupBy("grupo_articulos", "moneda").agg(F.median("costo").alias("mediana"))
+    by_type = master.where("tipo_material is not null").groupBy(F.col("tipo_material").alias("tipo_codigo"), "moneda").agg(F.median("costo").alias("mediana_codigo"))
+    told = F.coalesce(*[F.when(F.col("material").startswith(p), t) for p, t in prefixes.items()])
+    base = master.withColumn("tipo_codigo", told).join(F.broadcast(band), ["grupo_articulos", "moneda"], "left").join(F.broadcast(by_type), ["tipo_codigo", "moneda"], "left")
+    base = base.join(stock_of(snapshot), ["planta", "material"], "left").join(F.broadcast(groups.select("grupo_articulos", F.lit(True).alias("conocido"))), "grupo_articulos", "left")
+    known, stock = F.col("conocido").isNotNull(), F.coalesce("flota", F.lit(0))
+    far = (F.col("costo") < F.col("mediana") / v.calidad_banda_precio) | (F.col("costo") > F.col("mediana") * v.calidad_banda_precio)
+    rules = F.array(
+        F.when(~known, "grupo_fuera_de_catalogo"), F.when(F.col("moneda") != "USD", "moneda_distinta"), F.when((F.col("unidad_precio") != 1) & far, "unidad_de_precio"),
+        F.when(F.col("tipo_codigo").isNotNull() & ~F.col("tipo_codigo").eqNullSafe(F.col("tipo_material")) & known, "grupo_contradice_codigo"),
+    )
+    found = base.withColumn("regla", F.explode(rules)).where("regla is not null")
+    usd = F.when(F.col("regla") == "unidad_de_precio", F.abs(F.col("costo") - F.col("mediana")) * stock).when(F.col("regla") == "grupo_contradice_codigo", F.abs(F.col("costo") - F.col("mediana_codigo")) * stock).otherwise(F.col("costo") * stock)
+    detail = F.concat_ws(" ", "grupo_articulos", F.col("precio").cast("long").cast("string"), "moneda", F.lit("por"), F.col("unidad_precio").cast("string"))
+    nothing = F.lit(None)
+    twice = master.groupBy("planta", "material").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    codes = master.select("planta", bare("material").alias("codigo")).distinct()
+    missing = used.join(master.select("planta", "material").distinct(), ["planta", "material"], "left_anti").withColumn("codigo", bare("material")).join(codes, ["planta", "codigo"], "left_anti")
+    missing = missing.join(stock_of(snapshot), ["planta", "material"], "left").join(paid, ["planta", "material"], "left")
+    return (
+        table_log(found, F.col("regla"), stock, usd, detail)
+        .unionByName(table_log(twice, F.lit("llave_maestro_duplicada"), F.col("n"), nothing, F.concat(F.col("n").cast("string"), F.lit(" filas"))))
+        .unionByName(table_log(missing, F.lit("material_sin_maestro"), stock, stock * F.col("pagado"), F.lit("sin fila en el maestro")))
+    )
+
+
+def plan_rules(plan: DataFrame, instruction: DataFrame, parts: DataFrame, used: DataFrame) -> DataFrame:
+    """Rules of the production plan and what it reads: parts and their packing instruction."""
+    key = ["planta", "parte"]
+    total = plan.groupBy(*key).agg(F.sum("piezas").alias("piezas"))
+    told = instruction.select(*key, "material", F.lit(True).alias("con_instruccion"))
+    lone = total.join(told, key, "left").join(parts.select(*key, F.lit(True).alias("con_registro")), key, "left").where("con_instruccion is null or con_registro is null")
+    lone = lone.withColumn("regla", F.when(F.col("con_instruccion").isNull(), "parte_sin_instruccion").otherwise("parte_sin_registro")).withColumn("material", F.coalesce("material", F.lit("-")))
+    here = used.select("planta", "material", F.lit(True).alias("en_planta")).distinct()
+    bad = instruction.join(total, key, "left").join(here, ["planta", "material"], "left").withColumn("piezas", F.coalesce("piezas", F.lit(0)))
+    rule = F.when(F.col("piezas_por_contenedor") <= 0, "piezas_en_cero").when(F.col("tipo_material") == "CARTON", "instruccion_a_desechable").when(F.col("en_planta").isNull(), "instruccion_fuera_de_planta")
+    bad = bad.withColumn("regla", rule).where("regla is not null")
+    horizon = F.concat(F.col("piezas").cast("string"), F.lit(" piezas en el horizonte"))
+    made = table_log(lone, F.col("regla"), F.col("piezas"), F.lit(None), horizon).unionByName(table_log(bad, F.col("regla"), F.col("piezas"), F.lit(None), horizon))
+    for name, df, own in (("stg_partes", parts, key), ("stg_instruccion_empaque", instruction, key), ("stg_plan_produccion", plan, [*key, "semana"])):
+        twice = df.groupBy(*own).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key, "n")
+        made = made.unionByName(table_log(twice, F.lit("llave_plan_duplicada"), F.col("n"), F.lit(None), F.concat(F.col("n").cast("string"), F.lit(f" filas en {name}"))))
+    return made
+
+
+def snapshot_rules(snapshot: DataFrame, lines: DataFrame, places: DataFrame, master: DataFrame) -> DataFrame:
+    """Unknown places in the snapshot, and returnables that move in a plant without being in its snapshot, unless a
+    purchase brought them: they are short by the lowest that their stock goes."""
+    cost = master.groupBy("planta", "material").agg(F.max("costo").alias("costo"))
+    lost = snapshot.where("almacen is not null").join(F.broadcast(places), "almacen", "left_anti").join(F.broadcast(cost), ["planta", "material"], "left")
+    made = table_log(lost, F.lit("lgort_fuera_de_catalogo"), F.col("cantidad"), F.col("cantidad") * F.col("costo"), F.concat(F.lit("foto en "), "almacen"))
+    stored = lines.where("almacen is not null")
+    absent = stored.where(F.col("tipo_material").isin("KLT", "RACK")).select("planta", "material").distinct().join(snapshot.select("planta", "material").distinct(), ["planta", "material"], "left_anti")
+    mine = stored.join(F.broadcast(absent), ["planta", "material"])
+    daily = mine.groupBy("planta", "material", "fecha_contab").agg(F.sum("cantidad").alias("n"), F.max("costo_unitario_usd").alias("costo"), F.min("evento").alias("evento"))
+    daily = daily.withColumn("stock", F.sum("n").over(running(("planta", "material"), "fecha_contab")))
+    low = daily.groupBy("planta", "material").agg(F.greatest(-F.min("stock"), F.lit(0)).alias("falta"), F.max("costo").alias("costo"), F.min_by("evento", "fecha_contab").alias("primero"))
+    low = low.where(~F.col("primero").eqNullSafe(F.lit("entrada_compra")))
+    return made.unionByName(table_log(low, F.lit("material_sin_foto"), F.col("falta"), F.col("falta") * F.col("costo"), F.concat(F.lit("primer movimiento: "), F.coalesce("primero", F.lit("sin evento")))))
+
+
+# --- detection and impact of planted faults -------------------------------------------------------------------------
+
+#: Fault kinds of the dirty ledger by their mark: the rule that must report each, and when the fault really changes a line.
+FALLAS = [
+    (0, "D05", "signo_invertido", "true"), (1, "D02", "bwart_fuera_de_catalogo", "true"), (2, "D03", "lgort_fuera_de_catalogo", "almacen is not null"),
+    (3, "D04", "cliente_vacio", "cliente is not null"), (4, "D01", "llave_duplicada", "true"), (5, "D08", "registro_despues_del_cierre", "true"), (6, "B04", "budat_despues_del_corte", "true"),
+    (7, "B02", "kunnr_con_formato", "cliente is not null and mov_type in ('621', '622', '702')"), (8, "B01", "matnr_con_formato", "true"), (10, "B03", "documento_repetido", "mov_type = '621'"),
+]
+
+
+def injected(ledger: DataFrame) -> DataFrame:
+    """The log of planted faults: defecto, regla, and the key under which the faulty line stands."""
+    mark = (F.col("posicion") * 31 + F.substring("doc_material", -6, 6).cast("long")) % 997
+    kinds = F.array(*[F.when((mark == h) & F.expr(real), F.struct(F.lit(d).alias("defecto"), F.lit(r).alias("regla"))) for h, d, r, real in FALLAS])
+    rows = ledger.withColumn("f", F.explode(kinds)).where("f is not null")
+    moved, again, padded = F.col("mov_type") == "311", F.col("f.defecto") == "B03", F.col("f.defecto") == "B01"
+    doc = F.when(moved, F.concat("doc_material", F.lit("-"), F.floor(F.col("posicion") / 2).cast("string"))).otherwise(F.col("doc_material"))
+    return rows.select(
+        "f.defecto", "f.regla", "planta", F.when(padded, F.concat(F.lit("000"), "material")).otherwise(F.col("material")).alias("material"), "anio_contable",
+        F.when(again, F.concat(F.lit("Z"), doc)).otherwise(doc).alias("doc_material"), F.when(moved, 1 + F.col("posicion") % 2).otherwise(F.col("posicion")).cast("int").alias("posicion"),
+    )
+
+
+def detection(log_: DataFrame, found: DataFrame) -> DataFrame:
+    """For each kind of fault: how many were planted, and how many their own rule reports (null-safe by key)."""
+    key = ("planta", "anio_contable", "doc_material", "posicion")
+    seen = found.select("regla", *key).distinct().select(F.col("regla").alias("r"), *[F.col(c).alias(f"r_{c}") for c in key])
+    mine = log_.select("defecto", "regla", *key).distinct()
+    on = (F.col("regla") == F.col("r")) & (F.col("doc_material") == F.col("r_doc_material")) & (F.col("posicion") == F.col("r_posicion"))
+    met = mine.join(seen, on & F.col("planta").eqNullSafe(F.col("r_planta")) & F.col("anio_contable").eqNullSafe(F.col("r_anio_contable")), "left")
+    return met.groupBy("defecto", "regla").agg(F.count(F.lit(1)).alias("casos"), F.count("r").alias("detectados"))
+
+
+def figures(lines: DataFrame) -> DataFrame:
+    """Figures of a ledger as long measurements: tipo, medida, valor."""
+    n = F.abs("cantidad").cast("double")
+    usd = lambda kind: F.coalesce(F.sum(F.when(F.col("mov_type") == kind, n * F.col("costo_unitario_usd"))), F.lit(0.0))
+    key = F.struct(*(c for c in KEY if c != "material"))
+    one = lines.agg(usd("702").alias("perdida"), usd("621").alias("salidas_usd"), usd("622").alias("recogidas_usd"), (F.count(F.lit(1)) - F.countDistinct(key)).cast("double").alias("llave"))
+    parts = F.array(*[F.struct(F.lit(t).alias("tipo"), F.lit(m).alias("medida"), F.col(m).alias("valor")) for t, m in (("cifra", "perdida"), ("cifra", "salidas_usd"), ("cifra", "recogidas_usd"), ("identidad", "llave"))])
+    return one.select(F.explode(parts).alias("x")).select("x.*")
+
+
+def impact(clean: DataFrame, dirty: DataFrame, materiality_pct: float = 1.0) -> DataFrame:
+    """What planted faults do to each measurement: change, change in per cent, and whether it passes the materiality; a
+    figure that vanishes does, and so does an identity that no longer holds."""
+    met = dirty.join(clean.select("tipo", "medida", F.col("valor").alias("valor_limpio")), ["tipo", "medida"], "left")
+    pct = F.when(F.col("tipo") == "cifra", rounded((ratio("valor", "valor_limpio") - 1) * 100, 4))
+    past = F.when(F.col("tipo") == "cifra", F.coalesce(F.when(F.col("valor").isNull(), F.col("valor_limpio").isNotNull()).otherwise(F.abs("delta_pct") > materiality_pct), F.lit(False))).otherwise(F.col("valor") > 0)
+    return met.withColumn("delta", F.col("valor") - F.col("valor_limpio")).withColumn("delta_pct", pct).withColumn("supera_materialidad", past)

@@ -84,3 +84,39 @@ def fingerprint(ledger: DataFrame) -> DataFrame:
     units = {k: filtered_sum(F.abs(F.col("cantidad").cast("long")), F.col("mov_type") == k).alias(f"unidades_{k}") for k in ("621", "622", "702")}
     line = F.xxhash64("planta", "cliente", "material", "mov_type", "fecha_contab", "cantidad", "doc_material", "posicion")
     return mine.groupBy("planta").agg(F.count(F.lit(1)).alias("lineas"), *units.values(), F.sum(line.cast("decimal(38,0)")).cast("string").alias("huella"))
+
+
+def fleet_against_need(projected: DataFrame, need: DataFrame) -> DataFrame:
+    """Fleet, need and deficit of each plan week in the base scenario."""
+    base = need.where("escenario = 'base'").select("planta", "material", "semana", "necesidad")
+    met = projected.join(base, ["planta", "material", "semana"], "left").withColumn("necesidad", F.coalesce("necesidad", F.lit(0)))
+    short = F.greatest(F.col("necesidad") - F.col("flota_proyectada"), F.lit(0.0))
+    return met.groupBy("semana", "tipo_material").agg(rounded(F.sum("flota_proyectada"), 2).alias("flota"), F.sum("necesidad").cast("long").alias("necesidad"), rounded(F.sum(short), 2).alias("deficit"))
+
+
+def safety_distribution(need_mart: DataFrame) -> DataFrame:
+    """How many days of demand the safety stock covers: lowest, first percentile, median, and how many have a week at most."""
+    d = F.col("stock_seguridad_dias")
+    return need_mart.groupBy("tipo_material").agg(F.min(d).alias("minimo"), F.percentile(d, 0.01).alias("p01"), F.median(d).alias("mediana"), F.count_if(d <= 7).alias("hasta_7"), F.count(d).alias("n"))
+
+
+def gap_by_level(gap: DataFrame) -> DataFrame:
+    """How far each level of escalation closes the base scenario's deficit."""
+    return gap.where("escenario = 'base'").groupBy("tipo_material").agg(
+        rounded(F.sum("deficit_pico"), 1).alias("deficit"), rounded(F.sum("recibido_mismo_pais"), 1).alias("mismo_pais"), rounded(F.sum("recibido_otro_pais"), 1).alias("otro_pais"),
+        F.sum("compra").cast("long").alias("compra"), rounded(F.sum("viajes_desechable"), 1).alias("viajes_desechable"), rounded(F.sum(F.col("usd_flete") + F.col("usd_compra") + F.col("usd_desechable")), 2).alias("usd"),
+    )
+
+
+def loan_matrix(network: DataFrame) -> DataFrame:
+    """Containers lent, origin by destination."""
+    return network.groupBy("planta_origen").pivot("planta_destino", ["P0", "P1", "P2", "P3", "P4"]).agg(rounded(F.sum("contenedores"), 1))
+
+
+def saving_sensitivity(cost: DataFrame, rates: tuple[float, ...] = (0.5, 1.0, 2.0, 5.0)) -> DataFrame:
+    """Net saving of each type if every trip lost containers at a given rate in per cent."""
+    grid = cost.sparkSession.createDataFrame([(r,) for r in rates], "tasa_pct double")
+    p = F.col("tasa_pct") / 100
+    life = (1 - F.pow(1 - p, F.col("vida_util_ciclos"))) / p
+    saved = F.col("viajes") * (F.col("desechable_equiv_usd") - F.col("costo_unitario_usd") / life - F.col("mant_por_ciclo_usd"))
+    return cost.crossJoin(F.broadcast(grid)).groupBy("tipo_material", "tasa_pct").agg(rounded(F.sum(saved), 2).alias("ahorro_neto_usd"))

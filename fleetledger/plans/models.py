@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.tables import stored
 from ..operators import capacity, cycle, gap, need, quality, stock
+from ..sources import extract
 from ..sources import ledger as src
 
 
@@ -201,3 +202,34 @@ class Models:
     @cached_property
     def empties(self) -> DataFrame:
         return capacity.empties_delta(self.daily_t)
+
+    # tables with faults, detection and impact
+    @cached_property
+    def dirty(self) -> dict[str, DataFrame]:
+        return src.dirty_tables(self.customer, self.snapshot, *self.plan)
+
+    @cached_property
+    def used(self) -> DataFrame:
+        pair = ("planta", "material")
+        return self.customer.select(*pair).union(self.dirty["snapshot"].select(*pair)).union(self.dirty["instruction"].select(*pair)).distinct()
+
+    @cached_property
+    def master_violations(self) -> DataFrame:
+        paid = self.moves.groupBy("planta", "material").agg({"costo_unitario_usd": "max"}).withColumnRenamed("max(costo_unitario_usd)", "pagado")
+        return quality.master_rules(self.dirty["master"], src.material_groups(self.spark), src.PREFIJOS, self.dirty["snapshot"], self.used, paid, self.v)
+
+    @cached_property
+    def plan_violations(self) -> DataFrame:
+        return quality.plan_rules(self.dirty["plan"], self.dirty["instruction"], self.dirty["parts"], self.customer.select("planta", "material"))
+
+    @cached_property
+    def snapshot_violations(self) -> DataFrame:
+        lines = self.ledger.join(self.prices, "tipo_material").join(self.classes, "mov_type")
+        return quality.snapshot_rules(self.dirty["snapshot"], lines, self.places, self.master)
+
+    @cached_property
+    def rolled_back(self) -> DataFrame:
+        import datetime as dt
+
+        closing = stock.snapshot_at(self.ledger, self.snapshot, self.places, self.v.fecha_extraccion + dt.timedelta(days=1))
+        return extract.roll_back(closing, self.ledger, self.places, dt.date(1995, 1, 1))

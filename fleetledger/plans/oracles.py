@@ -294,6 +294,45 @@ SQL: dict[str, tuple[str, str]] = {
                   and rp.anio_contable = d.anio_contable and rp.doc_material = d.doc_material where rn > 1 and evento = 'salida_cliente'
         union all select 'matnr_con_formato', planta, material, anio_contable, doc_material, posicion, abs(cantidad), abs(cantidad) * costo, 'en el maestro como ' || em from mf
         union all select 'kunnr_con_formato', planta, material, anio_contable, doc_material, posicion, abs(cantidad), abs(cantidad) * costo_unitario_usd, 'cuenta ' || cuenta from kf"""),
+    "dmast": ("cust prices", """
+        with a as (select distinct planta, material, tipo_material, cast(split_part(material, '-', 2) as int) as n from cust), b as (select *, unnest(case when n = 2 and planta = 'P0' then [0, 1] else [0] end) as copia from a where n <> 11),
+             c as (select planta, material, case n when 5 then 'G9' when 9 then 'G2' else case tipo_material when 'KLT' then 'G1' when 'RACK' then 'G2' else 'G3' end end as grupo_articulos, costo_unitario_usd as precio,
+                          case n when 3 then 100 else 1 end as unidad_precio, case n when 7 then 'MXN' else 'USD' end as moneda from b join prices using (tipo_material))
+        select *, case grupo_articulos when 'G1' then 'KLT' when 'G2' then 'RACK' when 'G3' then 'CARTON' end as tipo_material, precio / unidad_precio as costo,
+               case substr(material, 1, 4) when 'KLT-' then 'KLT' when 'RCK-' then 'RACK' else 'CARTON' end as tipo_codigo from c"""),
+    "dsnap": ("snap", """
+        select * replace (case cast(split_part(material, '-', 2) as int) when 1 then 'ZZ99' else almacen end as almacen) from snap where cast(split_part(material, '-', 2) as int) <> 4"""),
+    "dinst": ("parts", """
+        select planta, parte, case num when 12 then material || 'X' else material end as material, case num when 10 then 'CARTON' else tipo_material end as tipo_material, case num when 8 then 0 else ppc end as ppc from parts where num <> 6"""),
+    "mviol": ("dmast dsnap cust dinst prices", """
+        with f as (select planta, material, sum(cantidad) as flota from dsnap group by 1, 2), b as (select grupo_articulos, moneda, median(costo) as med from dmast group by 1, 2),
+             t as (select tipo_material as tipo_codigo, moneda, median(costo) as medc from dmast where tipo_material is not null group by 1, 2),
+             a as (select m.*, med, medc, coalesce(flota, 0) as flota, grupo_articulos in ('G1', 'G2', 'G3') as con from dmast m left join b using (grupo_articulos, moneda) left join t using (tipo_codigo, moneda) left join f using (planta, material)),
+             r as (select *, unnest([case when not con then 'grupo_fuera_de_catalogo' end, case when moneda <> 'USD' then 'moneda_distinta' end, case when unidad_precio <> 1 and (costo < med / 3 or costo > med * 3) then 'unidad_de_precio' end,
+                                     case when con and tipo_codigo is distinct from tipo_material then 'grupo_contradice_codigo' end]) as regla from a),
+             u as (select planta, material from cust union select planta, material from dsnap union select planta, material from dinst)
+        select regla, planta, material, null as parte, flota::double as unidades, case regla when 'unidad_de_precio' then abs(costo - med) * flota when 'grupo_contradice_codigo' then abs(costo - medc) * flota else costo * flota end as usd_expuesto,
+               concat_ws(' ', grupo_articulos, precio::bigint, moneda, 'por', unidad_precio) as detalle from r where regla is not null
+        union all select 'llave_maestro_duplicada', planta, material, null, count(*), null, count(*) || ' filas' from dmast group by planta, material having count(*) > 1
+        union all select 'material_sin_maestro', u.planta, u.material, null, coalesce(flota, 0), coalesce(flota, 0) * p.costo, 'sin fila en el maestro'
+                  from u left join f using (planta, material) left join (select distinct planta, material, costo_unitario_usd as costo from cust join prices using (tipo_material)) p using (planta, material)
+                  where not exists (select 1 from dmast m where m.planta = u.planta and ltrim(m.material, '0') = ltrim(u.material, '0'))"""),
+    "pviol": ("plan parts dinst cust", """
+        with d as (select *, unnest(case when cast(list_last(string_split(parte, '-')) as int) = 14 then [0, 1] else [0] end) as copia from plan), t as (select planta, parte, sum(piezas) as piezas from d group by 1, 2),
+             g as (select planta, parte from parts where num <> 13), e as (select distinct planta, material from cust),
+             x as (select case when i.parte is null then 'parte_sin_instruccion' else 'parte_sin_registro' end as regla, t.planta, coalesce(i.material, '-') as material, t.parte, t.piezas from t left join dinst i using (planta, parte)
+                   left join g on g.planta = t.planta and g.parte = t.parte where i.parte is null or g.parte is null
+                   union all
+                   select case when ppc <= 0 then 'piezas_en_cero' when tipo_material = 'CARTON' then 'instruccion_a_desechable' when e.material is null then 'instruccion_fuera_de_planta' end, i.planta, i.material, i.parte, coalesce(piezas, 0)
+                   from dinst i left join t using (planta, parte) left join e on e.planta = i.planta and e.material = i.material)
+        select regla, planta, material, parte, piezas::double as unidades, null::double as usd_expuesto, piezas || ' piezas en el horizonte' as detalle from x where regla is not null
+        union all select 'llave_plan_duplicada', planta, null, parte, count(*), null, count(*) || ' filas en stg_plan_produccion' from d group by planta, parte, semana having count(*) > 1"""),
+    "fviol": ("dsnap led prices classes", """
+        with l as (select led.*, costo_unitario_usd as c, evento from led join prices using (tipo_material) join classes using (mov_type) where almacen is not null),
+             m as (select * from l where tipo_material <> 'CARTON' and not exists (select 1 from dsnap where dsnap.planta = l.planta and dsnap.material = l.material)),
+             d as (select planta, material, fecha_contab, sum(cantidad) as n, max(c) as c, min(evento) as evento from m group by 1, 2, 3), s as (select *, sum(n) over (partition by planta, material order by fecha_contab rows unbounded preceding) as s from d)
+        select 'lgort_fuera_de_catalogo' as regla, planta, material, null as parte, cantidad::double as unidades, cantidad * costo_unitario_usd as usd_expuesto, 'foto en ' || almacen as detalle from dsnap join prices using (tipo_material) where almacen = 'ZZ99'
+        union all select 'material_sin_foto', planta, material, null, greatest(-min(s), 0), greatest(-min(s), 0) * max(c), 'primer movimiento: ' || arg_min(evento, fecha_contab) from s group by planta, material"""),
 }
 
 

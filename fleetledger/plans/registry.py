@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import rounded
 from ..operators import capacity, contract, cycle, gap, need, quality, reports, stock
+from ..sources import extract
 from .models import Models
 from .oracles import statement
 
@@ -262,6 +263,68 @@ TABLE: dict[str, tuple[Build, str, str]] = {
         "led",
         "select count(distinct planta) as plantas, count(distinct date_trunc('month', fecha_contab)) as meses, max(fecha_contab) as ultima from led",
     ),
+    "int_calidad_maestro": (lambda m: m.master_violations, "mviol", "select * from mviol"),
+    "int_calidad_plan": (lambda m: m.plan_violations, "pviol", "select * from pviol"),
+    "int_calidad_stock_inicial": (lambda m: m.snapshot_violations, "fviol", "select * from fviol"),
+    "deteccion_por_defecto": (
+        lambda m: quality.detection(quality.injected(m.ledger), m.violations),
+        "led viol",
+        """, k as (select * from (values (0, 'D05', 'signo_invertido'), (1, 'D02', 'bwart_fuera_de_catalogo'), (2, 'D03', 'lgort_fuera_de_catalogo'), (3, 'D04', 'cliente_vacio'), (4, 'D01', 'llave_duplicada'),
+                   (5, 'D08', 'registro_despues_del_cierre'), (6, 'B04', 'budat_despues_del_corte'), (7, 'B02', 'kunnr_con_formato'), (8, 'B01', 'matnr_con_formato'), (10, 'B03', 'documento_repetido')) as t(h, defecto, regla)),
+             i as (select distinct defecto, regla, planta, anio_contable, case when defecto = 'B03' then 'Z' else '' end || case when mov_type = '311' then concat(doc_material, '-', posicion // 2) else doc_material end as doc,
+                          case when mov_type = '311' then 1 + posicion % 2 else posicion end as pos
+                   from led join k on (posicion * 31 + cast(right(doc_material, 6) as bigint)) % 997 = h
+                   where (h <> 2 or almacen is not null) and (h <> 3 or cliente is not null) and (h <> 7 or (cliente is not null and mov_type in ('621', '622', '702'))) and (h <> 10 or mov_type = '621')),
+             v as (select distinct regla, planta, anio_contable, doc_material, posicion from viol)
+        select defecto, i.regla, count(*) as casos, count(v.regla) as detectados from i left join v on v.regla = i.regla and v.planta = i.planta and v.anio_contable = i.anio_contable and v.doc_material = i.doc and v.posicion = i.pos group by 1, 2""",
+    ),
+    "mart_impacto_defectos": (
+        lambda m: quality.impact(quality.figures(m.ledger.join(F.broadcast(m.prices), "tipo_material", "left")), quality.figures(m.lines)),
+        "led prices dirty",
+        """, c as (select mov_type, cantidad, costo_unitario_usd, planta, anio_contable, doc_material, posicion, 'limpio' as de from led join prices using (tipo_material) union all select mov_type, cantidad, costo_unitario_usd, planta, anio_contable, doc_material, posicion, 'sucio' from dirty),
+             a as (select de, coalesce(sum(case when mov_type = '702' then abs(cantidad) * costo_unitario_usd end), 0) as perdida, coalesce(sum(case when mov_type = '621' then abs(cantidad) * costo_unitario_usd end), 0) as salidas_usd,
+                          coalesce(sum(case when mov_type = '622' then abs(cantidad) * costo_unitario_usd end), 0) as recogidas_usd, (count(*) - count(distinct (planta, anio_contable, doc_material, posicion)))::double as llave from c group by 1),
+             u as (unpivot a on perdida, salidas_usd, recogidas_usd, llave into name medida value valor),
+             j as (select case when s.medida = 'llave' then 'identidad' else 'cifra' end as tipo, s.medida, s.valor, l.valor as valor_limpio from u s join u l on l.medida = s.medida and l.de = 'limpio' where s.de = 'sucio')
+        select *, valor - valor_limpio as delta, case when tipo = 'cifra' then round((valor / nullif(valor_limpio, 0) - 1) * 100, 4) end as delta_pct,
+               case when tipo = 'cifra' then abs(round((valor / nullif(valor_limpio, 0) - 1) * 100, 4)) > 1 else valor > 0 end as supera_materialidad from j""",
+    ),
+    "extracto_mb51": (
+        lambda m: extract.movements(extract.as_extract(m.ledger)),
+        "led",
+        """select planta as Werks, almacen as Lgort, material as Matnr, 'Contenedor ' || material as Maktx, mov_type as Bwart, anio_contable as Mjahr, fecha_contab as Budat, fecha_contab as Cpudt, '09:05:07' as Cputm, cantidad::bigint as Menge,
+                  'PC' as Meins, doc_material as Mblnr, lpad(posicion::varchar, greatest(4, length(posicion::varchar))::int, '0') as Zeile, null as Lifnr, cliente as Kunnr, null as Xblnr,
+                  case when posicion % 2 = 0 and cantidad <> 0 then round((abs(cantidad) * 25 + 0.5::double) / abs(cantidad), 2) end as Costo_usd from led""",
+    ),
+    "extracto_regreso": (
+        lambda m: m.rolled_back,
+        "snap",
+        "select planta, almacen, material, null as cliente, cantidad, date '1995-01-01' as fecha from snap",
+    ),
+    "reporte_flota_y_necesidad": (
+        lambda m: reports.fleet_against_need(m.projected, m.need),
+        "proj need",
+        """select f.semana, f.tipo_material, round(sum(flota_proyectada), 2) as flota, sum(coalesce(necesidad, 0))::bigint as necesidad, round(sum(greatest(coalesce(necesidad, 0) - flota_proyectada, 0)), 2) as deficit
+           from proj f left join (select * from need where escenario = 'base') n on n.planta = f.planta and n.material = f.material and n.semana = f.semana group by 1, 2""",
+    ),
+    "reporte_stock_seguridad": (
+        lambda m: reports.safety_distribution(need.fleet_need(m.need)),
+        "need",
+        """, d as (select tipo_material, round(stock_seguridad / nullif(d_plan, 0), 1) as d from need where escenario = 'base')
+        select tipo_material, min(d) as minimo, quantile_cont(d, 0.01) as p01, median(d) as mediana, count(case when d <= 7 then 1 end) as hasta_7, count(d) as n from d group by 1""",
+    ),
+    "reporte_brecha_por_nivel": (
+        lambda m: reports.gap_by_level(m.gap),
+        "gap",
+        """select tipo_material, round(sum(deficit_pico), 1) as deficit, round(sum(recibido_mismo_pais), 1) as mismo_pais, round(sum(recibido_otro_pais), 1) as otro_pais, sum(compra)::bigint as compra,
+                  round(sum(viajes_desechable), 1) as viajes_desechable, round(sum(usd_flete + usd_compra + usd_desechable), 2) as usd from gap where escenario = 'base' group by 1""",
+    ),
+    "reporte_sensibilidad_merma": (
+        lambda m: reports.saving_sensitivity(m.cost),
+        "tcomat",
+        """select tipo_material, r as tasa_pct, round(sum(viajes * (desechable_equiv_usd - costo_unitario_usd / ((1 - power(1 - r / 100, vida_util_ciclos)) / (r / 100)) - mant_por_ciclo_usd)), 2) as ahorro_neto_usd
+           from tcomat cross join (select unnest([0.5, 1.0, 2.0, 5.0])::double as r) group by 1, 2""",
+    ),
 }
 
 

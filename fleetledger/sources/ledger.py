@@ -196,3 +196,34 @@ def dirty_lines(ledger: DataFrame, classes: DataFrame, v: Vars = VARS) -> DataFr
     tipo = F.when(kind == "KLT", "KLT").when(kind == "RCK", "RACK").when(kind == "CTN", "CARTON")
     price = F.element_at(F.create_map(*[F.lit(x) for p in PRECIOS for x in p]), F.col("tipo_material"))
     return again.withColumn("tipo_material", tipo).withColumn("costo_unitario_usd", price).join(F.broadcast(classes), "mov_type", "left").drop("h", "copia")
+
+
+#: Prefix of a material's code and the type it stands for; material groups.
+PREFIJOS = {"KLT-": "KLT", "RCK-": "RACK", "CTN-": "CARTON"}
+GRUPOS = [("G1", "KLT"), ("G2", "RACK"), ("G3", "CARTON")]
+
+
+def dirty_tables(customer: DataFrame, snapshot: DataFrame, plan: DataFrame, instruction: DataFrame) -> dict[str, DataFrame]:
+    """Master, snapshot, plan, instruction and parts with faults picked by the number in a material's code."""
+    number = F.split("material", "-")[1].cast("int")
+    one = lambda n: number == n
+    price = F.element_at(F.create_map(*[F.lit(x) for p in PRECIOS for x in p]), F.col("tipo_material"))
+    group = F.element_at(F.create_map(*[F.lit(x) for g, t in GRUPOS for x in (t, g)]), F.col("tipo_material"))
+    types = F.create_map(*[F.lit(x) for p in GRUPOS for x in p])
+    rows = customer.select("planta", "material", "tipo_material").distinct().where(~one(11))
+    copies = F.explode(F.when(one(2) & (F.col("planta") == "P0"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    master = rows.withColumn("copia", copies).select(
+        "planta", "material", F.when(one(5), "G9").when(one(9), "G2").otherwise(group).alias("grupo_articulos"), price.alias("precio"), F.when(one(3), 100).otherwise(1).cast("long").alias("unidad_precio"),
+        F.when(one(7), "MXN").otherwise("USD").alias("moneda"),
+    ).withColumn("tipo_material", F.try_element_at(types, F.col("grupo_articulos"))).withColumn("costo", F.col("precio") / F.col("unidad_precio"))
+    photo = snapshot.where(~one(4)).withColumn("almacen", F.when(one(1), "ZZ99").otherwise(F.col("almacen")))
+    told = instruction.where(~one(6)).withColumn("piezas_por_contenedor", F.when(one(8), F.lit(0)).otherwise(F.col("piezas_por_contenedor")))
+    told = told.withColumn("tipo_material", F.when(one(10), "CARTON").otherwise(F.col("tipo_material"))).withColumn("material", F.when(one(12), F.concat("material", F.lit("X"))).otherwise(F.col("material")))
+    part_number = F.element_at(F.split("parte", "-"), -1).cast("int")
+    parts = instruction.select("planta", "parte").where(part_number != 13)
+    twice = F.explode(F.when(part_number == 14, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return {"master": master, "snapshot": photo, "plan": plan.withColumn("copia", twice).drop("copia"), "instruction": told, "parts": parts}
+
+
+def material_groups(spark):
+    return seed(spark, GRUPOS, "grupo_articulos string, tipo_grupo string")
