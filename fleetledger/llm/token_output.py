@@ -37,7 +37,7 @@ from . import common
 FILE_BYTES = 2_000_000
 FILE_DOCS = 20_000
 GAMMA = 2.0
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 
 FILE_SCHEMA = (
     "shard int, file_no int, n_docs long, n_ids long, width int, payload binary, keys array<long>, "
@@ -150,32 +150,67 @@ class IdFile:
 # --- encoding ---------------------------------------------------------------------------------------------------
 
 #: Unicode White_Space, at which the tokenizer's words end; str.split() also ends words at ODD.
-SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
+SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 ODD = re.compile("[\x1c-\x1f]")
 
 
+#: Texts of these characters alone (white space, printable ASCII, Latin letters and marks up to U+017F) can be cut here:
+#: each character is whole under NFC and lower-cases to one character, but for those that NOT_PLAIN adds.
+NOT_PLAIN = re.compile("[^\t-\r -~\xa0-\u017f]|\u0130|<\\|")
+LETTERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
+NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: How the tokenizer cuts a text of such characters.
+PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
+JOINED = 500
+
+
 class WordEncoder:
-    """Encodes by the distinct runs of non-space characters: the tokenizer drops white space and never joins
-    what stands on both sides of it, so that the ids of a text are those of its runs, one after the other."""
+    """Encodes by distinct pieces: the tokenizer lower-cases, drops white space and never joins what stands on both sides
+    of a cut, so that the ids of a text are those of its pieces, one after the other.
+
+    Texts of plain characters are cut into the tokenizer's own pieces; others at white space alone, and these runs go to
+    the tokenizer as they are. New pieces of letters are encoded many at a time, joined by spaces, and their ids told
+    apart by the tokens that end a word."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocab = self.tokenizer.get_vocab()
+        self.width = 2 if max(vocab.values()) < 1 << 16 else 4
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
 
+    def _learn(self, new: list[str]) -> None:
+        words, rest = [], []
+        for x in new:
+            (words if x.isalpha() and not NOT_PLAIN.search(x) else rest).append(x)
+        for at in range(0, len(words), JOINED):
+            part = words[at : at + JOINED]
+            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, f"<u{self.width}")
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+            if len(cuts) != len(part):
+                raise ValueError("a word is not one piece of the tokenizer")
+            data = ids.tobytes()
+            self.known.update(zip(part, (data[a:b] for a, b in zip([0, *cuts], cuts))))
+        for piece, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            self.known[piece] = np.asarray(found.ids, f"<u{self.width}").tobytes()
+
+    def cut(self, text: str) -> list[str]:
+        if not NOT_PLAIN.search(text):
+            return PIECE.findall(text.lower())
+        return [r for r in SPACES.split(text) if r] if ODD.search(text) else text.split()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        runs = [[r for r in SPACES.split(t) if r] if ODD.search(t) else t.split() for t in texts]
-        new = set().union(*runs) - self.known.keys()
+        pieces = list(map(self.cut, texts))
+        new = set().union(*pieces) - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = set().union(*runs)
+            new = set().union(*pieces)
         if new:
-            new = list(new)
-            for run, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[run] = np.asarray(found.ids, f"<u{self.width}").tobytes()
-        return [b"".join(map(self.known.__getitem__, r)) for r in runs]
+            self._learn(list(new))
+        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
 
 
 @lru_cache(maxsize=2)
