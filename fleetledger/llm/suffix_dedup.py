@@ -35,9 +35,10 @@ from . import common
 LENGTH = 50
 GRAM = 20
 BLOCK = 1_000_000
+BATCH = 12_000_000
 CROWD = 20_000
-SHARDS = 4
-COLLECTION = 400_000
+SHARDS = 2
+COLLECTION = 200_000
 #: Stands for a null doc_id where the smallest is sought.
 LAST = np.iinfo("int64").max
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -102,51 +103,59 @@ FILED = "bucket int, ids binary, keys binary, gram binary, class binary, text bi
 
 
 def file_segments(length: int, buckets: int):
+    """Texts to packed rows of segments, one for each bucket and BATCH bytes of text."""
+
+    def pack(ids: np.ndarray, keys: np.ndarray, parts: list[tuple]) -> Iterator[pd.DataFrame]:
+        gram, content, text, start, size = (np.concatenate(x) for x in zip(*parts))
+        same = mix(gram * BASE + content)
+        order = np.argsort(same, kind="stable")
+        first = np.flatnonzero(np.r_[True, same[order][1:] != same[order][:-1]])
+        least = np.minimum.reduceat(ids[text[order]], first)
+        done = np.zeros(len(gram), bool)
+        done[order] = ids[text[order]] > np.repeat(least, np.diff(np.r_[first, len(order)]))
+        bucket = (gram % np.uint64(buckets)).astype("int32")
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1], True])
+        names, rows = [c.split()[0] for c in FILED.split(", ")], []
+        for a, b in zip(cuts, cuts[1:]):
+            at = order[a:b]
+            used, local = np.unique(text[at], return_inverse=True)
+            d, o = done[at], ~done[at]
+            x, y = at[o], at[d]
+            rows.append((
+                int(bucket[at[0]]), ids[used].tobytes(), keys[used].tobytes(), planes(gram[x], 6), planes(content[x], 6), planes(local[o], 4), planes(start[x], 4), planes(size[x], 4),
+                planes(local[d], 4), planes(start[y], 4), planes(size[y], 4),
+            ))
+            if len(rows) >= 64:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            texts = [t.encode() for t in f["text"]]
             ids = f["doc_id"].fillna(LAST).astype("int64").to_numpy()
             keys = f["key"].to_numpy()
-            parts, block, numbers, held = [], [], [], 0
-            for i, t in enumerate(texts):
+            parts, block, numbers, held, total = [], [], [], 0, 0
+            for i, t in enumerate(f["text"]):
+                t = t.encode()
                 if len(t) >= length:
                     block.append(t)
                     numbers.append(i)
                     held += len(t)
-                if block and (held >= BLOCK or i == len(texts) - 1):
+                if block and (held >= BLOCK or i == len(f) - 1):
                     own = segments(block, length)
                     parts.append((own[0], own[1], np.array(numbers)[own[2]], own[3], own[4]))
+                    total += held
                     block, numbers, held = [], [], 0
+                if parts and total >= BATCH:
+                    yield from pack(ids, keys, parts)
+                    parts, total = [], 0
             if block:
                 own = segments(block, length)
                 parts.append((own[0], own[1], np.array(numbers)[own[2]], own[3], own[4]))
-            if not parts:
-                continue
-            gram, content, text, start, size = (np.concatenate(x) for x in zip(*parts))
-            same = mix(gram * BASE + content)
-            order = np.argsort(same, kind="stable")
-            first = np.flatnonzero(np.r_[True, same[order][1:] != same[order][:-1]])
-            least = np.minimum.reduceat(ids[text[order]], first)
-            done = np.zeros(len(gram), bool)
-            done[order] = ids[text[order]] > np.repeat(least, np.diff(np.r_[first, len(order)]))
-            bucket = (gram % np.uint64(buckets)).astype("int32")
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, bucket[order][1:] != bucket[order][:-1], True])
-            rows = []
-            for a, b in zip(cuts, cuts[1:]):
-                at = order[a:b]
-                used, local = np.unique(text[at], return_inverse=True)
-                d, o = done[at], ~done[at]
-                x, y = at[o], at[d]
-                rows.append((
-                    int(bucket[at[0]]), ids[used].tobytes(), keys[used].tobytes(), planes(gram[x], 6), planes(content[x], 6), planes(local[o], 4), planes(start[x], 4), planes(size[x], 4),
-                    planes(local[d], 4), planes(start[y], 4), planes(size[y], 4),
-                ))
-                if len(rows) >= 64:
-                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in FILED.split(", ")])
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in FILED.split(", ")])
+            if parts:
+                yield from pack(ids, keys, parts)
 
     return run
 
@@ -207,11 +216,12 @@ def judge(crowd: int):
 
 
 def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rotations of a text (numbers below 512) in order of their first `depth` symbols, and the transform."""
+    """Rotations of a text (numbers below 256) in order of their first `depth` symbols, and the transform with two
+    symbols at a time: the last but one and the last before each rotation, as one number."""
     n = len(text)
     rank = np.zeros(n, "int64")
     for j in range(7):
-        rank = rank << 9 | np.roll(text, -j)
+        rank = rank << 8 | np.roll(text, -j)
     have = 7
     while True:
         rank = np.unique(rank, return_inverse=True)[1].astype("int64")
@@ -221,21 +231,24 @@ def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         rank = rank * (int(rank.max()) + 1) + np.roll(rank, -step)
         have += step
     order = np.argsort(rank, kind="stable")
-    return order, text[order - 1]
+    return order, (text[order - 2] << 8 | text[order - 1]).astype("u2")
 
 
 def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The interleave of the shards' rotations in order of their first `depth` symbols (shard numbers), and for each
-    place the number of its interval of equal prefix."""
+    place the number of its interval of equal prefix. A round takes two symbols; for an odd depth, the first takes one."""
     shard = np.repeat(np.arange(len(transforms), dtype="u1"), [len(t) for t in transforms])
-    interval = np.zeros(len(shard), "int64")
+    interval = np.zeros(len(shard), "int32")
     symbol = np.empty(len(shard), "u2")
-    for _ in range(depth):
+    for r in range(-(-depth // 2)):
         for s, t in enumerate(transforms):
-            symbol[shard == s] = t
+            symbol[shard == s] = t & 255 if depth % 2 and not r else t
         order = np.argsort(symbol, kind="stable")
         shard, below, by = shard[order], interval[order], symbol[order]
-        interval = np.cumsum(np.r_[True, (by[1:] != by[:-1]) | (below[1:] != below[:-1])])
+        split = np.ones(len(order), bool)
+        np.not_equal(by[1:], by[:-1], out=split[1:])
+        split[1:] |= below[1:] != below[:-1]
+        interval = np.cumsum(split, dtype="int32")
     return shard, interval
 
 
@@ -244,26 +257,25 @@ def repeats(texts: list[bytes], ids: np.ndarray, length: int, shards: int = SHAR
     size = np.array([len(t) for t in texts])
     owner = np.repeat(np.arange(len(texts)), size + 1)
     place = np.concatenate([np.arange(n + 1) for n in size])
-    data = np.frombuffer(b"\0".join(texts) + b"\0", "u1").astype("u2") + np.uint16(1)
+    # UTF-8 has no byte above 0xF4, so that there is room below for what ends a text.
+    data = np.frombuffer(b"\0".join(texts) + b"\0", "u1").astype("int64") + 1
     data[np.cumsum(size + 1) - 1] = 0
     cuts = np.searchsorted(np.cumsum(size + 1), np.arange(1, shards) * len(data) // shards) + 1
     edges = np.unique(np.r_[0, np.cumsum(size + 1)[np.minimum(cuts, len(texts)) - 1], len(data)])
-    made = [transform(data[a:b].astype("int64"), length) for a, b in zip(edges, edges[1:])]
-    shard, interval = merge([m[1].astype("u2") for m in made], length)
+    made = [transform(data[a:b], length) for a, b in zip(edges, edges[1:])]
+    shard, interval = merge([m[1] for m in made], length)
     at = np.empty(len(data), "int64")
     for s, (base, m) in enumerate(zip(edges, made)):
         at[shard == s] = base + m[0]
     whole = place[at] + length <= size[owner[at]]
     at, interval = at[whole], interval[whole]
-    out = [np.zeros(max(0, n - length + 1), bool) for n in size]
-    if not len(at):
-        return out
-    doc = ids[owner[at]]
-    first = np.flatnonzero(np.r_[True, interval[1:] != interval[:-1]])
-    again = at[doc > np.repeat(np.minimum.reduceat(doc, first), np.diff(np.r_[first, len(at)]))]
-    for o, p in zip(owner[again].tolist(), place[again].tolist()):
-        out[o][p] = True
-    return out
+    flat = np.zeros(len(data), bool)
+    if len(at):
+        doc = ids[owner[at]]
+        first = np.flatnonzero(np.r_[True, interval[1:] != interval[:-1]])
+        flat[at[doc > np.repeat(np.minimum.reduceat(doc, first), np.diff(np.r_[first, len(at)]))]] = True
+    begin = np.cumsum(size + 1) - size - 1
+    return [flat[b : b + max(0, n - length + 1)] for b, n in zip(begin.tolist(), size.tolist())]
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
