@@ -2,7 +2,7 @@
 
 Writing: of pages with equal payloads of `least` bytes or more, that with the largest page_id is a response and the others
 are revisits of it; smaller payloads are all responses. A record is a string that ends with the separator of Spark's text
-sink, so the sink itself writes plain WARC/1.1 files, with its usual commit protocol.
+sink, so the sink itself writes WARC/1.1 files, gzip-compressed as a whole, with its usual commit protocol.
 
 Reading: files come whole (they hold RECORDS records at most) and are parsed by Content-Length. Each file's captures,
 sorted by (URL key, timestamp, page), are a run; a run is cut at common splitters, the slices of a range of keys meet in
@@ -19,6 +19,7 @@ seconds does.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -33,7 +34,7 @@ END = "\r\n\r\n"
 RECORDS = 2_000
 START = "2024-01-01 00:00:00"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-SPLITTERS_FROM = 4_000
+SPLITTERS_FROM = 1_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 CAPTURE = "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -69,7 +70,7 @@ def captures_of(pages: DataFrame) -> DataFrame:
 
 
 def records_of(pages: DataFrame, least: int) -> DataFrame:
-    """page_id, record: the text of each record without its end, and page_id to deal by."""
+    """page_id, record: the text of each record without its end."""
     made = captures_of(pages).withColumn("same", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
     owner = made.where(F.col("size") >= least).groupBy("same").agg(F.max("page_id").alias("owner"))
     # A payload of very many pages is split by adaptive execution.
@@ -98,9 +99,9 @@ def records_of(pages: DataFrame, least: int) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
-    n = common.partitions(pages.sparkSession)
-    dealt = records_of(pages, least).repartition(n, "page_id").select("record")
-    dealt.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).text(path)
+    """Records stay where the search for equal payloads has dealt them, so that payloads are shuffled once."""
+    records = records_of(pages, least).select("record")
+    records.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -186,6 +187,7 @@ def capture_index(spark: SparkSession, path: str) -> DataFrame:
     def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for data in f["content"]:
+                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 yield pd.DataFrame({"run": [[dict(zip(NAMES, r)) for r in run_of(data)]]})
 
     stored = common.materialise(runs.mapInPandas(parsed, f"run array<struct<{CAPTURE.replace(' ', ':').replace(',:', ',')}>>"), "capture-runs")
