@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import shared_dir
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 #: Runs of these become one space wherever texts are compared (fixed by the contracts).
@@ -23,20 +24,6 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join([ROOT, *filter(None, paths)])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's folder for intermediate tables; a local one only where none is named."""
-    conf = spark.sparkContext.getConf()
-    named = conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = getattr(spark, "_fleetledger_dir", None)
-    if made is None:
-        made = spark._fleetledger_dir = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return made
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/fleetledger/{name}-{uuid.uuid4().hex}"
 
