@@ -2,7 +2,8 @@
 
 A word is the bag of its character n-grams (3 to 5, with marks at both ends) and itself, hashed to BUCKETS rows of an
 embedding table; the bag's rows are averaged and go to a linear layer of two classes. A misspelling that was never seen
-shares most n-grams with the word that was. A document's logit is that of its TOP most toxic words, averaged, so that a
+shares most n-grams with the word that was. An unspaced run of over LONG characters (text without spaces, joined words,
+URLs) is read whole, in overlapping pieces that count as words, in training as in scoring. A document's logit is that of its TOP most toxic words, averaged, so that a
 few words count in a long text as in a short one. Table, layer and the scale of document logits are trained together, in
 numpy: first words against the labels of the documents that hold them, then also documents against their own labels.
 For scoring, table and layer are multiplied out to one number a bucket, which is exact since averaging is linear.
@@ -17,6 +18,7 @@ any label, or with one kind only, all scores are the smoothed share of toxic lab
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,12 +35,14 @@ TOP = 2
 PART = 20_000
 TRAIN_ROWS = 8_000
 REMEMBERED = 400_000
+#: Words over LONG characters are read in overlapping pieces of PIECE characters, one begun every PIECE // 2.
+LONG, PIECE = 64, 24
 EDGE = ".,;:!?\"'()[]{}<>|*_~`«»“”„…-"
 
 
 def bags(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Subwords of words as (number of the word, bucket). Words over 64 characters are seen by their first 64."""
-    marked = [f"<{w[:64]}>" for w in tokens]
+    """Subwords of whole words as (number of the word, bucket)."""
+    marked = [f"<{w}>" for w in tokens]
     size = np.fromiter(map(len, marked), "int64", len(marked))
     code = np.frombuffer("".join(marked).encode("utf-32-le"), "<u4").astype("uint64")
     owner = np.repeat(np.arange(len(marked), dtype="int32"), size)
@@ -57,8 +61,20 @@ def bags(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(owners), (mixed % np.uint64(BUCKETS)).astype("int32")
 
 
+def pieces(run: str) -> list[str]:
+    """What stands for a word over LONG characters: pieces that overlap by half and reach its end, so that each string of
+    up to PIECE // 2 characters is whole in one, and the words between its marks of punctuation."""
+    step = PIECE // 2
+    out = [run[at : at + PIECE] for at in range(0, len(run) - step, step)]
+    return out + [w for w in re.split(r"[\W_]+", run) if w and len(w) <= LONG]
+
+
 def words(text: str) -> list[str]:
-    return text.lower().split()
+    """Words at white space; of an unspaced run over LONG characters its pieces, each of which counts as a word."""
+    own = text.lower().split()
+    if max(map(len, own), default=0) <= LONG:
+        return own
+    return [w for x in own for w in ([x] if len(x) <= LONG else pieces(x))]
 
 
 class Model:
@@ -70,8 +86,11 @@ class Model:
     def logits(self, tokens: list[str]) -> np.ndarray:
         """Logits of words; a word of punctuation alone is no evidence."""
         bare = [w.strip(EDGE) for w in tokens]
-        owner, bucket = bags(bare)
-        z = np.bincount(owner, self.weights[bucket], len(bare)) / np.bincount(owner, minlength=len(bare)) + self.bias
+        z = np.zeros(len(bare))
+        for at in range(0, len(bare), PART):
+            own = bare[at : at + PART]
+            owner, bucket = bags(own)
+            z[at : at + PART] = np.bincount(owner, self.weights[bucket], len(own)) / np.bincount(owner, minlength=len(own)) + self.bias
         return np.where(np.fromiter(map(bool, bare), bool, len(bare)), z, -20.0)
 
     def score(self, values: np.ndarray) -> float:

@@ -44,6 +44,16 @@ def test_held_out_accuracy_and_misspellings(model):
     assert (toxicity.score_texts(["", "...", " \n"], model) < 0.5).all()
 
 
+@pytest.mark.parametrize("joint", ["", "_", ",", "/"])
+def test_long_unspaced_runs_are_read_to_their_end(model, joint):
+    clean = joint.join(["kalomi", "rentusha", "povel", "dornimka", "lotu"] * 8)
+    assert len(clean) > 200 and toxicity.score_texts([clean + joint + "shapo"], model)[0] < 0.5
+    for before, after in ((clean + joint, ""), (clean + joint, joint + clean), (clean[:200] + joint, joint + "nim")):
+        assert toxicity.score_texts([f"{before}stupid{joint}worthless{after}"], model)[0] > 0.5
+    run = "".join(chr(0x4E00 + i) for i in range(1000))
+    assert all(any(run[i : i + 12] in w for w in toxicity.words(run)) for i in range(989))
+
+
 def test_labels_of_one_kind_give_their_share():
     assert toxicity.score_texts(["a b"], toxicity.fit(["a", "b"], np.zeros(2)))[0] == pytest.approx(0.25)
 
