@@ -17,7 +17,7 @@ from array import array
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -147,11 +147,16 @@ class DigestIndex:
 INDEX_SCHEMA = "digest binary, keep_id long, group_size long"
 
 
+def folded(rows: DataFrame) -> DataFrame:
+    """Index rows for a fold: ids as strings, since pandas would take a long column with nulls for float64 and round it."""
+    return rows.withColumn("keep_id", F.col("keep_id").cast("string"))
+
+
 def _fold(limit: int | None):
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = DigestIndex()
         for f in frames:
-            ids = f["keep_id"].astype("Int64").astype(object).where(f["keep_id"].notna(), None)
+            ids = [int(i) if isinstance(i, str) else None for i in f["keep_id"]]
             for digest, smallest, rows in zip(f["digest"], ids, f["group_size"]):
                 index.add(bytes(digest), smallest, rows)
             if limit and index.live >= limit:
@@ -162,10 +167,15 @@ def _fold(limit: int | None):
     return fold
 
 
+def digest() -> Column:
+    """SHA-256 of the normalised text."""
+    text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), common.WHITESPACE_RUN, " ")
+    return F.unhex(F.sha2(text, 256))
+
+
 def with_digest(docs: DataFrame) -> DataFrame:
     """doc_id and the SHA-256 of the normalised text."""
-    text = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), common.WHITESPACE_RUN, " ")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"))
 
 
 def build_index(keyed: DataFrame) -> DataFrame:
@@ -173,8 +183,8 @@ def build_index(keyed: DataFrame) -> DataFrame:
     spark = keyed.sparkSession
     common.prepare(spark)
     ones = keyed.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    local = ones.mapInPandas(_fold(LOCAL_KEYS), INDEX_SCHEMA)
-    owned = local.repartition(common.partitions(spark), "digest")
+    local = folded(ones).mapInPandas(_fold(LOCAL_KEYS), INDEX_SCHEMA)
+    owned = folded(local).repartition(common.partitions(spark), "digest")
     return owned.mapInPandas(_fold(None), INDEX_SCHEMA)
 
 
@@ -190,7 +200,7 @@ def update_index(index: DataFrame, added: DataFrame, deleted: DataFrame) -> Data
     def play(frames):
         live = DigestIndex()
         for f in frames:
-            ids = f["keep_id"].astype("Int64").astype(object).where(f["keep_id"].notna(), None)
+            ids = [int(i) if isinstance(i, str) else None for i in f["keep_id"]]
             for digest, smallest, rows, step in zip(f["digest"], ids, f["group_size"], f["step"]):
                 if step == 1:
                     live.remove(bytes(digest))
@@ -198,7 +208,7 @@ def update_index(index: DataFrame, added: DataFrame, deleted: DataFrame) -> Data
                     live.add(bytes(digest), smallest, rows)
         yield from live.rows()
 
-    dealt = steps.repartition(common.partitions(spark), "digest").sortWithinPartitions("step")
+    dealt = folded(steps).repartition(common.partitions(spark), "digest").sortWithinPartitions("step")
     return dealt.mapInPandas(play, INDEX_SCHEMA)
 
 
@@ -214,8 +224,18 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     )
 
 
+def keep_rows(docs: DataFrame, dropped: DataFrame, lone: DataFrame) -> DataFrame:
+    """The rows of docs but those whose id and text digest are in `dropped` (_fl_id, _fl_digest), and of the rows without an id
+    one for each digest in `lone` (_fl_digest), all columns as they were. Digests in `lone` must be among the dropped."""
+    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_fl_row"), F.col("doc_id").cast("long").alias("_fl_own"), digest().alias("_fl_mark"), F.coalesce("text", F.lit("")).alias("_fl_text"))
+    same = F.col("_fl_own").eqNullSafe(F.col("_fl_id")) & (F.col("_fl_mark") == F.col("_fl_digest"))
+    kept = marked.join(dropped, same, "left_anti").select("_fl_row")
+    nameless = marked.where("_fl_own is null").join(lone, F.col("_fl_mark") == F.col("_fl_digest"), "left_semi")
+    return kept.union(nameless.groupBy("_fl_mark").agg(F.min_by("_fl_row", "_fl_text").alias("_fl_row")).select("_fl_row")).select("_fl_row.*")
+
+
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, all columns as they were."""
-    dropped = exact_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_fl_id"), F.col("text_sha256").alias("_fl_sha"))
-    dropped = dropped.groupBy("_fl_id").agg(F.max("_fl_sha"))
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_fl_id")), "left_anti")
+    """The rows of docs that exact_dedup keeps, all columns as they were; of a group whose ids are all null, one row."""
+    found = exact_dedup(docs).select(F.col("doc_id").alias("_fl_id"), "keep_id", "kept", F.unhex("text_sha256").alias("_fl_digest"))
+    dropped = found.where("not kept or keep_id is null").select("_fl_id", "_fl_digest").distinct()
+    return keep_rows(docs, dropped, found.where("keep_id is null").select("_fl_digest").distinct())

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, exact_dedup
 
 RADIUS = 3
 SEED = 42
@@ -52,17 +52,20 @@ def fingerprint(text: str, words: int = 3) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(h), bitorder="little").tobytes(), "little")
 
 
-def with_fingerprint(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long)."""
+def with_fingerprint(docs: DataFrame, words: int = 3, *marks: str) -> DataFrame:
+    """doc_id and fp (the fingerprint's bits as a signed long), and binary columns `marks` of docs as they are."""
     common.prepare(docs.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             fp = np.array([fingerprint(t, words) for t in f["text"]], "u8").view("i8")
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "fp": fp})
+            yield f[["id", "known", *marks]].assign(fp=fp)
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return texts.mapInPandas(run, "doc_id long, fp long")
+    # pandas has no long with nulls but float64, which would round ids: the null travels beside.
+    doc_id = F.col("doc_id").cast("long")
+    texts = docs.select(F.coalesce(doc_id, F.lit(0)).cast("long").alias("id"), doc_id.isNotNull().alias("known"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *marks)
+    made = texts.mapInPandas(run, "id long, known boolean, " + "".join(f"{m} binary, " for m in marks) + "fp long")
+    return made.select(F.when(F.col("known"), F.col("id")).alias("doc_id"), "fp", *marks)
 
 
 # --- Golay keys -------------------------------------------------------------------------------------------------
@@ -223,19 +226,27 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
+def grouped(docs: DataFrame, words: int, *marks: str) -> DataFrame:
+    """One row per document: doc_id, fp, root (the group's smallest fingerprint), component_id, and columns `marks` of docs."""
+    marked = common.materialise(with_fingerprint(docs, words, *marks), "fingerprints")
+    classes = common.materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
+    roots = components(links(classes.where("least is not null").select("fp", F.col("fp").alias("node"))))
+    named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = common.materialise(named, "fingerprint-components")
+    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return marked.join(named.join(ids, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_dedup(docs: DataFrame, words: int = 3) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
-    marked = common.materialise(with_fingerprint(docs, words), "fingerprints")
-    classes = marked.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    classes = common.materialise(classes, "fingerprint-classes")
-    roots = components(links(classes.where("node is not null")))
-    named = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    named = common.materialise(named, "fingerprint-components")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return grouped(docs, words).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The rows of docs that stay when of each group only the document with the smallest doc_id does."""
-    dropped = near_dedup(docs, words).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    dropped = dropped.select(F.col("doc_id").alias("_fl_id")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_fl_id")), "left_anti")
+    """The rows of docs that stay when of each group only the document with the smallest doc_id does; of a group whose ids
+    are all null, one row stays."""
+    marked = docs.select("doc_id", "text", exact_dedup.digest().alias("_fl_digest"))
+    found = common.materialise(grouped(marked, words, "_fl_digest"), "near-copies")
+    dropped = found.where("component_id is null or doc_id is null or doc_id <> component_id").select(F.col("doc_id").alias("_fl_id"), "_fl_digest").distinct()
+    lone = found.where("component_id is null").groupBy("root").agg(F.min("_fl_digest").alias("_fl_digest")).select("_fl_digest")
+    return exact_dedup.keep_rows(docs, dropped, lone)

@@ -43,6 +43,16 @@ def test_exact_dedup(docs, no_docs):
     assert exact_dedup.exact_dedup(no_docs).count() == 0
 
 
+def test_drops_decide_by_row(spark):
+    """Null ids and a repeated id beside copies of other rows; ids above 2^53."""
+    big, long_ = 1 << 53, " ".join(f"w{n}" for n in range(60))
+    own = [(big + 1, "copied"), (None, "copied"), (None, "unique without id"), (None, "twice without id"), (None, "twice  without id"), (5, long_), (7, "only under seven"), (7, long_), (big + 3, "one more")]
+    docs = spark.createDataFrame(own, "doc_id long, text string").coalesce(1)
+    for drop in (exact_dedup.drop_copies, simhash.drop_near_copies):
+        got = [(i, " ".join(t.split())) for i, t in drop(docs).collect()]
+        assert sorted(got, key=key) == sorted([(big + 1, "copied"), (None, "unique without id"), (None, "twice without id"), (5, long_), (7, "only under seven"), (big + 3, "one more")], key=key)
+
+
 def test_cuckoo_index_lives_through_overflow_and_deletion():
     index, live, rng = exact_dedup.DigestIndex(buckets=2), {}, random.Random(2)
     for n in range(6000):
