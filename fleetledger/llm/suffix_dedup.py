@@ -134,7 +134,7 @@ def file_segments(length: int, buckets: int):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            ids = f["doc_id"].fillna(LAST).astype("int64").to_numpy()
+            ids = f["doc_id"].to_numpy()
             keys = f["key"].to_numpy()
             parts, block, numbers, held, total = [], [], [], 0, 0
             for i, t in enumerate(f["text"]):
@@ -319,23 +319,23 @@ def compare(length: int):
 
 # --- texts ------------------------------------------------------------------------------------------------------
 
-#: Marks come before their text.
-TEXT = 9
+#: Marks come before their text; a text without a doc_id has the kind NAMELESS, and LAST as its id.
+TEXT, NAMELESS = 9, 10
 
 
 def squeezed(docs: DataFrame) -> DataFrame:
-    """key, doc_id, text (compressed UTF-8)."""
+    """key, doc_id, kind, text (compressed UTF-8)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"key": f["key"], "doc_id": f["doc_id"].astype("Int64"), "text": [zlib.compress(t.encode(), 1) for t in f["text"]]})
+            yield pd.DataFrame({"key": f["key"], "doc_id": f["doc_id"], "kind": f["kind"], "text": [zlib.compress(t.encode(), 1) for t in f["text"]]})
 
-    return docs.mapInPandas(run, "key long, doc_id long, text binary")
+    return docs.mapInPandas(run, "key long, doc_id long, kind int, text binary")
 
 
 def beside_texts(marks: DataFrame, texts: DataFrame) -> DataFrame:
     """Marks and texts, those of a document together, marks first."""
-    rows = texts.withColumn("kind", F.lit(TEXT)).unionByName(marks, allowMissingColumns=True)
+    rows = texts.unionByName(marks, allowMissingColumns=True)
     return rows.repartition(common.partitions(texts.sparkSession), "key").sortWithinPartitions("key", "kind")
 
 
@@ -349,7 +349,7 @@ def cut_segments(length: int):
             for key, doc_id, text, kind, gram, start, size in zip(*(f[c].tolist() for c in ("key", "doc_id", "text", "kind", "gram", "start", "size"))):
                 if key != now:
                     now, asked = key, []
-                if kind != TEXT:
+                if kind < TEXT:
                     asked.append((int(doc_id), int(kind), int(gram), int(start), int(size)))
                 elif asked:
                     whole = zlib.decompress(text)
@@ -384,7 +384,7 @@ def remove(length: int, with_kept: bool):
             for key, doc_id, text, kind, start, size in zip(*(f[c].tolist() for c in ("key", "doc_id", "text", "kind", "start", "size"))):
                 if key != now:
                     now, marks = key, []
-                if kind != TEXT:
+                if kind < TEXT:
                     marks.append((int(start), int(start + size) - 1 + length))
                     continue
                 whole, kept, spans, upto = zlib.decompress(text), [], 0, -1
@@ -395,10 +395,10 @@ def remove(length: int, with_kept: bool):
                         spans += 1
                     upto = max(upto, b)
                 left = b"".join([*kept, whole[max(upto, 0) :]])
-                row = (None if pd.isna(doc_id) else int(doc_id), len(whole), len(whole) - len(left), spans, hashlib.sha256(left).hexdigest())
+                row = (None if kind == NAMELESS else int(doc_id), len(whole), len(whole) - len(left), spans, hashlib.sha256(left).hexdigest())
                 out.append(row + (left,) * with_kept)
             made = pd.DataFrame(out, columns=names)
-            yield made.assign(doc_id=pd.array(made["doc_id"], "Int64"))
+            yield made.assign(doc_id=pd.array([r[0] for r in out], "Int64"))
 
     return run
 
@@ -411,7 +411,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_kept: bool = Fals
         raise ValueError(f"windows must have {GRAM} bytes at least")
     n = common.partitions(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    base = base.select(common.row_key().alias("key"), "doc_id", "text")
+    # pandas has no long with nulls but float64, which would round ids: no doc_id is null from here on, in texts or marks.
+    kind = F.when(F.col("doc_id").isNull(), NAMELESS).otherwise(TEXT).alias("kind")
+    base = base.select(common.row_key().alias("key"), F.coalesce(F.col("doc_id"), F.lit(int(LAST))).alias("doc_id"), kind, "text")
     filed = base.mapInPandas(file_segments(length, 4 * n), FILED)
     marks = filed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(judge(crowd), MARKS)
     marks = common.materialise(marks, "repeat-marks")
@@ -425,4 +427,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_kept: bool = Fals
     crowded = every.join(least, "window").where("doc_id > least").select("key", "start", F.lit(1).alias("size"))
     repeated = marks.where(F.col("kind") == REPEATED).select("key", "start", "size").unionByName(merged).unionByName(crowded)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
-    return beside_texts(repeated.withColumn("kind", F.lit(REPEATED)), texts).mapInPandas(remove(length, with_kept), schema)
+    return beside_texts(repeated.withColumn("kind", F.lit(REPEATED)).withColumn("doc_id", F.lit(0).cast("long")), texts).mapInPandas(remove(length, with_kept), schema)

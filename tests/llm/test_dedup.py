@@ -167,6 +167,18 @@ def test_suffix_dedup(docs, no_docs, crowd):
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [suffix_dedup.CROWD, 0])
+def test_a_null_id_is_the_largest_in_suffix_dedup(spark, crowd):
+    """Null-id texts share long passages with ids, also above 2^53, in one batch; windows differ in their surroundings."""
+    rng, big = random.Random(8), 1 << 53
+    made = lambda: "".join(rng.choice("abcdefgh ") for _ in range(200))
+    a, b, c = made(), made(), made()
+    own = [(None, a), (None, made() + b + made()), (3, made() + a), (big + 1, a), (big + 2, made() + b), (big + 3, b + made()), (None, c), (None, c + made()), (big + 5, made())]
+    docs = spark.createDataFrame(own, "doc_id long, text string").coalesce(1)
+    known = [(LAST if i is None else i, t.encode()) for i, t in own]
+    assert rows(suffix_dedup.remove_repeats(docs, crowd=crowd)) == removed_by_hand(known, 50)
+
+
 def test_merged_transforms_find_all_repeats():
     rng = random.Random(4)
     for _ in range(20):
