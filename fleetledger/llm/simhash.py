@@ -15,7 +15,8 @@ Fingerprints that share a key are compared on all 64 bits. A bucket gives a span
 pairs; forests keep every component. Components are joined across buckets by large-star and small-star steps.
 
 Edge cases: a null text counts as empty; texts without words have the fingerprint zero and are linked like others;
-null doc_ids get a component_id only through other members (a group of null ids alone has a null one); repeated rows
+null doc_ids get a component_id only through other members (a group of null ids alone has a null one) but link others as
+any do; repeated rows
 are equal members; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -230,7 +231,8 @@ def grouped(docs: DataFrame, words: int, *marks: str) -> DataFrame:
     """One row per document: doc_id, fp, root (the group's smallest fingerprint), component_id, and columns `marks` of docs."""
     marked = common.materialise(with_fingerprint(docs, words, *marks), "fingerprints")
     classes = common.materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
-    roots = components(links(classes.where("least is not null").select("fp", F.col("fp").alias("node"))))
+    # Fingerprints are the nodes, so that those of null ids alone link others too.
+    roots = components(links(classes.select("fp", F.col("fp").alias("node"))))
     named = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = common.materialise(named, "fingerprint-components")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))

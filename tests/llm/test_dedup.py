@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from fleetledger.llm import decontaminate, exact_dedup, simhash, suffix_dedup, url_filter, warc
 
@@ -114,6 +115,16 @@ def test_simhash(docs, no_docs):
     assert simhash.drop_near_copies(docs).columns == docs.columns
 
 
+def test_null_ids_bridge_groups(spark, monkeypatch):
+    """The middle fingerprint is a null id's: three bits from one, three from the other; a second group has no id at all."""
+    fps = {"a": 0, "b": 7, "c": 63, "d": 511 << 48 | 1 << 30, "e": 511 << 48}
+    monkeypatch.setattr(simhash, "with_fingerprint", lambda docs, words=3, *marks: docs.select("doc_id", F.element_at(F.create_map(*[F.lit(x) for p in fps.items() for x in p]), F.col("text")).cast("long").alias("fp"), *marks))
+    docs = spark.createDataFrame([(9, "a"), (None, "b"), (4, "c"), (None, "d"), (None, "e")], "doc_id long, text string")
+    assert rows(simhash.near_dedup(docs).select("doc_id", "component_id")) == sorted([(9, 4), (None, 4), (4, 4), (None, None), (None, None)], key=key)
+    got = [tuple(r) for r in simhash.drop_near_copies(docs).collect()]
+    assert len(got) == 2 and (4, "c") in got and {t for i, t in got if i is None} < {"d", "e"}
+
+
 @pytest.mark.parametrize("errors", range(5))
 def test_golay_keys_meet_within_three_errors(errors):
     rng = np.random.default_rng(errors)
