@@ -6,7 +6,7 @@ position, and the neighbouring words on both sides. Counts over all documents te
 rarest; only documents that hold it can hold the window. These anchors cover all windows of an item with few
 positions. For each anchor, the postings of its term, adjusted by its offset in the item, are intersected with the
 item's other words outward from the anchor: a run of at least a window's length that agrees is an exact match, and all
-its words are hit. `proximity` reports looser matches from the same postings.
+its words are hit. `proximity` reports looser matches, from postings of all words of the items.
 
 Terms and anchors are broadcast in blocks of at most BLOCK rows; larger benchmarks take several blocks.
 
@@ -116,13 +116,18 @@ def phrase_hits(postings: DataFrame, anchors: DataFrame, window: int) -> DataFra
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, least: int = 5, window: int = WINDOW) -> DataFrame:
-    """Looser matches: documents in which at least `least` different words of an item stand within a window's reach
-    of one of its anchors, in any order: doc_id, item_id, shared (the most such words)."""
-    anchors, postings = index(docs, benchmark, window)
-    mine = anchors.withColumnsRenamed({"before": "i_before", "after": "i_after"})
-    parts = [postings.join(F.broadcast(b), "term") for b in blocks(mine, "item")]
+    """Looser matches: documents in which at least `least` different words of an item stand, in any order, less than a
+    window from one of its words, in the document as in the item: doc_id, item_id, shared (the most such words, that word
+    among them). Postings are those of all words of the items, so that a window with words that occur nowhere counts too."""
+    items = common.materialise(items_of(benchmark), "items")
+    spots = items.select("item", "item_id", F.posexplode("words").alias("offset", "term"))
+    every = docs.select(common.row_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode_outer(words_of(F.col("text"))).alias("pos", "word")).withColumn("term", term_of("word"))
+    parts = [every.join(F.broadcast(b), "term").select("key", "doc_id", "item", "item_id", "pos", "offset", "term") for b in blocks(spots, "item")]
     met = functools.reduce(DataFrame.unionByName, parts)
-    shared = F.size(F.array_intersect(F.concat("before", "after"), F.concat("i_before", "i_after")))
+    reach = Window.partitionBy("key", "doc_id", "item").orderBy("pos").rangeBetween(1 - window, window - 1)
+    met = met.withColumn("around", F.collect_set(F.struct("offset", "term")).over(reach))
+    near = F.filter("around", lambda x: F.abs(x["offset"] - F.col("offset")) < window)
+    shared = F.size(F.array_distinct(F.transform(near, lambda x: x["term"])))
     return met.withColumn("shared", shared).groupBy("doc_id", "item_id").agg(F.max("shared").alias("shared")).where(F.col("shared") >= least)
 
 

@@ -229,6 +229,29 @@ def test_decontamination(spark, docs, no_docs, texts):
     assert (100 - 13, "1") in near
 
 
+@pytest.mark.parametrize("window", [10, 4])
+def test_proximity_finds_replaced_words(spark, docs, texts, window):
+    """Items with a word that occurs nowhere, shuffled items and a long one, against brute force."""
+    passage, rng = texts[13].split(), random.Random(3)
+    mixed = rng.sample(passage[:8], 8)
+    items = [(1, " ".join(passage[:4] + ["unseen"] + passage[5:9])), (2, " ".join(mixed)), (3, " ".join(passage + ["unseen"] + texts[8].split()[:40])), (4, "no such words at all here"), (None, None), (5, " ".join(["unseen", "unheard"] * 3 + passage[20:25]))]
+    word = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    low = lambda t: word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    want: dict = {}
+    for i, t in pairs(docs):
+        at = low(t)
+        for item, text in items:
+            q = low(text)
+            for o, x in enumerate(q):
+                mine = set(q[max(0, o - window + 1) : o + window])
+                for p in (p for p, y in enumerate(at) if y == x):
+                    n = len(mine & set(at[max(0, p - window + 1) : p + window]))
+                    if n >= 4:
+                        want[i, str(item)] = max(want.get((i, str(item)), 0), n)
+    got = decontaminate.proximity(docs, spark.createDataFrame(items, "item_id long, text string"), least=4, window=window).collect()
+    assert {(r["doc_id"], r["item_id"]): r["shared"] for r in got} == want and (100 - 13, "1") in want
+
+
 def test_url_filter(spark):
     rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.net", "/en/x/", "block"), ("Example.com", "/de/", "block"), ("org", "/fr/", "allow"), ("a.org", "/", "block"), ("deep.sub.example.net", "", "allow")]
     hosts = ["net", "example.net", "www.Example.net", "a.deep.sub.example.net", "xnet", "example.com", "example.com.org", "a.org", "b.a.org", "org", "ba.org", ""]
