@@ -114,7 +114,8 @@ def padded_customers(lines: DataFrame) -> DataFrame:
 
 
 def movement_rules(lines: DataFrame, places: DataFrame, master: DataFrame, v: Vars = VARS) -> DataFrame:
-    """All rules of the movement ledger. A format fault is the cause of a missing balance and is reported in its place."""
+    """Rules of the movement ledger, all of REGLAS but error_de_schema, cantidad_en_piezas and precio_documento_distinto, which
+    are not built. A format fault is the cause of a missing balance and is reported in its place."""
     formats = padded_materials(lines, master).unionByName(padded_customers(lines))
     doc = ["planta", "anio_contable", "doc_material", "posicion"]
     missing = pickups_without_balance(lines).join(formats.select(*doc).distinct(), doc, "left_anti").select(*LOG)
@@ -169,6 +170,11 @@ def table_log(rows: DataFrame, rule: Column, units: Column, usd: Column, detail:
     return rows.select(rule.alias("regla"), have["planta"], have["material"], have["parte"], units.cast("double").alias("unidades"), usd.cast("double").alias("usd_expuesto"), detail.alias("detalle"))
 
 
+def all_violations(moves: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """The log of movement_rules and those of the master, plan and snapshot rules as one; what one kind doesn't have is null."""
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables, moves)
+
+
 def stock_of(snapshot: DataFrame) -> DataFrame:
     return snapshot.groupBy("planta", "material").agg(F.sum("cantidad").alias("flota"))
 

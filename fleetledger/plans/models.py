@@ -227,6 +227,14 @@ class Models:
         lines = self.ledger.join(self.prices, "tipo_material").join(self.classes, "mov_type")
         return quality.snapshot_rules(self.dirty["snapshot"], lines, self.places, self.master)
 
+    @cached_property
+    def all_violations(self) -> DataFrame:
+        """Violations of every rule that is built, over all tables."""
+        tables = [self.master_violations, self.plan_violations, self.snapshot_violations]
+        found = quality.all_violations(self.violations.drop("severidad", "cifra_afectada"), tables)
+        rules = self.spark.createDataFrame(quality.REGLAS + quality.REGLAS_TABLAS, "regla string, severidad string, cifra_afectada string")
+        return quality.violations(stored(found, "all-violations"), rules)
+
     @cached_property
     def rolled_back(self) -> DataFrame:
         import datetime as dt

@@ -266,6 +266,16 @@ TABLE: dict[str, tuple[Build, str, str]] = {
     "int_calidad_maestro": (lambda m: m.master_violations, "mviol", "select * from mviol"),
     "int_calidad_plan": (lambda m: m.plan_violations, "pviol", "select * from pviol"),
     "int_calidad_stock_inicial": (lambda m: m.snapshot_violations, "fviol", "select * from fviol"),
+    "cifras_bloqueadas_todas": (
+        lambda m: quality.blocked_figures(m.all_violations),
+        "viol rules figures mviol pviol fviol",
+        f""", every_t as (select * from (values {', '.join(f"('{r}', '{s}', '{c}')" for r, s, c in quality.REGLAS_TABLAS)}) as t(regla, severidad, cifra_afectada)),
+             every_a as (select regla from viol union select regla from mviol union select regla from pviol union select regla from fviol),
+             every_b as (select regla, severidad, cifra_afectada from rules union all select * from every_t),
+             every_x as (select distinct regla, unnest(string_split(cifra_afectada, ' ')) as c from every_a join every_b using (regla) where severidad = 'bloquea'),
+             every_y as (select distinct regla, figures.cifra from every_x join figures on c = figures.cifra or c = 'todas')
+        select cifra, string_agg(regla, ', ' order by regla) as reglas from every_y group by 1""",
+    ),
     "deteccion_por_defecto": (
         lambda m: quality.detection(quality.injected(m.ledger), m.violations),
         "led viol",

@@ -79,3 +79,10 @@ def test_gate(models):
     with pytest.raises(ValueError, match="blocked"):
         quality.require(models.violations, ["ciclo"])
     quality.require(models.violations.where("severidad = 'alerta'"), ["ciclo", "serie_mensual"])
+
+
+@pytest.mark.parametrize("rule, figure", [("unidad_de_precio", "perdida"), ("moneda_distinta", "tco"), ("parte_sin_instruccion", "necesidad"), ("material_sin_foto", "flota")])
+def test_rules_of_tables_reach_the_gate(models, rule, figure):
+    with pytest.raises(ValueError, match=f"{figure}: {rule}"):
+        quality.require(models.all_violations.where(F.col("regla") == rule), [figure])
+    assert models.all_violations.where("severidad is null").count() == 0
