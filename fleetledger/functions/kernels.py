@@ -53,13 +53,14 @@ def interval_match(left: DataFrame, right: DataFrame, keys: Sequence[str], left_
     b = right.select(*keys, "acum_fin", F.lit(None).cast(left.schema[left_row].dataType).alias(left_row), right_row)
     points = a.unionByName(b).repartition(*keys)  # serves the grouping and the windows below
     at = points.groupBy(*keys, "acum_fin").agg(F.first(left_row, True).alias(left_row), F.first(right_row, True).alias(right_row))
-    order = Window.partitionBy(*keys).orderBy("acum_fin")
-    ahead = order.rowsBetween(HERE, Window.unboundedFollowing)
+    # From the far end: what is ahead of a point is then a frame that only grows, and costs one step a row.
+    order = Window.partitionBy(*keys).orderBy(F.desc("acum_fin"))
+    ahead = order.rowsBetween(FIRST, HERE)
     return at.select(
         *keys,
-        F.first(left_row, True).over(ahead).alias(left_row),
-        F.first(right_row, True).over(ahead).alias(right_row),
-        (F.col("acum_fin") - F.coalesce(F.lag("acum_fin").over(order), F.lit(0))).alias("cantidad"),
+        F.last(left_row, True).over(ahead).alias(left_row),
+        F.last(right_row, True).over(ahead).alias(right_row),
+        (F.col("acum_fin") - F.coalesce(F.lead("acum_fin").over(order), F.lit(0))).alias("cantidad"),
     ).where("cantidad > 0")
 
 

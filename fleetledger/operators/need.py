@@ -152,7 +152,8 @@ def projected_fleet(moves: DataFrame, calendar: DataFrame, comparison: DataFrame
     made = made.join(F.broadcast(by_type), ["planta", "tipo_material"]).join(F.broadcast(scrap), ["planta", "tipo_material"], "left")
     d, waiting = F.coalesce("d_plan", F.lit(0.0)), F.coalesce("pendiente", F.lit(0.0))
     lost = running_sum(d * 7 * (F.col("tasa") + F.coalesce("tasa_scrap", F.lit(0.0))), MATERIAL, "semana")
+    cents = lambda x: rounded(rounded(x, 9), 2)  # noqa: E731  the ninth decimal settles sums that stand on half a cent
     return made.select(
-        *MATERIAL, "tipo_material", "semana", d.alias("d_plan"), "ciclo_dias", F.col("flota").alias("flota_corte"), rounded(waiting, 2).alias("merma_pendiente"),
-        rounded(lost, 2).alias("perdida_acumulada"), rounded(F.col("flota") - waiting - lost, 2).alias("flota_proyectada"),
+        *MATERIAL, "tipo_material", "semana", d.alias("d_plan"), "ciclo_dias", F.col("flota").alias("flota_corte"), cents(waiting).alias("merma_pendiente"),
+        cents(lost).alias("perdida_acumulada"), cents(F.col("flota") - waiting - lost).alias("flota_proyectada"),
     )

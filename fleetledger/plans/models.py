@@ -19,11 +19,11 @@ class Models:
     # sources
     @cached_property
     def customer(self) -> DataFrame:
-        return src.customer_ledger(self.spark, self.sf_dir, self.v)
+        return stored(src.customer_ledger(self.spark, self.sf_dir, self.v), "customer")
 
     @cached_property
     def ledger(self) -> DataFrame:
-        return src.full_ledger(self.spark, self.sf_dir, self.v)
+        return src.with_transfers(self.customer, self.v)
 
     @cached_property
     def prices(self) -> DataFrame:
@@ -59,7 +59,7 @@ class Models:
 
     @cached_property
     def tranches(self) -> DataFrame:
-        return cycle.fifo_tranches(self.account)
+        return stored(cycle.fifo_tranches(self.account), "tranches")
 
     @cached_property
     def curve(self) -> DataFrame:

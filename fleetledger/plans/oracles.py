@@ -217,7 +217,7 @@ SQL: dict[str, tuple[str, str]] = {
                           sum(coalesce(d_plan, 0) * 7 * tasa) over (partition by f.planta, f.material order by w.semana rows unbounded preceding) as perd
                    from (select planta, material, tipo_material, flota from fleet where fecha_cierre = {CUTOFF}) f cross join w left join dem on dem.planta = f.planta and dem.material = f.material and dem.semana = w.semana
                    left join p on p.planta = f.planta and p.material = f.material join t on t.planta = f.planta and t.tipo_material = f.tipo_material)
-        select planta, material, tipo_material, semana, d_plan, ciclo_dias, flota as flota_corte, round(pend, 2) as merma_pendiente, round(perd, 2) as perdida_acumulada, round(flota - pend - perd, 2) as flota_proyectada from a"""),
+        select planta, material, tipo_material, semana, d_plan, ciclo_dias, flota as flota_corte, round(round(pend, 9), 2) as merma_pendiente, round(round(perd, 9), 2) as perdida_acumulada, round(round(flota - pend - perd, 9), 2) as flota_proyectada from a"""),
     "bal": ("level proj need plants", """
         select e.escenario, f.planta, pais, f.material, f.tipo_material, greatest(max(coalesce(necesidad, 0) - flota_proyectada), 0) as deficit_pico, greatest(min(flota_proyectada - coalesce(necesidad, 0)), 0) as sobrante, max(f.ciclo_dias) as ciclo_dias
         from proj f cross join (select distinct escenario from level) e join plants using (planta) left join need n on n.escenario = e.escenario and n.planta = f.planta and n.material = f.material and n.semana = f.semana group by 1, 2, 3, 4, 5"""),

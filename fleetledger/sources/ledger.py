@@ -152,8 +152,8 @@ def internal_transfers(customer: DataFrame) -> DataFrame:
     return legs("622", 3, "SUCI", "VACI", "D").unionByName(legs("621", -2, "VACI", "LLEN", "E"))
 
 
-def full_ledger(spark: SparkSession, sf_dir: str, v: Vars = VARS) -> DataFrame:
-    customer = customer_ledger(spark, sf_dir, v)
+def with_transfers(customer: DataFrame, v: Vars = VARS) -> DataFrame:
+    """The whole ledger: the movements with customers and those inside the plants that go with them."""
     return customer.unionByName(internal_transfers(customer)).where(F.col("fecha_contab") <= F.lit(v.fecha_extraccion))
 
 
