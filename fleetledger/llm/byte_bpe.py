@@ -4,8 +4,8 @@ A text longer than `chunk` characters is cut into chunks that overlap by `overla
 pre-tokenised in parallel, each as if it were a text of its own. The pattern looks only forward, so once a true
 boundary is also a boundary of the next chunk, that chunk's boundaries are true from there to near its end:
 stitching walks the chunks, changes over where boundaries resynchronise, and matches on piece by piece over the
-whole text where an overlap has no common boundary. The stitched pieces are then encoded. Decoding concatenates
-the bytes of the ids. Shorter texts are one chunk and need no stitching.
+whole text where an overlap has no common boundary. The stitched pieces are dealt again, a chunk's worth at a time, and
+encoded in parallel. Decoding concatenates the bytes of the ids. Shorter texts are one chunk and need no stitching.
 
 Edge cases: a null text counts as empty (no ids); null and repeated doc_ids are allowed, each row gives a row;
 an empty table gives an empty result; other columns are ignored.
@@ -147,53 +147,65 @@ def encode(docs: DataFrame, path: str, pattern: str, out: tuple[Callable, dict]
     spark = docs.sparkSession
     common.prepare(spark)
     finish, columns = out
-    schema = "doc_id long, " + ", ".join(f"{c} {t}" for c, t in columns.items())
-    names = ["doc_id", *columns]
+    schema, names = ", ".join(f"{c} {t}" for c, t in columns.items()), list(columns)
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        made = pd.DataFrame(rows, columns=names)
-        return made.assign(doc_id=pd.array(made["doc_id"], "Int64"))
-
-    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(schema)
+    def whole(texts: pd.Series) -> pd.DataFrame:
         enc = encoder(path, pattern)
-        for f in frames:
-            ids = f["doc_id"].astype(object).where(f["doc_id"].notna(), None)
-            for at in range(0, len(f), 1000):
-                part = zip(ids[at : at + 1000], f["text"][at : at + 1000])
-                yield frame([(i, *finish(enc.ids(enc.pieces(t)), path)) for i, t in part])
+        return pd.DataFrame([finish(enc.ids(enc.pieces(t)), path) for t in texts], columns=names)
 
     def boundaries(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(path, pattern)
         for f in frames:
             yield f.assign(bounds=[starts_of(t, enc).astype("int32").tobytes() for t in f["part"]])
 
-    def joined(f: pd.DataFrame) -> pd.DataFrame:
+    def stitched(f: pd.DataFrame) -> pd.DataFrame:
+        """A text's pieces, end to end in slices of about a chunk, with their lengths."""
         enc = encoder(path, pattern)
         f = f.sort_values("k")
         text = "".join(t[:chunk] for t in f["part"])
-        ids = enc.ids(stitch([(k * chunk, np.frombuffer(b, "int32").astype("int64")) for k, b in zip(f["k"], f["bounds"])], text, enc))
-        first = f["doc_id"].iloc[0]
-        return frame([(None if pd.isna(first) else int(first), *finish(ids, path))] * int(f["copies"].iloc[0]))
+        pieces = stitch([(k * chunk, np.frombuffer(b, "int32").astype("int64")) for k, b in zip(f["k"], f["bounds"])], text, enc)
+        size = np.fromiter(map(len, pieces), "int64", len(pieces))
+        cuts = np.flatnonzero(np.diff((np.cumsum(size) - size) // chunk, prepend=-1))
+        ends = [*cuts[1:].tolist(), len(pieces)]
+        made = pd.DataFrame({"part": ["".join(pieces[a:b]) for a, b in zip(cuts, ends)], "bounds": [size[a:b].astype("int32").tobytes() for a, b in zip(cuts, ends)]})
+        return made.assign(k=range(len(made)), **{c: f[c].iloc[0] for c in ("id", "key", "copies")})
+
+    def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = encoder(path, pattern)
+        for f in frames:
+            ids = []
+            for text, size in zip(f["part"], f["bounds"]):
+                end = np.cumsum(np.frombuffer(size, "int32"))
+                ids.append(enc.ids([text[a:b] for a, b in zip([0, *end.tolist()], end.tolist())]))
+            yield f.drop(columns=["part", "bounds"]).assign(ids=ids)
+
+    def joined(f: pd.DataFrame) -> pd.DataFrame:
+        row = finish(b"".join(f.sort_values("k")["ids"]), path)
+        return pd.DataFrame([row] * int(f["copies"].iloc[0]), columns=names).assign(id=f["id"].iloc[0])
 
+    # Ids go through pandas as text: it has no long with nulls but float64, which would round them.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size = F.length("text")
-    short = texts.where(size <= chunk).mapInPandas(whole, schema)
-    long = texts.where(size > chunk).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    short = texts.where(size <= chunk).select("doc_id", whole("text").alias("made")).select("doc_id", "made.*")
+    long = texts.where(size > chunk).groupBy(F.col("doc_id").cast("string").alias("id"), "text").agg(F.count(F.lit(1)).alias("copies"))
     parts = long.select(
-        "doc_id", "copies", common.row_key().alias("key"), "text",
+        "id", "copies", F.sha2("text", 256).alias("key"), "text",
         F.explode(F.sequence(F.lit(0), F.floor((size - 1) / F.lit(chunk)).cast("int"))).alias("k"),
-    ).select("doc_id", "copies", "key", "k", F.expr(f"substring(text, k * {chunk} + 1, {chunk + overlap})").alias("part"))
-    parts = parts.repartition(common.partitions(spark), "key", "k")
-    kept = "doc_id long, copies long, key long, k int, part string, bounds binary"
-    return short.unionByName(parts.mapInPandas(boundaries, kept).groupBy("key").applyInPandas(joined, schema))
+    ).select("id", "copies", "key", "k", F.expr(f"substring(text, k * {chunk} + 1, {chunk + overlap})").alias("part"))
+    n, kept = common.partitions(spark), "id string, copies long, key string, k int, "
+    bounds = parts.repartition(n, "key", "k").mapInPandas(boundaries, kept + "part string, bounds binary")
+    slices = bounds.groupBy("id", "key").applyInPandas(stitched, kept + "part string, bounds binary")
+    whole_ids = slices.repartition(n, "key", "k").mapInPandas(encoded, kept + "ids binary").groupBy("id", "key").applyInPandas(joined, f"id string, {schema}")
+    return short.unionByName(whole_ids.select(F.col("id").cast("long").alias("doc_id"), *names))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Encoded rows (doc_id, ids) with the bytes that the ids stand for, as `decoded`."""
     common.prepare(encoded.sparkSession)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield f.assign(decoded=[decode_ids(i, path) for i in f["ids"]])
+    @F.pandas_udf("binary")
+    def decoded(ids: pd.Series) -> pd.Series:
+        return pd.Series([decode_ids(i, path) for i in ids], dtype=object)
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids", decoded("ids").alias("decoded"))

@@ -13,7 +13,6 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -133,18 +132,18 @@ def token_counts(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens above `limit`) of every row."""
     common.prepare(docs.sparkSession)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            counts, held, size = [], [], 0
-            for t in f["text"]:
-                held.append(t)
-                size += len(t)
-                if size >= AT_A_TIME:
-                    counts += count_texts(held, path)
-                    held, size = [], 0
-            counts += count_texts(held, path)
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "n_bytes": f["n_bytes"], "n_tokens": counts})
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    texts = texts.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    return texts.mapInPandas(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        counts, held, size = [], [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size >= AT_A_TIME:
+                counts += count_texts(held, path)
+                held, size = [], 0
+        return pd.Series(counts + count_texts(held, path), dtype="int64")
+
+    # Texts alone go to the workers: ids stay as they are, nulls among them too.
+    text = F.coalesce(F.col("text"), F.lit(""))
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), count(text).alias("n_tokens"))
+    return made.withColumn("over_limit", F.col("n_tokens") > limit)

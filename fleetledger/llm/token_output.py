@@ -6,7 +6,8 @@ Parquet table (so Spark's commit protocol and any store that Spark writes to wil
     shard, file_no      the range it belongs to and its place there; ascending (shard, file_no) is ascending doc_id
     n_docs, n_ids       counts
     payload             the ids, little-endian, `width` bytes each (2 where the vocabulary fits, else 4)
-    keys                the doc_ids in order (list of nullable longs)
+    low, high           smallest and largest doc_id (null where there is none)
+    keys, absent        the doc_ids in order as little-endian 64-bit integers, and a byte each: 1 for a null one
     bits, levels        the hash: level bitmaps end to end, and the number of bits of each
     fingerprints        by hash slot: 32 bits of the key's hash
     offsets, lengths    by hash slot: where the document's ids start in the payload, and how many there are
@@ -40,7 +41,7 @@ GAMMA = 2.0
 REMEMBERED = 800_000
 
 FILE_SCHEMA = (
-    "shard int, file_no int, n_docs long, n_ids long, width int, payload binary, keys array<long>, "
+    "shard int, file_no int, n_docs long, n_ids long, width int, payload binary, low long, high long, keys binary, absent binary, "
     "bits binary, levels array<long>, fingerprints binary, offsets binary, lengths binary"
 )
 
@@ -119,12 +120,18 @@ def pack(shard: int, file_no: int, width: int, ids: list[int | None], texts: lis
     for column, values in zip(by_slot, ((h >> np.uint64(32)).astype("<u4"), start, size)):
         column[slot] = values
     prints, offsets, lengths = (c.tobytes() for c in by_slot)
+    known = [i for i in ids if i is not None]
     return {
         "shard": shard, "file_no": file_no, "n_docs": len(ids), "n_ids": int(size.sum()), "width": width, "payload": b"".join(texts),
-        "keys": ids, "bits": np.packbits(hashed.bits).tobytes(), "levels": hashed.levels, "fingerprints": prints, "offsets": offsets, "lengths": lengths,
+        "low": min(known, default=None), "high": max(known, default=None), "keys": np.array([i or 0 for i in ids], "<i8").tobytes(), "absent": bytes(i is None for i in ids), "bits": np.packbits(hashed.bits).tobytes(), "levels": hashed.levels, "fingerprints": prints, "offsets": offsets, "lengths": lengths,
     }
 
 
+def keys_of(row) -> list[int | None]:
+    """The doc_ids of a file, in order."""
+    return [None if a else i for i, a in zip(np.frombuffer(row.keys, "<i8").tolist(), row.absent)]
+
+
 class IdFile:
     """A file that was read back: keyed access to its documents' ids."""
 
@@ -230,10 +237,10 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None, path: st
         tail = b"" if end_id is None else np.asarray([end_id], f"<u{enc.width}").tobytes()
         shard, file_no, ids, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
         for f in frames:
-            own = f["doc_id"].astype(object).where(f["doc_id"].notna(), None).tolist()
+            own = [i if known else None for i, known in zip(f["id"].tolist(), f["known"])]
             for at in range(0, len(f), 256):
                 for i, t in zip(own[at : at + 256], enc.encode(f["text"].iloc[at : at + 256].tolist())):
-                    ids.append(None if i is None else int(i))
+                    ids.append(i)
                     texts.append(t + tail)
                     size += len(t) + len(tail)
                     if size >= FILE_BYTES or len(ids) >= FILE_DOCS:
@@ -242,8 +249,11 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int | None, path: st
         if ids:
             yield pd.DataFrame([pack(shard, file_no, enc.width, ids, texts)])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    dealt = texts.repartitionByRange(common.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # pandas has no long with nulls but float64, which would round ids: the null travels beside. Rows without an id, or with
+    # one id, spread over ranges by how their texts begin.
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
+    texts = docs.select(doc_id.isNotNull().alias("known"), F.coalesce(doc_id, F.lit(0).cast("long")).alias("id"), text.alias("text"))
+    dealt = texts.repartitionByRange(common.partitions(spark), "known", "id", F.substring("text", 1, 64)).sortWithinPartitions("known", "id", "text")
     dealt.mapInPandas(files, FILE_SCHEMA).write.parquet(path)
 
 
@@ -269,7 +279,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         for f in frames:
             for row in f.itertuples():
                 file = IdFile(row)
-                ids = [None if pd.isna(i) else int(i) for i in row.keys]
+                ids = keys_of(row)
                 offset, length = file.find(ids, ordinals_of(ids))
                 if (offset < 0).any():
                     raise ValueError(f"file {row.file_no} of shard {row.shard} lacks keys of its own")
@@ -287,8 +297,7 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     Ids that no file holds have no row. Only files whose range of doc_ids can hold one are opened."""
     common.prepare(spark)
     wanted = sorted(set(doc_ids))
-    low, high = F.array_min("keys"), F.array_max("keys")
-    near = read_files(spark, path).where(F.exists(F.array(*map(F.lit, wanted)).cast("array<bigint>"), lambda i: i.between(low, high)))
+    near = read_files(spark, path).where(F.exists(F.array(*map(F.lit, wanted)).cast("array<bigint>"), lambda i: i.between(F.col("low"), F.col("high"))))
 
     def rows(frames):
         for f in frames:

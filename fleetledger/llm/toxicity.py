@@ -9,22 +9,23 @@ numpy: first words against the labels of the documents that hold them, then also
 For scoring, table and layer are multiplied out to one number a bucket, which is exact since averaging is linear.
 
 The classifier is fitted on the driver on a sample of labelled documents: about TRAIN_ROWS of them, chosen by a hash of
-the id; of each only its different words are sent. TRAIN_ROWS bounds what reaches the driver whatever the input's size.
+the id, one row an id; of each only its different words are sent, TRAIN_BYTES of them together at most, and no document
+trains whose different words have over ROW_BYTES. These three bound what reaches the driver whatever the input's size.
 
 Edge cases: null and empty texts get the score of no evidence (below 0.5); null doc_ids are scored, and count as held
-out by the rule that their text form is empty; rows without a label, or with labels that disagree, don't train; without
-any label, or with one kind only, all scores are the smoothed share of toxic labels; other columns are ignored.
+out by the rule that their text form is empty; rows without a label, or with labels that disagree, don't train; of rows
+that repeat a labelled id, one trains; without any label, or with one kind only, there is no evidence and all scores are
+the smoothed share of toxic labels, but NO_EVIDENCE at most, so that nothing is rejected; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -34,6 +35,8 @@ DIM = 8
 TOP = 2
 PART = 20_000
 TRAIN_ROWS = 8_000
+TRAIN_BYTES, ROW_BYTES = 16_000_000, 1_000_000
+NO_EVIDENCE = 0.49
 REMEMBERED = 400_000
 #: Words over LONG characters are read in overlapping pieces of PIECE characters, one begun every PIECE // 2.
 LONG, PIECE = 64, 24
@@ -104,7 +107,7 @@ class Model:
 def fit(texts: list[str], toxic: np.ndarray, rounds: int = 80, seed: int = 0) -> Model:
     """Texts (their different words are enough) and their labels. Memory is a few bytes for each subword of each
     different word."""
-    share = (toxic.sum() + 1) / (len(toxic) + 2)
+    share = min(NO_EVIDENCE, (toxic.sum() + 1) / (len(toxic) + 2))
     if not 0 < toxic.sum() < len(toxic):
         return Model(np.zeros(BUCKETS), 0.0, 0.0, float(np.log(share / (1 - share))))
     vocab: dict[str, int] = {}
@@ -206,26 +209,35 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     share = min(1.0, rows / max(1, known.count()))
     known = known.where(F.pmod(F.xxhash64("_fl_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     text = docs.select(F.col("doc_id").alias("_fl_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    met = text.join(known, "_fl_id").select("toxic", F.array_join(F.array_distinct(F.split("text", r"\s+")), " ").alias("words"))
-    got = met.toPandas()
+    met = text.join(known, "_fl_id").select("_fl_id", "toxic", F.array_join(F.array_distinct(F.split("text", r"\s+")), " ").alias("words")).where(F.octet_length("words") <= ROW_BYTES)
+    met = met.groupBy("_fl_id").agg(F.min("toxic").alias("toxic"), F.min("words").alias("words"))
+    met = common.materialise(met.select(F.xxhash64("_fl_id").alias("mark"), "toxic", "words"), "training-words")
+    # A window over the sample's marks and sizes alone: some TRAIN_ROWS rows of two numbers.
+    upto = F.sum(F.octet_length("words")).over(Window.orderBy("mark").rangeBetween(Window.unboundedPreceding, 0))
+    past = met.select("mark", upto.alias("upto")).where(F.col("upto") > TRAIN_BYTES).agg(F.min("mark")).first()[0]
+    got = (met if past is None else met.where(F.col("mark") < past)).orderBy("mark").toPandas()
     texts, toxic = got["words"].tolist(), got["toxic"].to_numpy("float64")
     del got
     return fit(texts, toxic)
 
 
-def scores(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row. The model is broadcast: BUCKETS numbers."""
-    spark = docs.sparkSession
+def scorer(spark: SparkSession, model: Model):
+    """A column function from a text to its score. Texts alone go to the workers, so that no other column is changed on the
+    way. The model is broadcast: BUCKETS numbers."""
     common.prepare(spark)
     sent = spark.sparkContext.broadcast((model.weights, model.bias, model.scale, model.shift))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(*sent.value)
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "score": score_texts(f["text"].tolist(), model)})
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(score_texts(texts.tolist(), Model(*sent.value)))
+
+    return lambda text: score(F.coalesce(text, F.lit("")))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    made = texts.mapInPandas(run, "doc_id long, score double")
+
+def scores(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row."""
+    score = scorer(docs.sparkSession, model)
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score(F.col("text")).alias("score"))
     return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -235,14 +247,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Data
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of docs that score below 0.5, all columns as they were."""
-    spark = docs.sparkSession
-    common.prepare(spark)
-    model = train(docs, labels, rows)
-    sent = spark.sparkContext.broadcast((model.weights, model.bias, model.scale, model.shift))
-
-    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(*sent.value)
-        for f in frames:
-            yield f[score_texts([t or "" for t in f["text"]], model) < 0.5]
-
-    return docs.mapInPandas(keep, docs.schema)
+    score = scorer(docs.sparkSession, train(docs, labels, rows))
+    return docs.where(score(docs["text"]) < 0.5)

@@ -134,13 +134,15 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", most: int
         for f in frames:
             found = [sweep.find(k, p) if h else None for k, h, p in zip(f["key"], f["host"], f["path"])]
             yield pd.DataFrame({
-                "page_id": f["page_id"].astype("Int64"), "host": f["host"], "path": f["path"],
+                "id": f["id"], "known": f["known"], "host": f["host"], "path": f["path"],
                 "rule": np.array([x and x[0] for x in found], object), "verdict": [x[1] if x else default for x in found],
             })
 
-    keyed = base.withColumn("key", key_of(F.col("host")))
-    dealt = keyed.repartitionByRange(common.partitions(spark), "key", "path", "page_id").sortWithinPartitions("key", "path")
-    return dealt.mapInPandas(run, "page_id long, host string, path string, rule string, verdict string")
+    # pandas has no long with nulls but float64, which would round ids: the null travels beside.
+    keyed = base.select(key_of(F.col("host")).alias("key"), "host", "path", F.coalesce("page_id", F.lit(0).cast("long")).alias("id"), F.col("page_id").isNotNull().alias("known"))
+    dealt = keyed.repartitionByRange(common.partitions(spark), "key", "path", "id").sortWithinPartitions("key", "path")
+    made = dealt.mapInPandas(run, "id long, known boolean, host string, path string, rule string, verdict string")
+    return made.select(F.when(F.col("known"), F.col("id")).alias("page_id"), "host", "path", "rule", "verdict")
 
 
 def by_suffixes(base: DataFrame, known: DataFrame, default: str) -> DataFrame:

@@ -88,3 +88,24 @@ def test_perfect_hash():
     read = token_output.IdFile(type("Row", (), file))
     strangers = list(range(10_000, 12_000))
     assert (read.find(strangers, np.zeros(2000, "int64"))[0] == -1).all()
+
+
+def test_ids_stay_exact_beside_nulls(spark):
+    """Ids above 2^53 and null ids in one batch, short and long texts: every operator keeps all 64 bits."""
+    big = 1 << 60
+    own = [(big + 1, "a b"), (None, "c"), (big + 3, "d e " * 40), (None, "f g " * 50), (big + 5, None), (7, "h")]
+    docs = spark.createDataFrame(own, "doc_id long, text string").coalesce(1)
+    want = sorted((i for i, _ in own), key=lambda i: (i is None, i))
+    for chunk in (byte_bpe.CHUNK, 64):
+        raw = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, chunk=chunk, overlap=16)
+        assert {(r["doc_id"], bytes(r["decoded"]).decode()) for r in byte_bpe.decode(raw, RANKS).collect()} == {(i, t or "") for i, t in own}
+    for made in (token_counts.token_counts(docs, PIECES), token_output.token_output(docs, WORDS)):
+        assert sorted((r["doc_id"] for r in made.collect()), key=lambda i: (i is None, i)) == want
+
+
+def test_a_document_longer_than_a_file(spark, monkeypatch):
+    monkeypatch.setattr(token_output, "FILE_BYTES", 300)
+    docs = spark.createDataFrame([(i, "word " * n) for i, n in ((1, 3), (2, 900), (3, 2), (None, 400))], "doc_id long, text string")
+    path = token_output.common.fresh_path(spark, "ids")
+    got = {r["doc_id"]: (r["start"], r["n_tokens"]) for r in token_output.token_output(docs, WORDS, path=path).collect()}
+    assert got == {None: (0, 401), 1: (401, 4), 2: (405, 901), 3: (1306, 3)} and token_output.read_files(spark, path).count() >= 1
