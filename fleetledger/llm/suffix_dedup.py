@@ -8,15 +8,18 @@ smaller doc_id goes.
 2. Where all segments of a 20-gram are alike, all but the smallest document's are repeats. Where classes differ, the
    smallest document's segments of each are compared as texts: segments are laid into shards, each shard's suffixes are
    sorted once to the depth of a window for its Burrows-Wheeler transform, and the transforms are merged by iterative
-   interleave refinement: each round permutes the interleave stably by the next symbol and splits the intervals of equal
-   prefix; after `length` rounds the intervals are the strings that repeat, without another sort of suffixes. An
-   interval's smallest document keeps its occurrences.
-3. A 20-gram with more than CROWD different classes goes a way that splits further: its windows are grouped by content.
+   interleave refinement: each round reads the symbols before the interleave's rotations from the transforms, permutes the
+   interleave stably by them, steps back, and splits the intervals of equal prefix. Only rotations on the way to the start
+   of a whole window are followed, and one whose common prefix with all others has ended is left. After `length` symbols the
+   intervals are the strings that repeat, without another sort of suffixes. Its smallest document keeps its occurrences.
+3. Segments under a 20-gram with more than CROWD different classes are cut finer before they are merged: to single windows,
+   each filed by its own hash, after equal ones of a batch (equal byte by byte) were folded into the smallest document's. So
+   no 20-gram, however common, makes a large group.
 4. Marked ranges meet their texts, are united, and cut out.
 
 Edge cases: a null text counts as empty; texts shorter than a window keep all; a null doc_id counts as larger than any
 other, and rows with equal doc_ids don't repeat each other; an empty table gives an empty result; other columns are
-ignored. Classes and 20-grams are told apart by 48 bits each under a common 48-bit bucket key.
+ignored. 20-grams and classes are told apart by 48 bits each, 96 together.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ LENGTH = 50
 GRAM = 20
 BLOCK = 1_000_000
 BATCH = 12_000_000
-CROWD = 20_000
-SHARDS = 2
+CROWD = 400
+SHARDS = 8
 COLLECTION = 200_000
 #: Stands for a null doc_id where the smallest is sought.
 LAST = np.iinfo("int64").max
@@ -109,7 +112,8 @@ def file_segments(length: int, buckets: int):
         gram, content, text, start, size = (np.concatenate(x) for x in zip(*parts))
         same = mix(gram * BASE + content)
         order = np.argsort(same, kind="stable")
-        first = np.flatnonzero(np.r_[True, same[order][1:] != same[order][:-1]])
+        # Neighbours are one only if gram and class agree too: two that share `same` by chance stay apart.
+        first = np.flatnonzero(np.r_[True, (gram[order][1:] != gram[order][:-1]) | (content[order][1:] != content[order][:-1])])
         least = np.minimum.reduceat(ids[text[order]], first)
         done = np.zeros(len(gram), bool)
         done[order] = ids[text[order]] > np.repeat(least, np.diff(np.r_[first, len(order)]))
@@ -215,9 +219,9 @@ def judge(crowd: int):
 # --- Burrows-Wheeler transforms and their merge -------------------------------------------------------------------
 
 
-def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rotations of a text (numbers below 256) in order of their first `depth` symbols, and the transform with two
-    symbols at a time: the last but one and the last before each rotation, as one number."""
+def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rotations of a text (numbers below 256) in order of their first `depth` symbols; the transform with two symbols at a
+    time, the last but one and the last before each rotation, as one number; and the place of the rotation one earlier."""
     n = len(text)
     rank = np.zeros(n, "int64")
     for j in range(7):
@@ -231,50 +235,55 @@ def transform(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         rank = rank * (int(rank.max()) + 1) + np.roll(rank, -step)
         have += step
     order = np.argsort(rank, kind="stable")
-    return order, (text[order - 2] << 8 | text[order - 1]).astype("u2")
-
-
-def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of the shards' rotations in order of their first `depth` symbols (shard numbers), and for each
-    place the number of its interval of equal prefix. A round takes two symbols; for an odd depth, the first takes one."""
-    shard = np.repeat(np.arange(len(transforms), dtype="u1"), [len(t) for t in transforms])
-    interval = np.zeros(len(shard), "int32")
-    symbol = np.empty(len(shard), "u2")
-    for r in range(-(-depth // 2)):
-        for s, t in enumerate(transforms):
-            symbol[shard == s] = t & 255 if depth % 2 and not r else t
-        order = np.argsort(symbol, kind="stable")
-        shard, below, by = shard[order], interval[order], symbol[order]
-        split = np.ones(len(order), bool)
-        np.not_equal(by[1:], by[:-1], out=split[1:])
-        split[1:] |= below[1:] != below[:-1]
-        interval = np.cumsum(split, dtype="int32")
-    return shard, interval
+    place = np.empty(n, "int32")
+    place[order] = np.arange(n, dtype="int32")
+    return order, (text[order - 2] << 8 | text[order - 1]).astype("u2"), place[order - 1]
+
+
+def merge(symbol: np.ndarray, earlier: np.ndarray, start: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Refines an interleave of the shards' rotations. `symbol` and `earlier` are the shards' transforms and steps, end to
+    end; `start` are the places of the rotations `depth` symbols behind the windows, shard by shard. Result: places of
+    windows that share their text with others, in order of it, and for each the number of its interval of equal windows. A
+    round takes two symbols; for an odd depth, the first takes one."""
+    twice, at, interval, have = earlier[earlier], start, np.zeros(len(start), "int32"), 0
+    while have < depth and len(at):
+        one = (depth - have) % 2
+        by = symbol[at] & 255 if one else symbol[at]
+        order = np.argsort(by, kind="stable")
+        at = (earlier if one else twice)[at[order]]
+        by, below = by[order], interval[order]
+        split = np.ones(len(at) + 1, bool)
+        np.not_equal(by[1:], by[:-1], out=split[1:-1])
+        split[1:-1] |= below[1:] != below[:-1]
+        interval = np.cumsum(split[:-1], dtype="int32")
+        have += 2 - one
+        together = ~(split[:-1] & split[1:])  # a rotation whose common prefix with its neighbours has ended stays alone
+        if have >= depth or np.count_nonzero(together) < 0.8 * len(at):
+            at, interval = at[together], interval[together]
+    return at, interval
 
 
 def repeats(texts: list[bytes], ids: np.ndarray, length: int, shards: int = SHARDS) -> list[np.ndarray]:
     """For each text, which of its windows also start in a text with a smaller id."""
     size = np.array([len(t) for t in texts])
+    ends = np.cumsum(size + 1)
+    begin = ends - size - 1
     owner = np.repeat(np.arange(len(texts)), size + 1)
-    place = np.concatenate([np.arange(n + 1) for n in size])
     # UTF-8 has no byte above 0xF4, so that there is room below for what ends a text.
     data = np.frombuffer(b"\0".join(texts) + b"\0", "u1").astype("int64") + 1
-    data[np.cumsum(size + 1) - 1] = 0
-    cuts = np.searchsorted(np.cumsum(size + 1), np.arange(1, shards) * len(data) // shards) + 1
-    edges = np.unique(np.r_[0, np.cumsum(size + 1)[np.minimum(cuts, len(texts)) - 1], len(data)])
-    made = [transform(data[a:b], length) for a, b in zip(edges, edges[1:])]
-    shard, interval = merge([m[1] for m in made], length)
-    at = np.empty(len(data), "int64")
-    for s, (base, m) in enumerate(zip(edges, made)):
-        at[shard == s] = base + m[0]
-    whole = place[at] + length <= size[owner[at]]
-    at, interval = at[whole], interval[whole]
-    flat = np.zeros(len(data), bool)
+    data[ends - 1] = 0
+    cuts = np.searchsorted(ends, np.arange(1, shards) * len(data) // shards) + 1
+    edges = np.unique(np.r_[0, ends[np.minimum(cuts, len(texts)) - 1], len(data)])
+    order, symbol, earlier = (np.concatenate(x) for x in zip(*((o + a, s, e + a) for a, b in zip(edges, edges[1:]) for o, s, e in [transform(data[a:b], length)])))
+    place = np.empty(len(data), "int32")
+    place[order] = np.arange(len(data), dtype="int32")
+    whole = np.flatnonzero(np.arange(len(data)) + length < ends[owner])
+    at, interval = merge(symbol, earlier.astype("int32"), np.sort(place[whole + length]), length)
+    flat, at = np.zeros(len(data), bool), order[at]
     if len(at):
         doc = ids[owner[at]]
         first = np.flatnonzero(np.r_[True, interval[1:] != interval[:-1]])
         flat[at[doc > np.repeat(np.minimum.reduceat(doc, first), np.diff(np.r_[first, len(at)]))]] = True
-    begin = np.cumsum(size + 1) - size - 1
     return [flat[b : b + max(0, n - length + 1)] for b, n in zip(begin.tolist(), size.tolist())]
 
 
@@ -360,15 +369,32 @@ def cut_segments(length: int):
     return run
 
 
-def windows(length: int):
-    """Crowded segments to their windows."""
+CUT = "key long, doc_id long, kind int, gram long, start int, segment binary"
+
+
+def finer(length: int):
+    """Crowded segments to segments of one window each. Of equal ones in a batch, the smallest document's go on; the others
+    are repeats. Hashes of windows are negative and so never meet those of grams."""
+    names = [c.split()[0] for c in CUT.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for a in range(0, len(f), 1000):
-                g = f.iloc[a : a + 1000]
-                out = [(hashlib.blake2b(s[i : i + length], digest_size=16).digest(), d, k, at + i) for k, d, at, s in zip(g["key"], g["doc_id"], g["start"], g["segment"]) for i in range(len(s) - length + 1)]
-                yield pd.DataFrame(out, columns=["window", "doc_id", "key", "start"])
+            for a in range(0, len(f), 2000):
+                g = f.iloc[a : a + 2000]
+                least: dict[bytes, tuple[int, list]] = {}
+                again = []
+                for key, doc, at, s in zip(g["key"].tolist(), g["doc_id"].tolist(), g["start"].tolist(), g["segment"]):
+                    for i in range(len(s) - length + 1):
+                        held = least.setdefault(s[i : i + length], (doc, []))
+                        if doc < held[0]:
+                            again += held[1]
+                            held = least[s[i : i + length]] = doc, []
+                        (again if doc > held[0] else held[1]).append((key, doc, at + i))
+                out = [(k, d, REPEATED, 0, p, b"") for k, d, p in again]
+                for w, (_, kept) in least.items():
+                    h = -1 - (int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") >> 2)
+                    out += [(k, d, COMPARE, h, p, w) for k, d, p in kept]
+                yield pd.DataFrame(out, columns=names)
 
     return run
 
@@ -419,12 +445,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_kept: bool = Fals
     marks = common.materialise(marks, "repeat-marks")
     texts = squeezed(base)
     asked = marks.where(F.col("kind") != REPEATED)
-    cut = beside_texts(asked, texts).mapInPandas(cut_segments(length), "key long, doc_id long, kind int, gram long, start int, segment binary")
-    cut = common.materialise(cut, "repeat-segments")
-    merged = cut.where(F.col("kind") == COMPARE).repartition(n, "gram").sortWithinPartitions("gram").mapInPandas(compare(length), FOUND)
-    every = cut.where(F.col("kind") == CROWDED).mapInPandas(windows(length), "window binary, doc_id long, key long, start int")
-    least = every.groupBy("window").agg(F.min("doc_id").alias("least"))
-    crowded = every.join(least, "window").where("doc_id > least").select("key", "start", F.lit(1).alias("size"))
-    repeated = marks.where(F.col("kind") == REPEATED).select("key", "start", "size").unionByName(merged).unionByName(crowded)
+    cut = common.materialise(beside_texts(asked, texts).mapInPandas(cut_segments(length), CUT), "repeat-segments")
+    split = common.materialise(cut.where(F.col("kind") == CROWDED).mapInPandas(finer(length), CUT), "repeat-windows")
+    compared = cut.where(F.col("kind") == COMPARE).unionByName(split.where(F.col("kind") == COMPARE))
+    merged = compared.repartition(n, "gram").sortWithinPartitions("gram").mapInPandas(compare(length), FOUND)
+    folded = split.where(F.col("kind") == REPEATED).select("key", "start", F.lit(1).alias("size"))
+    repeated = marks.where(F.col("kind") == REPEATED).select("key", "start", "size").unionByName(merged).unionByName(folded)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
     return beside_texts(repeated.withColumn("kind", F.lit(REPEATED)).withColumn("doc_id", F.lit(0).cast("long")), texts).mapInPandas(remove(length, with_kept), schema)
