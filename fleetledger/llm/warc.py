@@ -2,18 +2,22 @@
 
 Writing: of pages with equal payloads of `least` bytes or more, that with the largest page_id is a response and the others
 are revisits of it; smaller payloads are all responses. A record is a string that ends with the separator of Spark's text
-sink, so the sink itself writes WARC/1.1 files, gzip-compressed as a whole, with its usual commit protocol.
-
-Reading: files come whole (they hold RECORDS records at most) and are parsed by Content-Length. Each file's captures,
-sorted by (URL key, timestamp, page), are a run; a run is cut at common splitters, the slices of a range of keys meet in
-one task, and a loser tree merges them. Ranges in order, with their rows in order, are the captures in global order.
-Splitters are a sample of fixed size of the keys; they decide how even the ranges are, not what is in them.
-
-Edge cases: a null html is an empty payload; a null url has an empty key and no target header; a null page_id gives a
-record without an id, which can be a response only if all its copies lack ids too; rows that repeat a page_id are records
-of their own (rows that share the largest page_id of their payload are all responses); an empty table gives no records;
-other columns are ignored. `captured` (a timestamp), where the pages have it, dates the captures; else START plus page_id
-seconds does.
+sink, so the sink itself writes WARC/1.1 files with its usual commit protocol. Spark has no sink for raw bytes, so files are
+gzip-compressed as a whole and not record by record. A block is an HTTP response whose body is the payload; a revisit has the
+HTTP header alone. Records of up to LIGHT bytes go RECORDS to a file, heavier ones fewer, so that no file has over
+RECORDS * LIGHT bytes but one that holds a single record.
+
+Reading: files come whole and are parsed by Content-Length. Each file's captures, sorted by (URL key, timestamp, page), are a
+run; a run is cut at common splitters, the slices of a range of keys meet in one task, and a loser tree merges them. There
+are as many ranges as it takes for each to hold RANGE_ROWS captures or so, so that a task's memory does not grow with the
+input. Ranges in order, with their rows in order, are the captures in global order. Splitters are a sample of the keys,
+SAMPLED a range; they decide how even the ranges are, not what is in them.
+
+Edge cases: a null html is an empty payload; a null url has an empty key and no target header; a null page_id can be a
+response only if all its copies lack ids too; rows that repeat a page_id are records of their own (rows that share the
+largest page_id of their payload are all responses); every record has its own WARC-Record-ID all the same; an empty table
+gives no records; other columns are ignored. `captured` (a timestamp), where the pages have it, dates the captures; else
+START plus page_id seconds (modulo a thousand million) does.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,11 +36,14 @@ from . import common
 from .url_filter import host_of, key_of
 
 END = "\r\n\r\n"
-RECORDS = 2_000
+RECORDS, LIGHT = 2_000, 64_000
 START = "2024-01-01 00:00:00"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-SPLITTERS_FROM = 1_000
+RANGE_ROWS, SAMPLED = 200_000, 8
+#: Merged captures that a task hands on at a time.
+AT_A_TIME = 20_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 CAPTURE = "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 NAMES = [c.split()[0] for c in CAPTURE.split(", ")]
@@ -57,55 +65,68 @@ def url_key(url: Column) -> Column:
 
 
 def captures_of(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, captured, url_key of pages."""
+    """page_id, url, payload, captured, url_key, same (what equal payloads share), weight (bytes of a record, or more)."""
     if "captured" in pages.columns:
         at = F.col("captured").cast("timestamp")
     else:
-        at = F.timestamp_seconds(F.unix_timestamp(F.lit(START).cast("timestamp")) + F.coalesce(F.col("page_id").cast("long"), F.lit(0)))
+        at = F.timestamp_seconds(F.unix_timestamp(F.lit(START).cast("timestamp")) + F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(1_000_000_000)))
+    payload = F.coalesce("html", F.lit(""))
     return pages.select(
-        F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("payload"),
+        F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"), F.octet_length(payload).alias("size"),
         F.date_format(F.coalesce(at, F.lit(START).cast("timestamp")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured"),
-        url_key(F.col("url")).alias("url_key"),
+        url_key(F.col("url")).alias("url_key"), F.unhex(F.sha2(payload, 256)).alias("same"),
+        (F.octet_length(payload) + 4 * F.coalesce(F.octet_length("url"), F.lit(0)) + 1_000).cast("long").alias("weight"),
     )
 
 
-def records_of(pages: DataFrame, least: int) -> DataFrame:
-    """page_id, record: the text of each record without its end."""
-    made = captures_of(pages).withColumn("same", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload"))
-    owner = made.where(F.col("size") >= least).groupBy("same").agg(F.max("page_id").alias("owner"))
+def records_of(captures: DataFrame, owners: DataFrame) -> DataFrame:
+    """The text of each record without its end, as `record`, and its weight."""
     # A payload of very many pages is split by adaptive execution.
-    judged = made.join(owner, "same", "left")
+    judged = captures.join(owners, "same", "left")
     revisit = F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">\r\n"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     if_any = lambda c: F.coalesce(c, F.lit(""))
-    safe = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    clean = lambda c: F.replace(F.replace(c, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    # The one response of a payload has a name that its revisits know; any other record has one by its place in the job.
+    lone = F.col("owners") == 1
+    response_of = F.concat(F.lit("<urn:page:"), F.col("owner").cast("string"), F.lit(":"), F.lower(F.hex("same")), F.lit(">"))
+    by_place = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.lit(":row:"), F.monotonically_increasing_id().cast("string"), F.lit(">"))
     record = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        if_any(F.concat(F.lit("WARC-Record-ID: "), urn(F.col("page_id")))),
+        line("WARC-Record-ID", F.when(F.col("owner").isNotNull() & ~revisit & lone, response_of).otherwise(by_place)),
         line("WARC-Date", F.col("captured")),
-        if_any(line("WARC-Target-URI", safe)),
+        if_any(line("WARC-Target-URI", clean(F.col("url")))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_sha1(F.col("payload")))),
+        if_any(line("X-Page-ID", F.col("page_id").cast("string"))),
         line("X-Payload-Length", F.col("size").cast("string")),
-        line("X-URL-Key", F.replace(F.replace("url_key", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
-        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), urn(F.col("owner")))).otherwise(F.lit("")),
-        F.lit("Content-Type: text/html; charset=utf-8\r\n"),
-        line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("size").cast("string"))),
-        F.lit("\r\n"),
+        line("X-URL-Key", clean(F.col("url_key"))),
+        F.when(revisit, line("WARC-Profile", F.lit(PROFILE))).otherwise(F.lit("")),
+        F.when(revisit & lone, line("WARC-Refers-To", response_of)).otherwise(F.lit("")),
+        F.when(revisit, line("X-Refers-To-Page", F.col("owner").cast("string"))).otherwise(F.lit("")),
+        F.lit("Content-Type: application/http; msgtype=response\r\n"),
+        line("Content-Length", (F.when(revisit, F.lit(0)).otherwise(F.col("size")) + len(HTTP)).cast("string")),
+        F.lit("\r\n" + HTTP),
         F.when(revisit, F.lit("")).otherwise(F.col("payload")),
     )
-    return judged.select("page_id", record.alias("record"))
+    return judged.select(record.alias("record"))
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     """Records stay where the search for equal payloads has dealt them, so that payloads are shuffled once."""
-    records = records_of(pages, least).select("record")
-    records.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
+    captures = captures_of(pages)
+    marks = common.materialise(captures.select("page_id", "size", "same", "weight"), "payload-marks")
+    counted = marks.where(F.col("size") >= least).groupBy("same", "page_id").agg(F.count(F.lit(1)).alias("n"))
+    owners = counted.where("page_id is not null").groupBy("same").agg(F.max("page_id").alias("owner"), F.max_by("n", "page_id").alias("owners"))
+    heaviest = marks.agg(F.max("weight")).first()[0] or 0
+    for name, mine, most in (("light", F.col("weight") <= LIGHT, RECORDS), ("heavy", F.col("weight") > LIGHT, max(1, RECORDS * LIGHT // max(1, heaviest)))):
+        if name == "light" or heaviest > LIGHT:
+            part = captures if heaviest <= LIGHT else captures.where(mine)
+            records_of(part, owners).write.option("lineSep", END).option("maxRecordsPerFile", most).option("compression", "gzip").text(f"{path}/{name}")
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and content of the records of a file."""
+    """Headers and block of the records of a file."""
     at = 0
     while at < len(data):
         stop = data.index(END.encode(), at)
@@ -121,26 +142,27 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4
 
 
-def number(urn: str | None) -> int | None:
-    return int(urn[len("<urn:page:") : -1]) if urn else None
+def number(text: str | None) -> int | None:
+    return None if text is None else int(text)
 
 
 def run_of(data: bytes) -> list[tuple]:
     """A file's captures in order. A response's length and digest are those of the payload that was read."""
     rows = []
-    for h, body in parse(data):
+    for h, block in parse(data):
         size, digest = int(h["X-Payload-Length"]), h["WARC-Payload-Digest"].removeprefix("sha1:")
         if h["WARC-Type"] == "response":
+            body = block[block.index(END.encode()) + 4 :]
             own = base64.b32encode(hashlib.sha1(body).digest()).decode()
             if own != digest:
                 raise ValueError("a payload does not have the digest of its record")
             size, digest = len(body), own
-        rows.append((h["X-URL-Key"], h["WARC-Date"], number(h.get("WARC-Record-ID")), size, digest, h["WARC-Type"], number(h.get("WARC-Refers-To"))))
+        rows.append((h["X-URL-Key"], h["WARC-Date"], number(h.get("X-Page-ID")), size, digest, h["WARC-Type"], number(h.get("X-Refers-To-Page"))))
     return sorted(rows, key=order)
 
 
 def order(row: tuple) -> tuple:
-    return row[0], row[1], -1 if row[2] is None else row[2]
+    return row[0], row[1], row[2] is not None, row[2] or 0
 
 
 class LoserTree:
@@ -179,10 +201,18 @@ class LoserTree:
             self._play(winner)
 
 
+def frame(rows: list[tuple]) -> pd.DataFrame:
+    """Captures as a frame; ids stay exact beside nulls."""
+    made = pd.DataFrame(rows, columns=NAMES)
+    for at, c in ((2, "page_id"), (6, "refers_to")):
+        made[c] = pd.array([r[at] for r in rows], "Int64")
+    return made
+
+
 def capture_index(spark: SparkSession, path: str) -> DataFrame:
     """All captures of the archives under `path`: range and rank, their place in global order, and CAPTURE."""
     common.prepare(spark)
-    runs = spark.read.format("binaryFile").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("content")
 
     def parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -190,48 +220,48 @@ def capture_index(spark: SparkSession, path: str) -> DataFrame:
                 data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
                 yield pd.DataFrame({"run": [[dict(zip(NAMES, r)) for r in run_of(data)]]})
 
-    stored = common.materialise(runs.mapInPandas(parsed, f"run array<struct<{CAPTURE.replace(' ', ':').replace(',:', ',')}>>"), "capture-runs")
-    keys = stored.select(F.explode("run").alias("c")).select("c.url_key", "c.captured", F.coalesce("c.page_id", F.lit(-1)).alias("page"))
-    some = sorted(tuple(r) for r in keys.orderBy(F.xxhash64("url_key", "captured", "page")).limit(SPLITTERS_FROM).collect())
-    n = common.partitions(spark)
-    splitters = [some[len(some) * i // n] for i in range(1, n)] if some else []
+    stored = common.materialise(files.mapInPandas(parsed, f"run array<struct<{CAPTURE.replace(' ', ':').replace(',:', ',')}>>"), "capture-runs")
+    captures = stored.select(F.explode("run").alias("c")).select("c.url_key", "c.captured", "c.page_id")
+    n = max(common.partitions(spark), -(-captures.count() // RANGE_ROWS))
+    some = sorted((tuple(r) for r in captures.orderBy(F.xxhash64("url_key", "captured", "page_id")).limit(SAMPLED * n).collect()), key=order)
+    splitters = [order(some[len(some) * i // n]) for i in range(1, n)] if some else []
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from bisect import bisect_right
-
         for f in frames:
             for run in f["run"]:
                 slices: dict[int, list] = {}
                 for c in run:
-                    row = tuple(c[x] for x in NAMES)
-                    slices.setdefault(bisect_right(splitters, order(row)), []).append(c)
+                    slices.setdefault(bisect_right(splitters, order(tuple(c[x] for x in NAMES))), []).append(c)
                 if slices:
                     yield pd.DataFrame({"range": list(slices), "run": list(slices.values())})
 
     def merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Slices sorted by range; all of a range's are held at once."""
+        """Slices sorted by range; those of a range, RANGE_ROWS captures or so, are held while they are merged."""
         now, lists = None, []
 
-        def done() -> pd.DataFrame:
-            rows = list(LoserTree(lists))
-            made = pd.DataFrame(rows, columns=NAMES)
-            for c in ("page_id", "refers_to"):
-                made[c] = pd.array([None if x is None or pd.isna(x) else int(x) for x in made[c].astype(object)], "Int64")
-            return made.assign(range=now, rank=range(len(rows)))[["range", "rank", *NAMES]]
+        def done() -> Iterator[pd.DataFrame]:
+            rank, rows = 0, []
+            for row in LoserTree(lists):
+                rows.append(row)
+                if len(rows) == AT_A_TIME:
+                    yield frame(rows).assign(range=now, rank=range(rank, rank + len(rows)))
+                    rank, rows = rank + len(rows), []
+            if rows:
+                yield frame(rows).assign(range=now, rank=range(rank, rank + len(rows)))
 
         for f in frames:
-            for r, run in zip(f["range"], f["run"]):
+            for r, run in zip(f["range"].tolist(), f["run"]):
                 if lists and r != now:
-                    yield done()
+                    yield from done()
                     lists = []
                 now = r
                 lists.append([tuple(c[x] for x in NAMES) for c in run])
         if lists:
-            yield done()
+            yield from done()
 
     sliced = stored.mapInPandas(cut, "range int, " + stored.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ", 1))
     dealt = sliced.repartition(n, "range").sortWithinPartitions("range")
-    return dealt.mapInPandas(merged, f"range int, rank long, {CAPTURE}")
+    return dealt.mapInPandas(merged, f"{CAPTURE}, range int, rank long").select("range", "rank", *NAMES)
 
 
 def round_trip(pages: DataFrame, least: int = 0, path: str | None = None) -> DataFrame:
