@@ -6,15 +6,16 @@ smaller doc_id goes.
    segment's class (its content's hash) meets its copies there. Within a batch, of each class only the smallest
    document's segments travel; the others are repeats already.
 2. Where all segments of a 20-gram are alike, all but the smallest document's are repeats. Where classes differ, the
-   smallest document's segments of each are compared as texts: segments are laid into shards, each shard's suffixes are
-   sorted once to the depth of a window for its Burrows-Wheeler transform, and the transforms are merged by iterative
-   interleave refinement: each round reads the symbols before the interleave's rotations from the transforms, permutes the
-   interleave stably by them, steps back, and splits the intervals of equal prefix. Only rotations on the way to the start
-   of a whole window are followed, and one whose common prefix with all others has ended is left. After `length` symbols the
-   intervals are the strings that repeat, without another sort of suffixes. Its smallest document keeps its occurrences.
-3. Segments under a 20-gram with more than CROWD different classes are cut finer before they are merged: to single windows,
-   each filed by its own hash, after equal ones of a batch (equal byte by byte) were folded into the smallest document's. So
-   no 20-gram, however common, makes a large group.
+   smallest document's segments of each are cut from their texts, and cut finer: filed by their smallest 35-gram, so that
+   only strings meet that share most of a window. Of equal ones in a batch (equal byte by byte) the smallest document's go
+   on and the others are repeats. A 35-gram with more than CROWD of them is cut finer once more, to single windows, each
+   filed by itself: no 20-gram or 35-gram, however common, makes a large group.
+3. Segments under one gram are compared as texts: segments are laid into shards, each shard's suffixes are sorted once to
+   the depth of a window for its Burrows-Wheeler transform, and the transforms are merged by iterative interleave
+   refinement: each round reads the symbols before the interleave's rotations from the transforms, permutes the interleave
+   stably by them, steps back, and splits the intervals of equal prefix. Only rotations on the way to the start of a whole
+   window are followed, and one whose common prefix with all others has ended is left. After `length` symbols the intervals
+   are the strings that repeat, without another sort of suffixes. Their smallest document keeps its occurrences.
 4. Marked ranges meet their texts, are united, and cut out.
 
 Edge cases: a null text counts as empty; texts shorter than a window keep all; a null doc_id counts as larger than any
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH = 50
-GRAM = 20
+GRAM, FINE = 20, 35
 BLOCK = 1_000_000
 BATCH = 12_000_000
 CROWD = 400
@@ -57,18 +58,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` numbers, put together from runs of powers of two."""
+    n, have, done, run, k = len(data) - size + 1, None, 0, data, 1
+    while True:
+        if size & k:
+            have = run[:n] if have is None else have * np.uint64(pow(int(BASE), k, 1 << 64)) + run[done : done + n]
+            done += k
+        if 2 * k > size:
+            return mix(have)
+        run, k = run[:-k] * np.uint64(pow(int(BASE), k, 1 << 64)) + run[k:], 2 * k
+
+
+def segments(texts: list[bytes], length: int, size_of_gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Of texts laid end to end: gram and class of each segment (48 bits), number of its text, its first window's
     start there, and its number of windows. Texts must be at least `length` long."""
     size = np.array([len(t) for t in texts])
     offset = np.cumsum(size) - size
     data = np.frombuffer(b"".join(texts), "u1").astype("uint64") + np.uint64(1)
-    h = {1: data}
-    for k in (1, 2, 4, 8):
-        h[2 * k] = h[k][:-k] * np.uint64(pow(int(BASE), k, 1 << 64)) + h[k][k:]
-    n = len(data) - GRAM + 1
-    gram = mix(h[16][:n] * np.uint64(pow(int(BASE), 4, 1 << 64)) + h[4][16 : 16 + n])
-    span = length - GRAM + 1
+    gram = gram_hashes(data, size_of_gram)
+    span = length - size_of_gram + 1
     least, k = gram, 1
     while 2 * k <= span:
         least, k = np.minimum(least[:-k], least[k:]), 2 * k
@@ -165,10 +174,10 @@ def file_segments(length: int, buckets: int):
 
 
 MARKS = "key long, doc_id long, kind int, gram long, start int, size int"
-REPEATED, COMPARE, CROWDED = 0, 1, 2
+REPEATED, COMPARE = 0, 1
 
 
-def judge(crowd: int):
+def judge():
     """Segments of one bucket after the other: what is a repeat, and what must be compared as text."""
 
     def frame(keys, ids, kind, gram, start, size) -> pd.DataFrame:
@@ -199,7 +208,7 @@ def judge(crowd: int):
         classes = np.add.reduceat(new.astype("int64"), np.flatnonzero(new_gram))[np.cumsum(new_gram) - 1]
         yield frame(keys[repeated], ids[repeated], REPEATED, gram[repeated], start[repeated], size[repeated])
         ask = ~repeated & (classes > 1)
-        yield frame(keys[ask], ids[ask], np.where(classes[ask] > crowd, CROWDED, COMPARE), gram[ask], start[ask], size[ask])
+        yield frame(keys[ask], ids[ask], COMPARE, gram[ask], start[ask], size[ask])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, rows = None, []
@@ -310,16 +319,29 @@ def compare(length: int):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        weight = 0
+        weight, last = 0, None
         for f in frames:
-            cuts = np.flatnonzero(np.r_[True, f["gram"].to_numpy()[1:] != f["gram"].to_numpy()[:-1], True]) if len(f) else [0, 0]
-            sizes = f["segment"].map(len).to_numpy()
-            for a, b in zip(cuts, cuts[1:]):
-                if weight >= COLLECTION and held[-1]["gram"].iloc[-1] != f["gram"].iloc[a]:
-                    yield collection(pd.concat(held))
-                    held, weight = [], 0
-                held.append(f.iloc[a:b])
-                weight += int(sizes[a:b].sum())
+            if not len(f):
+                continue
+            gram, doc = f["gram"].to_numpy(), f["doc_id"].to_numpy()
+            first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+            lone = np.minimum.reduceat(doc, first) == np.maximum.reduceat(doc, first)  # these have nobody to share with
+            lone[[0, -1]] = False  # the first and the last may go on in other batches
+            keep = ~np.repeat(lone, np.diff(np.r_[first, len(gram)]))
+            f, gram = f[keep], gram[keep]
+            upto = np.cumsum(np.fromiter(map(len, f["segment"]), "int64", len(f)))
+            opens = np.flatnonzero(np.r_[gram[0] != last, gram[1:] != gram[:-1]])
+            begin, before, last = 0, 0, gram[-1]
+            while True:  # a collection ends where a gram does and COLLECTION is reached
+                full = int(np.searchsorted(upto, COLLECTION - weight + before)) + 1 if weight < COLLECTION else begin
+                k = int(np.searchsorted(opens, full))
+                cut = int(opens[k]) if k < len(opens) else len(f)
+                held.append(f.iloc[begin:cut])
+                if k == len(opens):
+                    weight += int(upto[-1]) - before
+                    break
+                yield collection(pd.concat(held))
+                held, weight, begin, before = [], 0, cut, int(upto[cut - 1]) if cut else 0
         if held:
             yield collection(pd.concat(held))
 
@@ -348,53 +370,62 @@ def beside_texts(marks: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.repartition(common.partitions(texts.sparkSession), "key").sortWithinPartitions("key", "kind")
 
 
+CUT = "key long, doc_id long, kind int, gram long, start int, size int, segment binary"
+CUT_NAMES = [c.split()[0] for c in CUT.split(", ")]
+
+
+def folded(strings: list[bytes], docs: list[int], keys: list[int], starts: list[int], grams: list[int], length: int) -> pd.DataFrame:
+    """Strings to rows of CUT: of equal ones the smallest document's are to be compared, the others are repeats."""
+    least: dict[bytes, int] = {}
+    for s, d in zip(strings, docs):
+        if least.setdefault(s, d) > d:
+            least[s] = d
+    again = [d > least[s] for s, d in zip(strings, docs)]
+    return pd.DataFrame({
+        "key": np.array(keys, "int64"), "doc_id": np.array(docs, "int64"), "kind": np.where(np.array(again, bool), REPEATED, COMPARE).astype("int32"), "gram": np.array(grams, "int64"),
+        "start": np.array(starts, "int32"), "size": np.array([len(s) - length + 1 for s in strings], "int32"), "segment": [b"" if r else s for s, r in zip(strings, again)],
+    })
+
+
 def cut_segments(length: int):
-    """Marks beside texts to the marked segments' bytes."""
+    """Marks beside texts to the marked segments' bytes, filed by their smallest FINE-gram."""
+    gram_size = min(FINE, length)
+
+    def fine(asked: list[tuple[int, int, int, bytes]]) -> pd.DataFrame:
+        keys, docs, starts, strings = zip(*asked)
+        gram, _, text, start, size = segments(list(strings), length, gram_size)
+        at, start = text.tolist(), start.tolist()
+        parts = [strings[t][s : s + n - 1 + length] for t, s, n in zip(at, start, size.tolist())]
+        return folded(parts, [docs[t] for t in at], [keys[t] for t in at], [starts[t] + s for t, s in zip(at, start)], gram.astype("int64"), length)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, asked = None, []
         for f in frames:
             out = []
-            for key, doc_id, text, kind, gram, start, size in zip(*(f[c].tolist() for c in ("key", "doc_id", "text", "kind", "gram", "start", "size"))):
+            for key, doc_id, text, kind, start, size in zip(*(f[c].tolist() for c in ("key", "doc_id", "text", "kind", "start", "size"))):
                 if key != now:
                     now, asked = key, []
                 if kind < TEXT:
-                    asked.append((int(doc_id), int(kind), int(gram), int(start), int(size)))
+                    asked.append((int(doc_id), int(start), int(size)))
                 elif asked:
                     whole = zlib.decompress(text)
-                    out += [(key, i, k, g, s, whole[s : s + n - 1 + length]) for i, k, g, s, n in asked]
+                    out += [(key, i, s, whole[s : s + n - 1 + length]) for i, s, n in asked]
                     asked = []  # rows with the same key have the same text and id
-            yield pd.DataFrame(out, columns=["key", "doc_id", "kind", "gram", "start", "segment"])
+            if out:
+                yield fine(out)
 
     return run
 
 
-CUT = "key long, doc_id long, kind int, gram long, start int, segment binary"
-
-
-def finer(length: int):
-    """Crowded segments to segments of one window each. Of equal ones in a batch, the smallest document's go on; the others
-    are repeats. Hashes of windows are negative and so never meet those of grams."""
-    names = [c.split()[0] for c in CUT.split(", ")]
+def windows(length: int):
+    """Segments to segments of one window each. Hashes of windows are negative and so never meet those of grams."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for a in range(0, len(f), 2000):
-                g = f.iloc[a : a + 2000]
-                least: dict[bytes, tuple[int, list]] = {}
-                again = []
-                for key, doc, at, s in zip(g["key"].tolist(), g["doc_id"].tolist(), g["start"].tolist(), g["segment"]):
-                    for i in range(len(s) - length + 1):
-                        held = least.setdefault(s[i : i + length], (doc, []))
-                        if doc < held[0]:
-                            again += held[1]
-                            held = least[s[i : i + length]] = doc, []
-                        (again if doc > held[0] else held[1]).append((key, doc, at + i))
-                out = [(k, d, REPEATED, 0, p, b"") for k, d, p in again]
-                for w, (_, kept) in least.items():
-                    h = -1 - (int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") >> 2)
-                    out += [(k, d, COMPARE, h, p, w) for k, d, p in kept]
-                yield pd.DataFrame(out, columns=names)
+                rows = [(s[i : i + length], d, k, at + i) for k, d, at, s in zip(*(f[c].iloc[a : a + 2000].tolist() for c in ("key", "doc_id", "start", "segment"))) for i in range(len(s) - length + 1)]
+                strings, docs, keys, starts = map(list, zip(*rows))
+                yield folded(strings, docs, keys, starts, [-1 - (int.from_bytes(hashlib.blake2b(s, digest_size=8).digest(), "little") >> 2) for s in strings], length)
 
     return run
 
@@ -441,15 +472,17 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_kept: bool = Fals
     kind = F.when(F.col("doc_id").isNull(), NAMELESS).otherwise(TEXT).alias("kind")
     base = base.select(common.row_key().alias("key"), F.coalesce(F.col("doc_id"), F.lit(int(LAST))).alias("doc_id"), kind, "text")
     filed = base.mapInPandas(file_segments(length, 4 * n), FILED)
-    marks = filed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(judge(crowd), MARKS)
+    marks = filed.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(judge(), MARKS)
     marks = common.materialise(marks, "repeat-marks")
     texts = squeezed(base)
     asked = marks.where(F.col("kind") != REPEATED)
     cut = common.materialise(beside_texts(asked, texts).mapInPandas(cut_segments(length), CUT), "repeat-segments")
-    split = common.materialise(cut.where(F.col("kind") == CROWDED).mapInPandas(finer(length), CUT), "repeat-windows")
-    compared = cut.where(F.col("kind") == COMPARE).unionByName(split.where(F.col("kind") == COMPARE))
-    merged = compared.repartition(n, "gram").sortWithinPartitions("gram").mapInPandas(compare(length), FOUND)
-    folded = split.where(F.col("kind") == REPEATED).select("key", "start", F.lit(1).alias("size"))
-    repeated = marks.where(F.col("kind") == REPEATED).select("key", "start", "size").unionByName(merged).unionByName(folded)
+    compared, repeat = cut.where(F.col("kind") == COMPARE), F.col("kind") == REPEATED
+    crowds = common.materialise(compared.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("gram"), "crowded-grams")
+    split = common.materialise(compared.join(crowds, "gram", "left_semi").select(*CUT_NAMES).mapInPandas(windows(length), CUT), "repeat-windows")
+    met = compared.join(crowds, "gram", "left_anti").select(*CUT_NAMES).unionByName(split.where(~repeat))
+    merged = met.repartition(n, "gram").sortWithinPartitions("gram").mapInPandas(compare(length), FOUND)
+    found = ("key", "start", "size")
+    repeated = marks.where(repeat).select(*found).unionByName(merged).unionByName(cut.where(repeat).select(*found)).unionByName(split.where(repeat).select(*found))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
     return beside_texts(repeated.withColumn("kind", F.lit(REPEATED)).withColumn("doc_id", F.lit(0).cast("long")), texts).mapInPandas(remove(length, with_kept), schema)
