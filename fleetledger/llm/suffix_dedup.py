@@ -40,7 +40,7 @@ LENGTH = 50
 GRAM, FINE = 20, 35
 BLOCK = 1_000_000
 BATCH = 12_000_000
-CROWD = 400
+CROWD = 1_500
 SHARDS = 8
 COLLECTION = 200_000
 #: Stands for a null doc_id where the smallest is sought.
@@ -375,16 +375,22 @@ CUT_NAMES = [c.split()[0] for c in CUT.split(", ")]
 
 
 def folded(strings: list[bytes], docs: list[int], keys: list[int], starts: list[int], grams: list[int], length: int) -> pd.DataFrame:
-    """Strings to rows of CUT: of equal ones the smallest document's are to be compared, the others are repeats."""
+    """Strings to rows of CUT: of equal ones the smallest document's are to be compared, the others are repeats. Repeats that
+    follow each other in a text become one row."""
     least: dict[bytes, int] = {}
     for s, d in zip(strings, docs):
         if least.setdefault(s, d) > d:
             least[s] = d
-    again = [d > least[s] for s, d in zip(strings, docs)]
-    return pd.DataFrame({
-        "key": np.array(keys, "int64"), "doc_id": np.array(docs, "int64"), "kind": np.where(np.array(again, bool), REPEATED, COMPARE).astype("int32"), "gram": np.array(grams, "int64"),
-        "start": np.array(starts, "int32"), "size": np.array([len(s) - length + 1 for s in strings], "int32"), "segment": [b"" if r else s for s, r in zip(strings, again)],
-    })
+    again = np.fromiter((d > least[s] for s, d in zip(strings, docs)), bool, len(docs))
+    key, doc, start, gram = (np.array(x, "int64") for x in (keys, docs, starts, grams))
+    size = np.fromiter((len(s) - length + 1 for s in strings), "int64", len(strings))
+    ask = np.flatnonzero(~again)
+    k, d, at, n = key[again], doc[again], start[again], size[again]
+    first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (at[1:] != at[:-1] + n[:-1])]) if len(k) else np.zeros(0, int)
+    runs_of = np.add.reduceat(n, first) if len(k) else n
+    parts = {"key": (key[ask], k[first]), "doc_id": (doc[ask], d[first]), "kind": (np.full(len(ask), COMPARE), np.full(len(first), REPEATED)), "gram": (gram[ask], np.zeros(len(first))), "start": (start[ask], at[first]), "size": (size[ask], runs_of)}
+    made = pd.DataFrame({c: np.concatenate(x).astype("int32" if c in ("kind", "start", "size") else "int64") for c, x in parts.items()})
+    return made.assign(segment=[*(strings[i] for i in ask.tolist()), *[b""] * len(first)])
 
 
 def cut_segments(length: int):

@@ -171,14 +171,14 @@ def removed_by_hand(known, length):
     return sorted(out, key=key)
 
 
-@pytest.mark.parametrize("crowd", [suffix_dedup.CROWD, 0])
+@pytest.mark.parametrize("crowd", [suffix_dedup.CROWD, 3, 0])
 def test_suffix_dedup(docs, no_docs, crowd):
     known = [(LAST if i is None else i, t.encode()) for i, t in pairs(docs)]
     assert rows(suffix_dedup.remove_repeats(docs, crowd=crowd)) == removed_by_hand(known, 50)
     assert suffix_dedup.remove_repeats(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [suffix_dedup.CROWD, 0])
+@pytest.mark.parametrize("crowd", [suffix_dedup.CROWD, 3, 0])
 def test_a_null_id_is_the_largest_in_suffix_dedup(spark, crowd):
     """Null-id texts share long passages with ids, also above 2^53, in one batch; windows differ in their surroundings."""
     rng, big = random.Random(8), 1 << 53
