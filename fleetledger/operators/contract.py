@@ -64,6 +64,28 @@ SNAPSHOT = Contract(
     rows={"exactly one of almacen and cliente": "(almacen is null) <> (cliente is null)"},
 )
 
+MASTER = Contract(
+    "raw_maestro_materiales",
+    (
+        Field("planta", length=(2, 12)), Field("material", length=(1, 40)), Field("grupo_articulos", length=(1, 9)), Field("precio", nullable=True, least=0), Field("unidad_precio", above=0),
+        Field("moneda", length=(3, 3)),
+    ),
+    unique=("planta", "material"),
+    strict=False,
+)
+PARTS = Contract("raw_partes", (Field("planta", length=(2, 12)), Field("parte", length=(1, 40))), unique=("planta", "parte"))
+INSTRUCTION = Contract(
+    "raw_instruccion_empaque",
+    (Field("planta", length=(2, 12)), Field("parte", length=(1, 40)), Field("material", length=(1, 40)), Field("tipo_material", nullable=True, among=("KLT", "RACK", "CARTON")), Field("piezas_por_contenedor", least=0)),
+    unique=("planta", "parte"),
+)
+PLAN = Contract("raw_plan_produccion", (Field("planta", length=(2, 12)), Field("parte", length=(1, 40)), Field("semana"), Field("piezas", least=0)), unique=("planta", "parte", "semana"))
+#: Table, its contract, and the key that a failure names.
+TABLES = [
+    ("movements", MOVEMENTS, ("doc_material", "posicion")), ("master", MASTER, ("planta", "material")), ("snapshot", SNAPSHOT, ("planta", "material")),
+    ("parts", PARTS, ("planta", "parte")), ("instruction", INSTRUCTION, ("planta", "parte")), ("plan", PLAN, ("planta", "parte", "semana")),
+]
+
 
 def failures(df: DataFrame, contract: Contract, key: tuple[str, ...]) -> DataFrame:
     """tabla, columna, chequeo, valor and the row's key, for every check that a row, a key or the schema fails."""

@@ -21,9 +21,19 @@ def price_of(master: DataFrame) -> DataFrame:
     return master.select("planta", "material", "tipo_material", ratio("precio", "unidad_precio").alias("costo_unitario_usd"))
 
 
-def staged_movements(ledger: DataFrame, master: DataFrame) -> DataFrame:
-    """Movements with the master's type and unit cost; what the master lacks stays, with nulls."""
-    return ledger.drop("tipo_material").join(price_of(master), ["planta", "material"], "left")
+def staged_movements(lines: DataFrame, master: DataFrame) -> DataFrame:
+    """Movement lines with the master's type and unit cost by planta and material, and how late each was recorded; what the
+    master lacks stays, with nulls, and no class is left out."""
+    late = F.datediff("fecha_registro", "fecha_contab")
+    return lines.drop("tipo_material", "costo_unitario_usd").join(F.broadcast(price_of(master)), ["planta", "material"], "left").select(
+        "planta", "cliente", "material", "tipo_material", "almacen", "mov_type", "fecha_contab", "fecha_registro", "anio_contable", "doc_material", "posicion", "cantidad", "costo_unitario_usd",
+        late.alias("lag_dias"), (late > 2).alias("flag_tardio"),
+    )
+
+
+def typed(rows: DataFrame, master: DataFrame) -> DataFrame:
+    """Rows of a table by planta and material with the master's type."""
+    return rows.drop("tipo_material").join(F.broadcast(master.select("planta", "material", "tipo_material")), ["planta", "material"], "left")
 
 
 def account_movements(moves: DataFrame, snapshot: DataFrame) -> DataFrame:

@@ -17,14 +17,37 @@ TRANSFERS = ("traslado", "traslado_bloqueado", "bloqueo", "desbloqueo")
 WITH_CUSTOMER = ("salida_cliente", "recogida_cliente", "faltante_cliente")
 LOG = ("regla", *KEY, "unidades", "usd_expuesto", "detalle")
 
-#: regla, severidad, cifra_afectada (figures by spaces)
+#: Regla, defecto, objeto, unidad, severidad, cifra_afectada (figures by spaces) of every rule.
 REGLAS = [
-    ("error_de_schema", "bloquea", "todas"), ("llave_duplicada", "bloquea", "todas"), ("bwart_fuera_de_catalogo", "bloquea", "brecha ocioso ciclo flota saldo_cliente capacidad"),
-    ("lgort_fuera_de_catalogo", "bloquea", "brecha ocioso flota capacidad"), ("cliente_vacio", "bloquea", "ciclo saldo_cliente"), ("signo_invertido", "bloquea", "brecha ocioso necesidad flota capacidad"),
-    ("cantidad_en_piezas", "bloquea", "tco brecha ocioso ciclo necesidad"), ("recogida_sin_saldo", "bloquea", "ciclo saldo_cliente"), ("registro_despues_del_cierre", "alerta", "serie_mensual"),
-    ("precio_documento_distinto", "alerta", None), ("budat_despues_del_corte", "bloquea", "brecha ocioso necesidad saldo_cliente"), ("documento_repetido", "bloquea", "tco brecha ocioso ciclo necesidad"),
-    ("matnr_con_formato", "bloquea", "todas"), ("kunnr_con_formato", "bloquea", "ciclo saldo_cliente"),
-]
+    ("error_de_schema", None, "ingesta", "fila", "bloquea", "todas"),
+    ("llave_duplicada", "D01", "mb51", "linea", "bloquea", "todas"),
+    ("bwart_fuera_de_catalogo", "D02", "mb51", "linea", "bloquea", "brecha ocioso ciclo flota saldo_cliente capacidad"),
+    ("lgort_fuera_de_catalogo", "D03", "mb51", "linea", "bloquea", "brecha ocioso flota capacidad"),
+    ("cliente_vacio", "D04", "mb51", "linea", "bloquea", "ciclo saldo_cliente"),
+    ("signo_invertido", "D05", "mb51", "linea", "bloquea", "brecha ocioso necesidad flota capacidad"),
+    ("cantidad_en_piezas", "D06", "mb51", "linea", "bloquea", "tco brecha ocioso ciclo necesidad"),
+    ("recogida_sin_saldo", "D07", "mb51", "linea", "bloquea", "ciclo saldo_cliente"),
+    ("registro_despues_del_cierre", "D08", "mb51", "linea", "alerta", "serie_mensual"),
+    ("precio_documento_distinto", "D16", "mb51", "material", "alerta", None),
+    ("material_sin_foto", "D09", "stock_inicial", "material", "bloquea", "brecha ocioso flota capacidad"),
+    ("parte_sin_instruccion", "D10", "plan", "parte", "bloquea", "brecha ocioso necesidad"),
+    ("parte_sin_registro", None, "plan", "parte", "bloquea", "brecha ocioso necesidad"),
+    ("piezas_en_cero", "D11", "instruccion_empaque", "parte", "bloquea", "brecha ocioso necesidad"),
+    ("instruccion_a_desechable", "D12", "instruccion_empaque", "parte", "bloquea", "brecha ocioso necesidad"),
+    ("instruccion_fuera_de_planta", None, "instruccion_empaque", "parte", "bloquea", "brecha ocioso necesidad"),
+    ("llave_plan_duplicada", None, "plan", "parte", "bloquea", "brecha ocioso necesidad"),
+    ("unidad_de_precio", "D13", "maestro", "material", "bloquea", "perdida brecha ocioso"),
+    ("grupo_contradice_codigo", "D14", "maestro", "material", "bloquea", "perdida tco brecha ocioso"),
+    ("material_sin_maestro", "D15", "maestro", "material", "bloquea", "todas"),
+    ("grupo_fuera_de_catalogo", "D17", "maestro", "material", "bloquea", "todas"),
+    ("moneda_distinta", "D18", "maestro", "material", "bloquea", "perdida tco brecha ocioso necesidad"),
+    ("llave_maestro_duplicada", None, "maestro", "material", "bloquea", "todas"),
+    ("budat_despues_del_corte", "B04", "mb51", "linea", "bloquea", "brecha ocioso necesidad saldo_cliente"),
+    ("documento_repetido", "B03", "mb51", "linea", "bloquea", "tco brecha ocioso ciclo necesidad"),
+    ("matnr_con_formato", "B01", "mb51", "linea", "bloquea", "todas"),
+    ("kunnr_con_formato", "B02", "mb51", "linea", "bloquea", "ciclo saldo_cliente"),
+]
+REGLAS_SCHEMA = "regla string, defecto string, objeto string, unidad string, severidad string, cifra_afectada string"
 CIFRAS = ("perdida", "tco", "brecha", "ocioso", "ciclo", "necesidad", "flota", "saldo_cliente", "capacidad", "serie_mensual")
 
 
@@ -39,20 +62,31 @@ def log(rows: DataFrame, rule, units: Column, detail: Column, cost: str = "costo
     )
 
 
-def line_rules(lines: DataFrame, places: DataFrame) -> DataFrame:
-    """Faults of a single line; the first that applies."""
-    kind, n = F.col("evento"), F.col("cantidad")
-    known = lines.join(F.broadcast(places.select("almacen", F.lit(True).alias("conocido"))), "almacen", "left")
+def line_rules(lines: DataFrame, places: DataFrame, pieces: DataFrame, v: Vars = VARS) -> DataFrame:
+    """Faults that a line shows by itself, all in one pass: the first that applies of class, place, customer and sign; an
+    outflow counted in pieces; a late record; a date past the cutoff. `pieces` has the pieces a container holds by planta and
+    material (columns planta, material, piezas)."""
+    kind, n, size = F.col("evento"), F.col("cantidad"), F.abs("cantidad")
+    known = lines.join(F.broadcast(places.select("almacen", F.lit(True).alias("conocido"))), "almacen", "left").join(F.broadcast(pieces), ["planta", "material"], "left")
     wrong_leg = ~F.col("posicion").isin(1, 2) | ((F.col("posicion") == 1) & (n >= 0)) | ((F.col("posicion") == 2) & (n <= 0))
     wrong_sign = (kind.isin(*OUTFLOWS) & (n >= 0)) | (kind.isin(*INFLOWS) & (n <= 0)) | (kind.isin(*TRANSFERS) & wrong_leg)
-    rule = (
+    first = (
         F.when(kind.isNull(), "bwart_fuera_de_catalogo")
         .when(F.col("almacen").isNotNull() & F.col("conocido").isNull(), "lgort_fuera_de_catalogo")
         .when(kind.isin(*WITH_CUSTOMER, "salida_desechable") & F.col("cliente").isNull(), "cliente_vacio")
         .when(wrong_sign, "signo_invertido")
     )
-    detail = F.concat_ws(" ", "mov_type", F.coalesce("almacen", F.lit("-")), n.cast("string"))
-    return log(known.withColumn("regla", rule).where("regla is not null"), F.col("regla"), F.abs(n), detail)
+    in_pieces = (kind == "salida_cliente") & (size >= F.col("piezas")) & (size % F.col("piezas") == 0)
+    booked, late = F.col("fecha_contab"), F.date_add(F.last_day("fecha_contab"), v.calidad_dias_cierre)
+    fault = lambda rule, units, detail: F.struct(rule.alias("regla"), units.cast("long").alias("n"), detail.alias("detalle"))
+    faults = F.array(
+        F.when(first.isNotNull(), fault(first, size, F.concat_ws(" ", "mov_type", F.coalesce("almacen", F.lit("-")), n.cast("string")))),
+        F.when(in_pieces, fault(F.lit("cantidad_en_piezas"), size - F.floor(size / F.col("piezas")), F.concat(size.cast("string"), F.lit(" con "), F.col("piezas").cast("string"), F.lit(" piezas por contenedor")))),
+        F.when(F.col("fecha_registro") > late, fault(F.lit("registro_despues_del_cierre"), size, F.concat(F.lit("registrado "), F.col("fecha_registro").cast("string"), F.lit(", contabilizado "), booked.cast("string")))),
+        F.when(booked > F.lit(v.fecha_extraccion), fault(F.lit("budat_despues_del_corte"), size, F.concat(F.lit("contabilizado "), booked.cast("string"), F.lit(f", extracto al {v.fecha_extraccion}")))),
+    )
+    found = known.select(*KEY, "costo_unitario_usd", F.explode(faults).alias("x")).where("x is not null").select(*KEY, "costo_unitario_usd", "x.*")
+    return log(found, F.col("regla"), F.col("n"), F.col("detalle"))
 
 
 def duplicate_keys(lines: DataFrame) -> DataFrame:
@@ -76,16 +110,6 @@ def pickups_without_balance(lines: DataFrame) -> DataFrame:
     return log(met, "recogida_sin_saldo", n, F.concat(F.lit("saldo al cierre "), F.col("saldo").cast("string")))
 
 
-def late_records(lines: DataFrame, v: Vars = VARS) -> DataFrame:
-    late = lines.where(F.col("fecha_registro") > F.date_add(F.last_day("fecha_contab"), v.calidad_dias_cierre))
-    return log(late, "registro_despues_del_cierre", F.abs("cantidad"), F.concat(F.lit("registrado "), F.col("fecha_registro").cast("string"), F.lit(", contabilizado "), F.col("fecha_contab").cast("string")))
-
-
-def after_cutoff(lines: DataFrame, v: Vars = VARS) -> DataFrame:
-    late = lines.where(F.col("fecha_contab") > F.lit(v.fecha_extraccion))
-    return log(late, "budat_despues_del_corte", F.abs("cantidad"), F.concat(F.lit("contabilizado "), F.col("fecha_contab").cast("string"), F.lit(f", extracto al {v.fecha_extraccion}")))
-
-
 def repeated_documents(lines: DataFrame) -> DataFrame:
     """One delivery posted again under another document: the later ones, by date of record, year and document."""
     same = ["planta", "ref_externa", "material", "cliente", "cantidad", "fecha_contab"]
@@ -113,13 +137,26 @@ def padded_customers(lines: DataFrame) -> DataFrame:
     return log(met, "kunnr_con_formato", F.abs("cantidad"), F.concat(F.lit("cuenta "), "cuenta"))
 
 
-def movement_rules(lines: DataFrame, places: DataFrame, master: DataFrame, v: Vars = VARS) -> DataFrame:
-    """Rules of the movement ledger, all of REGLAS but error_de_schema, cantidad_en_piezas and precio_documento_distinto, which
-    are not built. A format fault is the cause of a missing balance and is reported in its place."""
-    formats = padded_materials(lines, master).unionByName(padded_customers(lines))
+def other_document_prices(lines: DataFrame, master: DataFrame, snapshot: DataFrame, v: Vars = VARS) -> DataFrame:
+    """Materials whose documents carry another price than the master, where that is in USD: one row a material, worth the
+    largest difference on the opening fleet."""
+    paid, own = F.col("costo_documento_usd"), F.col("costo_unitario_usd")
+    usd = master.where("moneda = 'USD'").select("planta", "material").distinct()
+    far = lines.where((paid > 0) & (F.abs(paid - own) > own * v.calidad_tolerancia_precio_pct / 100)).join(F.broadcast(usd), ["planta", "material"], "left_semi")
+    found = far.groupBy("planta", "material").agg(F.max(F.abs(paid - own)).alias("lejos"), F.min(paid).alias("menor"), F.max(paid).alias("mayor"), F.max(own).alias("maestro"))
+    found = found.join(F.broadcast(stock_of(snapshot)), ["planta", "material"], "left").withColumn("flota", F.coalesce("flota", F.lit(0)))
+    detail = F.concat(F.lit("documento "), F.col("menor").cast("string"), F.lit(" a "), F.col("mayor").cast("string"), F.lit(", maestro "), F.col("maestro").cast("string"))
+    none = {"anio_contable": F.lit(None).cast("long"), "doc_material": F.lit(None).cast("string"), "posicion": F.lit(None).cast("int")}
+    return log(found.withColumns(none), "precio_documento_distinto", F.col("flota"), detail, "lejos")
+
+
+def movement_rules(lines: DataFrame, places: DataFrame, known: DataFrame, pieces: DataFrame, master: DataFrame, snapshot: DataFrame, v: Vars = VARS) -> DataFrame:
+    """Rules of the movement ledger. A format fault is the cause of a missing balance and is reported in its place. `known`
+    has plant, material and cost of all materials."""
+    formats = padded_materials(lines, known).unionByName(padded_customers(lines))
     doc = ["planta", "anio_contable", "doc_material", "posicion"]
     missing = pickups_without_balance(lines).join(formats.select(*doc).distinct(), doc, "left_anti").select(*LOG)
-    parts = [duplicate_keys(lines), line_rules(lines, places), missing, late_records(lines, v), after_cutoff(lines, v), repeated_documents(lines), formats]
+    parts = [duplicate_keys(lines), line_rules(lines, places, pieces, v), missing, repeated_documents(lines), other_document_prices(lines, master, snapshot, v), formats]
     return functools.reduce(DataFrame.unionByName, parts)
 
 
@@ -128,11 +165,24 @@ def violations(found: DataFrame, rules: DataFrame) -> DataFrame:
     return found.join(F.broadcast(rules), "regla", "left")
 
 
-def board(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """Violations by rule, plant and material beside the plant's number of lines."""
-    universe = lines.groupBy("planta").agg(F.count(F.lit(1)).alias("universo_planta"))
-    made = found.groupBy("regla", "severidad", "cifra_afectada", "planta", "material").agg(F.count(F.lit(1)).alias("violaciones"), F.sum("unidades").alias("unidades"), F.sum("usd_expuesto").alias("usd_expuesto"))
-    return made.join(F.broadcast(universe), "planta", "left")
+def universes(lines: DataFrame, master: DataFrame, parts: DataFrame, plan: DataFrame) -> DataFrame:
+    """What each plant has of the units that rules count: lines, materials and parts."""
+    materials = master.select("planta", "material").union(lines.select("planta", "material")).distinct()
+    known_parts = parts.select("planta", "parte").union(plan.select("planta", "parte")).distinct()
+    count = lambda df, unit: df.groupBy("planta").agg(F.count(F.lit(1)).alias("universo_planta")).withColumn("unidad", F.lit(unit))
+    return count(lines, "linea").unionByName(count(materials, "material")).unionByName(count(known_parts, "parte"))
+
+
+def board(found: DataFrame, universe: DataFrame, types: DataFrame) -> DataFrame:
+    """Violations by rule, plant and material, with the material's type, beside what the plant has of the rule's unit."""
+    made = found.groupBy("regla", "defecto", "objeto", "unidad", "severidad", "cifra_afectada", "planta", "material").agg(F.count(F.lit(1)).alias("violaciones"), F.sum("unidades").alias("unidades"), F.sum("usd_expuesto").alias("usd_expuesto"))
+    return made.join(F.broadcast(universe), ["planta", "unidad"], "left").join(F.broadcast(types), ["planta", "material"], "left")
+
+
+def schema_errors(failures: DataFrame) -> DataFrame:
+    """Contract failures (tabla, columna, chequeo, valor, llave) as violations."""
+    text = F.concat("tabla", F.lit("."), F.coalesce("columna", F.lit("-")), F.lit(" "), "chequeo", F.lit(": "), F.coalesce("valor", F.lit("nulo")), F.coalesce(F.concat(F.lit(" ("), "llave", F.lit(")")), F.lit("")))
+    return table_log(failures, F.lit("error_de_schema"), F.lit(1), F.lit(None), text)
 
 
 def blocked_figures(found: DataFrame) -> DataFrame:
@@ -154,13 +204,6 @@ def require(found: DataFrame, figures: list[str]) -> None:
 
 # --- master, plan and snapshot ------------------------------------------------------------------------------------
 
-#: objeto, defecto and unidad of every rule beside those above
-REGLAS_TABLAS = [
-    ("material_sin_foto", "bloquea", "brecha ocioso flota capacidad"), ("parte_sin_instruccion", "bloquea", "brecha ocioso necesidad"), ("parte_sin_registro", "bloquea", "brecha ocioso necesidad"),
-    ("piezas_en_cero", "bloquea", "brecha ocioso necesidad"), ("instruccion_a_desechable", "bloquea", "brecha ocioso necesidad"), ("instruccion_fuera_de_planta", "bloquea", "brecha ocioso necesidad"),
-    ("llave_plan_duplicada", "bloquea", "brecha ocioso necesidad"), ("unidad_de_precio", "bloquea", "perdida brecha ocioso"), ("grupo_contradice_codigo", "bloquea", "perdida tco brecha ocioso"),
-    ("material_sin_maestro", "bloquea", "todas"), ("grupo_fuera_de_catalogo", "bloquea", "todas"), ("moneda_distinta", "bloquea", "perdida tco brecha ocioso necesidad"), ("llave_maestro_duplicada", "bloquea", "todas"),
-]
 TABLE_LOG = ("regla", "planta", "material", "parte", "unidades", "usd_expuesto", "detalle")
 
 
@@ -179,9 +222,10 @@ def stock_of(snapshot: DataFrame) -> DataFrame:
     return snapshot.groupBy("planta", "material").agg(F.sum("cantidad").alias("flota"))
 
 
-def master_rules(master: DataFrame, groups: DataFrame, prefixes: dict[str, str], snapshot: DataFrame, used: DataFrame, paid: DataFrame, v: Vars = VARS) -> DataFrame:
+def master_rules(master: DataFrame, groups: DataFrame, prefixes: dict[str, str], snapshot: DataFrame, used: DataFrame, moved: DataFrame, paid: DataFrame, v: Vars = VARS) -> DataFrame:
     """Rules of the material master (planta, material, grupo_articulos, tipo_material, precio, unidad_precio, moneda, costo).
-    `used` is every plant and material in any table, `paid` the mean price of documents."""
+    `used` is every plant and material in any table, `moved` those with movements, `paid` the mean price of documents. A
+    material without a master row that moves, and that the master knows without its zeros, is a fault of format instead."""
     band = master.groupBy("grupo_articulos", "moneda").agg(F.median("costo").alias("mediana"))
     by_type = master.where("tipo_material is not null").groupBy(F.col("tipo_material").alias("tipo_codigo"), "moneda").agg(F.median("costo").alias("mediana_codigo"))
     told = F.coalesce(*[F.when(F.col("material").startswith(p), t) for p, t in prefixes.items()])
@@ -199,7 +243,8 @@ def master_rules(master: DataFrame, groups: DataFrame, prefixes: dict[str, str],
     nothing = F.lit(None)
     twice = master.groupBy("planta", "material").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     codes = master.select("planta", bare("material").alias("codigo")).distinct()
-    missing = used.join(master.select("planta", "material").distinct(), ["planta", "material"], "left_anti").withColumn("codigo", bare("material")).join(codes, ["planta", "codigo"], "left_anti")
+    variants = moved.withColumn("codigo", bare("material")).join(codes, ["planta", "codigo"], "left_semi").select("planta", "material").distinct()
+    missing = used.join(master.select("planta", "material").distinct(), ["planta", "material"], "left_anti").join(variants, ["planta", "material"], "left_anti")
     missing = missing.join(stock_of(snapshot), ["planta", "material"], "left").join(paid, ["planta", "material"], "left")
     return (
         table_log(found, F.col("regla"), stock, usd, detail)
@@ -249,31 +294,33 @@ def snapshot_rules(snapshot: DataFrame, lines: DataFrame, places: DataFrame, mas
 FALLAS = [
     (0, "D05", "signo_invertido", "true"), (1, "D02", "bwart_fuera_de_catalogo", "true"), (2, "D03", "lgort_fuera_de_catalogo", "almacen is not null"),
     (3, "D04", "cliente_vacio", "cliente is not null"), (4, "D01", "llave_duplicada", "true"), (5, "D08", "registro_despues_del_cierre", "true"), (6, "B04", "budat_despues_del_corte", "true"),
-    (7, "B02", "kunnr_con_formato", "cliente is not null and mov_type in ('621', '622', '702')"), (8, "B01", "matnr_con_formato", "true"), (10, "B03", "documento_repetido", "mov_type = '621'"),
+    (7, "B02", "kunnr_con_formato", "cliente is not null and mov_type in ('621', '622', '702')"), (8, "B01", "matnr_con_formato", "true"), (9, "D06", "cantidad_en_piezas", "mov_type = '621'"),
+    (10, "B03", "documento_repetido", "mov_type = '621'"), (11, "D16", "precio_documento_distinto", "mov_type in ('621', '622', '702')"),
 ]
 
 
 def injected(ledger: DataFrame) -> DataFrame:
-    """The log of planted faults: defecto, regla, and the key under which the faulty line stands."""
+    """The log of planted faults: defecto, regla, and the key under which the faulty line, or for D16 the material, stands."""
     mark = (F.col("posicion") * 31 + F.substring("doc_material", -6, 6).cast("long")) % 997
     kinds = F.array(*[F.when((mark == h) & F.expr(real), F.struct(F.lit(d).alias("defecto"), F.lit(r).alias("regla"))) for h, d, r, real in FALLAS])
     rows = ledger.withColumn("f", F.explode(kinds)).where("f is not null")
-    moved, again, padded = F.col("mov_type") == "311", F.col("f.defecto") == "B03", F.col("f.defecto") == "B01"
+    moved, again, padded, line = F.col("mov_type") == "311", F.col("f.defecto") == "B03", F.col("f.defecto") == "B01", F.col("f.defecto") != "D16"
     doc = F.when(moved, F.concat("doc_material", F.lit("-"), F.floor(F.col("posicion") / 2).cast("string"))).otherwise(F.col("doc_material"))
     return rows.select(
-        "f.defecto", "f.regla", "planta", F.when(padded, F.concat(F.lit("000"), "material")).otherwise(F.col("material")).alias("material"), "anio_contable",
-        F.when(again, F.concat(F.lit("Z"), doc)).otherwise(doc).alias("doc_material"), F.when(moved, 1 + F.col("posicion") % 2).otherwise(F.col("posicion")).cast("int").alias("posicion"),
+        "f.defecto", "f.regla", "planta", F.when(padded, F.concat(F.lit("000"), "material")).otherwise(F.col("material")).alias("material"), F.when(line, F.col("anio_contable")).alias("anio_contable"),
+        F.when(line, F.when(again, F.concat(F.lit("Z"), doc)).otherwise(doc)).alias("doc_material"), F.when(line, F.when(moved, 1 + F.col("posicion") % 2).otherwise(F.col("posicion"))).cast("int").alias("posicion"),
     )
 
 
 def detection(log_: DataFrame, found: DataFrame) -> DataFrame:
-    """For each kind of fault: how many were planted, and how many their own rule reports (null-safe by key)."""
-    key = ("planta", "anio_contable", "doc_material", "posicion")
-    seen = found.select("regla", *key).distinct().select(F.col("regla").alias("r"), *[F.col(c).alias(f"r_{c}") for c in key])
-    mine = log_.select("defecto", "regla", *key).distinct()
-    on = (F.col("regla") == F.col("r")) & (F.col("doc_material") == F.col("r_doc_material")) & (F.col("posicion") == F.col("r_posicion"))
-    met = mine.join(seen, on & F.col("planta").eqNullSafe(F.col("r_planta")) & F.col("anio_contable").eqNullSafe(F.col("r_anio_contable")), "left")
-    return met.groupBy("defecto", "regla").agg(F.count(F.lit(1)).alias("casos"), F.count("r").alias("detectados"))
+    """For each kind of fault: how many were planted, and how many their own rule reports (null-safe by key: the line's
+    where the fault is one of a line, the material's else)."""
+    key = ["planta", "anio_contable", "doc_material", "posicion", "de_material"]
+    keyed = lambda df: df.withColumn("de_material", F.when(F.col("doc_material").isNull(), F.col("material")))
+    seen = keyed(found).select("regla", *key).distinct().select(F.col("regla").alias("r"), *[F.col(c).alias(f"r_{c}") for c in key])
+    mine = keyed(log_).select("defecto", "regla", *key).distinct()
+    on = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in key], F.col("regla") == F.col("r"))
+    return mine.join(seen, on, "left").groupBy("defecto", "regla").agg(F.count(F.lit(1)).alias("casos"), F.count("r").alias("detectados"))
 
 
 def figures(lines: DataFrame) -> DataFrame:

@@ -79,11 +79,60 @@ def header(ledger: DataFrame) -> DataFrame:
 
 
 def fingerprint(ledger: DataFrame) -> DataFrame:
-    """Count, units by class and an order-insensitive hash of each plant's customer cycle."""
+    """Count, units by class and an order-insensitive hash (a sum of 32 bits of each line's MD5) of each plant's customer cycle."""
     mine = ledger.where(F.col("mov_type").isin("621", "622", "702"))
     units = {k: filtered_sum(F.abs(F.col("cantidad").cast("long")), F.col("mov_type") == k).alias(f"unidades_{k}") for k in ("621", "622", "702")}
-    line = F.xxhash64("planta", "cliente", "material", "mov_type", "fecha_contab", "cantidad", "doc_material", "posicion")
-    return mine.groupBy("planta").agg(F.count(F.lit(1)).alias("lineas"), *units.values(), F.sum(line.cast("decimal(38,0)")).cast("string").alias("huella"))
+    text = F.concat_ws("|", "cliente", "material", "mov_type", *[F.col(c).cast("string") for c in ("fecha_contab", "cantidad", "doc_material", "posicion")])
+    line = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+    return mine.groupBy("planta").agg(F.count(F.lit(1)).alias("lineas"), *units.values(), F.sum(line).alias("huella"))
+
+
+def lag_distribution(lines: DataFrame) -> DataFrame:
+    """Lines by days from posting to record, with their share."""
+    by = lines.groupBy(F.datediff("fecha_registro", "fecha_contab").alias("lag_dias")).agg(F.count(F.lit(1)).alias("lineas"))
+    return by.withColumn("pct", rounded(F.col("lineas") * 100.0 / F.sum("lineas").over(Window.partitionBy()), 4))  # one row a day of lag
+
+
+def gap_by_ramp(all_gaps: DataFrame, instruction: DataFrame) -> DataFrame:
+    """The base scenario's gap, by whether a part that the material packs ramps up in the plan."""
+    ramp = instruction.groupBy("planta", "material").agg(F.bool_or(F.split("material", "-")[1].cast("int") % 5 == 0).alias("con_arranque"))
+    met = all_gaps.where("escenario = 'base'").join(F.broadcast(ramp), ["planta", "material"], "left").withColumn("con_arranque", F.coalesce("con_arranque", F.lit(False)))
+    usd = F.col("usd_flete") + F.col("usd_compra") + F.col("usd_desechable")
+    return met.groupBy("tipo_material", "con_arranque").agg(F.count(F.lit(1)).alias("materiales"), rounded(F.sum("deficit_pico"), 1).alias("deficit"), rounded(F.sum(usd), 2).alias("usd_brecha"))
+
+
+#: The scenarios between which a policy chooses.
+POLICIES = ("base", "quiebre_1", "quiebre_1_5", "quiebre_2_5", "quiebre_3", "capital_10", "capital_15", "optimista", "conservador", "z_fija_3")
+
+
+def frontier(sensitivity: DataFrame) -> DataFrame:
+    """Cost of the gap against idle capital, policy by policy."""
+    mine = sensitivity.where(F.col("escenario").isin(*POLICIES))
+    return mine.groupBy("escenario").agg(rounded(F.sum("usd_brecha"), 2).alias("usd_brecha"), rounded(F.sum("usd_capital_ocioso"), 2).alias("usd_capital_ocioso"))
+
+
+def freight_coefficients(lent: DataFrame, prices: DataFrame) -> DataFrame:
+    """What each per cent of freight costs in the base scenario, inside a country and across: freight is linear in both."""
+    met = lent.where("escenario = 'base'").join(F.broadcast(prices), "tipo_material")
+    part = lambda c: rounded(F.sum(F.col(c) * F.col("costo_unitario_usd")) / 100, 2)
+    return met.groupBy("tipo_material").agg(part("recibido_mismo_pais").alias("mismo_pais"), part("recibido_otro_pais").alias("otro_pais"))
+
+
+def rule_board(rules: DataFrame, board: DataFrame) -> DataFrame:
+    """Every rule with its violations, those without any too."""
+    seen = board.groupBy("regla").agg(F.sum("violaciones").alias("violaciones"), rounded(F.sum("usd_expuesto"), 2).alias("usd_expuesto"))
+    met = rules.join(F.broadcast(seen), "regla", "left")
+    return met.select("regla", "defecto", "unidad", "severidad", "cifra_afectada", F.coalesce("violaciones", F.lit(0)).alias("violaciones"), "usd_expuesto")
+
+
+def rank_correlation(board: DataFrame) -> DataFrame:
+    """For each rule: whether plants with more violations also have more money exposed, as the correlation of their ranks
+    (mean ranks for ties; null where all are tied)."""
+    sums = board.where("usd_expuesto is not null").groupBy("regla", "planta").agg(F.sum("violaciones").alias("n"), F.sum("usd_expuesto").alias("usd"))
+    rank = lambda c: F.rank().over(Window.partitionBy("regla").orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("regla", c)) - 1) / 2.0
+    ranked = sums.select("regla", rank("n").alias("a"), rank("usd").alias("b"))
+    found = ratio(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b"))
+    return ranked.groupBy("regla").agg(F.count(F.lit(1)).alias("plantas"), rounded(found, 6).alias("correlacion"))
 
 
 def fleet_against_need(projected: DataFrame, need: DataFrame) -> DataFrame:

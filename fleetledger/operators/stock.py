@@ -107,3 +107,23 @@ def snapshot_at(moves: DataFrame, snapshot: DataFrame, places: DataFrame, day) -
     every = snapshot.select(*base, "almacen", "cliente", "cantidad").unionByName(stored).unionByName(held)
     made = every.groupBy(*base, "almacen", "cliente").agg(F.sum("cantidad").alias("cantidad")).where("cantidad <> 0")
     return made.withColumn("fecha", F.date_sub(F.lit(day), 1))
+
+
+def numbered_documents(moves: DataFrame) -> DataFrame:
+    """Sequential document numbers of each year, by day and old number. A day numbers its own documents, and starts where
+    the days before it ended: no window holds a whole year's documents."""
+    docs = moves.select("anio_contable", "fecha_contab", "doc_material").distinct()
+    days = docs.groupBy("anio_contable", "fecha_contab").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("anio_contable").orderBy("fecha_contab").rowsBetween(FIRST, -1))
+    days = days.select("anio_contable", "fecha_contab", F.coalesce(before, F.lit(0)).alias("antes"))
+    own = F.row_number().over(Window.partitionBy("anio_contable", "fecha_contab").orderBy("doc_material"))
+    made = docs.withColumn("propio", own).join(F.broadcast(days), ["anio_contable", "fecha_contab"])
+    return made.select("anio_contable", "fecha_contab", "doc_material", F.concat(F.lit("49"), F.lpad((F.col("antes") + F.col("propio")).cast("string"), 8, "0")).alias("numero"))
+
+
+def month_end_batch(moves: DataFrame, v: Vars = VARS) -> DataFrame:
+    """Movements of a month gathered on its last weekday; batches past the cutoff are not made."""
+    last = F.last_day("fecha_contab")
+    day = F.date_sub(last, F.greatest(F.lit(0), F.weekday(last) - 4))
+    made = moves.groupBy("planta", "material", "tipo_material", day.alias("fecha_contab")).agg(F.sum(F.abs("cantidad")).cast("long").alias("cantidad"))
+    return made.where(F.col("fecha_contab") <= F.lit(v.fecha_extraccion))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.kernels import rounded
 from ..functions.tables import stored
-from ..operators import capacity, cycle, gap, need, quality, stock
+from ..operators import capacity, contract, cycle, gap, need, quality, stock
 from ..sources import extract
 from ..sources import ledger as src
 
@@ -181,10 +183,25 @@ class Models:
     def master(self) -> DataFrame:
         return self.moves.select("planta", "material", self.moves["costo_unitario_usd"].alias("costo")).distinct()
 
+    @cached_property
+    def clean_master(self) -> DataFrame:
+        return src.maestro(self.customer)
+
+    @cached_property
+    def rules(self) -> DataFrame:
+        return self.spark.createDataFrame(quality.REGLAS, quality.REGLAS_SCHEMA)
+
+    @cached_property
+    def pieces(self) -> DataFrame:
+        from pyspark.sql import functions as F
+
+        return self.plan[1].where("piezas_por_contenedor > 0").groupBy("planta", "material").agg(F.min("piezas_por_contenedor").alias("piezas"))
+
     @cached_property
     def violations(self) -> DataFrame:
-        found = stored(quality.movement_rules(self.lines, self.places, self.master, self.v), "violations")
-        return quality.violations(found, self.spark.createDataFrame(quality.REGLAS, "regla string, severidad string, cifra_afectada string"))
+        """Violations of the movement ledger."""
+        found = quality.movement_rules(self.lines, self.places, self.master, self.pieces, self.dirty["master"], self.snapshot, self.v)
+        return quality.violations(stored(found, "violations"), self.rules.select("regla", "severidad", "cifra_afectada"))
 
     # capacity
     @cached_property
@@ -215,8 +232,11 @@ class Models:
 
     @cached_property
     def master_violations(self) -> DataFrame:
-        paid = self.moves.groupBy("planta", "material").agg({"costo_unitario_usd": "max"}).withColumnRenamed("max(costo_unitario_usd)", "pagado")
-        return quality.master_rules(self.dirty["master"], src.material_groups(self.spark), src.PREFIJOS, self.dirty["snapshot"], self.used, paid, self.v)
+        from pyspark.sql import functions as F
+
+        paid = self.lines.where("costo_documento_usd > 0").groupBy("planta", "material").agg(rounded(F.avg("costo_documento_usd"), 4).alias("pagado"))
+        moved = self.lines.select("planta", "material").distinct()
+        return quality.master_rules(self.dirty["master"], src.material_groups(self.spark), src.PREFIJOS, self.dirty["snapshot"], self.used, moved, paid, self.v)
 
     @cached_property
     def plan_violations(self) -> DataFrame:
@@ -227,13 +247,31 @@ class Models:
         lines = self.ledger.join(self.prices, "tipo_material").join(self.classes, "mov_type")
         return quality.snapshot_rules(self.dirty["snapshot"], lines, self.places, self.master)
 
+    @cached_property
+    def contract_failures(self) -> DataFrame:
+        """Failures of the input contract in all six tables."""
+        t = self.dirty | {"movements": self.lines}
+        parts = [contract.failures(t[name], rules, key) for name, rules, key in contract.TABLES]
+        return functools.reduce(DataFrame.unionByName, parts)
+
     @cached_property
     def all_violations(self) -> DataFrame:
-        """Violations of every rule that is built, over all tables."""
-        tables = [self.master_violations, self.plan_violations, self.snapshot_violations]
+        """Violations of every rule, over all tables."""
+        tables = [self.master_violations, self.plan_violations, self.snapshot_violations, quality.schema_errors(self.contract_failures)]
         found = quality.all_violations(self.violations.drop("severidad", "cifra_afectada"), tables)
-        rules = self.spark.createDataFrame(quality.REGLAS + quality.REGLAS_TABLAS, "regla string, severidad string, cifra_afectada string")
-        return quality.violations(stored(found, "all-violations"), rules)
+        return quality.violations(stored(found, "all-violations"), self.rules)
+
+    @cached_property
+    def board(self) -> DataFrame:
+        universe = quality.universes(self.lines, self.dirty["master"], self.dirty["parts"], self.dirty["plan"])
+        types = self.customer.select("planta", "material", "tipo_material").distinct()
+        return quality.board(self.all_violations, universe, types)
+
+    @cached_property
+    def impact(self) -> DataFrame:
+        from pyspark.sql import functions as F
+
+        return quality.impact(quality.figures(self.ledger.join(F.broadcast(self.prices), "tipo_material", "left")), quality.figures(self.lines))
 
     @cached_property
     def rolled_back(self) -> DataFrame:

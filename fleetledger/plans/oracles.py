@@ -38,7 +38,7 @@ SQL: dict[str, tuple[str, str]] = {
         where fecha_contab <= {CUTOFF}"""),
     "led": ("cust", f"""
         select * from cust union all
-        select planta, cast(null as varchar), material, tipo_material, '311', a, d, cast(abs(cantidad) * s as int), concat(serie, doc_material), posicion * 2 + k, cast(year(d) as bigint)
+        select planta, cast(null as varchar), material, tipo_material, '311', a, d, cast(abs(cantidad) * s as int), concat(serie, posicion, doc_material), posicion * 2 + k, cast(year(d) as bigint)
         from (select c.*, t.*, fecha_contab + dias as d from cust c join (values ('622', 3, 'SUCI', -1, 0, 'D'), ('622', 3, 'VACI', 1, 1, 'D'), ('621', -2, 'VACI', -1, 0, 'E'), ('621', -2, 'LLEN', 1, 1, 'E'))
               as t(mt, dias, a, s, k, serie) on t.mt = c.mov_type)
         where d <= {CUTOFF}"""),
@@ -158,7 +158,7 @@ SQL: dict[str, tuple[str, str]] = {
         select planta, cliente, tipo_material, cast(date_trunc('week', fecha_contab) as date) as semana, sum(case when mov_type = '621' then abs(cantidad) else 0 end)::bigint as salidas,
                sum(case when mov_type = '622' then abs(cantidad) else 0 end)::bigint as recogidas, sum(case when mov_type = '702' then abs(cantidad) else 0 end)::bigint as faltante
         from cust where mov_type in ('621', '622', '702') group by all"""),
-    "rules": ("", values("t(regla, severidad, cifra_afectada)", REGLAS)),
+    "rules": ("", values("t(regla, defecto, objeto, unidad, severidad, cifra_afectada)", REGLAS)),
     "figures": ("", values("t(cifra)", [(c,) for c in CIFRAS])),
     "scen": ("", values("t(escenario, solo, factor, capital, z_fija, ajuste)", L.ESCENARIOS_BRECHA)),
     "cal": ("dstock smov", f"""
@@ -194,7 +194,7 @@ SQL: dict[str, tuple[str, str]] = {
                round(razon, 4) as razon_critica, round(1 - razon, 4) as objetivo_quiebre, coalesce(zf, ze) as z_servicio, curve.quiebre as quiebre_calibracion
         from q left join z using (escenario, tipo_material) left join curve on curve.tipo_material = q.tipo_material and round(curve.z * 100) = round(coalesce(zf, ze) * 100)"""),
     "parts": ("cust", f"""
-        select *, concat(cliente, '-', material) as parte, 10 + num as ppc from (select planta, cliente, material, tipo_material, sum(abs(cantidad))::bigint as n, cast(split_part(material, '-', 2) as bigint) as num
+        select *, concat(cliente, '-', material) as parte, {L.PIEZAS} + num as ppc from (select planta, cliente, material, tipo_material, sum(abs(cantidad))::bigint as n, cast(split_part(material, '-', 2) as bigint) as num
         from cust where mov_type = '621' and fecha_contab > {CUTOFF} - 91 group by 1, 2, 3, 4)"""),
     "plan": ("parts", f"""
         select planta, parte, material, tipo_material, ppc, cast(date_trunc('week', {CUTOFF}) as date) + 7 * k::int as semana, (n * ppc * case when num % 5 = 0 and k >= 6 then 13 else 10 end) // 130 as piezas
@@ -259,13 +259,14 @@ SQL: dict[str, tuple[str, str]] = {
                           case when mov_type = '311' then 1 + posicion % 2 else posicion end as posicion from a),
              c as (select planta, case h when 3 then null when 7 then '00' || cliente else cliente end as cliente, case h when 8 then '000' || material else material end as material, case when h = 2 and almacen is not null then 'XX99' else almacen end as almacen,
                           case h when 6 then {CUTOFF} + 3 else fecha_contab end as fecha_contab, anio_contable, case h when 1 then '999' else mov_type end as mov_type,
-                          case when h = 0 then -cantidad when h = 9 and mov_type = '622' then cantidad * 50 else cantidad end as cantidad, doc_material, posicion, h, case when mov_type = '621' then 'R' || doc_material end as ref_externa,
+                          case when h = 0 then -cantidad when h = 9 and mov_type = '621' then cantidad * ({L.PIEZAS} + cast(split_part(material, '-', 2) as bigint)) else cantidad end as cantidad, doc_material, posicion, h, case when mov_type = '621' then 'R' || doc_material end as ref_externa,
                           case when h = 5 then last_day(fecha_contab) + 15 else fecha_contab + posicion % 5 end as fecha_registro from b),
              d as (select * exclude (doc_material), case when h = 10 and copia = 1 then 'Z' || doc_material else doc_material end as doc_material from (select *, unnest(case when h in (4, 10) then [0, 1] else [0] end) as copia from c)),
              e as (select *, case substr(material, 1, 4) when 'KLT-' then 'KLT' when 'RCK-' then 'RACK' when 'CTN-' then 'CARTON' end as tipo_material from d)
-        select * from e left join prices using (tipo_material) left join classes using (mov_type)"""),
+        select *, case when mov_type in ('621', '622', '702') and (posicion % 2 = 0 or h = 11) then case when h = 11 then costo_unitario_usd * 1.2::double else costo_unitario_usd end end as costo_documento_usd
+        from e left join prices using (tipo_material) left join classes using (mov_type)"""),
     "mastr": ("cust prices", "select distinct planta, material, costo_unitario_usd as costo from cust join prices using (tipo_material)"),
-    "viol": ("dirty places mastr", f"""
+    "viol": ("dirty places mastr parts dmast snap", f"""
         with k as (select planta, material, anio_contable, doc_material, posicion, sum(abs(cantidad)) - max(abs(cantidad)) as n, max(costo_unitario_usd) as c, count(*) as f from dirty group by 1, 2, 3, 4, 5 having count(*) > 1),
              lin as (select *, case when evento is null then 'bwart_fuera_de_catalogo' when almacen is not null and almacen not in (select almacen from places) then 'lgort_fuera_de_catalogo'
                               when evento in ('salida_cliente', 'recogida_cliente', 'faltante_cliente', 'salida_desechable') and cliente is null then 'cliente_vacio'
@@ -281,7 +282,11 @@ SQL: dict[str, tuple[str, str]] = {
                     where evento in ('salida_cliente', 'recogida_cliente', 'faltante_cliente') and not exists (select 1 from cs where cs.planta = d.planta and cs.cliente = d.cliente)),
              fm as (select planta, anio_contable, doc_material, posicion from mf union select planta, anio_contable, doc_material, posicion from kf),
              rp as (select *, row_number() over w as rn, first_value(doc_material) over w as primero from (select planta, ref_externa, material, cliente, cantidad, fecha_contab, anio_contable, doc_material, min(fecha_registro) as reg
-                    from dirty where evento = 'salida_cliente' and ref_externa is not null group by all) window w as (partition by planta, ref_externa, material, cliente, cantidad, fecha_contab order by reg, anio_contable, doc_material))
+                    from dirty where evento = 'salida_cliente' and ref_externa is not null group by all) window w as (partition by planta, ref_externa, material, cliente, cantidad, fecha_contab order by reg, anio_contable, doc_material)),
+             pz as (select planta, material, min(ppc) as piezas from parts where ppc > 0 group by 1, 2),
+             pd as (select planta, material, max(abs(costo_documento_usd - costo_unitario_usd)) as lejos, min(costo_documento_usd) as menor, max(costo_documento_usd) as mayor, max(costo_unitario_usd) as maestro
+                    from dirty d where costo_documento_usd > 0 and abs(costo_documento_usd - costo_unitario_usd) > costo_unitario_usd * {L.VARS.calidad_tolerancia_precio_pct} / 100
+                    and exists (select 1 from dmast m where m.moneda = 'USD' and m.planta = d.planta and m.material = d.material) group by 1, 2)
         select 'llave_duplicada' as regla, planta, material, anio_contable, doc_material, posicion, n::bigint as unidades, n * c as usd_expuesto, f || ' filas con la misma llave' as detalle from k
         union all select regla, planta, material, anio_contable, doc_material, posicion, abs(cantidad), abs(cantidad) * costo_unitario_usd, mov_type || ' ' || coalesce(almacen, '-') || ' ' || cantidad from lin where regla is not null
         union all select 'recogida_sin_saldo', d.planta, d.material, d.anio_contable, d.doc_material, d.posicion, abs(cantidad), abs(cantidad) * costo_unitario_usd, 'saldo al cierre ' || saldo
@@ -292,6 +297,10 @@ SQL: dict[str, tuple[str, str]] = {
         union all select 'documento_repetido', d.planta, d.material, d.anio_contable, d.doc_material, d.posicion, abs(d.cantidad), abs(d.cantidad) * costo_unitario_usd, 'entrega ' || d.ref_externa || ', primero en ' || primero
                   from dirty d join rp on rp.planta = d.planta and rp.ref_externa = d.ref_externa and rp.material = d.material and rp.cliente = d.cliente and rp.cantidad = d.cantidad and rp.fecha_contab = d.fecha_contab
                   and rp.anio_contable = d.anio_contable and rp.doc_material = d.doc_material where rn > 1 and evento = 'salida_cliente'
+        union all select 'cantidad_en_piezas', planta, material, anio_contable, doc_material, posicion, abs(cantidad) - abs(cantidad) // piezas, (abs(cantidad) - abs(cantidad) // piezas) * costo_unitario_usd,
+                  abs(cantidad) || ' con ' || piezas || ' piezas por contenedor' from dirty join pz using (planta, material) where evento = 'salida_cliente' and abs(cantidad) >= piezas and abs(cantidad) % piezas = 0
+        union all select 'precio_documento_distinto', planta, material, null, null, null, coalesce(flota, 0), coalesce(flota, 0) * lejos, 'documento ' || menor || ' a ' || mayor || ', maestro ' || maestro
+                  from pd left join (select planta, material, sum(cantidad)::bigint as flota from snap group by 1, 2) using (planta, material)
         union all select 'matnr_con_formato', planta, material, anio_contable, doc_material, posicion, abs(cantidad), abs(cantidad) * costo, 'en el maestro como ' || em from mf
         union all select 'kunnr_con_formato', planta, material, anio_contable, doc_material, posicion, abs(cantidad), abs(cantidad) * costo_unitario_usd, 'cuenta ' || cuenta from kf"""),
     "dmast": ("cust prices", """
@@ -304,7 +313,7 @@ SQL: dict[str, tuple[str, str]] = {
         select * replace (case cast(split_part(material, '-', 2) as int) when 1 then 'ZZ99' else almacen end as almacen) from snap where cast(split_part(material, '-', 2) as int) <> 4"""),
     "dinst": ("parts", """
         select planta, parte, case num when 12 then material || 'X' else material end as material, case num when 10 then 'CARTON' else tipo_material end as tipo_material, case num when 8 then 0 else ppc end as ppc from parts where num <> 6"""),
-    "mviol": ("dmast dsnap cust dinst prices", """
+    "mviol": ("dmast dsnap cust dinst dirty", """
         with f as (select planta, material, sum(cantidad) as flota from dsnap group by 1, 2), b as (select grupo_articulos, moneda, median(costo) as med from dmast group by 1, 2),
              t as (select tipo_material as tipo_codigo, moneda, median(costo) as medc from dmast where tipo_material is not null group by 1, 2),
              a as (select m.*, med, medc, coalesce(flota, 0) as flota, grupo_articulos in ('G1', 'G2', 'G3') as con from dmast m left join b using (grupo_articulos, moneda) left join t using (tipo_codigo, moneda) left join f using (planta, material)),
@@ -315,8 +324,9 @@ SQL: dict[str, tuple[str, str]] = {
                concat_ws(' ', grupo_articulos, precio::bigint, moneda, 'por', unidad_precio) as detalle from r where regla is not null
         union all select 'llave_maestro_duplicada', planta, material, null, count(*), null, count(*) || ' filas' from dmast group by planta, material having count(*) > 1
         union all select 'material_sin_maestro', u.planta, u.material, null, coalesce(flota, 0), coalesce(flota, 0) * p.costo, 'sin fila en el maestro'
-                  from u left join f using (planta, material) left join (select distinct planta, material, costo_unitario_usd as costo from cust join prices using (tipo_material)) p using (planta, material)
-                  where not exists (select 1 from dmast m where m.planta = u.planta and ltrim(m.material, '0') = ltrim(u.material, '0'))"""),
+                  from u left join f using (planta, material) left join (select planta, material, round(avg(costo_documento_usd), 4) as costo from dirty where costo_documento_usd > 0 group by 1, 2) p using (planta, material)
+                  where not exists (select 1 from dmast m where m.planta = u.planta and m.material = u.material)
+                  and not (exists (select 1 from dmast m where m.planta = u.planta and ltrim(m.material, '0') = ltrim(u.material, '0')) and exists (select 1 from dirty d where d.planta = u.planta and d.material = u.material))"""),
     "pviol": ("plan parts dinst cust", """
         with d as (select *, unnest(case when cast(list_last(string_split(parte, '-')) as int) = 14 then [0, 1] else [0] end) as copia from plan), t as (select planta, parte, sum(piezas) as piezas from d group by 1, 2),
              g as (select planta, parte from parts where num <> 13), e as (select distinct planta, material from cust),
@@ -333,6 +343,41 @@ SQL: dict[str, tuple[str, str]] = {
              d as (select planta, material, fecha_contab, sum(cantidad) as n, max(c) as c, min(evento) as evento from m group by 1, 2, 3), s as (select *, sum(n) over (partition by planta, material order by fecha_contab rows unbounded preceding) as s from d)
         select 'lgort_fuera_de_catalogo' as regla, planta, material, null as parte, cantidad::double as unidades, cantidad * costo_unitario_usd as usd_expuesto, 'foto en ' || almacen as detalle from dsnap join prices using (tipo_material) where almacen = 'ZZ99'
         union all select 'material_sin_foto', planta, material, null, greatest(-min(s), 0), greatest(-min(s), 0) * max(c), 'primer movimiento: ' || arg_min(evento, fecha_contab) from s group by planta, material"""),
+    "cfail": ("dirty dmast plan", """
+        with x as (select unnest([case when length(almacen) not between 4 and 12 then {'c': 'almacen', 'k': 'str_length(4, 12)', 'v': almacen} end,
+                                  case when length(cliente) not between 1 and 3 then {'c': 'cliente', 'k': 'str_length(1, 3)', 'v': cliente} end]) as x, doc_material || '|' || posicion as llave from dirty)
+        select 'raw_mb51' as tabla, x.c as columna, x.k as chequeo, x.v as valor, llave from x where x is not null
+        union all select 'raw_maestro_materiales', 'planta,material', 'multiple_fields_uniqueness', count(*)::varchar, planta || '|' || material from dmast group by planta, material having count(*) > 1
+        union all select 'raw_plan_produccion', 'planta,parte,semana', 'multiple_fields_uniqueness', '2', planta || '|' || parte || '|' || semana from plan where cast(list_last(string_split(parte, '-')) as int) = 14"""),
+    "allviol": ("viol mviol pviol fviol cfail rules", """
+        with v as (select regla, planta, material, anio_contable, doc_material, posicion, null::varchar as parte, unidades::double as unidades, usd_expuesto, detalle from viol
+                   union all select regla, planta, material, null, null, null, parte, unidades, usd_expuesto, detalle from mviol union all select regla, planta, material, null, null, null, parte, unidades, usd_expuesto, detalle from pviol
+                   union all select regla, planta, material, null, null, null, parte, unidades, usd_expuesto, detalle from fviol
+                   union all select 'error_de_schema', null, null, null, null, null, null, 1, null, tabla || '.' || columna || ' ' || chequeo || ': ' || valor || ' (' || llave || ')' from cfail)
+        select * from v left join rules using (regla)"""),
+    "board": ("allviol dirty dmast parts plan cust", """
+        with u as (select planta, 'linea' as unidad, count(*) as universo_planta from dirty group by 1
+                   union all select planta, 'material', count(*) from (select planta, material from dmast union select planta, material from dirty) group by 1
+                   union all select planta, 'parte', count(*) from (select planta, parte from parts where num <> 13 union select planta, parte from plan) group by 1),
+             t as (select distinct planta, material, tipo_material from cust)
+        select regla, defecto, objeto, unidad, severidad, cifra_afectada, planta, material, tipo_material, count(*) as violaciones, sum(unidades) as unidades, sum(usd_expuesto) as usd_expuesto, universo_planta
+        from allviol left join u using (planta, unidad) left join t using (planta, material) group by all"""),
+    "exc": ("monthly acc surv", """
+        with h as (select (select min(fecha_contab) from acc) + (select max(edad) from surv) as minima),
+             r as (select planta, cliente, mes, fin_mes, sum(saldo_fin_mes)::bigint as s, sum(saldo_esperado) as e from monthly group by all),
+             v as (select *, sum(s - e) over w as ve, sum(e) over w as vs, count(*) over w as k, min(fin_mes) over w as p from r window w as (partition by planta, cliente order by mes rows between 2 preceding and current row))
+        select planta, cliente, mes, round(ve * 100 / nullif(vs, 0), 2) as exceso_pct_ciclo, k = 3 and p >= minima as alerta_valida from v, h"""),
+    "sens": ("gap", """
+        select escenario, round(sum(b), 2) as usd_brecha, round(sum(c), 2) as usd_capital_ocioso from (
+          select escenario, tipo_material, round(sum(usd_flete) + sum(usd_compra) + sum(usd_desechable), 2) as b, round(sum(usd_capital_ocioso), 2) as c from gap group by 1, 2) group by 1"""),
+    "impact": ("led prices dirty", """
+        with c as (select mov_type, cantidad, costo_unitario_usd, planta, anio_contable, doc_material, posicion, 'limpio' as de from led join prices using (tipo_material) union all select mov_type, cantidad, costo_unitario_usd, planta, anio_contable, doc_material, posicion, 'sucio' from dirty),
+             a as (select de, coalesce(sum(case when mov_type = '702' then abs(cantidad) * costo_unitario_usd end), 0) as perdida, coalesce(sum(case when mov_type = '621' then abs(cantidad) * costo_unitario_usd end), 0) as salidas_usd,
+                          coalesce(sum(case when mov_type = '622' then abs(cantidad) * costo_unitario_usd end), 0) as recogidas_usd, (count(*) - count(distinct (planta, anio_contable, doc_material, posicion)))::double as llave from c group by 1),
+             u as (unpivot a on perdida, salidas_usd, recogidas_usd, llave into name medida value valor),
+             j as (select case when s.medida = 'llave' then 'identidad' else 'cifra' end as tipo, s.medida, s.valor, l.valor as valor_limpio from u s join u l on l.medida = s.medida and l.de = 'limpio' where s.de = 'sucio')
+        select *, valor - valor_limpio as delta, case when tipo = 'cifra' then round((valor / nullif(valor_limpio, 0) - 1) * 100, 4) end as delta_pct,
+               case when tipo = 'cifra' then abs(round((valor / nullif(valor_limpio, 0) - 1) * 100, 4)) > 1 else valor > 0 end as supera_materialidad from j"""),
 }
 
 

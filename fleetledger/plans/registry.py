@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import rounded
 from ..operators import capacity, contract, cycle, gap, need, quality, reports, stock
 from ..sources import extract
+from . import invariants
 from .models import Models
 from .oracles import statement
 
@@ -149,13 +150,8 @@ TABLE: dict[str, tuple[Build, str, str]] = {
         from x join prices using (tipo_material) join params using (tipo_material) group by all""",
     ),
     "int_calidad_mb51": (lambda m: m.violations.drop("severidad", "cifra_afectada"), "viol", "select * from viol"),
-    "int_calidad_violaciones": (lambda m: m.violations, "viol rules", "select * from viol left join rules using (regla)"),
-    "mart_calidad_datos": (
-        lambda m: quality.board(m.violations, m.lines),
-        "viol rules dirty",
-        """select regla, severidad, cifra_afectada, planta, material, count(*) as violaciones, sum(unidades)::bigint as unidades, sum(usd_expuesto) as usd_expuesto, universo_planta
-           from viol left join rules using (regla) left join (select planta, count(*) as universo_planta from dirty group by 1) using (planta) group by all""",
-    ),
+    "int_calidad_violaciones": (lambda m: m.all_violations, "allviol", "select * from allviol"),
+    "mart_calidad_datos": (lambda m: m.board, "board", "select * from board"),
     "cifras_bloqueadas": (
         lambda m: quality.blocked_figures(m.violations),
         "viol rules figures",
@@ -268,37 +264,26 @@ TABLE: dict[str, tuple[Build, str, str]] = {
     "int_calidad_stock_inicial": (lambda m: m.snapshot_violations, "fviol", "select * from fviol"),
     "cifras_bloqueadas_todas": (
         lambda m: quality.blocked_figures(m.all_violations),
-        "viol rules figures mviol pviol fviol",
-        f""", every_t as (select * from (values {', '.join(f"('{r}', '{s}', '{c}')" for r, s, c in quality.REGLAS_TABLAS)}) as t(regla, severidad, cifra_afectada)),
-             every_a as (select regla from viol union select regla from mviol union select regla from pviol union select regla from fviol),
-             every_b as (select regla, severidad, cifra_afectada from rules union all select * from every_t),
-             every_x as (select distinct regla, unnest(string_split(cifra_afectada, ' ')) as c from every_a join every_b using (regla) where severidad = 'bloquea'),
-             every_y as (select distinct regla, figures.cifra from every_x join figures on c = figures.cifra or c = 'todas')
-        select cifra, string_agg(regla, ', ' order by regla) as reglas from every_y group by 1""",
+        "allviol figures",
+        """, x as (select distinct regla, unnest(string_split(cifra_afectada, ' ')) as c from allviol where severidad = 'bloquea'),
+             y as (select distinct regla, figures.cifra from x join figures on c = figures.cifra or c = 'todas')
+        select cifra, string_agg(regla, ', ' order by regla) as reglas from y group by 1""",
     ),
+    "contrato_tablas": (lambda m: m.contract_failures, "cfail", "select * from cfail"),
     "deteccion_por_defecto": (
         lambda m: quality.detection(quality.injected(m.ledger), m.violations),
         "led viol",
         """, k as (select * from (values (0, 'D05', 'signo_invertido'), (1, 'D02', 'bwart_fuera_de_catalogo'), (2, 'D03', 'lgort_fuera_de_catalogo'), (3, 'D04', 'cliente_vacio'), (4, 'D01', 'llave_duplicada'),
-                   (5, 'D08', 'registro_despues_del_cierre'), (6, 'B04', 'budat_despues_del_corte'), (7, 'B02', 'kunnr_con_formato'), (8, 'B01', 'matnr_con_formato'), (10, 'B03', 'documento_repetido')) as t(h, defecto, regla)),
-             i as (select distinct defecto, regla, planta, anio_contable, case when defecto = 'B03' then 'Z' else '' end || case when mov_type = '311' then concat(doc_material, '-', posicion // 2) else doc_material end as doc,
-                          case when mov_type = '311' then 1 + posicion % 2 else posicion end as pos
+                   (5, 'D08', 'registro_despues_del_cierre'), (6, 'B04', 'budat_despues_del_corte'), (7, 'B02', 'kunnr_con_formato'), (8, 'B01', 'matnr_con_formato'), (9, 'D06', 'cantidad_en_piezas'), (10, 'B03', 'documento_repetido'), (11, 'D16', 'precio_documento_distinto')) as t(h, defecto, regla)),
+             i as (select distinct defecto, regla, planta, case when h <> 11 then anio_contable end as anio_contable, case when h = 11 then material end as mat, case when h = 11 then null else case when defecto = 'B03' then 'Z' else '' end || case when mov_type = '311' then concat(doc_material, '-', posicion // 2) else doc_material end end as doc,
+                          case when h = 11 then null when mov_type = '311' then 1 + posicion % 2 else posicion end as pos
                    from led join k on (posicion * 31 + cast(right(doc_material, 6) as bigint)) % 997 = h
-                   where (h <> 2 or almacen is not null) and (h <> 3 or cliente is not null) and (h <> 7 or (cliente is not null and mov_type in ('621', '622', '702'))) and (h <> 10 or mov_type = '621')),
-             v as (select distinct regla, planta, anio_contable, doc_material, posicion from viol)
-        select defecto, i.regla, count(*) as casos, count(v.regla) as detectados from i left join v on v.regla = i.regla and v.planta = i.planta and v.anio_contable = i.anio_contable and v.doc_material = i.doc and v.posicion = i.pos group by 1, 2""",
-    ),
-    "mart_impacto_defectos": (
-        lambda m: quality.impact(quality.figures(m.ledger.join(F.broadcast(m.prices), "tipo_material", "left")), quality.figures(m.lines)),
-        "led prices dirty",
-        """, c as (select mov_type, cantidad, costo_unitario_usd, planta, anio_contable, doc_material, posicion, 'limpio' as de from led join prices using (tipo_material) union all select mov_type, cantidad, costo_unitario_usd, planta, anio_contable, doc_material, posicion, 'sucio' from dirty),
-             a as (select de, coalesce(sum(case when mov_type = '702' then abs(cantidad) * costo_unitario_usd end), 0) as perdida, coalesce(sum(case when mov_type = '621' then abs(cantidad) * costo_unitario_usd end), 0) as salidas_usd,
-                          coalesce(sum(case when mov_type = '622' then abs(cantidad) * costo_unitario_usd end), 0) as recogidas_usd, (count(*) - count(distinct (planta, anio_contable, doc_material, posicion)))::double as llave from c group by 1),
-             u as (unpivot a on perdida, salidas_usd, recogidas_usd, llave into name medida value valor),
-             j as (select case when s.medida = 'llave' then 'identidad' else 'cifra' end as tipo, s.medida, s.valor, l.valor as valor_limpio from u s join u l on l.medida = s.medida and l.de = 'limpio' where s.de = 'sucio')
-        select *, valor - valor_limpio as delta, case when tipo = 'cifra' then round((valor / nullif(valor_limpio, 0) - 1) * 100, 4) end as delta_pct,
-               case when tipo = 'cifra' then abs(round((valor / nullif(valor_limpio, 0) - 1) * 100, 4)) > 1 else valor > 0 end as supera_materialidad from j""",
+                   where (h <> 2 or almacen is not null) and (h <> 3 or cliente is not null) and (h <> 7 or (cliente is not null and mov_type in ('621', '622', '702'))) and (h <> 9 or mov_type = '621') and (h <> 10 or mov_type = '621') and (h <> 11 or mov_type in ('621', '622', '702'))),
+             v as (select distinct regla, planta, anio_contable, doc_material, posicion, case when doc_material is null then material end as mat from viol)
+        select defecto, i.regla, count(*) as casos, count(v.regla) as detectados from i left join v on v.regla = i.regla and v.planta = i.planta and v.anio_contable is not distinct from i.anio_contable and v.doc_material is not distinct from i.doc and v.posicion is not distinct from i.pos
+             and v.mat is not distinct from i.mat group by 1, 2""",
     ),
+    "mart_impacto_defectos": (lambda m: m.impact, "impact", "select * from impact"),
     "extracto_mb51": (
         lambda m: extract.movements(extract.as_extract(m.ledger)),
         "led",
@@ -335,7 +320,86 @@ TABLE: dict[str, tuple[Build, str, str]] = {
         """select tipo_material, r as tasa_pct, round(sum(viajes * (desechable_equiv_usd - costo_unitario_usd / ((1 - power(1 - r / 100, vida_util_ciclos)) / (r / 100)) - mant_por_ciclo_usd)), 2) as ahorro_neto_usd
            from tcomat cross join (select unnest([0.5, 1.0, 2.0, 5.0])::double as r) group by 1, 2""",
     ),
+    "stg_maestro_materiales": (
+        lambda m: cycle.price_of(m.dirty["master"]),
+        "dmast",
+        "select planta, material, tipo_material, precio / nullif(unidad_precio, 0) as costo_unitario_usd from dmast",
+    ),
+    "stg_mb51": (
+        lambda m: cycle.staged_movements(m.lines, m.clean_master),
+        "dirty mastr cust",
+        """, t as (select distinct planta, material, tipo_material from cust)
+        select planta, cliente, material, t.tipo_material, almacen, mov_type, fecha_contab, fecha_registro, anio_contable, doc_material, posicion, cantidad::bigint as cantidad, costo as costo_unitario_usd,
+               (fecha_registro - fecha_contab)::int as lag_dias, fecha_registro - fecha_contab > 2 as flag_tardio from (select * exclude (tipo_material) from dirty) left join mastr using (planta, material) left join t using (planta, material)""",
+    ),
+    "stg_stock_inicial": (lambda m: cycle.typed(m.snapshot, m.clean_master), "snap", "select planta, almacen, material, tipo_material, null as cliente, cantidad, fecha from snap"),
+    "stg_instruccion_empaque": (lambda m: cycle.typed(m.plan[1], m.clean_master), "parts", "select planta, parte, material, tipo_material, ppc as piezas_por_contenedor from parts"),
+    "reporte_exceso_mensual": (
+        lambda m: six(reports.excess_by_month(cycle.route_excess(m.monthly, m.account, m.curve), m.routes), "rota", "resto"),
+        "exc routes",
+        """select mes, round(median(case when ruta_rota then exceso_pct_ciclo end), 6) as rota, round(median(case when not ruta_rota then exceso_pct_ciclo end), 6) as resto
+           from exc join routes using (planta, cliente) where alerta_valida group by 1""",
+    ),
+    "reporte_ahorro_por_planta": (
+        lambda m: reports.saving_by_plant(cycle.cost_comparison(m.cost)),
+        "tcomat",
+        """, a as (select planta, tipo_material, round(viajes * (desechable_equiv_usd - (costo_unitario_usd / vida_esperada_ciclos + mant_por_ciclo_usd)), 2) as ahorro from tcomat),
+             p as (select planta, sum(case when tipo_material = 'KLT' then ahorro end) as KLT, sum(case when tipo_material = 'RACK' then ahorro end) as RACK from a group by 1)
+        select *, coalesce(KLT, 0) + coalesce(RACK, 0) as total from p""",
+    ),
+    "reporte_huella": (
+        lambda m: reports.fingerprint(m.customer),
+        "cust",
+        """select planta, count(*) as lineas, sum(case when mov_type = '621' then abs(cantidad) end)::bigint as unidades_621, sum(case when mov_type = '622' then abs(cantidad) end)::bigint as unidades_622,
+                  sum(case when mov_type = '702' then abs(cantidad) end)::bigint as unidades_702, sum(('0x' || substr(md5(concat_ws('|', cliente, material, mov_type, fecha_contab, cantidad, doc_material, posicion)), 1, 8))::bigint)::bigint as huella
+           from cust where mov_type in ('621', '622', '702') group by 1""",
+    ),
+    "reporte_rezago": (
+        lambda m: reports.lag_distribution(m.lines),
+        "dirty",
+        """, d as (select (fecha_registro - fecha_contab)::int as lag_dias, count(*) as lineas from dirty group by 1)
+        select lag_dias, lineas, round(lineas * 100.0::double / (sum(lineas) over ())::double, 4) as pct from d""",
+    ),
+    "reporte_brecha_arranque": (
+        lambda m: reports.gap_by_ramp(m.gap, m.plan[1]),
+        "gap parts",
+        """select tipo_material, coalesce(a, false) as con_arranque, count(*) as materiales, round(sum(deficit_pico), 1) as deficit, round(sum(usd_flete + usd_compra + usd_desechable), 2) as usd_brecha
+           from gap left join (select planta, material, bool_or(num % 5 = 0) as a from parts group by 1, 2) using (planta, material) where escenario = 'base' group by 1, 2""",
+    ),
+    "reporte_frontera": (lambda m: reports.frontier(gap.gap_sensitivity(m.gap, m.need, m.levels)), "sens", f"select * from sens where escenario in ({', '.join(repr(e) for e in reports.POLICIES)})"),
+    "reporte_coeficientes_flete": (
+        lambda m: reports.freight_coefficients(m.lent, m.prices),
+        "lend prices",
+        """select tipo_material, round(sum(recibido_mismo_pais * costo_unitario_usd) / 100, 2) as mismo_pais, round(sum(recibido_otro_pais * costo_unitario_usd) / 100, 2) as otro_pais
+           from lend join prices using (tipo_material) where escenario = 'base' group by 1""",
+    ),
+    "reporte_tablero": (
+        lambda m: reports.rule_board(m.rules, m.board),
+        "rules board",
+        """select r.regla, r.defecto, r.unidad, r.severidad, r.cifra_afectada, coalesce(sum(violaciones), 0)::bigint as violaciones, round(sum(usd_expuesto), 2) as usd_expuesto
+           from rules r left join board b on b.regla = r.regla group by 1, 2, 3, 4, 5""",
+    ),
+    "reporte_correlacion_rangos": (
+        lambda m: reports.rank_correlation(m.board),
+        "board",
+        """, s as (select regla, planta, sum(violaciones) as n, sum(usd_expuesto) as usd from board where usd_expuesto is not null group by 1, 2),
+             r as (select regla, rank() over (partition by regla order by n) + (count(*) over (partition by regla, n) - 1) / 2.0::double as a, rank() over (partition by regla order by usd) + (count(*) over (partition by regla, usd) - 1) / 2.0::double as b from s)
+        select regla, count(*) as plantas, round(case when stddev_pop(a) > 0 and stddev_pop(b) > 0 then corr(a, b) end, 6) as correlacion from r group by 1""",
+    ),
+    "documentos_numerados": (
+        lambda m: stock.numbered_documents(m.ledger),
+        "led",
+        """select anio_contable, fecha_contab, doc_material, concat('49', lpad((dense_rank() over (partition by anio_contable order by fecha_contab, doc_material))::varchar, 8, '0')) as numero
+           from (select distinct anio_contable, fecha_contab, doc_material from led)""",
+    ),
+    "faltantes_por_cierre": (
+        lambda m: stock.month_end_batch(m.customer.where("mov_type = '702'"), m.v),
+        "cust",
+        """, d as (select planta, material, tipo_material, last_day(fecha_contab) - greatest(0, isodow(last_day(fecha_contab)) - 5)::int as fecha_contab, sum(abs(cantidad))::bigint as cantidad from cust where mov_type = '702' group by 1, 2, 3, 4)
+        select * from d where fecha_contab <= date '2001-06-30'""",
+    ),
 }
+TABLE |= invariants.TABLE
 
 
 def queries() -> dict[str, Callable]:

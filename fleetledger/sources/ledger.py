@@ -59,6 +59,8 @@ ESCENARIOS_BRECHA = [
 ]
 ESCENARIOS_SCHEMA = "escenario string, tipo_material string, factor_costo_quiebre double, costo_capital_anual_pct double, z_fija double, ajuste_ciclo_dias double"
 PLANTAS = [("P0", "MX"), ("P1", "MX"), ("P2", "US"), ("P3", "US"), ("P4", "NI")]
+#: Pieces in a container of the material with the number 0: more than containers in any line.
+PIEZAS = 60
 PRECIOS = [("KLT", 25.0), ("RACK", 180.0), ("CARTON", 8.0)]
 
 
@@ -94,7 +96,7 @@ def production_plan(customer: DataFrame, v: Vars = VARS) -> tuple[DataFrame, Dat
     number = F.split("material", "-")[1].cast("int")
     recent = customer.where((F.col("mov_type") == "621") & (F.col("fecha_contab") > F.date_sub(F.lit(v.fecha_extraccion), 7 * weeks)))
     out = recent.groupBy("planta", "cliente", "material", "tipo_material").agg(F.sum(F.abs("cantidad")).cast("long").alias("n")).withColumn("numero", number)
-    parts = out.withColumn("parte", F.concat_ws("-", "cliente", "material")).withColumn("piezas_por_contenedor", (10 + F.col("numero")).cast("long"))
+    parts = out.withColumn("parte", F.concat_ws("-", "cliente", "material")).withColumn("piezas_por_contenedor", (PIEZAS + F.col("numero")).cast("long"))
     monday = F.date_add(F.trunc(F.lit(v.fecha_extraccion), "week"), 7 * F.col("k"))
     factor = F.when((F.col("numero") % 5 == 0) & (F.col("k") >= 6), 13).otherwise(10)
     plan = parts.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(12)))).select(
@@ -138,14 +140,15 @@ def customer_ledger(spark: SparkSession, sf_dir: str, v: Vars = VARS) -> DataFra
 
 
 def internal_transfers(customer: DataFrame) -> DataFrame:
-    """311 transfers around the customer movements: cleaned after each pickup, filled before each shipment."""
+    """311 transfers around the customer movements: cleaned after each pickup, filled before each shipment. Each is a document
+    of its own, with two legs."""
     def legs(kind: str, days: int, source: str, target: str, series: str) -> DataFrame:
         rows = customer.where(F.col("mov_type") == kind).withColumn("n", F.abs("cantidad"))
         pair = F.explode(F.array(F.struct(F.lit(source).alias("a"), (-F.col("n")).alias("n"), F.lit(0).alias("k")), F.struct(F.lit(target).alias("a"), F.col("n").alias("n"), F.lit(1).alias("k"))))
         rows = rows.withColumn("leg", pair).withColumn("fecha", F.date_add("fecha_contab", days))
         return rows.select(
             "planta", F.lit(None).cast("string").alias("cliente"), "material", "tipo_material", F.lit("311").alias("mov_type"), F.col("leg.a").alias("almacen"),
-            F.col("fecha").alias("fecha_contab"), F.col("leg.n").alias("cantidad"), F.concat(F.lit(series), "doc_material").alias("doc_material"),
+            F.col("fecha").alias("fecha_contab"), F.col("leg.n").alias("cantidad"), F.concat(F.lit(series), F.col("posicion").cast("string"), "doc_material").alias("doc_material"),
             (F.col("posicion") * 2 + F.col("leg.k")).cast("int").alias("posicion"), F.year("fecha").cast("long").alias("anio_contable"),
         )
 
@@ -186,7 +189,7 @@ def dirty_lines(ledger: DataFrame, classes: DataFrame, v: Vars = VARS) -> DataFr
         "planta", F.when(F.col("h") == 3, None).when(F.col("h") == 7, F.concat(F.lit("00"), "cliente")).otherwise(F.col("cliente")).alias("cliente"),
         hit(8, F.concat(F.lit("000"), "material"), "material"), F.when((F.col("h") == 2) & F.col("almacen").isNotNull(), "XX99").otherwise(F.col("almacen")).alias("almacen"),
         hit(6, F.date_add(F.lit(v.fecha_extraccion), 3), "fecha_contab"), "anio_contable", hit(1, F.lit("999"), "mov_type"),
-        F.when(F.col("h") == 0, -F.col("cantidad")).when((F.col("h") == 9) & (F.col("mov_type") == "622"), F.col("cantidad") * 50).otherwise(F.col("cantidad")).cast("long").alias("cantidad"),
+        F.when(F.col("h") == 0, -F.col("cantidad")).when((F.col("h") == 9) & (F.col("mov_type") == "621"), F.col("cantidad") * (PIEZAS + F.split("material", "-")[1].cast("long"))).otherwise(F.col("cantidad")).cast("long").alias("cantidad"),
         "doc_material", "posicion", "h", F.when(F.col("mov_type") == "621", F.concat(F.lit("R"), "doc_material")).alias("ref_externa"),
         F.when(F.col("h") == 5, F.date_add(F.last_day("fecha_contab"), 15)).otherwise(F.date_add("fecha_contab", F.col("posicion") % 5)).alias("fecha_registro"),
     )
@@ -195,7 +198,10 @@ def dirty_lines(ledger: DataFrame, classes: DataFrame, v: Vars = VARS) -> DataFr
     kind = F.regexp_extract("material", "^(KLT|RCK|CTN)-", 1)
     tipo = F.when(kind == "KLT", "KLT").when(kind == "RCK", "RACK").when(kind == "CTN", "CARTON")
     price = F.element_at(F.create_map(*[F.lit(x) for p in PRECIOS for x in p]), F.col("tipo_material"))
-    return again.withColumn("tipo_material", tipo).withColumn("costo_unitario_usd", price).join(F.broadcast(classes), "mov_type", "left").drop("h", "copia")
+    # Every other customer line carries its document's price, those of fault 11 a fifth too much.
+    paid = F.when(F.col("mov_type").isin("621", "622", "702") & ((F.col("posicion") % 2 == 0) | (F.col("h") == 11)), F.when(F.col("h") == 11, F.col("costo_unitario_usd") * 1.2).otherwise(F.col("costo_unitario_usd")))
+    made = again.withColumn("tipo_material", tipo).withColumn("costo_unitario_usd", price).withColumn("costo_documento_usd", paid)
+    return made.join(F.broadcast(classes), "mov_type", "left").drop("h", "copia")
 
 
 #: Prefix of a material's code and the type it stands for; material groups.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from paths import SF
 from fleetledger.operators import quality, stock
-from fleetledger.plans import registry
+from fleetledger.plans import invariants, registry
 from fleetledger.plans.models import Models
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -86,3 +86,26 @@ def test_rules_of_tables_reach_the_gate(models, rule, figure):
     with pytest.raises(ValueError, match=f"{figure}: {rule}"):
         quality.require(models.all_violations.where(F.col("regla") == rule), [figure])
     assert models.all_violations.where("severidad is null").count() == 0
+
+
+@pytest.mark.parametrize("name", list(invariants.TABLE))
+def test_invariants_hold(models, name):
+    invariants.assert_empty(invariants.TABLE[name][0](models))
+
+
+def test_counts_are_long(models):
+    for df, names in ((models.board, ("violaciones", "universo_planta")), (models.routes, ("contenedores_salida", "salidas_conciliadas", "faltantes")), (models.fleet, ("flota", "en_planta"))):
+        assert invariants.wrong_counts(df, names) == []
+
+
+def test_an_invariant_that_fails_is_seen(models):
+    assert invariants.unequal(models.routes.withColumn("n", F.lit(1)), models.routes.withColumn("n", F.lit(2)), ["planta", "cliente"]).count() == models.routes.count()
+    with pytest.raises(AssertionError, match="should be none"):
+        invariants.assert_empty(models.routes)
+
+
+def test_every_planted_fault_that_its_rule_can_see_is_reported(models):
+    got = {r["defecto"]: (r["casos"], r["detectados"]) for r in quality.detection(quality.injected(models.ledger), models.violations).collect()}
+    assert {"D06", "D16"} <= got.keys() and all(n > 0 for n, _ in got.values())
+    # Of outflows in pieces only those of materials with a packing instruction can be told.
+    assert got["D06"][1] > 0 and got["D01"][0] == got["D01"][1] and got["B03"][0] == got["B03"][1]
