@@ -47,6 +47,9 @@ HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 CAPTURE = "url_key string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 NAMES = [c.split()[0] for c in CAPTURE.split(", ")]
+#: Inside runs ids are text: in lists of structs, pandas would make a long beside nulls a float64 and round it.
+RUN = f"run array<struct<{CAPTURE.replace('_id long', '_id string').replace('to long', 'to string').replace(' ', ':').replace(',:', ',')}>>"
+IDS = [NAMES.index("page_id"), NAMES.index("refers_to")]
 
 
 def base32_sha1(text: Column) -> Column:
@@ -201,11 +204,19 @@ class LoserTree:
             self._play(winner)
 
 
+def packed(row: tuple) -> dict:
+    return {c: str(x) if i in IDS and x is not None else x for i, (c, x) in enumerate(zip(NAMES, row))}
+
+
+def unpacked(c: dict) -> tuple:
+    return tuple(number(c[x]) if i in IDS else c[x] for i, x in enumerate(NAMES))
+
+
 def frame(rows: list[tuple]) -> pd.DataFrame:
     """Captures as a frame; ids stay exact beside nulls."""
     made = pd.DataFrame(rows, columns=NAMES)
-    for at, c in ((2, "page_id"), (6, "refers_to")):
-        made[c] = pd.array([r[at] for r in rows], "Int64")
+    for i in IDS:
+        made[NAMES[i]] = pd.array([r[i] for r in rows], "Int64")
     return made
 
 
@@ -218,20 +229,20 @@ def capture_index(spark: SparkSession, path: str) -> DataFrame:
         for f in frames:
             for data in f["content"]:
                 data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                yield pd.DataFrame({"run": [[dict(zip(NAMES, r)) for r in run_of(data)]]})
+                yield pd.DataFrame({"run": [[packed(r) for r in run_of(data)]]})
 
-    stored = common.materialise(files.mapInPandas(parsed, f"run array<struct<{CAPTURE.replace(' ', ':').replace(',:', ',')}>>"), "capture-runs")
+    stored = common.materialise(files.mapInPandas(parsed, RUN), "capture-runs")
     captures = stored.select(F.explode("run").alias("c")).select("c.url_key", "c.captured", "c.page_id")
     n = max(common.partitions(spark), -(-captures.count() // RANGE_ROWS))
-    some = sorted((tuple(r) for r in captures.orderBy(F.xxhash64("url_key", "captured", "page_id")).limit(SAMPLED * n).collect()), key=order)
-    splitters = [order(some[len(some) * i // n]) for i in range(1, n)] if some else []
+    some = sorted(order((key, at, number(page))) for key, at, page in captures.orderBy(F.xxhash64("url_key", "captured", "page_id")).limit(SAMPLED * n).collect())
+    splitters = [some[len(some) * i // n] for i in range(1, n)] if some else []
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for run in f["run"]:
                 slices: dict[int, list] = {}
                 for c in run:
-                    slices.setdefault(bisect_right(splitters, order(tuple(c[x] for x in NAMES))), []).append(c)
+                    slices.setdefault(bisect_right(splitters, order(unpacked(c))), []).append(c)
                 if slices:
                     yield pd.DataFrame({"range": list(slices), "run": list(slices.values())})
 
@@ -255,11 +266,11 @@ def capture_index(spark: SparkSession, path: str) -> DataFrame:
                     yield from done()
                     lists = []
                 now = r
-                lists.append([tuple(c[x] for x in NAMES) for c in run])
+                lists.append([unpacked(c) for c in run])
         if lists:
             yield from done()
 
-    sliced = stored.mapInPandas(cut, "range int, " + stored.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ", 1))
+    sliced = stored.mapInPandas(cut, f"range int, {RUN}")
     dealt = sliced.repartition(n, "range").sortWithinPartitions("range")
     return dealt.mapInPandas(merged, f"{CAPTURE}, range int, rank long").select("range", "rank", *NAMES)
 

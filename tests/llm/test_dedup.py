@@ -291,6 +291,28 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_ids_dates_and_bounds(spark, monkeypatch):
+    """Ids beyond any date, a page_id that repeats with its payload, null ids: every record has its own id, and every name
+    that a revisit refers to exists. Heavy records go to files of their own."""
+    monkeypatch.setattr(warc, "LIGHT", 2000)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 3)
+    big = (1 << 62) + 1
+    own = [(big, "http://a/", "x"), (big + 1, "http://b/", "x"), (big + 2, "http://c/", "y"), (big + 2, "http://c/", "y"), (7, "http://d/", "y"), (None, None, "z"), (None, None, "z"), (9, "http://e/", "w" * 9000)]
+    pages = spark.createDataFrame(own, "page_id long, url string, html string")
+    path = warc.common.fresh_path(spark, "warc")
+    got = {(r["page_id"], r["payload_bytes"]): (r["record_type"], r["refers_to"]) for r in warc.round_trip(pages, path=path).collect()}
+    assert got == {(big, 1): ("revisit", big + 1), (big + 1, 1): ("response", None), (big + 2, 1): ("response", None), (7, 1): ("revisit", big + 2), (None, 1): ("response", None), (9, 9000): ("response", None)}
+    import gzip
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).collect()
+    records = [h for f in files for h, _ in warc.parse(gzip.decompress(f["content"]))]
+    names = [h["WARC-Record-ID"] for h in records]
+    assert len(names) == len(set(names)) == len(own) and {h["WARC-Refers-To"] for h in records if "WARC-Refers-To" in h} <= set(names)
+    assert any("/heavy/" in f["path"] for f in files)
+    dated = pages.withColumn("captured", F.lit("2020-02-03 04:05:06").cast("timestamp"))
+    assert {r["captured"] for r in (warc.write_archives(dated, path + "2"), warc.capture_index(spark, path + "2"))[1].collect()} == {"2020-02-03T04:05:06Z"}
+
+
 def test_loser_tree():
     rng = random.Random(6)
     for k in range(1, 9):

@@ -92,3 +92,39 @@ def test_pipeline_stage_by_stage(spark):
 def test_registered(spark):
     names = [n for n in entry.queries() if n.startswith("op")]
     assert {n.split("_")[0] for n in names} == {f"op{n}" for n in range(1, 11)} and "pipeline" in entry.queries()
+
+
+def test_no_evidence_rejects_nothing(spark):
+    """Without labels, or with toxic ones only, all documents stay; nullable integers beside the text stay exact."""
+    big = (1 << 60) + 1
+    docs = spark.createDataFrame([(big, "a b", None), (None, "c d", big + 2), (3, "e", 5)], "doc_id long, text string, extra long").coalesce(1)
+    for marks in ([], [(big, 1), (3, 1)]):
+        labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+        kept = toxicity.drop_toxic(docs, labels).collect()
+        assert sorted(map(tuple, kept), key=str) == sorted(map(tuple, docs.collect()), key=str)
+        assert {r["doc_id"] for r in toxicity.toxicity(docs, labels).collect()} == {big, None, 3}
+
+
+def test_the_sample_is_bounded_in_bytes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, *rest: seen.append(texts) or toxicity.Model(np.zeros(toxicity.BUCKETS), 0.0, 0.0, -1.0))
+    docs = spark.createDataFrame([(i % 300, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(600)] + [(1, "v" * 3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "ROW_BYTES", 2000)
+    toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 5000)
+    toxicity.train(docs, labels)
+    whole, part = seen
+    assert 200 < len(whole) < 300 and max(map(len, whole)) <= 2000  # one row an id, none held out
+    assert 0 < sum(map(len, part)) <= 5000 and set(part) < set(whole)
+
+
+@pytest.mark.parametrize("sf, recall, false", [("sf0.1", 0.9, 0.05)])
+def test_held_out_labels(spark, sf, recall, false):
+    """What the labels say of documents that did not train. Some labels are noise; on sf0.01 six held-out documents are toxic,
+    too few for a bound."""
+    path = f"/root/testdata/{sf}"
+    known = toxicity.toxicity(common.table(spark, path, "documents"), common.table(spark, path, "labels")).where("held_out").join(common.table(spark, path, "labels"), "doc_id")
+    rows = [(r["toxic"], r["predicted"]) for r in known.select("toxic", "predicted").collect()]
+    toxic, clean = [p for y, p in rows if y == 1], [p for y, p in rows if y == 0]
+    assert sum(toxic) >= recall * len(toxic) and sum(clean) <= false * len(clean)
