@@ -82,8 +82,8 @@ def captures_of(pages: DataFrame) -> DataFrame:
     )
 
 
-def records_of(captures: DataFrame, owners: DataFrame) -> DataFrame:
-    """The text of each record without its end, as `record`, and its weight."""
+def records_of(captures: DataFrame, owners: DataFrame, part: str) -> DataFrame:
+    """The text of each record of a part of the archives, without its end, as `record`."""
     # A payload of very many pages is split by adaptive execution.
     judged = captures.join(owners, "same", "left")
     revisit = F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
@@ -93,7 +93,7 @@ def records_of(captures: DataFrame, owners: DataFrame) -> DataFrame:
     # The one response of a payload has a name that its revisits know; any other record has one by its place in the job.
     lone = F.col("owners") == 1
     response_of = F.concat(F.lit("<urn:page:"), F.col("owner").cast("string"), F.lit(":"), F.lower(F.hex("same")), F.lit(">"))
-    by_place = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.lit(":row:"), F.monotonically_increasing_id().cast("string"), F.lit(">"))
+    by_place = F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.lit(f":{part}:"), F.monotonically_increasing_id().cast("string"), F.lit(">"))
     record = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
@@ -125,7 +125,7 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     for name, mine, most in (("light", F.col("weight") <= LIGHT, RECORDS), ("heavy", F.col("weight") > LIGHT, max(1, RECORDS * LIGHT // max(1, heaviest)))):
         if name == "light" or heaviest > LIGHT:
             part = captures if heaviest <= LIGHT else captures.where(mine)
-            records_of(part, owners).write.option("lineSep", END).option("maxRecordsPerFile", most).option("compression", "gzip").text(f"{path}/{name}")
+            records_of(part, owners, name).write.option("lineSep", END).option("maxRecordsPerFile", most).option("compression", "gzip").text(f"{path}/{name}")
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
