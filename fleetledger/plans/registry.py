@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.kernels import rounded
 from ..operators import capacity, contract, cycle, gap, need, quality, reports, stock
 from ..sources import extract
-from . import invariants
+from . import adapters, invariants
 from .models import Models
 from .oracles import statement
 
@@ -399,7 +399,7 @@ TABLE: dict[str, tuple[Build, str, str]] = {
         select * from d where fecha_contab <= date '2001-06-30'""",
     ),
 }
-TABLE |= invariants.TABLE
+TABLE |= adapters.TABLE | invariants.TABLE
 
 
 def queries() -> dict[str, Callable]:
