@@ -162,8 +162,8 @@ ODD = re.compile("[\x1c-\x1f]")
 
 
 #: Texts of these characters alone (white space, printable ASCII, Latin letters and marks up to U+017F) can be cut here:
-#: each character is whole under NFC and lower-cases to one character, but for those that NOT_PLAIN adds.
-NOT_PLAIN = re.compile("[^\t-\r -~\xa0-\u017f]|\u0130|<\\|")
+#: each character is whole under NFC and, but for U+0130, lower-cases to one character.
+NOT_PLAIN = re.compile("[^\t-\r -~\xa0-\u012f\u0131-\u017f]")
 LETTERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u017f"
 NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: How the tokenizer cuts a text of such characters.
@@ -195,7 +195,7 @@ class WordEncoder:
             (words if x.isalpha() and not NOT_PLAIN.search(x) else rest).append(x)
         for at in range(0, len(words), JOINED):
             part = words[at : at + JOINED]
-            ids = np.asarray(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, f"<u{self.width}")
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, f"<u{self.width}")
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
             if len(cuts) != len(part):
                 raise ValueError("a word is not one piece of the tokenizer")
@@ -205,19 +205,23 @@ class WordEncoder:
             self.known[piece] = np.asarray(found.ids, f"<u{self.width}").tobytes()
 
     def cut(self, text: str) -> list[str]:
-        if not NOT_PLAIN.search(text):
+        if not NOT_PLAIN.search(text) and "<|" not in text:
             return PIECE.findall(text.lower())
         return [r for r in SPACES.split(text) if r] if ODD.search(text) else text.split()
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Texts a few hundred at a time: each looks up its pieces in a small table of the batch's own."""
         pieces = list(map(self.cut, texts))
-        new = set().union(*pieces) - self.known.keys()
+        here = set().union(*pieces)
+        # A difference with the keys would walk through all that is remembered.
+        new = [p for p in here if p not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = set().union(*pieces)
+            new = list(here)
         if new:
-            self._learn(list(new))
-        return [b"".join(map(self.known.__getitem__, p)) for p in pieces]
+            self._learn(new)
+        ids = dict(zip(here, map(self.known.__getitem__, here)))
+        return [b"".join(map(ids.__getitem__, p)) for p in pieces]
 
 
 @lru_cache(maxsize=2)
