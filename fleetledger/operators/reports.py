@@ -169,3 +169,10 @@ def saving_sensitivity(cost: DataFrame, rates: tuple[float, ...] = (0.5, 1.0, 2.
     life = (1 - F.pow(1 - p, F.col("vida_util_ciclos"))) / p
     saved = F.col("viajes") * (F.col("desechable_equiv_usd") - F.col("costo_unitario_usd") / life - F.col("mant_por_ciclo_usd"))
     return cost.crossJoin(F.broadcast(grid)).groupBy("tipo_material", "tasa_pct").agg(rounded(F.sum(saved), 2).alias("ahorro_neto_usd"))
+
+
+def saving_by_price(comparison: DataFrame, prices: tuple[float, ...] = (34.0, 40.0, 45.0, 50.0, 55.0, 60.0, 66.0), tipo: str = "RACK") -> DataFrame:
+    """Net saving of a type if its one-way packaging had a given price."""
+    grid = comparison.sparkSession.createDataFrame([(p,) for p in prices], "desechable_usd double")
+    saved = F.col("viajes") * (F.col("desechable_usd") - F.col("costo_retornable_por_ciclo_usd"))
+    return comparison.where(F.col("tipo_material") == tipo).crossJoin(F.broadcast(grid)).groupBy("desechable_usd").agg(rounded(F.sum(saved), 2).alias("ahorro_neto_usd"))

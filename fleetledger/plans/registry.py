@@ -320,6 +320,12 @@ TABLE: dict[str, tuple[Build, str, str]] = {
         """select tipo_material, r as tasa_pct, round(sum(viajes * (desechable_equiv_usd - costo_unitario_usd / ((1 - power(1 - r / 100, vida_util_ciclos)) / (r / 100)) - mant_por_ciclo_usd)), 2) as ahorro_neto_usd
            from tcomat cross join (select unnest([0.5, 1.0, 2.0, 5.0])::double as r) group by 1, 2""",
     ),
+    "reporte_sensibilidad_desechable": (
+        lambda m: reports.saving_by_price(cycle.cost_comparison(m.cost)),
+        "tcomat",
+        """select d as desechable_usd, round(sum(viajes * (d - round(costo_unitario_usd / vida_esperada_ciclos + mant_por_ciclo_usd, 4))), 2) as ahorro_neto_usd
+           from tcomat cross join (select unnest([34, 40, 45, 50, 55, 60, 66])::double as d) where tipo_material = 'RACK' group by 1""",
+    ),
     "stg_maestro_materiales": (
         lambda m: cycle.price_of(m.dirty["master"]),
         "dmast",
