@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import ratio, rounded, running
-from ..sources.ledger import VARS, Vars
+from ..sources.ledger import VARS, Vars, fault_mark
 
 KEY = ("planta", "material", "anio_contable", "doc_material", "posicion")
 OUTFLOWS = ("storno_compra", "consumo", "baja", "salida_desechable", "salida_cliente", "faltante_cliente")
@@ -301,8 +301,7 @@ FALLAS = [
 
 def injected(ledger: DataFrame) -> DataFrame:
     """The log of planted faults: defecto, regla, and the key under which the faulty line, or for D16 the material, stands."""
-    mark = (F.col("posicion") * 31 + F.substring("doc_material", -6, 6).cast("long")) % 997
-    kinds = F.array(*[F.when((mark == h) & F.expr(real), F.struct(F.lit(d).alias("defecto"), F.lit(r).alias("regla"))) for h, d, r, real in FALLAS])
+    kinds = F.array(*[F.when((fault_mark() == h) & F.expr(real), F.struct(F.lit(d).alias("defecto"), F.lit(r).alias("regla"))) for h, d, r, real in FALLAS])
     rows = ledger.withColumn("f", F.explode(kinds)).where("f is not null")
     moved, again, padded, line = F.col("mov_type") == "311", F.col("f.defecto") == "B03", F.col("f.defecto") == "B01", F.col("f.defecto") != "D16"
     doc = F.when(moved, F.concat("doc_material", F.lit("-"), F.floor(F.col("posicion") / 2).cast("string"))).otherwise(F.col("doc_material"))
@@ -323,14 +322,53 @@ def detection(log_: DataFrame, found: DataFrame) -> DataFrame:
     return mine.join(seen, on, "left").groupBy("defecto", "regla").agg(F.count(F.lit(1)).alias("casos"), F.count("r").alias("detectados"))
 
 
-def figures(lines: DataFrame) -> DataFrame:
-    """Figures of a ledger as long measurements: tipo, medida, valor."""
+#: Fault kinds of the other tables: the number in the code that picks them, the code's kind, the rule that must report
+#: each, and when the fault really changes a row. Materials of the master and of the snapshot, or parts.
+FALLAS_TABLAS = [
+    (5, "maestro", "D17", "grupo_fuera_de_catalogo", "true"), (9, "maestro", "D14", "grupo_contradice_codigo", "tipo_material <> 'RACK'"), (3, "maestro", "D13", "unidad_de_precio", "true"),
+    (7, "maestro", "D18", "moneda_distinta", "true"), (11, "maestro", "D15", "material_sin_maestro", "true"), (2, "maestro", None, "llave_maestro_duplicada", "planta = 'P0'"),
+    (4, "foto", "D09", "material_sin_foto", "true"), (1, "foto", "D03", "lgort_fuera_de_catalogo", "true"), (6, "parte", "D10", "parte_sin_instruccion", "true"), (8, "parte", "D11", "piezas_en_cero", "true"),
+    (10, "parte", "D12", "instruccion_a_desechable", "true"), (12, "parte", None, "instruccion_fuera_de_planta", "true"), (13, "parte", None, "parte_sin_registro", "true"), (14, "parte", None, "llave_plan_duplicada", "true"),
+]
+
+
+def injected_tables(customer: DataFrame, snapshot: DataFrame, instruction: DataFrame) -> DataFrame:
+    """The log of faults planted in the master, the snapshot and the plan's tables: defecto, regla, planta, and the material
+    or part (llave) that is at fault."""
+    number = lambda c: F.element_at(F.split(c, "-"), -1).cast("int").alias("numero")
+    own = lambda df, table, c: df.select(F.lit(table).alias("tabla"), "planta", F.col(c).alias("llave"), "tipo_material", number(c)).distinct()
+    rows = own(customer, "maestro", "material").unionByName(own(snapshot, "foto", "material")).unionByName(own(instruction, "parte", "parte"))
+    kinds = F.array(*[F.when((F.col("numero") == n) & (F.col("tabla") == t) & F.expr(real), F.struct(F.lit(d).cast("string").alias("defecto"), F.lit(r).alias("regla"))) for n, t, d, r, real in FALLAS_TABLAS])
+    return rows.withColumn("f", F.explode(kinds)).where("f is not null").select("f.defecto", "f.regla", "planta", "llave").distinct()
+
+
+def detection_in_tables(log_: DataFrame, found: DataFrame) -> DataFrame:
+    """For each kind of fault of the tables: how many were planted, how many their own rule reports for the same plant and
+    material or part, and how many others that rule reports."""
+    seen = found.select("regla", "planta", F.coalesce("parte", "material").alias("llave"), F.lit(1).alias("visto")).distinct()
+    rules = log_.select("regla", "defecto").distinct()
+    met = log_.withColumn("caso", F.lit(1)).join(seen.join(F.broadcast(rules.select("regla")), "regla", "left_semi"), ["regla", "planta", "llave"], "full").drop("defecto")
+    sums = met.groupBy("regla").agg(F.count("caso").alias("casos"), F.count(F.when(F.col("caso") == 1, F.col("visto"))).alias("detectados"), F.count(F.when(F.col("caso").isNull(), F.col("visto"))).alias("otros"))
+    return rules.join(sums, "regla")
+
+
+def measures() -> list[Column]:
+    """Sums over the lines of a ledger: three figures, and the identity that no key stands twice."""
     n = F.abs("cantidad").cast("double")
     usd = lambda kind: F.coalesce(F.sum(F.when(F.col("mov_type") == kind, n * F.col("costo_unitario_usd"))), F.lit(0.0))
     key = F.struct(*(c for c in KEY if c != "material"))
-    one = lines.agg(usd("702").alias("perdida"), usd("621").alias("salidas_usd"), usd("622").alias("recogidas_usd"), (F.count(F.lit(1)) - F.countDistinct(key)).cast("double").alias("llave"))
+    return [usd("702").alias("perdida"), usd("621").alias("salidas_usd"), usd("622").alias("recogidas_usd"), (F.count(F.lit(1)) - F.countDistinct(key)).cast("double").alias("llave")]
+
+
+def measured(sums: DataFrame, *keys: str) -> DataFrame:
+    """Sums as long measurements: tipo, medida, valor."""
     parts = F.array(*[F.struct(F.lit(t).alias("tipo"), F.lit(m).alias("medida"), F.col(m).alias("valor")) for t, m in (("cifra", "perdida"), ("cifra", "salidas_usd"), ("cifra", "recogidas_usd"), ("identidad", "llave"))])
-    return one.select(F.explode(parts).alias("x")).select("x.*")
+    return sums.select(*keys, F.explode(parts).alias("x")).select(*keys, "x.*")
+
+
+def figures(lines: DataFrame) -> DataFrame:
+    """Figures of a ledger as long measurements: tipo, medida, valor."""
+    return measured(lines.agg(*measures()))
 
 
 def impact(clean: DataFrame, dirty: DataFrame, materiality_pct: float = 1.0) -> DataFrame:
@@ -340,3 +378,27 @@ def impact(clean: DataFrame, dirty: DataFrame, materiality_pct: float = 1.0) ->
     pct = F.when(F.col("tipo") == "cifra", rounded((ratio("valor", "valor_limpio") - 1) * 100, 4))
     past = F.when(F.col("tipo") == "cifra", F.coalesce(F.when(F.col("valor").isNull(), F.col("valor_limpio").isNotNull()).otherwise(F.abs("delta_pct") > materiality_pct), F.lit(False))).otherwise(F.col("valor") > 0)
     return met.withColumn("delta", F.col("valor") - F.col("valor_limpio")).withColumn("delta_pct", pct).withColumn("supera_materialidad", past)
+
+
+def impact_by_fault(clean: DataFrame, dirty: DataFrame, materiality_pct: float = 1.0) -> DataFrame:
+    """What each kind of planted fault does alone to each measurement. Both ledgers carry the marks of faults (h). A fault
+    changes no line but its own and all copies of a key have one mark, so a kind's effect is the difference between its own
+    lines' sums: one pass over each ledger for all kinds."""
+    sums = lambda lines: measured(lines.groupBy("h").agg(*measures()), "h")
+    before = sums(clean)
+    whole = before.groupBy("tipo", "medida").agg(F.sum("valor").alias("valor_limpio"))
+    kinds = clean.sparkSession.createDataFrame([(h, d) for h, d, *_ in FALLAS], "h long, defecto string")
+    met = sums(dirty).join(F.broadcast(kinds), "h").join(before.withColumnRenamed("valor", "antes"), ["h", "tipo", "medida"], "left").join(F.broadcast(whole), ["tipo", "medida"])
+    delta = rounded(F.col("valor") - F.coalesce("antes", F.lit(0.0)), 6)
+    figure = F.col("tipo") == "cifra"
+    made = met.select("defecto", "tipo", "medida", rounded("valor_limpio", 6).alias("valor_limpio"), delta.alias("delta"))
+    made = made.withColumn("delta_pct", F.when(figure, rounded(ratio("delta", "valor_limpio") * 100, 4)))
+    past = F.when(figure, F.coalesce(F.abs("delta_pct") > materiality_pct, F.lit(False))).otherwise(F.col("delta") > 0)
+    return made.withColumn("supera_materialidad", past)
+
+
+def impact_matrix(impacts: DataFrame) -> DataFrame:
+    """Kinds of fault by figures, in per cent of the clean value, and the identities that each kind breaks."""
+    figure = lambda m: F.max(F.when(F.col("medida") == m, F.col("delta_pct"))).alias(m)
+    broken = F.array_sort(F.collect_set(F.when((F.col("tipo") == "identidad") & F.col("supera_materialidad"), F.col("medida"))))
+    return impacts.groupBy("defecto").agg(figure("perdida"), figure("salidas_usd"), figure("recogidas_usd"), F.concat_ws(", ", broken).alias("identidades_rotas"))

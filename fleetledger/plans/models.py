@@ -273,6 +273,13 @@ class Models:
 
         return quality.impact(quality.figures(self.ledger.join(F.broadcast(self.prices), "tipo_material", "left")), quality.figures(self.lines))
 
+    @cached_property
+    def impact_by_fault(self) -> DataFrame:
+        from pyspark.sql import functions as F
+
+        clean = self.ledger.withColumn("h", src.fault_mark()).join(F.broadcast(self.prices), "tipo_material", "left")
+        return quality.impact_by_fault(clean, src.dirty_lines(self.ledger, self.classes, self.v, marked=True))
+
     @cached_property
     def rolled_back(self) -> DataFrame:
         import datetime as dt

@@ -370,6 +370,17 @@ SQL: dict[str, tuple[str, str]] = {
     "sens": ("gap", """
         select escenario, round(sum(b), 2) as usd_brecha, round(sum(c), 2) as usd_capital_ocioso from (
           select escenario, tipo_material, round(sum(usd_flete) + sum(usd_compra) + sum(usd_desechable), 2) as b, round(sum(usd_capital_ocioso), 2) as c from gap group by 1, 2) group by 1"""),
+    "impactk": ("led prices dirty", """
+        with c as (select (posicion * 31 + cast(right(doc_material, 6) as bigint)) % 997 as h, mov_type, cantidad, costo_unitario_usd as c, planta, anio_contable, doc_material, posicion, 'limpio' as de from led join prices using (tipo_material)
+                   union all select h, mov_type, cantidad, costo_unitario_usd, planta, anio_contable, doc_material, posicion, 'sucio' from dirty),
+             a as (select de, h, coalesce(sum(case when mov_type = '702' then abs(cantidad) * c end), 0) as perdida, coalesce(sum(case when mov_type = '621' then abs(cantidad) * c end), 0) as salidas_usd,
+                          coalesce(sum(case when mov_type = '622' then abs(cantidad) * c end), 0) as recogidas_usd, (count(*) - count(distinct (planta, anio_contable, doc_material, posicion)))::double as llave from c group by 1, 2),
+             u as (unpivot a on perdida, salidas_usd, recogidas_usd, llave into name medida value valor), t as (select medida, sum(valor) as total from u where de = 'limpio' group by 1),
+             k as (select * from (values (0, 'D05'), (1, 'D02'), (2, 'D03'), (3, 'D04'), (4, 'D01'), (5, 'D08'), (6, 'B04'), (7, 'B02'), (8, 'B01'), (9, 'D06'), (10, 'B03'), (11, 'D16')) as t(h, defecto)),
+             j as (select defecto, case when s.medida = 'llave' then 'identidad' else 'cifra' end as tipo, s.medida, round(total, 6) as valor_limpio, round(s.valor - coalesce(l.valor, 0), 6) as delta
+                   from u s join k on k.h = s.h join t on t.medida = s.medida left join u l on l.h = s.h and l.medida = s.medida and l.de = 'limpio' where s.de = 'sucio'),
+             p as (select *, case when tipo = 'cifra' then round(delta / nullif(valor_limpio, 0) * 100, 4) end as delta_pct from j)
+        select *, case when tipo = 'cifra' then coalesce(abs(delta_pct) > 1, false) else delta > 0 end as supera_materialidad from p"""),
     "impact": ("led prices dirty", """
         with c as (select mov_type, cantidad, costo_unitario_usd, planta, anio_contable, doc_material, posicion, 'limpio' as de from led join prices using (tipo_material) union all select mov_type, cantidad, costo_unitario_usd, planta, anio_contable, doc_material, posicion, 'sucio' from dirty),
              a as (select de, coalesce(sum(case when mov_type = '702' then abs(cantidad) * costo_unitario_usd end), 0) as perdida, coalesce(sum(case when mov_type = '621' then abs(cantidad) * costo_unitario_usd end), 0) as salidas_usd,

@@ -283,7 +283,27 @@ TABLE: dict[str, tuple[Build, str, str]] = {
         select defecto, i.regla, count(*) as casos, count(v.regla) as detectados from i left join v on v.regla = i.regla and v.planta = i.planta and v.anio_contable is not distinct from i.anio_contable and v.doc_material is not distinct from i.doc and v.posicion is not distinct from i.pos
              and v.mat is not distinct from i.mat group by 1, 2""",
     ),
+    "deteccion_en_tablas": (
+        lambda m: quality.detection_in_tables(quality.injected_tables(m.customer, m.snapshot, m.plan[1]), m.all_violations),
+        "cust snap parts allviol",
+        """, k as (select * from (values (5, 'm', 'D17', 'grupo_fuera_de_catalogo'), (9, 'm', 'D14', 'grupo_contradice_codigo'), (3, 'm', 'D13', 'unidad_de_precio'), (7, 'm', 'D18', 'moneda_distinta'), (11, 'm', 'D15', 'material_sin_maestro'),
+                   (2, 'm', null, 'llave_maestro_duplicada'), (4, 'f', 'D09', 'material_sin_foto'), (1, 'f', 'D03', 'lgort_fuera_de_catalogo'), (6, 'p', 'D10', 'parte_sin_instruccion'), (8, 'p', 'D11', 'piezas_en_cero'),
+                   (10, 'p', 'D12', 'instruccion_a_desechable'), (12, 'p', null, 'instruccion_fuera_de_planta'), (13, 'p', null, 'parte_sin_registro'), (14, 'p', null, 'llave_plan_duplicada')) as t(n, t, defecto, regla)),
+             r as (select 'm' as t, planta, material as llave, tipo_material, cast(split_part(material, '-', 2) as int) as n from cust union select 'f', planta, material, tipo_material, cast(split_part(material, '-', 2) as int) from snap
+                   union select 'p', planta, parte, tipo_material, cast(list_last(string_split(parte, '-')) as int) from parts),
+             i as (select distinct regla, planta, llave, 1 as caso from r join k using (t, n) where (t = 'm' and n = 9 and tipo_material = 'RACK') is not true and (t = 'm' and n = 2 and planta <> 'P0') is not true),
+             v as (select distinct regla, planta, coalesce(parte, material) as llave, 1 as visto from allviol where regla in (select regla from i)),
+             j as (select regla, caso, visto from i full join v using (regla, planta, llave))
+        select k.defecto, j.regla, count(caso) as casos, count(case when caso = 1 then visto end) as detectados, count(case when caso is null then visto end) as otros from j join k using (regla) group by 1, 2""",
+    ),
     "mart_impacto_defectos": (lambda m: m.impact, "impact", "select * from impact"),
+    "mart_impacto_por_defecto": (lambda m: m.impact_by_fault, "impactk", "select * from impactk"),
+    "matriz_impacto_defectos": (
+        lambda m: quality.impact_matrix(m.impact_by_fault),
+        "impactk",
+        """select defecto, max(case medida when 'perdida' then delta_pct end) as perdida, max(case medida when 'salidas_usd' then delta_pct end) as salidas_usd, max(case medida when 'recogidas_usd' then delta_pct end) as recogidas_usd,
+                  coalesce(string_agg(case when tipo = 'identidad' and supera_materialidad then medida end, ', ' order by medida), '') as identidades_rotas from impactk group by 1""",
+    ),
     "extracto_mb51": (
         lambda m: extract.movements(extract.as_extract(m.ledger)),
         "led",

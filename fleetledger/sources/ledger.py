@@ -8,7 +8,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -174,12 +174,17 @@ def no_snapshot(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "planta string, almacen string, material string, tipo_material string, cliente string, cantidad long, fecha date")
 
 
-def dirty_lines(ledger: DataFrame, classes: DataFrame, v: Vars = VARS) -> DataFrame:
+def fault_mark() -> Column:
+    """Which fault a line gets, by arithmetic of its key; marks without a fault leave the line as it is."""
+    return (F.col("posicion") * 31 + F.substring("doc_material", -6, 6).cast("long")) % 997
+
+
+def dirty_lines(ledger: DataFrame, classes: DataFrame, v: Vars = VARS, marked: bool = False) -> DataFrame:
     """The ledger's lines with their event, master type and cost, and faults on a thousandth of the lines each, picked by
-    arithmetic of the key: what the quality rules are checked on. Transfers get their leg (1 out, 2 in) as position."""
+    arithmetic of the key: what the quality rules are checked on. Transfers get their leg (1 out, 2 in) as position. With
+    `marked`, each line keeps its fault's mark as h."""
     moved = F.col("mov_type") == "311"
-    mark = (F.col("posicion") * 31 + F.substring("doc_material", -6, 6).cast("long")) % 997
-    base = ledger.select("*", mark.alias("h")).select(
+    base = ledger.select("*", fault_mark().alias("h")).select(
         "planta", "cliente", "material", "almacen", "fecha_contab", "anio_contable", "mov_type", "cantidad", "h",
         F.when(moved, F.concat("doc_material", F.lit("-"), F.floor(F.col("posicion") / 2).cast("string"))).otherwise(F.col("doc_material")).alias("doc_material"),
         F.when(moved, 1 + F.col("posicion") % 2).otherwise(F.col("posicion")).cast("int").alias("posicion"),
@@ -201,7 +206,7 @@ def dirty_lines(ledger: DataFrame, classes: DataFrame, v: Vars = VARS) -> DataFr
     # Every other customer line carries its document's price, those of fault 11 a fifth too much.
     paid = F.when(F.col("mov_type").isin("621", "622", "702") & ((F.col("posicion") % 2 == 0) | (F.col("h") == 11)), F.when(F.col("h") == 11, F.col("costo_unitario_usd") * 1.2).otherwise(F.col("costo_unitario_usd")))
     made = again.withColumn("tipo_material", tipo).withColumn("costo_unitario_usd", price).withColumn("costo_documento_usd", paid)
-    return made.join(F.broadcast(classes), "mov_type", "left").drop("h", "copia")
+    return made.join(F.broadcast(classes), "mov_type", "left").drop("copia", *[] if marked else ["h"])
 
 
 #: Prefix of a material's code and the type it stands for; material groups.
