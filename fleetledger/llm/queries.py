@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import byte_bpe, common, decontaminate, exact_dedup, simhash, suffix_dedup, token_counts, token_output, toxicity, url_filter, warc
+from . import byte_bpe, common, decontaminate, embedding_whitening, exact_dedup, sharding, simhash, spelling, suffix_dedup, token_counts, token_output, toxicity, url_filter, warc
 
 
 def op3_exact_dedup(spark, sf_dir):
@@ -53,6 +53,18 @@ def op10_warc(spark, sf_dir):
     return warc.round_trip(common.table(spark, sf_dir, "pages"))
 
 
+def op11_spelling(spark, sf_dir):
+    return spelling.spelling_variants(common.table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark, sf_dir):
+    return embedding_whitening.whiten(common.table(spark, sf_dir, "embeddings"))
+
+
+def op13_sharding(spark, sf_dir):
+    return sharding.assign(common.table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_byte_bpe": op2_byte_bpe,
@@ -64,6 +76,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
+    "op11_spelling": op11_spelling,
+    "op12_whitening": op12_whitening,
+    "op13_sharding": op13_sharding,
 }
 
 ORACLE = {
