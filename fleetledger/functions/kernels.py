@@ -41,29 +41,6 @@ def top1(df: DataFrame, keys: Sequence[str], *order) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def interval_match(left: DataFrame, right: DataFrame, keys: Sequence[str], left_row: str, right_row: str) -> DataFrame:
-    """Intersects two series of intervals laid end to end on the same line, key by key.
-
-    Each side has keys, `acum_fin` (where its interval ends; it begins where the one before it ends) and one struct
-    column. All end points are sorted; each slice between neighbours belongs to the first interval of each side that
-    ends at its end or later. Result: keys, both structs (null where a side has run out) and `cantidad`, the slice's
-    length. One sort for each key and no join, so that an account with many rows costs n log n.
-    """
-    a = left.select(*keys, "acum_fin", left_row, F.lit(None).cast(right.schema[right_row].dataType).alias(right_row))
-    b = right.select(*keys, "acum_fin", F.lit(None).cast(left.schema[left_row].dataType).alias(left_row), right_row)
-    points = a.unionByName(b).repartition(*keys)  # serves the grouping and the windows below
-    at = points.groupBy(*keys, "acum_fin").agg(F.first(left_row, True).alias(left_row), F.first(right_row, True).alias(right_row))
-    # From the far end: what is ahead of a point is then a frame that only grows, and costs one step a row.
-    order = Window.partitionBy(*keys).orderBy(F.desc("acum_fin"))
-    ahead = order.rowsBetween(FIRST, HERE)
-    return at.select(
-        *keys,
-        F.last(left_row, True).over(ahead).alias(left_row),
-        F.last(right_row, True).over(ahead).alias(right_row),
-        (F.col("acum_fin") - F.coalesce(F.lead("acum_fin").over(order), F.lit(0))).alias("cantidad"),
-    ).where("cantidad > 0")
-
-
 def weighted_percentiles(df: DataFrame, keys: Sequence[str], value: str, weight: str, points: dict[str, float]) -> DataFrame:
     """For rows of one value each: the smallest value whose cumulative share of the weight reaches each point, the
     weight's sum as `total` and the weighted mean as `mean`."""
@@ -73,17 +50,21 @@ def weighted_percentiles(df: DataFrame, keys: Sequence[str], value: str, weight:
     return df.withColumn("_share", share).groupBy(*keys).agg(F.sum(weight).cast("long").alias("total"), mean.alias("mean"), *found)
 
 
-def dense_days(keys: DataFrame, calendar: DataFrame, first: str, last: str) -> DataFrame:
-    """Keys with every day from `first` to `last` of a one-row calendar, as `fecha`."""
-    days = calendar.select(F.explode(F.sequence(first, last)).alias("fecha"))
-    return keys.crossJoin(F.broadcast(days))
+def overall(df: DataFrame, world: Column | None, *sums: Column) -> DataFrame:
+    """Aggregates of all rows; with worlds (see plans/variants.py), of each world's rows, beside its name as `mundo`."""
+    return df.agg(*sums) if world is None else df.groupBy(world.alias("mundo")).agg(*sums)
+
+
+def beside(df: DataFrame, one: DataFrame, world: Column | None) -> DataFrame:
+    """df with the columns of a table of one row, or of a row a world, its own."""
+    if world is None:
+        return df.crossJoin(F.broadcast(one))
+    return df.withColumn("mundo", world).join(F.broadcast(one), "mundo", "left").drop("mundo")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
-    """left with the last `value` of right at or before `at`, by a union and a window instead of a range join."""
-    rows = left.withColumn("_side", F.lit(1)).unionByName(right.select(*keys, at, value).withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    w = running(keys, at, "_side")
-    return rows.withColumn(value, F.last(F.when(F.col("_side") == 0, F.col(value)), True).over(w)).where("_side = 1").drop("_side")
+def dense_days(keys: DataFrame, calendar: DataFrame, first: str, last: str, world: Column | None = None) -> DataFrame:
+    """Keys with every day from `first` to `last` of a calendar of one row, or of a row a world, as `fecha`."""
+    return beside(keys, calendar.select(first, last, *(() if world is None else ("mundo",))), world).withColumn("fecha", F.explode(F.sequence(first, last))).drop(first, last)
 
 
 def capped_release(df: DataFrame, keys: Sequence[str], day: str, ready: str, capacity: str) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import capped_release, dense_days, floored_balance, interval_match, ratio, rounded, running_sum
+from ..functions.blocks import interval_match, running_sums
+from ..functions.kernels import capped_release, dense_days, floored_balance, ratio, rounded
 
 STATION = ("planta", "tipo_material", "estacion")
 
@@ -55,7 +56,7 @@ def lot_release(lots: DataFrame, released: DataFrame) -> DataFrame:
     """Which lot leaves on which day: lots wait by day and, within the day, by material; a day releases an interval of the
     same line. One interval match a station."""
     order = ["fecha", "material", "a_vacios"]
-    line = lots.withColumn("acum_fin", running_sum("cantidad", STATION, *order).cast("double"))
+    line = running_sums(lots, STATION, order, {"acum_fin": F.col("cantidad")}).withColumn("acum_fin", F.col("acum_fin").cast("double"))
     waiting = line.select(*STATION, "acum_fin", F.struct("material", "a_vacios", F.col("fecha").alias("fecha_lista")).alias("lote"))
     days = released.where("liberado > 0").select(*STATION, F.col("liberado_acum").alias("acum_fin"), F.struct(F.col("fecha").alias("fecha_salida")).alias("dia"))
     met = interval_match(waiting, days, STATION, "lote", "dia").where("lote is not null and cantidad > 1e-6")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import filtered_sum, interval_match, ratio, rounded, running_sum, weighted_percentiles
+from ..functions.blocks import interval_match, running_sums
+from ..functions.kernels import beside, filtered_sum, ratio, rounded, running_sum, weighted_percentiles, overall
 from ..sources.ledger import VARS, Vars
 
 ACCOUNT = ("planta", "cliente", "material")
@@ -53,7 +54,8 @@ def fifo_tranches(account: DataFrame) -> DataFrame:
     """What closed each outflow, first in first out: one row for each slice of an outflow and its closure, with nulls for
     the closure where the slice is still out. Ages of snapshot stock are unknown."""
     numbered = account.withColumn("salida", F.coalesce(F.col("mov_type") == "621", F.lit(False)) | F.col("en_foto"))
-    ends = numbered.withColumn("acum_fin", running_sum("cantidad_abs", (*ACCOUNT, "salida"), *_event_order())).where("cantidad_abs > 0")
+    sums = {"_out": F.when(F.col("salida"), F.col("cantidad_abs")), "_back": F.when(~F.col("salida"), F.col("cantidad_abs"))}
+    ends = running_sums(numbered, ACCOUNT, _event_order(), sums).withColumn("acum_fin", F.when(F.col("salida"), F.col("_out")).otherwise(F.col("_back"))).where("cantidad_abs > 0")
     out = ends.where("salida").select(*ACCOUNT, "acum_fin", F.struct(
         "tipo_material", F.col("fecha_contab").alias("fecha_salida"), F.col("anio_contable").alias("anio_salida"), F.col("doc_material").alias("doc_salida"),
         F.col("posicion").alias("pos_salida"), F.col("en_foto").alias("salida_en_foto")).alias("s"))
@@ -127,7 +129,7 @@ def route_excess(monthly: DataFrame, account: DataFrame, curve: DataFrame) -> Da
     )
 
 
-def reconcilable_loss(moves: DataFrame, snapshot: DataFrame, v: Vars = VARS) -> DataFrame:
+def reconcilable_loss(moves: DataFrame, snapshot: DataFrame, v: Vars = VARS, world: Column | None = None) -> DataFrame:
     """Outflows and recognised losses, with whether they count in the loss rate (`en_tasa`).
 
     Outflows count when the last reconciliation could see them; on routes that opened with customer stock, both count only
@@ -135,14 +137,14 @@ def reconcilable_loss(moves: DataFrame, snapshot: DataFrame, v: Vars = VARS) ->
     age = v.antiguedad_conciliacion_dias
     flows = moves.where(F.col("mov_type").isin("621", "702"))
     losses = flows.where("mov_type = '702'")
-    latest = losses.agg(F.max("fecha_contab").alias("ultima"))
+    latest = overall(losses, world, F.max("fecha_contab").alias("ultima"))
     seen = snapshot.groupBy("planta").agg(F.min("fecha").alias("fecha_foto"))
     stocked = snapshot.where("cliente is not null").select("planta", "cliente").distinct().join(seen, "planta")
     closes = losses.select("planta", F.col("fecha_contab").alias("cierre")).distinct()
     closes = closes.withColumn("anterior", F.lag("cierre").over(Window.partitionBy("planta").orderBy("cierre")))
     whole = closes.join(stocked.select("planta", "fecha_foto").distinct(), "planta").where(F.date_sub("anterior", age) >= F.col("fecha_foto"))
     whole = whole.groupBy("planta").agg(F.min("cierre").alias("primera"), F.min_by("anterior", "cierre").alias("anterior"))
-    marked = flows.crossJoin(F.broadcast(latest)).join(F.broadcast(stocked.select("planta", "cliente", F.lit(True).alias("con_foto"))), ["planta", "cliente"], "left").join(F.broadcast(whole), "planta", "left")
+    marked = beside(flows, latest, world).join(F.broadcast(stocked.select("planta", "cliente", F.lit(True).alias("con_foto"))), ["planta", "cliente"], "left").join(F.broadcast(whole), "planta", "left")
     fresh = F.col("con_foto").isNull()
     counted = F.when(F.col("mov_type") == "702", fresh | (F.col("fecha_contab") >= F.col("primera"))).otherwise(
         (F.col("fecha_contab") <= F.date_sub("ultima", age)) & (fresh | (F.col("fecha_contab") > F.date_sub("anterior", age)))
@@ -183,25 +185,27 @@ def losses_usd(moves: DataFrame) -> DataFrame:
 P50_P90 = {"ciclo_p50_dias": 0.5, "ciclo_p90_dias": 0.9}
 
 
-def plant_rotation(tranches: DataFrame, curve: DataFrame, v: Vars = VARS) -> DataFrame:
+def plant_rotation(tranches: DataFrame, curve: DataFrame, v: Vars = VARS, world: Column | None = None) -> DataFrame:
     """Cohorts of a plant's outflows by month: how much came back, how long it took, and whether all of it could have."""
     known = tranches.where(~F.col("salida_en_foto")).withColumn("mes", F.trunc("fecha_salida", "month"))
     out = known.groupBy("planta", "mes").agg(F.sum("cantidad").cast("long").alias("contenedores_salida"))
     days = known.where("tipo_cierre = '622'").groupBy("planta", "mes", "dias").agg(F.sum("cantidad").alias("cantidad"))
     cycle = weighted_percentiles(days, ["planta", "mes"], "dias", "cantidad", P50_P90)
-    horizon = curve.agg(F.max("edad").alias("horizonte"))
-    return out.join(cycle, ["planta", "mes"], "left").crossJoin(F.broadcast(horizon)).select(
+    horizon = overall(curve, None if world is None else F.substring_index("tipo_material", "|", 1), F.max("edad").alias("horizonte"))
+    return beside(out.join(cycle, ["planta", "mes"], "left"), horizon, world).select(
         "planta", "mes", "contenedores_salida", F.coalesce("total", F.lit(0)).alias("contenedores_recogidos"), rounded("mean", 1).alias("ciclo_promedio_dias"),
         "ciclo_p50_dias", "ciclo_p90_dias", (F.expr("date_add(last_day(mes), horizonte)") <= F.lit(v.fecha_extraccion)).alias("cohorte_completa"),
     )
 
 
-def cohort_cycle(rotation: DataFrame, tranches: DataFrame) -> DataFrame:
-    """Cycle of complete cohorts by plant and for the fleet, from the whole distributions."""
+def cohort_cycle(rotation: DataFrame, tranches: DataFrame, world: Column | None = None) -> DataFrame:
+    """Cycle of complete cohorts by plant and for the fleet (with worlds, for each one's: planta is then its name), from the whole
+    distributions."""
     whole = rotation.where("cohorte_completa").select("planta", "mes")
     mine = returned(tranches).withColumn("mes", F.trunc("fecha_salida", "month")).join(F.broadcast(whole), ["planta", "mes"], "left_semi")
     by_plant = mine.groupBy("planta", "dias").agg(F.sum("cantidad").alias("cantidad")).withColumn("nivel", F.lit("planta"))
-    fleet = by_plant.groupBy("dias").agg(F.sum("cantidad").alias("cantidad")).select(F.lit("flota").alias("nivel"), F.lit(None).cast("string").alias("planta"), "dias", "cantidad")
+    whose = F.lit(None).cast("string") if world is None else world
+    fleet = by_plant.groupBy(whose.alias("planta"), "dias").agg(F.sum("cantidad").alias("cantidad")).select(F.lit("flota").alias("nivel"), "planta", "dias", "cantidad")
     made = weighted_percentiles(by_plant.unionByName(fleet), ["nivel", "planta"], "dias", "cantidad", P50_P90)
     return made.select("nivel", "planta", F.col("total").alias("contenedores_recogidos"), rounded("mean", 1).alias("ciclo_promedio_dias"), *P50_P90)
 

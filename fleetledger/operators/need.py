@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.kernels import dense_days, filtered_sum, ratio, rounded, running_sum
+from ..functions.kernels import beside, dense_days, filtered_sum, ratio, rounded, running_sum, overall
 from ..sources.ledger import VARS, Vars
 
 MATERIAL = ("planta", "material")
@@ -13,12 +13,15 @@ MATERIAL = ("planta", "material")
 GRID = (100, 400, 5)
 
 
-def need_calendar(daily: DataFrame, changes: DataFrame, v: Vars = VARS) -> DataFrame:
-    """One row of dates: opening, cutoff, the last Sunday, and the windows of estimation, test and calibration."""
-    held = changes.where("estado = 'cliente' and evento = 'apertura'").agg((F.count(F.lit(1)) > 0).alias("con_cliente"))
+def need_calendar(daily: DataFrame, changes: DataFrame, v: Vars = VARS, world: Column | None = None) -> DataFrame:
+    """One row (a row a world) of dates: opening, cutoff, the last Sunday, and the windows of estimation, test and calibration."""
+    own = [] if world is None else ["mundo"]
+    held = overall(changes.where("estado = 'cliente' and evento = 'apertura'"), world, (F.count(F.lit(1)) > 0).alias("con_cliente"))
     corte, week = F.lit(v.fecha_extraccion), 7
-    base = daily.agg(F.min("fecha").alias("apertura")).crossJoin(F.broadcast(held)).select(
-        "apertura", corte.alias("corte"),
+    opened = overall(daily, world, F.min("fecha").alias("apertura"))
+    base = opened.crossJoin(F.broadcast(held)) if world is None else opened.join(F.broadcast(held), "mundo", "left")
+    base = base.select(
+        *own, "apertura", corte.alias("corte"),
         F.date_add(F.trunc(F.date_add("apertura", 7), "week"), F.when(F.col("con_cliente"), 0).otherwise(week * v.semanas_arranque)).alias("inicio_estable"),
         F.date_sub(corte, (F.weekday(corte) + 1) % 7).alias("fin_base"),
     )
@@ -26,27 +29,28 @@ def need_calendar(daily: DataFrame, changes: DataFrame, v: Vars = VARS) -> DataF
     since = lambda weeks: F.greatest(back(weeks, 1), F.col("inicio_estable"))
     t, s = v.backtest_semanas, v.ventana_sigma_semanas
     return base.select(
-        "apertura", "corte", "inicio_estable", "fin_base", back(v.ventana_base_semanas, 1).alias("inicio_base"), since(s).alias("inicio_sigma"), back(t, 1).alias("inicio_prueba"),
+        *own, "apertura", "corte", "inicio_estable", "fin_base", back(v.ventana_base_semanas, 1).alias("inicio_base"), since(s).alias("inicio_sigma"), back(t, 1).alias("inicio_prueba"),
         back(t).alias("fin_estimacion"), since(t + s).alias("inicio_estimacion"), back(2 * t, 1).alias("inicio_calibracion"), back(2 * t).alias("fin_est_calibracion"), since(2 * t + s).alias("inicio_est_calibracion"),
     )
 
 
-def daily_use(daily: DataFrame, changes: DataFrame, calendar: DataFrame) -> DataFrame:
+def daily_use(daily: DataFrame, changes: DataFrame, calendar: DataFrame, world: Column | None = None) -> DataFrame:
     """Every material on every day: stock in use (all but empties) and outflow."""
     used = daily.where("estado <> 'vacios'").groupBy(*MATERIAL, "fecha").agg(F.sum("delta").alias("delta"))
     out = changes.where("estado = 'cliente' and evento = 'salida_cliente'").groupBy(*MATERIAL, "fecha").agg(F.sum("delta").alias("salidas"))
     keys = daily.select(*MATERIAL, "tipo_material").distinct()
-    dense = dense_days(keys, calendar, "apertura", "corte").join(used, [*MATERIAL, "fecha"], "left").join(out, [*MATERIAL, "fecha"], "left")
+    dense = dense_days(keys, calendar, "apertura", "corte", world).join(used, [*MATERIAL, "fecha"], "left").join(out, [*MATERIAL, "fecha"], "left")
     return dense.select(*MATERIAL, "tipo_material", "fecha", running_sum(F.coalesce("delta", F.lit(0)), MATERIAL, "fecha").cast("long").alias("en_uso"), F.coalesce("salidas", F.lit(0)).cast("long").alias("salidas"))
 
 
-def use_variability(use: DataFrame, calendar: DataFrame, v: Vars = VARS) -> DataFrame:
+def use_variability(use: DataFrame, calendar: DataFrame, v: Vars = VARS, world: Column | None = None) -> DataFrame:
     """Mean and deviation of stock in use and daily demand in three windows; the cycle of a plant's type by Little's law."""
     frame = lambda name, a, b: F.struct(F.lit(name).alias("ventana"), F.col(a).alias("a"), F.col(b).alias("b"))
     three = F.array(frame("necesidad", "inicio_sigma", "fin_base"), frame("backtest", "inicio_estimacion", "fin_estimacion"), frame("calibracion", "inicio_est_calibracion", "fin_est_calibracion"))
-    windows = calendar.select(F.explode(three).alias("w")).select("w.*", F.date_sub("w.b", 7 * v.ventana_base_semanas - 1).alias("d"))
+    own = [] if world is None else ["mundo"]
+    windows = calendar.select(*own, F.explode(three).alias("w")).select(*own, "w.*", F.date_sub("w.b", 7 * v.ventana_base_semanas - 1).alias("d"))
     inside, recent = F.col("fecha").between(F.col("a"), F.col("b")), F.col("fecha").between(F.col("d"), F.col("b"))
-    per = use.crossJoin(F.broadcast(windows)).groupBy("ventana", *MATERIAL, "tipo_material", "a", "b", "d").agg(
+    per = beside(use, windows, world).groupBy("ventana", *MATERIAL, "tipo_material", "a", "b", "d").agg(
         F.avg(F.when(inside, F.col("en_uso"))).alias("uso_promedio"), F.stddev_pop(F.when(inside, F.col("en_uso"))).alias("sigma_uso"),
         filtered_sum(F.col("salidas"), inside).alias("s"), filtered_sum(F.col("salidas"), recent).alias("r"),
     ).select("ventana", *MATERIAL, "tipo_material", "uso_promedio", "sigma_uso", ratio("s", F.datediff("b", "a") + 1).alias("d_ventana"), ratio("r", F.datediff("b", "d") + 1).alias("d_base"))
@@ -59,13 +63,14 @@ def safety_stock(d_plan: Column, sigma: Column, d_base: Column, z: Column, cover
     return F.greatest(cover * d_plan, F.coalesce(z * sigma * F.sqrt(F.try_divide(d_plan, F.nullif(d_base, F.lit(0.0)))), F.lit(0.0)))
 
 
-def service_curve(variability: DataFrame, use: DataFrame, calendar: DataFrame, policy: DataFrame) -> DataFrame:
+def service_curve(variability: DataFrame, use: DataFrame, calendar: DataFrame, policy: DataFrame, world: Column | None = None) -> DataFrame:
     """Share of calibration days on which the need at each service level would have been exceeded.
 
     A day that exceeds the need at some z exceeds it at all smaller ones: its row counts the grid's levels that it exceeds,
     and sums over these counts give the whole curve without a row for each level."""
     fitted = variability.where("ventana = 'calibracion'").join(F.broadcast(policy.select("tipo_material", "dias_cobertura")), "tipo_material")
-    days = use.crossJoin(F.broadcast(calendar.select("inicio_calibracion", "inicio_prueba"))).where("fecha between inicio_calibracion and date_sub(inicio_prueba, 1)")
+    own = [] if world is None else ["mundo"]
+    days = beside(use, calendar.select(*own, "inicio_calibracion", "inicio_prueba"), world).where("fecha between inicio_calibracion and date_sub(inicio_prueba, 1)")
     rows = days.select(*MATERIAL, "en_uso").join(F.broadcast(fitted), list(MATERIAL))
     d = F.col("d_base")
     past = F.filter(F.sequence(*map(F.lit, GRID)), lambda z: F.col("en_uso") > d * F.col("ciclo_dias") + safety_stock(d, F.col("sigma_uso"), d, z.cast("double") / 100, F.col("dias_cobertura")))
@@ -99,6 +104,20 @@ def economic_level(variability: DataFrame, cost: DataFrame, scenarios: DataFrame
     )
 
 
+def backtest(variability: DataFrame, use: DataFrame, calendar: DataFrame, policy: DataFrame, levels: DataFrame, tolerance_pp: float = 1.0) -> DataFrame:
+    """How the base scenario's service level holds on days it was not fitted on: the need by the backtest window against the use of each
+    day after it, with the share of days that exceed it by type, and whether that is over the target by more than the tolerance."""
+    level = levels.where("escenario = 'base'").select("tipo_material", "z_servicio", "objetivo_quiebre")
+    fitted = variability.where("ventana = 'backtest'").join(F.broadcast(policy.select("tipo_material", "dias_cobertura")), "tipo_material").join(F.broadcast(level), "tipo_material")
+    d = F.col("d_base")
+    needed = d * F.col("ciclo_dias") + safety_stock(d, F.col("sigma_uso"), d, F.col("z_servicio"), F.col("dias_cobertura"))
+    days = use.crossJoin(F.broadcast(calendar.select("inicio_prueba", "fin_base"))).where("fecha between inicio_prueba and fin_base")
+    met = days.select(*MATERIAL, "en_uso").join(fitted.select(*MATERIAL, "tipo_material", "objetivo_quiebre", needed.alias("necesidad")), list(MATERIAL))
+    made = met.groupBy("tipo_material").agg(F.max("objetivo_quiebre").alias("objetivo_quiebre"), F.count(F.lit(1)).alias("dias"), F.count_if(F.col("en_uso") > F.col("necesidad")).alias("dias_quiebre"))
+    pct, target = F.col("dias_quiebre") * 100.0 / F.col("dias"), F.col("objetivo_quiebre") * 100.0
+    return made.select("tipo_material", "objetivo_quiebre", "dias", "dias_quiebre", rounded(pct, 2).alias("pct_quiebre"), F.coalesce(pct > target + tolerance_pp, F.lit(True)).alias("rebasa"))
+
+
 def plan_demand(plan: DataFrame, instruction: DataFrame, variability: DataFrame, policy: DataFrame) -> DataFrame:
     """Daily containers that the plan asks for, with each material's history, or its plant's cycle for want of one."""
     packed = plan.join(instruction, ["planta", "parte"]).where("piezas_por_contenedor > 0").groupBy(*MATERIAL, "tipo_material", "semana").agg(
@@ -133,18 +152,19 @@ def fleet_need(need: DataFrame) -> DataFrame:
     )
 
 
-def projected_fleet(moves: DataFrame, calendar: DataFrame, comparison: DataFrame, routes: DataFrame, changes: DataFrame, fleet: DataFrame, demand: DataFrame, v: Vars = VARS) -> DataFrame:
+def projected_fleet(moves: DataFrame, calendar: DataFrame, comparison: DataFrame, routes: DataFrame, changes: DataFrame, fleet: DataFrame, demand: DataFrame, v: Vars = VARS, world: Column | None = None) -> DataFrame:
     """Fleet in each plan week: what stands at the cutoff, less losses not yet recognised and those the plan will cause."""
-    latest = moves.where("mov_type = '702'").agg(F.max("fecha_contab").alias("ultima"))
+    own = [] if world is None else ["mundo"]
+    latest = overall(moves.where("mov_type = '702'"), world, F.max("fecha_contab").alias("ultima"))
     by_type = comparison.select("planta", "tipo_material", (F.col("tasa_merma_pct") / 100).alias("tasa"))
     by_route = routes.select("planta", "cliente", (F.col("tasa_merma_pct") / 100).alias("de_ruta"))
-    open_ = moves.where("mov_type = '621'").crossJoin(F.broadcast(latest)).where(F.col("fecha_contab") > F.date_sub("ultima", v.antiguedad_conciliacion_dias))
+    open_ = beside(moves.where("mov_type = '621'"), latest, world).where(F.col("fecha_contab") > F.date_sub("ultima", v.antiguedad_conciliacion_dias))
     open_ = open_.groupBy(*MATERIAL, "tipo_material", "cliente").agg(F.sum(F.abs("cantidad")).alias("n"))
     pending = open_.join(F.broadcast(by_route), ["planta", "cliente"], "left").join(F.broadcast(by_type), ["planta", "tipo_material"], "left")
     pending = pending.groupBy(*MATERIAL).agg(F.sum(F.col("n") * F.coalesce("de_ruta", "tasa")).alias("pendiente"))
     scrapped = (F.col("estado") == "scrap") & (F.col("evento") == "traslado_bloqueado") & (F.col("delta") > 0)
     shipped = (F.col("estado") == "cliente") & (F.col("evento") == "salida_cliente")
-    seen = changes.where(scrapped | shipped).crossJoin(F.broadcast(calendar.select("inicio_sigma", "fin_base"))).where("fecha between inicio_sigma and fin_base")
+    seen = beside(changes.where(scrapped | shipped), calendar.select(*own, "inicio_sigma", "fin_base"), world).where("fecha between inicio_sigma and fin_base")
     scrap = seen.groupBy("planta", "tipo_material").agg(ratio(F.coalesce(filtered_sum(F.col("delta"), scrapped), F.lit(0)), filtered_sum(F.col("delta"), shipped)).alias("tasa_scrap"))
     now = fleet.where(F.col("fecha_cierre") == F.lit(v.fecha_extraccion)).select(*MATERIAL, "tipo_material", "flota")
     base = now.crossJoin(F.broadcast(demand.select("semana").distinct()))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import FIRST, filtered_sum, running_sum
+from ..functions.kernels import FIRST, beside, filtered_sum, running_sum, overall
 from ..sources.ledger import VARS, Vars
 
 STATES = ("recepcion", "vacios", "linea", "llenos", "sucios", "reparacion", "scrap", "cliente")
@@ -38,14 +38,15 @@ def week(day):
     return F.trunc(day, "week")
 
 
-def weekly_fleet(daily: DataFrame, v: Vars = VARS) -> DataFrame:
+def weekly_fleet(daily: DataFrame, v: Vars = VARS, world: Column | None = None) -> DataFrame:
     """Dense weeks from opening to cutoff: stock of each material by state, in the plant and in the whole fleet."""
     sums = {s: filtered_sum(F.col("delta"), F.col("estado") == s).alias(s) for s in STATES} | {"bloqueado": filtered_sum(F.col("delta"), F.col("tipo_stock") == "bloqueado").alias("bloqueado")}
     weekly = daily.groupBy("planta", "material", week("fecha").alias("semana")).agg(*sums.values())
-    first = daily.agg(week(F.min("fecha")).alias("a"))
-    weeks = first.select(F.explode(F.sequence(F.col("a"), week(F.lit(v.fecha_extraccion)), F.expr("interval 7 day"))).alias("semana"))
+    own = [] if world is None else ["mundo"]
+    first = overall(daily, world, week(F.min("fecha")).alias("a"))
+    weeks = first.select(*own, F.explode(F.sequence(F.col("a"), week(F.lit(v.fecha_extraccion)), F.expr("interval 7 day"))).alias("semana"))
     keys = daily.select("planta", "material", "tipo_material").distinct()
-    dense = keys.crossJoin(F.broadcast(weeks)).join(weekly, ["planta", "material", "semana"], "left")
+    dense = beside(keys, weeks, world).join(weekly, ["planta", "material", "semana"], "left")
     upto = [running_sum(F.coalesce(s, F.lit(0)), ("planta", "material"), "semana").cast("long").alias(s) for s in sums]
     made = dense.select("planta", "material", "tipo_material", "semana", F.least(F.date_add("semana", 6), F.lit(v.fecha_extraccion)).alias("fecha_cierre"), *upto)
     inside = sum((F.col(s) for s in STATES[1:-1]), F.col(STATES[0]))

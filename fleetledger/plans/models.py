@@ -6,15 +6,20 @@ import functools
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.blocks import as_of
 from ..functions.kernels import rounded
 from ..functions.tables import stored
 from ..operators import capacity, contract, cycle, gap, need, quality, stock
-from ..sources import extract
+from ..sources import extract, faults
 from ..sources import ledger as src
 
 
 class Models:
+    #: The world of a row, where a ledger holds several (see variants.py).
+    world = None
+
     def __init__(self, spark: SparkSession, sf_dir: str, v: src.Vars = src.VARS):
         self.spark, self.sf_dir, self.v = spark, sf_dir, v
 
@@ -51,8 +56,6 @@ class Models:
     # customer cycle
     @cached_property
     def moves(self) -> DataFrame:
-        from pyspark.sql import functions as F
-
         return self.customer.join(F.broadcast(self.prices), "tipo_material", "left")
 
     @cached_property
@@ -73,7 +76,7 @@ class Models:
 
     @cached_property
     def loss(self) -> DataFrame:
-        return cycle.reconcilable_loss(self.moves, self.no_snapshot, self.v)
+        return cycle.reconcilable_loss(self.moves, self.no_snapshot, self.v, self.world)
 
     @cached_property
     def routes(self) -> DataFrame:
@@ -81,7 +84,7 @@ class Models:
 
     @cached_property
     def rotation(self) -> DataFrame:
-        return cycle.plant_rotation(self.tranches, self.curve, self.v)
+        return cycle.plant_rotation(self.tranches, self.curve, self.v, self.world)
 
     @cached_property
     def cost(self) -> DataFrame:
@@ -102,7 +105,7 @@ class Models:
 
     @cached_property
     def fleet(self) -> DataFrame:
-        return stock.weekly_fleet(self.daily, self.v)
+        return stock.weekly_fleet(self.daily, self.v, self.world)
 
     # need and gap: nodes that many models read are written once
     @cached_property
@@ -115,19 +118,19 @@ class Models:
 
     @cached_property
     def calendar(self) -> DataFrame:
-        return stored(need.need_calendar(self.daily_t, self.changes_t, self.v), "calendar")
+        return stored(need.need_calendar(self.daily_t, self.changes_t, self.v, self.world), "calendar")
 
     @cached_property
     def use(self) -> DataFrame:
-        return stored(need.daily_use(self.daily_t, self.changes_t, self.calendar), "use")
+        return stored(need.daily_use(self.daily_t, self.changes_t, self.calendar, self.world), "use")
 
     @cached_property
     def variability(self) -> DataFrame:
-        return stored(need.use_variability(self.use, self.calendar, self.v), "variability")
+        return stored(need.use_variability(self.use, self.calendar, self.v, self.world), "variability")
 
     @cached_property
     def service(self) -> DataFrame:
-        return stored(need.service_curve(self.variability, self.use, self.calendar, self.policy), "service")
+        return stored(need.service_curve(self.variability, self.use, self.calendar, self.policy, self.world), "service")
 
     @cached_property
     def scenarios(self) -> DataFrame:
@@ -159,8 +162,8 @@ class Models:
 
     @cached_property
     def projected(self) -> DataFrame:
-        fleet = stock.weekly_fleet(self.daily_t, self.v)
-        return stored(need.projected_fleet(self.customer, self.calendar, cycle.cost_comparison(self.cost_t), self.routes, self.changes_t, fleet, self.demand, self.v), "projected")
+        fleet = stock.weekly_fleet(self.daily_t, self.v, self.world)
+        return stored(need.projected_fleet(self.customer, self.calendar, cycle.cost_comparison(self.cost_t), self.routes, self.changes_t, fleet, self.demand, self.v, self.world), "projected")
 
     @cached_property
     def balance(self) -> DataFrame:
@@ -193,8 +196,6 @@ class Models:
 
     @cached_property
     def pieces(self) -> DataFrame:
-        from pyspark.sql import functions as F
-
         return self.plan[1].where("piezas_por_contenedor > 0").groupBy("planta", "material").agg(F.min("piezas_por_contenedor").alias("piezas"))
 
     @cached_property
@@ -232,8 +233,6 @@ class Models:
 
     @cached_property
     def master_violations(self) -> DataFrame:
-        from pyspark.sql import functions as F
-
         paid = self.lines.where("costo_documento_usd > 0").groupBy("planta", "material").agg(rounded(F.avg("costo_documento_usd"), 4).alias("pagado"))
         moved = self.lines.select("planta", "material").distinct()
         return quality.master_rules(self.dirty["master"], src.material_groups(self.spark), src.PREFIJOS, self.dirty["snapshot"], self.used, moved, paid, self.v)
@@ -269,17 +268,44 @@ class Models:
 
     @cached_property
     def impact(self) -> DataFrame:
-        from pyspark.sql import functions as F
-
         return quality.impact(quality.figures(self.ledger.join(F.broadcast(self.prices), "tipo_material", "left")), quality.figures(self.lines))
 
     @cached_property
     def impact_by_fault(self) -> DataFrame:
-        from pyspark.sql import functions as F
-
         clean = self.ledger.withColumn("h", src.fault_mark()).join(F.broadcast(self.prices), "tipo_material", "left")
         return quality.impact_by_fault(clean, src.dirty_lines(self.ledger, self.classes, self.v, marked=True))
 
+    # faults by quota, and every fault alone
+    @cached_property
+    def quota_lines(self) -> DataFrame:
+        return stored(faults.clean_lines(faults.finer_customers(self.ledger), self.classes), "quota-base")
+
+    @cached_property
+    def quota_log(self) -> DataFrame:
+        return stored(faults.targets(self.quota_lines), "quota-targets")
+
+    @cached_property
+    def quota_violations(self) -> DataFrame:
+        lines = stored(faults.planted(self.quota_lines, self.quota_log, self.classes), "quota-planted")
+        return stored(quality.movement_rules(lines, self.places, self.master, self.pieces, self.dirty["master"], self.snapshot, self.v), "quota-violations")
+
+    @cached_property
+    def impact_of_all(self) -> DataFrame:
+        from .variants import VariantModels, impact
+
+        return stored(impact(VariantModels(self), self.rules), "impact-of-all")
+
+    @cached_property
+    def backtest(self) -> DataFrame:
+        return need.backtest(self.variability, self.use, self.calendar, self.policy, self.levels)
+
+    @cached_property
+    def stock_at_shipment(self) -> DataFrame:
+        """Each shipment with the empties that its plant had of the material at that day's close."""
+        out = self.account.where("mov_type = '621'").select("planta", "material", "anio_contable", "doc_material", "posicion", "fecha_contab", "cantidad_abs")
+        empty = self.daily_t.where("estado = 'vacios' and tipo_stock = 'libre'").select("planta", "material", F.col("fecha").alias("fecha_contab"), F.col("saldo").alias("vacios"))
+        return as_of(out, empty, ["planta", "material"], "fecha_contab", "vacios")
+
     @cached_property
     def rolled_back(self) -> DataFrame:
         import datetime as dt

@@ -5,13 +5,13 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kernels import rounded
 from ..operators import capacity, contract, cycle, gap, need, quality, reports, stock
 from ..sources import extract
-from . import adapters, invariants
+from . import adapters, invariants, planted
 from .models import Models
 from .oracles import statement
 
@@ -425,12 +425,19 @@ TABLE: dict[str, tuple[Build, str, str]] = {
         select * from d where fecha_contab <= date '2001-06-30'""",
     ),
 }
-TABLE |= adapters.TABLE | invariants.TABLE
+TABLE |= adapters.TABLE | invariants.TABLE | planted.TABLE
+
+
+def shared(spark: SparkSession, sf_dir: str) -> Models:
+    """The models of a folder: queries of one session build each node once between them."""
+    kept = spark.__dict__.setdefault("_fleetledger_models", {})
+    return kept.setdefault(sf_dir, Models(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable]:
-    return {name: (lambda spark, sf_dir, b=build: b(Models(spark, sf_dir))) for name, (build, _, _) in TABLE.items()}
+    return {name: (lambda spark, sf_dir, b=build: b(shared(spark, sf_dir))) for name, (build, _, _) in TABLE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: statement(final, needs) for name, (_, needs, final) in TABLE.items()}
+    """SQL of the queries that have it."""
+    return {name: statement(final, needs) for name, (_, needs, final) in TABLE.items() if final}

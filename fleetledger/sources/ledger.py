@@ -179,12 +179,12 @@ def fault_mark() -> Column:
     return (F.col("posicion") * 31 + F.substring("doc_material", -6, 6).cast("long")) % 997
 
 
-def dirty_lines(ledger: DataFrame, classes: DataFrame, v: Vars = VARS, marked: bool = False) -> DataFrame:
+def dirty_lines(ledger: DataFrame, classes: DataFrame, v: Vars = VARS, marked: bool = False, mark: Column | None = None) -> DataFrame:
     """The ledger's lines with their event, master type and cost, and faults on a thousandth of the lines each, picked by
     arithmetic of the key: what the quality rules are checked on. Transfers get their leg (1 out, 2 in) as position. With
-    `marked`, each line keeps its fault's mark as h."""
+    `marked`, each line keeps its fault's mark as h; `mark` says which fault a line gets (-1: none), else its own arithmetic does."""
     moved = F.col("mov_type") == "311"
-    base = ledger.select("*", fault_mark().alias("h")).select(
+    base = ledger.select("*", (fault_mark() if mark is None else mark).alias("h")).select(
         "planta", "cliente", "material", "almacen", "fecha_contab", "anio_contable", "mov_type", "cantidad", "h",
         F.when(moved, F.concat("doc_material", F.lit("-"), F.floor(F.col("posicion") / 2).cast("string"))).otherwise(F.col("doc_material")).alias("doc_material"),
         F.when(moved, 1 + F.col("posicion") % 2).otherwise(F.col("posicion")).cast("int").alias("posicion"),
@@ -214,15 +214,17 @@ PREFIJOS = {"KLT-": "KLT", "RCK-": "RACK", "CTN-": "CARTON"}
 GRUPOS = [("G1", "KLT"), ("G2", "RACK"), ("G3", "CARTON")]
 
 
-def dirty_tables(customer: DataFrame, snapshot: DataFrame, plan: DataFrame, instruction: DataFrame) -> dict[str, DataFrame]:
-    """Master, snapshot, plan, instruction and parts with faults picked by the number in a material's code."""
+def dirty_tables(customer: DataFrame, snapshot: DataFrame, plan: DataFrame, instruction: DataFrame, only: Column | None = None) -> dict[str, DataFrame]:
+    """Master, snapshot, plan, instruction and parts with faults picked by the number in a material's code: all faults, or in each
+    row the one of the number `only`."""
+    mine = lambda n: n if only is None else F.when(n == only, n).otherwise(-1)
     number = F.split("material", "-")[1].cast("int")
-    one = lambda n: number == n
+    one = lambda n: mine(number) == n
     price = F.element_at(F.create_map(*[F.lit(x) for p in PRECIOS for x in p]), F.col("tipo_material"))
     group = F.element_at(F.create_map(*[F.lit(x) for g, t in GRUPOS for x in (t, g)]), F.col("tipo_material"))
     types = F.create_map(*[F.lit(x) for p in GRUPOS for x in p])
     rows = customer.select("planta", "material", "tipo_material").distinct().where(~one(11))
-    copies = F.explode(F.when(one(2) & (F.col("planta") == "P0"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    copies = F.explode(F.when(one(2) & (F.substring_index("planta", "|", -1) == "P0"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     master = rows.withColumn("copia", copies).select(
         "planta", "material", F.when(one(5), "G9").when(one(9), "G2").otherwise(group).alias("grupo_articulos"), price.alias("precio"), F.when(one(3), 100).otherwise(1).cast("long").alias("unidad_precio"),
         F.when(one(7), "MXN").otherwise("USD").alias("moneda"),
@@ -230,7 +232,7 @@ def dirty_tables(customer: DataFrame, snapshot: DataFrame, plan: DataFrame, inst
     photo = snapshot.where(~one(4)).withColumn("almacen", F.when(one(1), "ZZ99").otherwise(F.col("almacen")))
     told = instruction.where(~one(6)).withColumn("piezas_por_contenedor", F.when(one(8), F.lit(0)).otherwise(F.col("piezas_por_contenedor")))
     told = told.withColumn("tipo_material", F.when(one(10), "CARTON").otherwise(F.col("tipo_material"))).withColumn("material", F.when(one(12), F.concat("material", F.lit("X"))).otherwise(F.col("material")))
-    part_number = F.element_at(F.split("parte", "-"), -1).cast("int")
+    part_number = mine(F.element_at(F.split("parte", "-"), -1).cast("int"))
     parts = instruction.select("planta", "parte").where(part_number != 13)
     twice = F.explode(F.when(part_number == 14, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     return {"master": master, "snapshot": photo, "plan": plan.withColumn("copia", twice).drop("copia"), "instruction": told, "parts": parts}

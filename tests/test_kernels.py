@@ -9,29 +9,6 @@ def rows(df):
     return sorted(tuple(r) for r in df.collect())
 
 
-def test_interval_match_against_units(spark):
-    """Each unit of a side belongs to one interval; matching intervals is matching units one by one."""
-    rng = random.Random(3)
-    left = [("k", i, rng.randint(1, 9)) for i in range(40)]
-    right = [("k", i, rng.randint(1, 9)) for i in range(30)]
-
-    def side(data, name):
-        total, out = 0, []
-        for k, i, n in data:
-            total += n
-            out.append((k, total, (i,)))
-        return spark.createDataFrame(out, f"k string, acum_fin long, {name} struct<{name}_i:int>")
-
-    got = rows(K.interval_match(side(left, "a"), side(right, "b"), ["k"], "a", "b").select("a.a_i", "b.b_i", "cantidad").na.fill(-1))
-    a = [i for _, i, n in left for _ in range(n)]
-    b = [i for _, i, n in right for _ in range(n)]
-    size = max(len(a), len(b))
-    want: dict = {}
-    for x, y in zip(a + [-1] * (size - len(a)), b + [-1] * (size - len(b))):
-        want[x, y] = want.get((x, y), 0) + 1
-    assert got == sorted((*k, n) for k, n in want.items())
-
-
 def test_capped_release_and_floored_balance_against_loops(spark):
     rng = random.Random(5)
     days = [("s", t, float(rng.randint(0, 9)), float(rng.choice([0, 3, 4, 6]))) for t in range(60)]
@@ -52,12 +29,6 @@ def test_capped_release_and_floored_balance_against_loops(spark):
         assert (r["saldo"], r["faltante_acum"]) == (balance, short)
 
 
-def test_as_of(spark):
-    left = spark.createDataFrame([("a", 1), ("a", 5), ("b", 2)], "k string, t int")
-    right = spark.createDataFrame([("a", 1, "x"), ("a", 4, "y"), ("b", 3, "z")], "k string, t int, v string")
-    assert rows(K.as_of(left, right, ["k"], "t", "v").select("k", "t", F.coalesce("v", F.lit("-")))) == [("a", 1, "x"), ("a", 5, "y"), ("b", 2, "-")]
-
-
 def test_allocate_gives_no_more_than_there_is(spark):
     df = spark.createDataFrame([("p", 10.0, 0.0), ("p", 30.0, 0.0), ("p", 0.0, 20.0), ("q", 5.0, 0.0), ("z", 0.0, 0.0)], "pool string, d double, s double")
     got = {(r["pool"], r["d"], r["s"]): (r["got"], r["gave"]) for r in K.allocate(df, ["pool"], "d", "s", "got", "gave").collect()}
