@@ -1,5 +1,6 @@
 """A corpus pipeline over the documents table: toxic documents, copies, near copies and documents with benchmark passages
-go, and what stays is encoded. Each stage works on all that the stage before it kept."""
+go, and what stays is encoded. Each stage works on all that the stage before it kept. Ids are integers, or null; other columns may have
+any names; empty tables pass through every stage."""
 
 from __future__ import annotations
 
@@ -15,14 +16,19 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts (white space aside, null like empty) the one with the smallest doc_id stays; of such without
+    any id, one row. Rows that repeat both id and text are one document and all stay or all go."""
     return exact_dedup.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose fingerprints link them, directly or over others, the one with the smallest doc_id stays; of a group without
+    any id, one row. Texts without words have one fingerprint, and link like others."""
     return simhash.drop_near_copies(docs)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold any ten words in a row of a benchmark item, or all of a shorter one, go. Null texts have no words and stay."""
     return decontaminate.drop_contaminated(docs, common.table(spark, sf_dir, "benchmark"))
 
 

@@ -45,5 +45,10 @@ def row_key(doc_id="doc_id", text="text"):
     return F.xxhash64(F.col(doc_id).cast("string"), F.col(text))
 
 
+def whole_row(docs):
+    """A row with all columns of docs, whatever their names, as one struct."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -168,5 +168,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
     """The rows of docs that hold no window of the benchmark, all columns as they were."""
     anchors, postings = index(docs, benchmark, window)
     bad = phrase_hits(postings, anchors, window).select(F.col("key").alias("_fl_key"), F.col("doc_id").alias("_fl_id")).distinct()
-    same = (common.row_key() == F.col("_fl_key")) & docs["doc_id"].eqNullSafe(F.col("_fl_id"))
-    return docs.join(bad, same, "left_anti")
+    rows = docs.select(common.whole_row(docs).alias("_fl_row"), common.row_key().alias("_fl_own_key"), F.col("doc_id").cast("long").alias("_fl_own_id"))
+    same = (F.col("_fl_own_key") == F.col("_fl_key")) & F.col("_fl_own_id").eqNullSafe(F.col("_fl_id"))
+    return rows.join(bad, same, "left_anti").select("_fl_row.*")

@@ -227,7 +227,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def keep_rows(docs: DataFrame, dropped: DataFrame, lone: DataFrame) -> DataFrame:
     """The rows of docs but those whose id and text digest are in `dropped` (_fl_id, _fl_digest), and of the rows without an id
     one for each digest in `lone` (_fl_digest), all columns as they were. Digests in `lone` must be among the dropped."""
-    marked = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_fl_row"), F.col("doc_id").cast("long").alias("_fl_own"), digest().alias("_fl_mark"), F.coalesce("text", F.lit("")).alias("_fl_text"))
+    marked = docs.select(common.whole_row(docs).alias("_fl_row"), F.col("doc_id").cast("long").alias("_fl_own"), digest().alias("_fl_mark"), F.coalesce("text", F.lit("")).alias("_fl_text"))
     same = F.col("_fl_own").eqNullSafe(F.col("_fl_id")) & (F.col("_fl_mark") == F.col("_fl_digest"))
     kept = marked.join(dropped, same, "left_anti").select("_fl_row")
     nameless = marked.where("_fl_own is null").join(lone, F.col("_fl_mark") == F.col("_fl_digest"), "left_semi")
@@ -235,7 +235,9 @@ def keep_rows(docs: DataFrame, dropped: DataFrame, lone: DataFrame) -> DataFrame
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_dedup keeps, all columns as they were; of a group whose ids are all null, one row."""
+    """The rows of docs that exact_dedup keeps, all columns as they were, whatever the names of others than doc_id (an integer) and
+    text; of a group whose ids are all null, one row. Rows that repeat both the smallest id and the text all stay: by their id they are
+    one document."""
     found = exact_dedup(docs).select(F.col("doc_id").alias("_fl_id"), "keep_id", "kept", F.unhex("text_sha256").alias("_fl_digest"))
     dropped = found.where("not kept or keep_id is null").select("_fl_id", "_fl_digest").distinct()
     return keep_rows(docs, dropped, found.where("keep_id is null").select("_fl_digest").distinct())

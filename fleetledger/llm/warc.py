@@ -112,7 +112,13 @@ def records_of(captures: DataFrame, owners: DataFrame, part: str) -> DataFrame:
         F.lit("\r\n" + HTTP),
         F.when(revisit, F.lit("")).otherwise(F.col("payload")),
     )
-    return judged.select(record.alias("record"))
+    # What goes into one file: of records between 2^c and 2^(c+1) bytes those of so many rows in a task that they fill no more than
+    # RECORDS * LIGHT bytes.
+    size_class = F.floor(F.log2("weight")).cast("int")
+    share = F.greatest(F.lit(1), F.floor(F.lit(RECORDS * LIGHT) / F.pow(F.lit(2.0), size_class + 1))).cast("long")
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    cut = F.concat(size_class.cast("string"), F.lit("-"), F.floor(place / share).cast("string"))
+    return judged.select(record.alias("record"), cut.alias("cut"))
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
@@ -121,11 +127,12 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     marks = common.materialise(captures.select("page_id", "size", "same", "weight"), "payload-marks")
     counted = marks.where(F.col("size") >= least).groupBy("same", "page_id").agg(F.count(F.lit(1)).alias("n"))
     owners = counted.where("page_id is not null").groupBy("same").agg(F.max("page_id").alias("owner"), F.max_by("n", "page_id").alias("owners"))
-    heaviest = marks.agg(F.max("weight")).first()[0] or 0
-    for name, mine, most in (("light", F.col("weight") <= LIGHT, RECORDS), ("heavy", F.col("weight") > LIGHT, max(1, RECORDS * LIGHT // max(1, heaviest)))):
-        if name == "light" or heaviest > LIGHT:
-            part = captures if heaviest <= LIGHT else captures.where(mine)
-            records_of(part, owners, name).write.option("lineSep", END).option("maxRecordsPerFile", most).option("compression", "gzip").text(f"{path}/{name}")
+    heavy = (marks.agg(F.max("weight")).first()[0] or 0) > LIGHT
+    part = lambda name, rows: records_of(rows, owners, name)
+    light = part("light", captures.where(F.col("weight") <= LIGHT) if heavy else captures).select("record")
+    light.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(f"{path}/light")
+    if heavy:
+        part("heavy", captures.where(F.col("weight") > LIGHT)).write.option("lineSep", END).option("compression", "gzip").partitionBy("cut").text(f"{path}/heavy")
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

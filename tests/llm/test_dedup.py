@@ -291,6 +291,17 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_one_heavy_page_leaves_the_others_their_files(spark):
+    """Files are cut by what their own records weigh: a page of 30 MB beside 40 of 70 kB."""
+    pages = spark.range(41).select(F.col("id").alias("page_id"), F.concat(F.lit("http://a.org/"), F.col("id").cast("string")).alias("url"), F.when(F.col("id") == 40, F.repeat(F.col("id").cast("string"), 15_000_000)).otherwise(F.concat(F.col("id").cast("string"), F.repeat(F.substring(F.col("id").cast("string"), 1, 1), 70_000))).alias("html"))
+    pages = warc.common.materialise(pages.coalesce(1), "heavy-pages")
+    path = warc.common.fresh_path(spark, "warc")
+    warc.write_archives(pages, path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length").collect()
+    assert len([f for f in files if "heavy" in f["path"]]) <= 4
+    assert spark.read.text(path + "/heavy", lineSep=warc.END, recursiveFileLookup=True).where("value like 'WARC/1.1%'").count() == 41
+
+
 def test_warc_ids_dates_and_bounds(spark, monkeypatch):
     """Ids beyond any date, a page_id that repeats with its payload, null ids: every record has its own id, and every name
     that a revisit refers to exists. Heavy records go to files of their own."""
