@@ -88,18 +88,20 @@ TABLES = [
 
 
 def failures(df: DataFrame, contract: Contract, key: tuple[str, ...]) -> DataFrame:
-    """tabla, columna, chequeo, valor and the row's key, for every check that a row, a key or the schema fails."""
+    """tabla, columna, chequeo, valor and the row's key, for every check that a row, a key or the schema fails; with the row's file as
+    `archivo` where df has such a column (inputs.plant_files), null for what no one row fails."""
+    told = ["archivo"] if "archivo" in df.columns else []
     spark, have, empty = df.sparkSession, set(df.columns), F.lit(None).cast("string")
     wanted = [f.name for f in contract.fields]
-    named = [(n, "column_in_dataframe", None) for n in wanted if n not in have] + [(n, "column_in_schema", None) for n in df.columns if contract.strict and n not in wanted]
+    named = [(n, "column_in_dataframe", None) for n in wanted if n not in have] + [(n, "column_in_schema", None) for n in df.columns if contract.strict and n not in wanted and n not in told]
     text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in key])
     bad = [F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(f.name).alias("columna"), F.lit(name).alias("chequeo"), F.col(f.name).cast("string").alias("valor"))) for f in contract.fields if f.name in have for name, cond in f.checks()]
     bad += [F.when(~F.coalesce(F.expr(rule), F.lit(False)), F.struct(empty.alias("columna"), F.lit(name).alias("chequeo"), empty.alias("valor"))) for name, rule in contract.rows.items()]
-    found = df.select(text.alias("llave"), F.explode(F.array(*bad)).alias("x")).where("x is not null").select("x.*", "llave")
+    found = df.select(*told, text.alias("llave"), F.explode(F.array(*bad)).alias("x")).where("x is not null").select(*told, "x.*", "llave")
     if contract.unique:
         twice = df.groupBy(*contract.unique).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         twice = twice.select(F.lit(",".join(contract.unique)).alias("columna"), F.lit("multiple_fields_uniqueness").alias("chequeo"), F.col("n").cast("string").alias("valor"), F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in contract.unique]).alias("llave"))
-        found = found.unionByName(twice)
+        found = found.unionByName(twice, allowMissingColumns=True)
     if named:
-        found = found.unionByName(spark.createDataFrame(named, "columna string, chequeo string, valor string").withColumn("llave", empty))
-    return found.select(F.lit(contract.table).alias("tabla"), "columna", "chequeo", "valor", "llave")
+        found = found.unionByName(spark.createDataFrame(named, "columna string, chequeo string, valor string").withColumn("llave", empty), allowMissingColumns=True)
+    return found.select(F.lit(contract.table).alias("tabla"), *told, "columna", "chequeo", "valor", "llave")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import shared_dir
+from ..operators import contract
 from ..sources import extract, inputs
 from .models import Models
 
@@ -33,6 +36,32 @@ def printed_stock(m: Models) -> DataFrame:
     )
 
 
+#: Marks of records that are broken on the way: fields lacking, a field too many, a number and a date that cannot be read.
+SHORT, LONG, NO_NUMBER, NO_DATE = 20, 21, 22, 23
+
+
+def extract_with_faults(m: Models) -> DataFrame:
+    """The ledger printed as text files, one folder a plant, some records broken, and read back: what fails, by plant and check."""
+    printed = extract.as_extract(m.ledger)
+    names = printed.columns
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", "MBLNR", "ZEILE").cast("binary")), 1, 8), 16, 10).cast("long") % 997
+    value = {"MENGE": F.when(F.col("h") == NO_NUMBER, F.lit("doce")).otherwise(F.col("MENGE")), "BUDAT": F.when(F.col("h") == NO_DATE, F.lit("31.02.2000")).otherwise(F.col("BUDAT"))}
+    whole = F.concat_ws(";", *[value.get(c, F.col(c)) for c in names])
+    line = F.when(F.col("h") == SHORT, F.substring_index(whole, ";", len(names) - 3)).when(F.col("h") == LONG, F.concat(whole, F.lit(";sobra"))).otherwise(whole)
+    path = f"{shared_dir(m.spark)}/fleetledger/extract-{uuid.uuid4().hex}"
+    extract.write_text(printed.withColumn("h", h).select(F.col("WERKS").alias("planta"), line.alias("linea")), path)
+    found = extract.extract_failures(extract.read_text(m.spark, path, columns=names), "mb51")
+    return found.groupBy("archivo", "columna", "chequeo").agg(F.count(F.lit(1)).alias("casos"))
+
+
+def contract_by_file(m: Models) -> DataFrame:
+    """The movement contract over files of each plant, with the file of what fails."""
+    path = f"{shared_dir(m.spark)}/fleetledger/plants-{uuid.uuid4().hex}"
+    inputs.write_by_plant(m.lines, path)
+    found = contract.failures(inputs.plant_files(m.spark, path), contract.MOVEMENTS, ("planta", "doc_material", "posicion"))
+    return found.groupBy("tabla", "archivo", "columna", "chequeo").agg(F.count(F.lit(1)).alias("casos"))
+
+
 #: name: how to build it, what its SQL reads, and the SQL's final select
 TABLE: dict[str, tuple[Callable[[Models], DataFrame], str, str]] = {
     "extracto_maestro": (
@@ -42,6 +71,19 @@ TABLE: dict[str, tuple[Callable[[Models], DataFrame], str, str]] = {
         select planta as Werks, material as Matnr, 'Contenedor ' || material as Maktx, 'VERP' as Mtart, case tipo_material when 'KLT' then 'G1' when 'RACK' then 'G2' else 'G3' end as Matkl, 'PC' as Meins,
                case when n % 2 = 0 then 1000 + costo_unitario_usd + 0.5::double else costo_unitario_usd + 0.25::double end as Verpr, 1::bigint as Peinh, case when n = 7 then 'MXN' else 'USD' end as Waers from d join prices using (tipo_material)""",
     ),
+    "contrato_por_archivo": (
+        contract_by_file,
+        "cfail dirty",
+        """, k as (select doc_material || '|' || posicion as llave, planta from dirty group by all)
+        select tabla, 'planta=' || planta as archivo, columna, chequeo, count(*) as casos from cfail join k using (llave) where tabla = 'raw_mb51' group by all""",
+    ),
+    "extracto_con_fallas": (
+        extract_with_faults,
+        "led",
+        """, h as (select planta, ('0x' || substr(md5(concat_ws('|', doc_material, posicion)), 1, 8))::bigint % 997 as h from led)
+        select 'planta=' || planta as archivo, case h when 22 then 'MENGE' when 23 then 'BUDAT' end as columna, case h when 22 then 'no_es_numero' when 23 then 'no_es_fecha' else 'registro_roto' end as chequeo, count(*) as casos
+        from h where h between 20 and 23 group by all""",
+    ),
     "extracto_stock": (
         lambda m: extract.stock(printed_stock(m), "LGORT", extract.STORED),
         "snap",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import running_sum
+from ..functions.kernels import rounded, running_sum
 from ..operators import cycle, gap, quality, stock
 from .models import Models
 
@@ -77,6 +77,22 @@ def cohorts_add_up(m: Models) -> DataFrame:
     return unequal(total(made.where("nivel = 'flota'"), ["todo"], "contenedores_recogidos"), total(made.where("nivel = 'planta'"), ["todo"], "contenedores_recogidos"), ["todo"])
 
 
+def cycle_without_photo(m: Models) -> DataFrame:
+    """Stock that customers held in the snapshot has no day and no document: rotation, cohorts and the cycle of routes count only what
+    went out afterwards."""
+    known = m.tranches.where("doc_salida is not null")
+    timed = m.tranches.where("tipo_cierre = '622' and dias is not null")
+    named = lambda df, what: df.select(F.lit(what).alias("falla"), "llave", "izquierda", "derecha")
+    turned = unequal(total(m.rotation, ["planta"], "contenedores_salida"), total(known, ["planta"], "cantidad"), ["planta"]).withColumn("llave", F.col("planta"))
+    full = m.rotation.where("cohorte_completa").select("planta", "mes")
+    mine = timed.withColumn("mes", F.trunc("fecha_salida", "month")).join(F.broadcast(full), ["planta", "mes"], "left_semi")
+    cohorts = cycle.cohort_cycle(m.rotation, m.tranches).where("nivel = 'flota'").withColumn("llave", F.lit("flota"))
+    cohorts = unequal(total(cohorts, ["llave"], "contenedores_recogidos"), total(mine.withColumn("llave", F.lit("flota")), ["llave"], "cantidad"), ["llave"])
+    cycles = timed.groupBy("planta", "cliente").agg(rounded(F.sum(F.col("cantidad") * F.col("dias")).cast("double") / F.sum("cantidad"), 1).alias("n"))
+    routes = unequal(m.routes.where("ciclo_promedio_dias is not null").withColumn("n", F.col("ciclo_promedio_dias")), cycles.join(m.routes.select("planta", "cliente"), ["planta", "cliente"], "left_semi"), ["planta", "cliente"])
+    return named(turned, "rotacion").unionByName(named(cohorts, "cohortes")).unionByName(named(routes.withColumn("llave", F.concat_ws(" ", "planta", "cliente")), "ruta"))
+
+
 def valid_opening(m: Models) -> DataFrame:
     first = m.ledger.agg(F.min("fecha_contab").alias("primero"))
     return m.snapshot.crossJoin(F.broadcast(first)).where("cantidad < 0 or fecha >= primero").select("planta", "material", "cantidad")

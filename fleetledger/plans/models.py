@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import functools
 from functools import cached_property
 
@@ -16,6 +17,10 @@ from ..sources import extract, faults
 from ..sources import ledger as src
 
 
+#: The day on which a ledger cut in two begins again.
+PHOTO = dt.date(1997, 1, 1)
+
+
 class Models:
     #: The world of a row, where a ledger holds several (see variants.py).
     world = None
@@ -307,8 +312,35 @@ class Models:
         return as_of(out, empty, ["planta", "material"], "fecha_contab", "vacios")
 
     @cached_property
-    def rolled_back(self) -> DataFrame:
-        import datetime as dt
+    def from_photo(self) -> Models:
+        """The models of a ledger that begins in mid-course: its snapshot has stock with customers, whose age nobody knows."""
+        return FromPhoto(self, PHOTO)
 
+    @cached_property
+    def rolled_back(self) -> DataFrame:
         closing = stock.snapshot_at(self.ledger, self.snapshot, self.places, self.v.fecha_extraccion + dt.timedelta(days=1))
         return extract.roll_back(closing, self.ledger, self.places, dt.date(1995, 1, 1))
+
+
+class FromPhoto(Models):
+    """The models of what moved from a day on, and of the snapshot of the day before, with its rows of customers."""
+
+    def __init__(self, base: Models, day: dt.date):
+        super().__init__(base.spark, base.sf_dir, base.v)
+        self.base, self.day = base, day
+
+    @cached_property
+    def customer(self) -> DataFrame:
+        return self.base.customer.where(F.col("fecha_contab") >= F.lit(self.day))
+
+    @cached_property
+    def ledger(self) -> DataFrame:
+        return self.base.ledger.where(F.col("fecha_contab") >= F.lit(self.day))
+
+    @cached_property
+    def snapshot(self) -> DataFrame:
+        return stored(stock.snapshot_at(self.base.ledger, self.base.snapshot, self.places, self.day), "photo")
+
+    @cached_property
+    def no_snapshot(self) -> DataFrame:
+        return self.snapshot

@@ -6,7 +6,8 @@ import re
 
 from ..sources import faults
 from ..sources import ledger as L
-from . import variants
+from . import invariants, variants
+from .models import PHOTO
 from .oracles import SQL
 
 KEY = "planta, anio_contable, doc_material, posicion"
@@ -69,6 +70,45 @@ SQL |= {
         select *, round(dias_quiebre * 100.0::double / dias, 2) as pct_quiebre, coalesce(dias_quiebre * 100.0::double / dias > objetivo_quiebre * 100.0::double + 1, true) as rebasa from t"""),
 }
 
+def instead(name: str, **relations: str) -> str:
+    """A relation's SQL over others."""
+    text = SQL[name][1]
+    for old, new in relations.items():
+        text = re.sub(rf"\b{old}\b", new, text)
+    return text
+
+
+#: A ledger that begins with a photo: accounts open with what customers held, without day or document of its shipment.
+DAY = f"date '{PHOTO}'"
+SQL |= {
+    "facc": ("acc", f"""
+        select planta, cliente, material, tipo_material, mov_type, fecha_contab, anio_contable, doc_material, posicion, n, delta, false as en_foto from acc where fecha_contab >= {DAY}
+        union all select planta, cliente, material, tipo_material, null, {DAY} - 1, null, null, null, sum(delta)::bigint, sum(delta)::bigint, true from acc where fecha_contab < {DAY} group by 1, 2, 3, 4 having sum(delta) <> 0"""),
+    "fends": ("facc", """
+        select *, coalesce(mov_type = '621', false) or en_foto as es_salida, sum(n) over (partition by planta, cliente, material, coalesce(mov_type = '621', false) or en_foto
+               order by fecha_contab, anio_contable nulls last, doc_material nulls last, posicion nulls last rows unbounded preceding)::bigint as hasta from facc"""),
+    "ftr": ("fends", """
+        with o as (select * from fends where es_salida), c as (select * from fends where not es_salida), top as (select planta, cliente, material, max(hasta) as todo from c group by all)
+        select o.planta, o.cliente, o.material, o.tipo_material, o.fecha_contab as fecha_salida, o.anio_contable as anio_salida, o.doc_material as doc_salida, o.posicion as pos_salida, o.en_foto as salida_en_foto,
+               c.mov_type as tipo_cierre, c.fecha_contab as fecha_cierre, c.anio_contable as anio_cierre, c.doc_material as doc_cierre,
+               least(o.hasta, c.hasta) - greatest(o.hasta - o.n, c.hasta - c.n) as cantidad, case when not o.en_foto then c.fecha_contab - o.fecha_contab end as dias
+        from o join c on o.planta = c.planta and o.cliente = c.cliente and o.material = c.material and o.hasta - o.n < c.hasta and c.hasta - c.n < o.hasta
+        union all
+        select o.planta, o.cliente, o.material, o.tipo_material, o.fecha_contab, o.anio_contable, o.doc_material, o.posicion, o.en_foto, null, null, null, null, least(o.n, o.hasta - coalesce(todo, 0)), null
+        from o left join top using (planta, cliente, material) where o.hasta > coalesce(todo, 0)"""),
+    "fret": ("ftr", "select * from ftr where tipo_cierre = '622' and not salida_en_foto"),
+    "floss": ("cust prices facc", f"""
+        with m as (select * from cust join prices using (tipo_material) where mov_type in ('621', '702') and fecha_contab >= {DAY}),
+             s as (select distinct planta, cliente, true as con_foto from facc where en_foto), k as (select distinct planta, fecha_contab as cierre from m where mov_type = '702'),
+             a as (select *, lag(cierre) over (partition by planta order by cierre) as anterior from k),
+             w as (select planta, min(cierre) as primera, arg_min(anterior, cierre) as anterior from a where planta in (select planta from s) and anterior - {L.VARS.antiguedad_conciliacion_dias} >= {DAY} - 1 group by 1)
+        select m.planta, m.cliente, material, tipo_material, mov_type, fecha_contab, abs(cantidad)::bigint as n, costo_unitario_usd,
+               coalesce(case when mov_type = '702' then con_foto is null or fecha_contab >= primera
+                             else fecha_contab <= (select max(cierre) from k) - {L.VARS.antiguedad_conciliacion_dias} and (con_foto is null or fecha_contab > anterior - {L.VARS.antiguedad_conciliacion_dias}) end, false) as en_tasa
+        from m left join s on s.planta = m.planta and s.cliente = m.cliente left join w on w.planta = m.planta"""),
+    "froutes": ("floss fret", instead("routes", loss="floss", ret="fret")),
+}
+
 #: name: how to build it, what its SQL reads, and the SQL's final select; none for what SQL would need a run of all models a fault for.
 TABLE = {
     "defectos_por_cuota": (lambda m: m.quota_log, "qlog", "select * from qlog"),
@@ -86,6 +126,14 @@ TABLE = {
         select a.planta, a.material, anio_contable, doc_material, posicion, fecha_contab, n as cantidad_abs, saldo as vacios
         from acc a asof left join v on v.planta = a.planta and v.material = a.material and v.fecha <= a.fecha_contab where mov_type = '621'""",
     ),
+    "tramos_con_foto": (lambda m: m.from_photo.tranches, "ftr", "select * from ftr"),
+    "merma_con_foto": (lambda m: m.from_photo.routes, "froutes", "select * from froutes"),
+    "inv_ciclo_sin_stock_de_la_foto": (
+        lambda m: invariants.cycle_without_photo(m.from_photo),
+        "ftr froutes",
+        """, t as (select planta, cliente, round(sum(cantidad * dias)::double / sum(cantidad)::double, 1) as ciclo from ftr where tipo_cierre = '622' and dias is not null group by 1, 2)
+        select 'ruta' as falla, concat_ws(' ', planta, cliente) as llave, ciclo_promedio_dias as izquierda, ciclo as derecha from froutes join t using (planta, cliente) where ciclo_promedio_dias <> ciclo""",
+    ),
     "impacto_por_variante": (lambda m: m.impact_of_all, "", ""),
     "impacto_sin_declarar": (lambda m: variants.undeclared(m.impact_of_all), "", ""),
     "severidad_medida": (lambda m: variants.severity(m.impact_of_all), "", ""),

@@ -16,9 +16,48 @@ HELD = ("KULAB", "KUINS", "KUEIN")
 UNITS = {"ST": "PC", "PCE": "PC", "C62": "PC", "KGM": "KG"}
 
 
-def read_text(spark: SparkSession, path: str, separator: str = ";", names: dict[str, str] | None = None) -> DataFrame:
-    """A CSV extract, every column as text; `names` gives the technical names of other headers."""
-    return spark.read.option("sep", separator).option("header", True).option("inferSchema", False).csv(path).withColumnsRenamed(names or {})
+#: What a text extract's rows carry beside their fields: the whole record where it is broken, and the file that it stands in.
+BROKEN, FILE = "_roto", "archivo"
+
+
+def read_names(spark: SparkSession, path: str) -> dict[str, str]:
+    """A header map: CSV with `columna`, a header as the file has it, and `campo`, the technical name."""
+    rows = spark.read.option("header", True).option("inferSchema", False).csv(path).collect()  # a row a column of the extract
+    return {r["columna"]: r["campo"].upper() for r in rows}
+
+
+def read_text(spark: SparkSession, path: str, separator: str = ";", names: dict[str, str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """CSV extracts, a file, a folder or a glob, every column as text; `names` gives the technical names of other headers, `columns`
+    those of files without a header. A record with too few fields or too many is no error: it is kept whole in BROKEN. FILE is the
+    file's name, or where files stand in folders planta=..., that folder's, by which scans are pruned."""
+    text = spark.read.option("sep", separator).option("inferSchema", False)
+    found = columns or [c for c in text.option("header", True).csv(path).columns if c != "planta"]
+    fields = ", ".join(f"`{c}` string" for c in (*found, BROKEN))
+    # A record is judged by all its fields, whichever of them a query reads.
+    rows = text.schema(fields).option("columnPruning", False).option("header", columns is None).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).csv(path)
+    at = F.col("_metadata.file_path")
+    folder = F.regexp_extract(at, r"/(planta=[^/]+)/", 1)
+    return rows.select("*", F.when(folder != "", folder).otherwise(F.col("_metadata.file_name")).alias(FILE)).withColumnsRenamed(names or {})
+
+
+def write_text(rows: DataFrame, path: str) -> None:
+    """Lines of text (planta, linea) in a folder for each plant."""
+    rows.select("planta", "linea").write.partitionBy("planta").text(path)
+
+
+def extract_failures(rows: DataFrame, table: str, required: tuple[str, ...] = REQUIRED, decimal: str = ",", date_format: str = "dd.MM.yyyy") -> DataFrame:
+    """What the movement extract's rows (of read_text) fail, all checks in one pass: tabla, archivo, columna, chequeo, valor, llave. A
+    broken record fails as a whole."""
+    demand(rows, required, "the movement extract")
+    fault = lambda cond, column, check, value: F.when(cond, F.struct(F.lit(column).cast("string").alias("columna"), F.lit(check).alias("chequeo"), value.cast("string").alias("valor")))
+    whole = F.col(BROKEN).isNull()
+    faults = [fault(~whole, None, "registro_roto", F.col(BROKEN))]
+    faults += [fault(whole & text(c).isNull(), c, "not_nullable", F.lit(None)) for c in required]
+    faults += [fault(whole & text(c).isNotNull() & number(c, decimal).isNull(), c, "no_es_numero", F.col(c)) for c in ("MENGE", "DMBTR") if c in rows.columns]
+    faults += [fault(whole & text(c).isNotNull() & F.expr(f"try_to_timestamp({c}, '{date_format}')").isNull(), c, "no_es_fecha", F.col(c)) for c in ("BUDAT", "CPUDT")]
+    key = F.when(whole, F.concat_ws("|", text("MBLNR"), text("ZEILE")))
+    found = rows.select(FILE, key.alias("llave"), F.explode(F.array(*faults)).alias("x")).where("x is not null")
+    return found.select(F.lit(table).alias("tabla"), FILE, "x.*", "llave")
 
 
 def text(name: str) -> Column:

@@ -35,6 +35,14 @@ def input_table(spark: SparkSession, path: str, schema: str, required: bool = Tr
     return spark.createDataFrame([], schema)
 
 
+def plant_files(spark: SparkSession, path: str) -> DataFrame:
+    """Movements from a glob of files, or from folders planta=..., with the file of each row as `archivo` (the folder's name where there
+    are folders); a filter on planta opens only its folders."""
+    rows = spark.read.parquet(path)
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/(planta=[^/]+)/", 1)
+    return rows.select("*", F.when(folder != "", folder).otherwise(F.col("_metadata.file_name")).alias("archivo"))
+
+
 def with_plant(raw: DataFrame, column: str = "WERKS") -> DataFrame:
     """An extract whose rows all name a plant; rows that don't stop the job."""
     if missing := raw.where(F.coalesce(F.trim(F.col(column)), F.lit("")) == "").count():

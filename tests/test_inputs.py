@@ -76,3 +76,37 @@ def test_measurements_and_blind_faults(spark, folder):
     assert {(r["medida"], r["nivel"], r["valor"], r["casos"]) for r in back.collect()} == {("tco", "limpio", 100.0, None), ("perdida", "limpio", 50.0, None), ("tco", "alto", 150.13, 4), ("perdida", "alto", 49.0, 4)}
     got = inputs.blind_detection(back, after).collect()
     assert [tuple(r) for r in got] == [("B01", "alto", 4, 0, "tco", 50.13, 4, 4, "perdida", None)]
+
+
+def test_broken_records_of_an_extract(spark, tmp_path):
+    """Headers by a map, records with fields too few and too many, an unreadable number and date: reported with their file, and nothing else."""
+    from fleetledger.sources import extract
+
+    names = list(extract.REQUIRED)
+    good = ["P1", "M1", "Caja", "621", "03.02.2024", "03.02.2024", "90507", "1.234,000-", "ST", "D1", "1"]
+    put = lambda c, x: ";".join(x if n == c else v for n, v in zip(names, good))
+    (tmp_path / "mb51_a.csv").write_text("\n".join([";".join(f"c{n}" for n in names), ";".join(good), ";".join(good[:-2]), put("MENGE", "doce")]) + "\n")
+    (tmp_path / "mb51_b.csv").write_text("\n".join([";".join(f"c{n}" for n in names), ";".join(good + ["x"]), put("BUDAT", "31.02.2024"), put("WERKS", " ")]) + "\n")
+    (tmp_path / "names.csv").write_text("columna,campo\n" + "\n".join(f"c{n},{n.lower()}" for n in names) + "\n")
+    rows = extract.read_text(spark, str(tmp_path / "mb51_*.csv"), names=extract.read_names(spark, str(tmp_path / "names.csv")))
+    got = {(r["archivo"], r["columna"], r["chequeo"], r["valor"]) for r in extract.extract_failures(rows, "mb51").collect()}
+    assert got == {
+        ("mb51_a.csv", None, "registro_roto", ";".join(good[:-2])), ("mb51_a.csv", "MENGE", "no_es_numero", "doce"), ("mb51_b.csv", None, "registro_roto", ";".join(good + ["x"])),
+        ("mb51_b.csv", "BUDAT", "no_es_fecha", "31.02.2024"), ("mb51_b.csv", "WERKS", "not_nullable", None),
+    }
+    assert extract.movements(rows.where(F.col(extract.BROKEN).isNull())).where("Menge = -1234").count() == 3
+    with pytest.raises(ValueError, match="MENGE"):
+        extract.extract_failures(rows.drop("MENGE"), "mb51")
+
+
+def test_plant_files_are_pruned_and_named(spark, tmp_path):
+    from fleetledger.sources import inputs
+
+    moves = spark.createDataFrame([(f"P{i % 3}", i, f"d{i}", 1) for i in range(30)], "planta string, fecha_contab int, doc_material string, posicion int")
+    inputs.write_by_plant(moves, str(tmp_path / "mb51"))
+    back = inputs.plant_files(spark, str(tmp_path / "mb51"))
+    assert {(r["planta"], r["archivo"]) for r in back.select("planta", "archivo").distinct().collect()} == {(f"P{i}", f"planta=P{i}") for i in range(3)}
+    plan = back.where("planta = 'P1'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(planta" in plan and back.where("planta = 'P1'").count() == 10
+    moves.where("planta = 'P0'").coalesce(1).write.parquet(str(tmp_path / "flat"))
+    assert inputs.plant_files(spark, str(tmp_path / "flat" / "part-*")).select("archivo").first()[0].startswith("part-")
