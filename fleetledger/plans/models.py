@@ -311,6 +311,11 @@ class Models:
         empty = self.daily_t.where("estado = 'vacios' and tipo_stock = 'libre'").select("planta", "material", F.col("fecha").alias("fecha_contab"), F.col("saldo").alias("vacios"))
         return as_of(out, empty, ["planta", "material"], "fecha_contab", "vacios")
 
+    @cached_property
+    def all_classes(self) -> Models:
+        """The models of a ledger with every class of movement."""
+        return AllClasses(self)
+
     @cached_property
     def from_photo(self) -> Models:
         """The models of a ledger that begins in mid-course: its snapshot has stock with customers, whose age nobody knows."""
@@ -322,6 +327,32 @@ class Models:
         return extract.roll_back(closing, self.ledger, self.places, dt.date(1995, 1, 1))
 
 
+class AllClasses(Models):
+    """The models of the ledger with purchases, repairs and scrap beside it; the opening snapshot is the same."""
+
+    def __init__(self, base: Models):
+        super().__init__(base.spark, base.sf_dir, base.v)
+        self.base = base
+
+    @cached_property
+    def customer(self) -> DataFrame:
+        return self.base.customer
+
+    @cached_property
+    def ledger(self) -> DataFrame:
+        return self.base.ledger.unionByName(src.workshop(self.base.customer, self.v))
+
+    @cached_property
+    def snapshot(self) -> DataFrame:
+        return self.base.snapshot
+
+    @cached_property
+    def signs(self) -> DataFrame:
+        """Lines of any class whose sign is wrong, in this ledger with its planted faults."""
+        found = quality.line_rules(self.lines, self.places, self.pieces, self.v)
+        return found.where("regla = 'signo_invertido'").drop("regla", "detalle")
+
+
 class FromPhoto(Models):
     """The models of what moved from a day on, and of the snapshot of the day before, with its rows of customers."""
 

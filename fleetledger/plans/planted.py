@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
+from ..operators import stock
 from ..sources import faults
 from ..sources import ledger as L
 from . import invariants, variants
 from .models import PHOTO
-from .oracles import SQL
+from .oracles import CUTOFF, SQL
 
 KEY = "planta, anio_contable, doc_material, posicion"
 
@@ -78,6 +79,29 @@ def instead(name: str, **relations: str) -> str:
     return text
 
 
+def family(prefix: str, root: str, *names: str) -> dict[str, tuple[str, str]]:
+    """Relations over another one in the root's place: each with the prefix, reading each other."""
+    new = {n: prefix + n for n in (root, *names)}
+    return {prefix + n: (" ".join(new.get(x, x) for x in SQL[n][0].split()), instead(n, **new)) for n in names}
+
+
+#: The ledger with every class of movement.
+LINES = ", ".join(f"({'null' if w is None else w}, {d}, '{c}', '{a}', {n}, '{s}', {p})" for w, d, c, a, n, s, p in L.WORKSHOP)
+SQL |= {
+    "wled": ("led cust", f"""
+        select * from led union all
+        select planta, null, material, tipo_material, mt, al, dia, ca, concat(se, posicion, doc_material), po, cast(year(dia) as bigint)
+        from (select c.*, t.*, fecha_contab + di as dia from (select *, ('0x' || substr(md5(concat_ws('|', doc_material, posicion)), 1, 8))::bigint as h from cust where mov_type = '622') c
+              join (values {LINES}) as t(tu, di, mt, al, ca, se, po) on h % 10 = 0 and (tu is null or tu = h // 10 % 2)) where dia <= {CUTOFF}"""),
+    **family("w", "led", "smov", "dstock", "fleet", "cal", "use", "vari", "dem", "flows", "proj", "dirty"),
+}
+SQL["wproj"] = (
+    SQL["wproj"][0],
+    SQL["wproj"][1].replace("* 7 * tasa)", "* 7 * (tasa + coalesce(ts, 0)))").replace("w as (select distinct", """sc as (select planta, tipo_material, sum(case when estado = 'scrap' and evento = 'traslado_bloqueado' and delta > 0 then delta end)::double
+                        / nullif(sum(case when estado = 'cliente' and evento = 'salida_cliente' then delta end), 0) as ts from wsmov, wcal where fecha between inicio_sigma and fin_base group by 1, 2),
+             w as (select distinct""").replace(" join t on t.planta = f.planta and t.tipo_material = f.tipo_material)", " join t on t.planta = f.planta and t.tipo_material = f.tipo_material left join sc on sc.planta = f.planta and sc.tipo_material = f.tipo_material)"),
+)
+
 #: A ledger that begins with a photo: accounts open with what customers held, without day or document of its shipment.
 DAY = f"date '{PHOTO}'"
 SQL |= {
@@ -126,6 +150,24 @@ TABLE = {
         select a.planta, a.material, anio_contable, doc_material, posicion, fecha_contab, n as cantidad_abs, saldo as vacios
         from acc a asof left join v on v.planta = a.planta and v.material = a.material and v.fecha <= a.fecha_contab where mov_type = '621'""",
     ),
+    "stock_con_todas_las_clases": (lambda m: m.all_classes.daily, "wdstock", "select * from wdstock"),
+    "flujos_con_todas_las_clases": (
+        lambda m: stock.weekly_flows(m.all_classes.ledger, m.places, m.classes),
+        "wflows wled classes",
+        """select * from wflows union all
+        select planta, tipo_material, cast(date_trunc('week', fecha_contab) as date), 'scrap', 'baja', sum(abs(cantidad))::bigint from wled join classes using (mov_type)
+        where evento = 'baja' and tipo_material in ('KLT', 'RACK') group by 1, 2, 3""",
+    ),
+    "flota_con_todas_las_clases": (lambda m: m.all_classes.projected, "wproj", "select * from wproj"),
+    "signos_con_todas_las_clases": (
+        lambda m: m.all_classes.signs,
+        "wdirty places",
+        """, s as (select *, case when evento in ('storno_compra', 'consumo', 'baja', 'salida_desechable', 'salida_cliente', 'faltante_cliente') then cantidad >= 0
+                                  when evento in ('entrada_compra', 'recogida_cliente') then cantidad <= 0
+                                  when evento in ('traslado', 'traslado_bloqueado', 'bloqueo', 'desbloqueo') then not ((posicion = 1 and cantidad < 0) or (posicion = 2 and cantidad > 0)) end as mal from wdirty)
+        select planta, material, anio_contable, doc_material, posicion, abs(cantidad)::bigint as unidades, abs(cantidad) * costo_unitario_usd as usd_expuesto from s
+        where mal and (almacen is null or almacen in (select almacen from places)) and not (evento in ('salida_cliente', 'recogida_cliente', 'faltante_cliente', 'salida_desechable') and cliente is null)""",
+    ),
     "tramos_con_foto": (lambda m: m.from_photo.tranches, "ftr", "select * from ftr"),
     "merma_con_foto": (lambda m: m.from_photo.routes, "froutes", "select * from froutes"),
     "inv_ciclo_sin_stock_de_la_foto": (

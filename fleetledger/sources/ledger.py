@@ -160,6 +160,29 @@ def with_transfers(customer: DataFrame, v: Vars = VARS) -> DataFrame:
     return customer.unionByName(internal_transfers(customer)).where(F.col("fecha_contab") <= F.lit(v.fecha_extraccion))
 
 
+#: What a marked pickup brings with it: who (0 and 1 by turns, None all), days later, class, place, units, series and position of each line.
+WORKSHOP = [
+    (None, 0, "101", "RECF", 2, "G", 1), (None, 0, "102", "RECF", -1, "H", 1), (None, 1, "311", "RECF", -1, "I", 2), (None, 1, "311", "SUCI", 1, "I", 3),
+    (None, 1, "344", "SUCI", -1, "J", 1), (None, 1, "344", "REPA", 1, "J", 2), (1, 6, "343", "REPA", -1, "K", 1), (1, 6, "343", "VACI", 1, "K", 2),
+    (1, 8, "261", "VACI", -1, "L", 1), (0, 6, "325", "REPA", -1, "M", 1), (0, 6, "325", "SCRP", 1, "M", 2), (0, 9, "555", "SCRP", -1, "N", 1),
+]
+
+
+def workshop(customer: DataFrame, v: Vars = VARS) -> DataFrame:
+    """Purchases, their reversals, repairs, consumption and scrap around one pickup in ten: a container is bought and takes the place of
+    one that is blocked for repair; that one comes back and is used up, or is scrapped."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", "doc_material", "posicion").cast("binary")), 1, 8), 16, 10).cast("long")
+    rows = customer.where("mov_type = '622'").withColumn("h", h).where("h % 10 = 0").withColumn("turno", F.floor(F.col("h") / 10) % 2)
+    line = lambda w: F.struct(F.lit(w[1]).alias("dias"), F.lit(w[2]).alias("mov_type"), F.lit(w[3]).alias("almacen"), F.lit(w[4]).alias("cantidad"), F.lit(w[5]).alias("serie"), F.lit(w[6]).alias("posicion"))
+    lines = F.array(*[line(w) if w[0] is None else F.when(F.col("turno") == w[0], line(w)) for w in WORKSHOP])
+    made = rows.select("planta", "material", "tipo_material", "fecha_contab", "doc_material", F.col("posicion").alias("pos"), F.explode(lines).alias("x")).where("x is not null")
+    made = made.withColumn("fecha_contab", F.expr("date_add(fecha_contab, x.dias)"))
+    return made.select(
+        "planta", F.lit(None).cast("string").alias("cliente"), "material", "tipo_material", "x.mov_type", "x.almacen", "fecha_contab", "x.cantidad",
+        F.concat("x.serie", F.col("pos").cast("string"), "doc_material").alias("doc_material"), "x.posicion", F.year("fecha_contab").cast("long").alias("anio_contable"),
+    ).where(F.col("fecha_contab") <= F.lit(v.fecha_extraccion))
+
+
 def maestro(ledger: DataFrame) -> DataFrame:
     """Material master: planta, material, tipo_material, precio, unidad_precio, moneda, grupo."""
     price = F.element_at(F.create_map(*[F.lit(x) for p in PRECIOS for x in p]), F.col("tipo_material"))
