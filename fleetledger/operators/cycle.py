@@ -144,7 +144,7 @@ def reconcilable_loss(moves: DataFrame, snapshot: DataFrame, v: Vars = VARS, wor
     closes = closes.withColumn("anterior", F.lag("cierre").over(Window.partitionBy("planta").orderBy("cierre")))
     whole = closes.join(stocked.select("planta", "fecha_foto").distinct(), "planta").where(F.date_sub("anterior", age) >= F.col("fecha_foto"))
     whole = whole.groupBy("planta").agg(F.min("cierre").alias("primera"), F.min_by("anterior", "cierre").alias("anterior"))
-    marked = beside(flows, latest, world).join(F.broadcast(stocked.select("planta", "cliente", F.lit(True).alias("con_foto"))), ["planta", "cliente"], "left").join(F.broadcast(whole), "planta", "left")
+    marked = beside(flows, latest, world).join(stocked.select("planta", "cliente", F.lit(True).alias("con_foto")), ["planta", "cliente"], "left").join(F.broadcast(whole), "planta", "left")
     fresh = F.col("con_foto").isNull()
     counted = F.when(F.col("mov_type") == "702", fresh | (F.col("fecha_contab") >= F.col("primera"))).otherwise(
         (F.col("fecha_contab") <= F.date_sub("ultima", age)) & (fresh | (F.col("fecha_contab") > F.date_sub("anterior", age)))

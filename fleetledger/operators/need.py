@@ -126,7 +126,7 @@ def plan_demand(plan: DataFrame, instruction: DataFrame, variability: DataFrame,
     past = variability.where("ventana = 'necesidad'")
     mine = past.select(*MATERIAL, "d_base", F.col("ciclo_dias").alias("propio"), "sigma_uso")
     plant = past.select("planta", "tipo_material", F.col("ciclo_dias").alias("de_planta")).distinct()
-    made = packed.join(F.broadcast(mine), list(MATERIAL), "left").join(F.broadcast(plant), ["planta", "tipo_material"], "left").join(F.broadcast(policy.select("tipo_material", "dias_cobertura")), "tipo_material")
+    made = packed.join(mine, list(MATERIAL), "left").join(F.broadcast(plant), ["planta", "tipo_material"], "left").join(F.broadcast(policy.select("tipo_material", "dias_cobertura")), "tipo_material")
     return made.select(
         *MATERIAL, "tipo_material", "semana", "d_plan", "d_base", F.coalesce("propio", "de_planta").alias("ciclo_dias"), "sigma_uso", "dias_cobertura",
         ((F.coalesce("d_base", F.lit(0.0)) > 0) & F.col("sigma_uso").isNotNull()).alias("con_historia"),
@@ -160,7 +160,7 @@ def projected_fleet(moves: DataFrame, calendar: DataFrame, comparison: DataFrame
     by_route = routes.select("planta", "cliente", (F.col("tasa_merma_pct") / 100).alias("de_ruta"))
     open_ = beside(moves.where("mov_type = '621'"), latest, world).where(F.col("fecha_contab") > F.date_sub("ultima", v.antiguedad_conciliacion_dias))
     open_ = open_.groupBy(*MATERIAL, "tipo_material", "cliente").agg(F.sum(F.abs("cantidad")).alias("n"))
-    pending = open_.join(F.broadcast(by_route), ["planta", "cliente"], "left").join(F.broadcast(by_type), ["planta", "tipo_material"], "left")
+    pending = open_.join(by_route, ["planta", "cliente"], "left").join(F.broadcast(by_type), ["planta", "tipo_material"], "left")
     pending = pending.groupBy(*MATERIAL).agg(F.sum(F.col("n") * F.coalesce("de_ruta", "tasa")).alias("pendiente"))
     scrapped = (F.col("estado") == "scrap") & (F.col("evento") == "traslado_bloqueado") & (F.col("delta") > 0)
     shipped = (F.col("estado") == "cliente") & (F.col("evento") == "salida_cliente")
@@ -168,7 +168,7 @@ def projected_fleet(moves: DataFrame, calendar: DataFrame, comparison: DataFrame
     scrap = seen.groupBy("planta", "tipo_material").agg(ratio(F.coalesce(filtered_sum(F.col("delta"), scrapped), F.lit(0)), filtered_sum(F.col("delta"), shipped)).alias("tasa_scrap"))
     now = fleet.where(F.col("fecha_cierre") == F.lit(v.fecha_extraccion)).select(*MATERIAL, "tipo_material", "flota")
     base = now.crossJoin(F.broadcast(demand.select("semana").distinct()))
-    made = base.join(demand.select(*MATERIAL, "semana", "d_plan", "ciclo_dias"), [*MATERIAL, "semana"], "left").join(F.broadcast(pending), list(MATERIAL), "left")
+    made = base.join(demand.select(*MATERIAL, "semana", "d_plan", "ciclo_dias"), [*MATERIAL, "semana"], "left").join(pending, list(MATERIAL), "left")
     made = made.join(F.broadcast(by_type), ["planta", "tipo_material"]).join(F.broadcast(scrap), ["planta", "tipo_material"], "left")
     d, waiting = F.coalesce("d_plan", F.lit(0.0)), F.coalesce("pendiente", F.lit(0.0))
     lost = running_sum(d * 7 * (F.col("tasa") + F.coalesce("tasa_scrap", F.lit(0.0))), MATERIAL, "semana")

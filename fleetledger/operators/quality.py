@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import ratio, rounded, running
+from ..functions.tables import stored
 from ..sources.ledger import VARS, Vars, fault_mark
 
 KEY = ("planta", "material", "anio_contable", "doc_material", "posicion")
@@ -124,7 +125,7 @@ def repeated_documents(lines: DataFrame) -> DataFrame:
 def padded_materials(lines: DataFrame, master: DataFrame) -> DataFrame:
     """Materials that the master knows only without their leading zeros."""
     codes = master.groupBy("planta", bare("material").alias("codigo")).agg(F.min("material").alias("en_maestro"), F.max("costo").alias("costo"))
-    met = lines.where("tipo_material is null").withColumn("codigo", bare("material")).join(F.broadcast(codes), ["planta", "codigo"]).where("en_maestro <> material")
+    met = lines.where("tipo_material is null").withColumn("codigo", bare("material")).join(codes, ["planta", "codigo"]).where("en_maestro <> material")
     return log(met, "matnr_con_formato", F.abs("cantidad"), F.concat(F.lit("en el maestro como "), "en_maestro"), "costo")
 
 
@@ -133,7 +134,7 @@ def padded_customers(lines: DataFrame) -> DataFrame:
     known = lines.where((F.col("evento") == "salida_cliente") & F.col("cliente").isNotNull()).select("planta", "cliente").distinct()
     codes = known.groupBy("planta", bare("cliente").alias("codigo")).agg(F.min("cliente").alias("cuenta"))
     mine = lines.where(F.col("evento").isin(*WITH_CUSTOMER)).join(known, ["planta", "cliente"], "left_anti").withColumn("codigo", bare("cliente"))
-    met = mine.join(F.broadcast(codes), ["planta", "codigo"]).where("cuenta <> cliente")
+    met = mine.join(codes, ["planta", "codigo"]).where("cuenta <> cliente")
     return log(met, "kunnr_con_formato", F.abs("cantidad"), F.concat(F.lit("cuenta "), "cuenta"))
 
 
@@ -142,9 +143,9 @@ def other_document_prices(lines: DataFrame, master: DataFrame, snapshot: DataFra
     largest difference on the opening fleet."""
     paid, own = F.col("costo_documento_usd"), F.col("costo_unitario_usd")
     usd = master.where("moneda = 'USD'").select("planta", "material").distinct()
-    far = lines.where((paid > 0) & (F.abs(paid - own) > own * v.calidad_tolerancia_precio_pct / 100)).join(F.broadcast(usd), ["planta", "material"], "left_semi")
+    far = lines.where((paid > 0) & (F.abs(paid - own) > own * v.calidad_tolerancia_precio_pct / 100)).join(usd, ["planta", "material"], "left_semi")
     found = far.groupBy("planta", "material").agg(F.max(F.abs(paid - own)).alias("lejos"), F.min(paid).alias("menor"), F.max(paid).alias("mayor"), F.max(own).alias("maestro"))
-    found = found.join(F.broadcast(stock_of(snapshot)), ["planta", "material"], "left").withColumn("flota", F.coalesce("flota", F.lit(0)))
+    found = found.join(stock_of(snapshot), ["planta", "material"], "left").withColumn("flota", F.coalesce("flota", F.lit(0)))
     detail = F.concat(F.lit("documento "), F.col("menor").cast("string"), F.lit(" a "), F.col("mayor").cast("string"), F.lit(", maestro "), F.col("maestro").cast("string"))
     none = {"anio_contable": F.lit(None).cast("long"), "doc_material": F.lit(None).cast("string"), "posicion": F.lit(None).cast("int")}
     return log(found.withColumns(none), "precio_documento_distinto", F.col("flota"), detail, "lejos")
@@ -153,7 +154,7 @@ def other_document_prices(lines: DataFrame, master: DataFrame, snapshot: DataFra
 def movement_rules(lines: DataFrame, places: DataFrame, known: DataFrame, pieces: DataFrame, master: DataFrame, snapshot: DataFrame, v: Vars = VARS) -> DataFrame:
     """Rules of the movement ledger. A format fault is the cause of a missing balance and is reported in its place. `known`
     has plant, material and cost of all materials."""
-    formats = padded_materials(lines, known).unionByName(padded_customers(lines))
+    formats = stored(padded_materials(lines, known).unionByName(padded_customers(lines)), "formats")  # read twice: reported, and taken out of the balances
     doc = ["planta", "anio_contable", "doc_material", "posicion"]
     missing = pickups_without_balance(lines).join(formats.select(*doc).distinct(), doc, "left_anti").select(*LOG)
     parts = [duplicate_keys(lines), line_rules(lines, places, pieces, v), missing, repeated_documents(lines), other_document_prices(lines, master, snapshot, v), formats]
@@ -278,9 +279,9 @@ def snapshot_rules(snapshot: DataFrame, lines: DataFrame, places: DataFrame, mas
     cost = master.groupBy("planta", "material").agg(F.max("costo").alias("costo"))
     lost = snapshot.where("almacen is not null").join(F.broadcast(places), "almacen", "left_anti").join(F.broadcast(cost), ["planta", "material"], "left")
     made = table_log(lost, F.lit("lgort_fuera_de_catalogo"), F.col("cantidad"), F.col("cantidad") * F.col("costo"), F.concat(F.lit("foto en "), "almacen"))
-    stored = lines.where("almacen is not null")
-    absent = stored.where(F.col("tipo_material").isin("KLT", "RACK")).select("planta", "material").distinct().join(snapshot.select("planta", "material").distinct(), ["planta", "material"], "left_anti")
-    mine = stored.join(F.broadcast(absent), ["planta", "material"])
+    placed = lines.where("almacen is not null")
+    absent = placed.where(F.col("tipo_material").isin("KLT", "RACK")).select("planta", "material").distinct().join(snapshot.select("planta", "material").distinct(), ["planta", "material"], "left_anti")
+    mine = placed.join(absent, ["planta", "material"])
     daily = mine.groupBy("planta", "material", "fecha_contab").agg(F.sum("cantidad").alias("n"), F.max("costo_unitario_usd").alias("costo"), F.min("evento").alias("evento"))
     daily = daily.withColumn("stock", F.sum("n").over(running(("planta", "material"), "fecha_contab")))
     low = daily.groupBy("planta", "material").agg(F.greatest(-F.min("stock"), F.lit(0)).alias("falta"), F.max("costo").alias("costo"), F.min_by("evento", "fecha_contab").alias("primero"))

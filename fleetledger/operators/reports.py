@@ -43,7 +43,7 @@ def top_materials(losses: DataFrame, n: int = 15) -> DataFrame:
 def excess_by_month(excess: DataFrame, routes: DataFrame) -> DataFrame:
     """Median excess of broken and other routes, month by month, from closes whose alert is valid."""
     kinds = routes.select("planta", "cliente", F.when(F.col("ruta_rota"), "rota").otherwise("resto").alias("tipo"))
-    met = excess.where("alerta_valida").join(F.broadcast(kinds), ["planta", "cliente"])
+    met = excess.where("alerta_valida").join(kinds, ["planta", "cliente"])
     return met.groupBy("mes").pivot("tipo", ["rota", "resto"]).agg(F.median("exceso_pct_ciclo"))
 
 

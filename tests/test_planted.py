@@ -137,3 +137,37 @@ def test_every_fault_has_a_world_and_a_rule():
     names = [w for w, *_ in variants.worlds()]
     assert len(names) == len(set(names)) == 1 + len(quality.FALLAS) + len(quality.FALLAS_TABLAS)
     assert all(variants.rule_of(w) in {r[0] for r in quality.REGLAS} for w in names[1:])
+
+
+def test_ledger_with_every_class(models):
+    """Every class moves stock, no place runs below zero, and what is bought less what is reversed, used and scrapped stays."""
+    m = models.all_classes
+    assert {r[0] for r in m.ledger.select("mov_type").distinct().collect()} >= {"101", "102", "261", "311", "325", "343", "344", "555", "621", "622", "702"}
+    assert m.daily.where("saldo < 0 and tipo_material <> 'CARTON'").count() == 0
+    more = m.ledger.where("mov_type in ('101', '102', '261', '555')").agg(F.sum("cantidad")).first()[0]
+    held = lambda x: x.daily.agg(F.sum("delta")).first()[0]
+    assert held(m) - held(models) == more != 0
+    assert m.projected.agg(F.sum("perdida_acumulada")).first()[0] > models.projected.agg(F.sum("perdida_acumulada")).first()[0]
+
+
+def test_a_cycle_that_counts_the_photo_is_seen(models):
+    """The invariant of the photo fails where its stock is given the snapshot's day as that of a shipment."""
+    from fleetledger.plans import invariants
+    from fleetledger.plans.models import PHOTO, FromPhoto
+
+    assert models.from_photo.tranches.where("salida_en_foto").count() > 0
+    assert invariants.cycle_without_photo(models.from_photo).count() == 0
+
+    class Wrong(FromPhoto):
+        @cached_property
+        def tranches(self):
+            aged = models.from_photo.tranches
+            return aged.withColumn("salida_en_foto", F.lit(False))
+
+        @cached_property
+        def routes(self):
+            worse = F.when(F.col("ciclo_promedio_dias").isNotNull(), F.col("ciclo_promedio_dias") + 1)
+            return models.from_photo.routes.withColumn("ciclo_promedio_dias", worse)
+
+    seen = {r["falla"] for r in invariants.cycle_without_photo(Wrong(models, PHOTO)).collect()}
+    assert {"rotacion", "ruta"} <= seen
