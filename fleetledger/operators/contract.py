@@ -19,6 +19,7 @@ class Field:
     least: float | None = None
     most: float | None = None
     above: float | None = None
+    optional: bool = False  # may be missing from the table
 
     def checks(self) -> list[tuple[str, Column]]:
         """Names of checks with the condition under which each fails."""
@@ -56,6 +57,18 @@ MOVEMENTS = Contract(
     ),
     strict=False,
 )
+#: The movement list as an ERP's adapter gives it: 17 columns, and six that it may have. Names and limits.
+MB51 = Contract(
+    "mb51",
+    (
+        Field("Werks", length=(4, 12)), Field("Lgort", nullable=True, length=(4, 12)), Field("Matnr", length=(1, 40)), Field("Maktx", length=(1, 40)), Field("Bwart", length=(3, 3)), Field("Mjahr", least=1990, most=2100),
+        Field("Budat"), Field("Cpudt"), Field("Cputm", length=(6, 8)), Field("Menge"), Field("Meins", among=("PC", "EA", "KG")), Field("Mblnr", length=(10, 10)), Field("Zeile", length=(4, 4)),
+        Field("Lifnr", nullable=True, length=(1, 12)), Field("Kunnr", nullable=True, length=(1, 12)), Field("Xblnr", nullable=True, length=(1, 16)), Field("Costo_usd", nullable=True, above=0),
+        Field("Ebeln", nullable=True, length=(10, 10), optional=True), Field("Ebelp", nullable=True, least=1, optional=True), Field("Sgtxt", nullable=True, length=(1, 50), optional=True),
+        Field("Umwrk", nullable=True, length=(4, 4), optional=True), Field("Umlgo", nullable=True, length=(4, 4), optional=True), Field("Usnam", nullable=True, length=(1, 12), optional=True),
+    ),
+    strict=False,
+)
 SNAPSHOT = Contract(
     "raw_stock_inicial",
     (Field("planta", length=(2, 12)), Field("material", length=(1, 40)), Field("cantidad", least=0), Field("fecha")),
@@ -93,7 +106,7 @@ def failures(df: DataFrame, contract: Contract, key: tuple[str, ...]) -> DataFra
     told = ["archivo"] if "archivo" in df.columns else []
     spark, have, empty = df.sparkSession, set(df.columns), F.lit(None).cast("string")
     wanted = [f.name for f in contract.fields]
-    named = [(n, "column_in_dataframe", None) for n in wanted if n not in have] + [(n, "column_in_schema", None) for n in df.columns if contract.strict and n not in wanted and n not in told]
+    named = [(f.name, "column_in_dataframe", None) for f in contract.fields if f.name not in have and not f.optional] + [(n, "column_in_schema", None) for n in df.columns if contract.strict and n not in wanted and n not in told]
     text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in key])
     bad = [F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(f.name).alias("columna"), F.lit(name).alias("chequeo"), F.col(f.name).cast("string").alias("valor"))) for f in contract.fields if f.name in have for name, cond in f.checks()]
     bad += [F.when(~F.coalesce(F.expr(rule), F.lit(False)), F.struct(empty.alias("columna"), F.lit(name).alias("chequeo"), empty.alias("valor"))) for name, rule in contract.rows.items()]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import shared_dir
-from ..operators import contract
+from ..operators import contract, stock
 from ..sources import extract, inputs
 from .models import Models
 
@@ -62,6 +62,19 @@ def contract_by_file(m: Models) -> DataFrame:
     return found.groupBy("tabla", "archivo", "columna", "chequeo").agg(F.count(F.lit(1)).alias("casos"))
 
 
+def contract_of_17(m: Models) -> DataFrame:
+    """The ledger under an ERP's plant codes and document numbers, through the adapter and against the contract of 17 columns, one of
+    them lacking and one of the optional ones there, with broken values of four kinds: cases by column and check."""
+    docs = stock.numbered_documents(m.ledger)
+    named = m.ledger.join(docs, ["anio_contable", "fecha_contab", "doc_material"]).withColumn("doc_material", F.col("numero")).withColumn("planta", F.concat(F.lit("PLNT_"), "planta"))
+    rows = extract.movements(extract.as_extract(named))
+    rows = rows.withColumn("h", F.conv(F.substring(F.md5(F.concat_ws("|", "Mblnr", "Zeile").cast("binary")), 1, 8), 16, 10).cast("long") % 997)
+    put = lambda h, c, x: F.when(F.col("h") == h, x).otherwise(F.col(c))
+    broken = {"Meins": put(20, "Meins", F.lit("XX")), "Mblnr": put(21, "Mblnr", F.substring("Mblnr", 1, 9)), "Cpudt": put(22, "Cpudt", F.lit(None)), "Ebelp": F.when(F.col("h") == 23, 0).otherwise(10)}
+    found = contract.failures(rows.withColumns(broken).drop("h", "Cputm"), contract.MB51, ("Mblnr", "Zeile"))
+    return found.groupBy("tabla", "columna", "chequeo").agg(F.count(F.lit(1)).alias("casos"))
+
+
 #: name: how to build it, what its SQL reads, and the SQL's final select
 TABLE: dict[str, tuple[Callable[[Models], DataFrame], str, str]] = {
     "extracto_maestro": (
@@ -71,6 +84,15 @@ TABLE: dict[str, tuple[Callable[[Models], DataFrame], str, str]] = {
         select planta as Werks, material as Matnr, 'Contenedor ' || material as Maktx, 'VERP' as Mtart, case tipo_material when 'KLT' then 'G1' when 'RACK' then 'G2' else 'G3' end as Matkl, 'PC' as Meins,
                case when n % 2 = 0 then 1000 + costo_unitario_usd + 0.5::double else costo_unitario_usd + 0.25::double end as Verpr, 1::bigint as Peinh, case when n = 7 then 'MXN' else 'USD' end as Waers from d join prices using (tipo_material)""",
     ),
+    "contrato_mb51": (
+        contract_of_17,
+        "led",
+        """, d as (select anio_contable, fecha_contab, doc_material, '49' || lpad((dense_rank() over (partition by anio_contable order by fecha_contab, doc_material))::varchar, 8, '0') as n from (select distinct anio_contable, fecha_contab, doc_material from led)),
+             h as (select ('0x' || substr(md5(n || '|' || lpad(posicion::varchar, greatest(4, length(posicion::varchar))::int, '0')), 1, 8))::bigint % 997 as h from led join d using (anio_contable, fecha_contab, doc_material))
+        select 'mb51' as tabla, case h when 20 then 'Meins' when 21 then 'Mblnr' when 22 then 'Cpudt' else 'Ebelp' end as columna,
+               case h when 20 then 'isin(PC, EA, KG)' when 21 then 'str_length(10, 10)' when 22 then 'not_nullable' else 'ge(1)' end as chequeo, count(*) as casos from h where h between 20 and 23 group by all
+        union all select 'mb51', 'Cputm', 'column_in_dataframe', 1""",
+    ),
     "contrato_por_archivo": (
         contract_by_file,
         "cfail dirty",
