@@ -1,5 +1,6 @@
 """Every registered ledger query against its SQL in DuckDB, and invariants over the derived ledger."""
 
+import copy
 import math
 import os
 
@@ -104,6 +105,32 @@ def test_an_invariant_that_fails_is_seen(models):
         invariants.assert_empty(models.routes)
 
 
+def put(column, value):
+    return lambda df: df.withColumn(column, F.expr(value))
+
+
+#: What breaks each invariant: a model, and what is wrong with it. Two compare a model with its own sums and cannot be broken so.
+WRONG = {
+    "inv_fifo_conserva_cantidad": ("tranches", put("cantidad", "cantidad + 1")), "inv_tramos_fifo_validos": ("tranches", put("dias", "-1")), "inv_saldo_cliente_no_negativo": ("account", put("delta_saldo", "-1")),
+    "inv_saldo_mensual_cuadra": ("monthly", put("saldo_fin_mes", "saldo_fin_mes + 1")), "inv_perdidas_cuadran_702": ("moves", put("cantidad", "cantidad * 2")), "inv_rutas_universo": ("routes", put("contenedores_salida", "contenedores_salida + 1")),
+    "inv_cierre_dia_habil": ("monthly", put("fin_mes", "date'2000-01-01'")), "inv_supervivencia_valida": ("curve", put("prob_en_cliente", "1.5")), "inv_carton_fuera_del_ciclo": ("account", put("tipo_material", "'CARTON'")),
+    "inv_stock_no_negativo": ("daily", put("saldo", "-1")), "inv_stock_inicial_valido": ("snapshot", put("cantidad", "-1")), "inv_conservacion_flota": ("fleet", put("flota", "flota + month(semana)")),
+    "inv_flujos_conservan": ("changes", put("delta", "delta * 2")), "inv_red_cuadra": ("customer", put("cantidad", "cantidad * 2")), "inv_calendario_necesidad": ("calendar", put("fin_base", "date_add(corte, 1)")),
+    "inv_z_economico_valido": ("levels", put("z_servicio", "9.0")), "inv_brecha_cubierta": ("gap", put("deficit_pico", "deficit_pico + 10")), "inv_prestamos_cuadran": ("lent", put("recibido_mismo_pais", "recibido_mismo_pais + 1")),
+    "inv_escenario_un_tipo": ("levels", put("z_servicio", "if(escenario = 'lavado_klt_1_dia', 3.9, 1.1)")), "inv_plan_con_embarques": ("plan", lambda both: (both[0], both[1].withColumn("material", F.lit("X")))),
+    "inv_calidad_datos_cuadra": ("board", put("violaciones", "violaciones + 1")), "inv_cifras_conocidas": ("all_violations", put("cifra_afectada", "'nada'")), "inv_impacto_completo": ("impact", put("valor_limpio", "cast(null as double)")),
+}
+
+
+@pytest.mark.parametrize("name", list(WRONG))
+def test_each_invariant_sees_what_breaks_it(models, name):
+    model, wrong = WRONG[name]
+    broken = copy.copy(models)  # with the nodes that are built
+    broken.__dict__[model] = wrong(getattr(models, model))
+    with pytest.raises(AssertionError, match="should be none"):
+        invariants.assert_empty(invariants.TABLE[name][0](broken))
+
+
 def test_every_planted_fault_that_its_rule_can_see_is_reported(models):
     got = {r["defecto"]: (r["casos"], r["detectados"]) for r in quality.detection(quality.injected(models.ledger), models.violations).collect()}
     assert {"D06", "D16"} <= got.keys() and all(n > 0 for n, _ in got.values())
