@@ -125,6 +125,20 @@ def rule_board(rules: DataFrame, board: DataFrame) -> DataFrame:
     return met.select("regla", "defecto", "unidad", "severidad", "cifra_afectada", F.coalesce("violaciones", F.lit(0)).alias("violaciones"), "usd_expuesto")
 
 
+def rate_by_plant(board: DataFrame) -> DataFrame:
+    """Each rule's violations in a plant, in per cent of what the plant has of the rule's unit."""
+    by = board.where("planta is not null").groupBy("regla", "severidad", "planta").agg(F.sum("violaciones").alias("violaciones"), F.max("universo_planta").alias("universo"))
+    return by.withColumn("tasa_pct", rounded(ratio(F.col("violaciones") * 100.0, F.col("universo")), 3))
+
+
+def faults_by_figure(impacts: DataFrame) -> DataFrame:
+    """How many faults move each figure past the materiality or break each identity, the one that moves it most, and by how much."""
+    past = F.col("supera_materialidad")
+    most = F.when(past, F.struct(F.coalesce(F.abs("delta_pct"), F.abs("delta"), F.lit(float("inf"))).alias("n"), F.col("defecto").alias("d")))
+    by = impacts.groupBy("tipo", "medida").agg(F.count_if(past).alias("defectos"), F.max(most).alias("mayor"))
+    return by.select("tipo", "medida", "defectos", F.col("mayor.d").alias("defecto_mayor"), rounded("mayor.n", 4).alias("movimiento"))
+
+
 def rank_correlation(board: DataFrame) -> DataFrame:
     """For each rule: whether plants with more violations also have more money exposed, as the correlation of their ranks
     (mean ranks for ties; null where all are tied)."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from ..operators import stock
+from ..operators import reports, stock
 from ..sources import faults
 from ..sources import ledger as L
 from . import invariants, variants
@@ -178,5 +178,12 @@ TABLE = {
     ),
     "impacto_por_variante": (lambda m: m.impact_of_all, "", ""),
     "impacto_sin_declarar": (lambda m: variants.undeclared(m.impact_of_all), "", ""),
+    "reporte_defectos_por_cifra": (lambda m: reports.faults_by_figure(m.impact_of_all), "", ""),
+    "reporte_tasa_por_planta": (
+        lambda m: reports.rate_by_plant(m.board),
+        "board",
+        """, s as (select regla, severidad, planta, sum(violaciones)::bigint as violaciones, max(universo_planta) as universo from board where planta is not null group by 1, 2, 3)
+        select *, round(violaciones * 100.0::double / universo, 3) as tasa_pct from s""",
+    ),
     "severidad_medida": (lambda m: variants.severity(m.impact_of_all), "", ""),
 }

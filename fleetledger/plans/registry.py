@@ -13,7 +13,7 @@ from ..operators import capacity, contract, cycle, gap, need, quality, reports,
 from ..sources import extract
 from . import adapters, invariants, planted
 from .models import Models
-from .oracles import statement
+from .oracles import SQL, statement
 
 Build = Callable[[Models], DataFrame]
 
@@ -425,6 +425,12 @@ TABLE: dict[str, tuple[Build, str, str]] = {
         select * from d where fecha_contab <= date '2001-06-30'""",
     ),
 }
+SQL["red"] = (TABLE["mart_red_prestamos"][1], "with " + TABLE["mart_red_prestamos"][2].lstrip(", "))
+TABLE["reporte_matriz_prestamos"] = (
+    lambda m: reports.loan_matrix(gap.loan_network(m.lent, m.prices, m.policy)),
+    "red",
+    "select planta_origen, " + ", ".join(f"round(sum(case when planta_destino = 'P{n}' then contenedores end), 1) as P{n}" for n in range(5)) + " from red group by 1",
+)
 TABLE |= adapters.TABLE | invariants.TABLE | planted.TABLE
 
 
