@@ -86,7 +86,9 @@ def line_rules(lines: DataFrame, places: DataFrame, pieces: DataFrame, v: Vars =
         F.when(F.col("fecha_registro") > late, fault(F.lit("registro_despues_del_cierre"), size, F.concat(F.lit("registrado "), F.col("fecha_registro").cast("string"), F.lit(", contabilizado "), booked.cast("string")))),
         F.when(booked > F.lit(v.fecha_extraccion), fault(F.lit("budat_despues_del_corte"), size, F.concat(F.lit("contabilizado "), booked.cast("string"), F.lit(f", extracto al {v.fecha_extraccion}")))),
     )
-    found = known.select(*KEY, "costo_unitario_usd", F.explode(faults).alias("x")).where("x is not null").select(*KEY, "costo_unitario_usd", "x.*")
+    # Sound lines go before anything is built for them.
+    bad = known.where(first.isNotNull() | in_pieces | (F.col("fecha_registro") > late) | (booked > F.lit(v.fecha_extraccion)))
+    found = bad.select(*KEY, "costo_unitario_usd", F.explode(faults).alias("x")).where("x is not null").select(*KEY, "costo_unitario_usd", "x.*")
     return log(found, F.col("regla"), F.col("n"), F.col("detalle"))
 
 
@@ -112,13 +114,15 @@ def pickups_without_balance(lines: DataFrame) -> DataFrame:
 
 
 def repeated_documents(lines: DataFrame) -> DataFrame:
-    """One delivery posted again under another document: the later ones, by date of record, year and document."""
+    """One delivery posted again under another document: the lines of the later ones, by date of record (none comes first), year and
+    document. Deliveries are grouped once; only those with two documents meet the lines again."""
     same = ["planta", "ref_externa", "material", "cliente", "cantidad", "fecha_contab"]
     out = lines.where((F.col("evento") == "salida_cliente") & F.col("ref_externa").isNotNull())
-    docs = out.groupBy(*same, "anio_contable", "doc_material").agg(F.min("fecha_registro").alias("registro"))
-    w = Window.partitionBy(*same).orderBy("registro", "anio_contable", "doc_material")
-    again = docs.withColumn("n", F.row_number().over(w)).withColumn("primero", F.first("doc_material").over(w)).where("n > 1").drop("n", "registro")
-    met = out.join(again, [*same, "anio_contable", "doc_material"])
+    doc = F.struct("anio_contable", "doc_material")
+    first = F.min(F.struct("fecha_registro", "anio_contable", "doc_material")).alias("uno")
+    twice = out.groupBy(*same).agg(first, F.min(doc).alias("menor"), F.max(doc).alias("mayor")).where("menor <> mayor")
+    again = twice.select(*same, F.col("uno.anio_contable").alias("primer_anio"), F.col("uno.doc_material").alias("primero"))
+    met = out.join(again, same).where("anio_contable <> primer_anio or doc_material <> primero")
     return log(met, "documento_repetido", F.abs("cantidad"), F.concat(F.lit("entrega "), "ref_externa", F.lit(", primero en "), "primero"))
 
 
@@ -130,11 +134,13 @@ def padded_materials(lines: DataFrame, master: DataFrame) -> DataFrame:
 
 
 def padded_customers(lines: DataFrame) -> DataFrame:
-    """Customers without outflows whose code, bare of zeros, is that of one with outflows."""
-    known = lines.where((F.col("evento") == "salida_cliente") & F.col("cliente").isNotNull()).select("planta", "cliente").distinct()
-    codes = known.groupBy("planta", bare("cliente").alias("codigo")).agg(F.min("cliente").alias("cuenta"))
-    mine = lines.where(F.col("evento").isin(*WITH_CUSTOMER)).join(known, ["planta", "cliente"], "left_anti").withColumn("codigo", bare("cliente"))
-    met = mine.join(codes, ["planta", "codigo"]).where("cuenta <> cliente")
+    """Customers without outflows whose code, bare of zeros, is that of one with outflows. One pass over the lines tells which customers
+    have outflows, another finds the lines of those whose code is at fault."""
+    mine = lines.where(F.col("evento").isin(*WITH_CUSTOMER) & F.col("cliente").isNotNull())
+    customers = mine.groupBy("planta", "cliente").agg(F.max(F.col("evento") == "salida_cliente").alias("sale")).withColumn("codigo", bare("cliente"))
+    w = Window.partitionBy("planta", "codigo")
+    wrong = customers.withColumn("cuenta", F.min(F.when(F.col("sale"), F.col("cliente"))).over(w)).where("not sale and cuenta <> cliente")
+    met = mine.join(wrong.select("planta", "cliente", "cuenta"), ["planta", "cliente"])
     return log(met, "kunnr_con_formato", F.abs("cantidad"), F.concat(F.lit("cuenta "), "cuenta"))
 
 

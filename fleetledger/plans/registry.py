@@ -440,6 +440,11 @@ def shared(spark: SparkSession, sf_dir: str) -> Models:
     return kept.setdefault(sf_dir, Models(spark, sf_dir))
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets go of the session's models: the next query builds, and writes, all its nodes again."""
+    spark.__dict__.pop("_fleetledger_models", None)
+
+
 def queries() -> dict[str, Callable]:
     return {name: (lambda spark, sf_dir, b=build: b(shared(spark, sf_dir))) for name, (build, _, _) in TABLE.items()}
 

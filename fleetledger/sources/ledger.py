@@ -223,8 +223,8 @@ def dirty_lines(ledger: DataFrame, classes: DataFrame, v: Vars = VARS, marked: b
     )
     again = made.withColumn("copia", F.explode(F.when(F.col("h").isin(4, 10), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
     again = again.withColumn("doc_material", F.when((F.col("h") == 10) & (F.col("copia") == 1), F.concat(F.lit("Z"), "doc_material")).otherwise(F.col("doc_material")))
-    kind = F.regexp_extract("material", "^(KLT|RCK|CTN)-", 1)
-    tipo = F.when(kind == "KLT", "KLT").when(kind == "RCK", "RACK").when(kind == "CTN", "CARTON")
+    prefix = F.substring("material", 1, 4)
+    tipo = F.when(prefix == "KLT-", "KLT").when(prefix == "RCK-", "RACK").when(prefix == "CTN-", "CARTON")
     price = F.element_at(F.create_map(*[F.lit(x) for p in PRECIOS for x in p]), F.col("tipo_material"))
     # Every other customer line carries its document's price, those of fault 11 a fifth too much.
     paid = F.when(F.col("mov_type").isin("621", "622", "702") & ((F.col("posicion") % 2 == 0) | (F.col("h") == 11)), F.when(F.col("h") == 11, F.col("costo_unitario_usd") * 1.2).otherwise(F.col("costo_unitario_usd")))
