@@ -118,6 +118,36 @@ def freight_coefficients(lent: DataFrame, prices: DataFrame) -> DataFrame:
     return met.groupBy("tipo_material").agg(part("recibido_mismo_pais").alias("mismo_pais"), part("recibido_otro_pais").alias("otro_pais"))
 
 
+#: Ranges of assumptions, each from the scenario of its low end to that of its high end; per cents of freight inside a
+#: country and across, low and high.
+RANGOS = [
+    ("factor de quiebre 1 a 3", "quiebre_1", "quiebre_3"), ("costo de capital 15 a 8 %", "capital_15", "capital_8"),
+    ("reparación de rack baja a alta", "reparacion_rack_baja", "reparacion_rack_alta"), ("lavado de KLT 1 a 3 días", "lavado_klt_1_dia", "lavado_klt_3_dias"),
+]
+RANGO_FLETE = ("flete 3 y 10 % a 8 y 25 %", (3.0, 10.0), (8.0, 25.0))
+
+
+def assumption_ranges(sensitivity: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """How far each assumption moves the total gap: what it is at both ends of the range, in the base scenario, and the distance. Freight
+    has no scenarios of its own: it is linear in its two per cents, so its ends follow from the coefficients."""
+    usd = lambda name, c: F.sum(F.when(F.col("escenario") == name, F.col(c)))
+    ends = {n for _, *both in RANGOS for n in both}
+    totals = sensitivity.agg(usd("base", "usd_brecha").alias("base"), usd("base", "usd_flete").alias("flete"), *[usd(n, "usd_brecha").alias(n) for n in sorted(ends)])
+    linear = coefficients.agg(F.sum("mismo_pais").alias("a"), F.sum("otro_pais").alias("b"))
+    freight = lambda pct: F.col("base") - F.col("flete") + F.col("a") * pct[0] + F.col("b") * pct[1]
+    end = lambda name, low, high: F.struct(F.lit(name).alias("supuesto"), rounded(low, 2).alias("bajo"), rounded(high, 2).alias("alto"))
+    rows = [end(n, F.col(low), F.col(high)) for n, low, high in RANGOS] + [end(RANGO_FLETE[0], freight(RANGO_FLETE[1]), freight(RANGO_FLETE[2]))]
+    made = totals.crossJoin(F.broadcast(linear)).select(rounded("base", 2).alias("base"), F.explode(F.array(*rows)).alias("x"))  # one row each
+    return made.select("x.*", "base", rounded(F.col("x.alto") - F.col("x.bajo"), 2).alias("amplitud"))
+
+
+def shared_racks(instruction: DataFrame) -> DataFrame:
+    """Racks that carry parts of more than one customer. A rack is made for its part, so a second customer is a fault of the instruction
+    or of the master. A part's code begins with its customer."""
+    racks = instruction.where("tipo_material = 'RACK'").select("planta", "material", F.substring_index("parte", "-", 1).alias("cliente"))
+    return racks.distinct().groupBy("planta", "material").agg(F.count(F.lit(1)).alias("clientes")).where("clientes > 1")
+
+
 def rule_board(rules: DataFrame, board: DataFrame) -> DataFrame:
     """Every rule with its violations, those without any too."""
     seen = board.groupBy("regla").agg(F.sum("violaciones").alias("violaciones"), rounded(F.sum("usd_expuesto"), 2).alias("usd_expuesto"))

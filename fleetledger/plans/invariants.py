@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.kernels import rounded, running_sum
-from ..operators import cycle, gap, quality, stock
+from ..functions.kernels import rounded, running, running_sum
+from ..operators import capacity, cycle, gap, quality, stock
 from .models import Models
 
 
@@ -165,6 +166,29 @@ def known_figures(m: Models) -> DataFrame:
     return named.where(~F.col("cifra").isin("todas", *quality.CIFRAS))
 
 
+def lots_keep_target(m: Models) -> DataFrame:
+    """What washing does not give back to the empties enters repair, and what repair does not give back enters scrap."""
+    keys = ["planta", "material", "fecha", "destino"]
+    out = m.lots.where("not a_vacios").withColumn("destino", F.when(F.col("estacion") == "lavado", "reparacion").otherwise("scrap"))
+    entered = m.changes.where("delta > 0 and evento = 'traslado_bloqueado' and estado in ('reparacion', 'scrap')").withColumnRenamed("estado", "destino")
+    return unequal(total(out, keys, "cantidad"), total(entered, keys, "delta"), keys)
+
+
+def stations_hold(m: Models) -> DataFrame:
+    """Station days that break a rule: what is ready is what the lots say, nothing leaves before it is ready, and no day releases more than
+    its capacity, nor anything on a Saturday or Sunday. Windows hold a row a day."""
+    station = list(capacity.STATION)
+    keys = [*station, "fecha"]
+    traced = unequal(m.release.where("listo <> 0").withColumnRenamed("listo", "n"), total(m.lots, keys, "cantidad"), keys)
+    ready = m.release.withColumn("listo_acum", F.sum("listo").over(running(station, "fecha"))).withColumn("salido", F.sum("liberado").over(running(station, "fecha")))
+    bad = {
+        "listo distinto a la traza": traced,
+        "sale antes de estar listo": ready.where("salido > listo_acum + 1e-6"),
+        "pasa la capacidad": m.release.where("liberado > if(weekday(fecha) < 5, capacidad, 0) + 1e-6"),
+    }
+    return functools.reduce(DataFrame.unionByName, [rows.select(F.lit(name).alias("falla"), *keys) for name, rows in bad.items()])
+
+
 #: name: how to build it, what its SQL reads, and the SQL's final select
 TABLE: dict[str, tuple[Callable[[Models], DataFrame], str, str]] = {
     "inv_fifo_conserva_cantidad": (
@@ -319,6 +343,15 @@ TABLE: dict[str, tuple[Callable[[Models], DataFrame], str, str]] = {
         "allviol figures",
         "select distinct regla, cifra from (select regla, unnest(string_split(cifra_afectada, ' ')) as cifra from allviol where cifra_afectada is not null) where cifra <> 'todas' and cifra not in (select cifra from figures)",
     ),
+    "inv_sim_estaciones_validas": (
+        stations_hold,
+        "queue lots",
+        """, t as (select planta, tipo_material, estacion, fecha, sum(cantidad)::double as n from lots group by all),
+             a as (select *, sum(listo) over w as la, sum(liberado) over w as ra from queue window w as (partition by planta, tipo_material, estacion order by fecha rows unbounded preceding))
+        select 'listo distinto a la traza' as falla, planta, tipo_material, estacion, fecha from t full join (select * from queue where listo <> 0) using (planta, tipo_material, estacion, fecha) where n is distinct from listo
+        union all select 'sale antes de estar listo', planta, tipo_material, estacion, fecha from a where ra > la + 1e-6
+        union all select 'pasa la capacidad', planta, tipo_material, estacion, fecha from queue where liberado > case when isodow(fecha) > 5 then 0 else capacidad end + 1e-6""",
+    ),
     "inv_impacto_completo": (
         lambda m: m.impact.where("valor_limpio is null").select("medida"),
         "impact",

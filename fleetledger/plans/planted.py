@@ -93,7 +93,7 @@ SQL |= {
         select planta, null, material, tipo_material, mt, al, dia, ca, concat(se, posicion, doc_material), po, cast(year(dia) as bigint)
         from (select c.*, t.*, fecha_contab + di as dia from (select *, ('0x' || substr(md5(concat_ws('|', doc_material, posicion)), 1, 8))::bigint as h from cust where mov_type = '622') c
               join (values {LINES}) as t(tu, di, mt, al, ca, se, po) on h % 10 = 0 and (tu is null or tu = h // 10 % 2)) where dia <= {CUTOFF}"""),
-    **family("w", "led", "smov", "dstock", "fleet", "cal", "use", "vari", "dem", "flows", "proj", "dirty"),
+    **family("w", "led", "smov", "dstock", "fleet", "cal", "use", "vari", "dem", "flows", "proj", "dirty", "lots"),
 }
 SQL["wproj"] = (
     SQL["wproj"][0],
@@ -168,6 +168,16 @@ TABLE = {
         select planta, material, anio_contable, doc_material, posicion, abs(cantidad)::bigint as unidades, abs(cantidad) * costo_unitario_usd as usd_expuesto from s
         where mal and (almacen is null or almacen in (select almacen from places)) and not (evento in ('salida_cliente', 'recogida_cliente', 'faltante_cliente', 'salida_desechable') and cliente is null)""",
     ),
+    "lotes_con_todas_las_clases": (lambda m: m.all_classes.lots, "wlots", "select * from wlots"),
+    "inv_sim_lotes_cuadran": (
+        lambda m: invariants.lots_keep_target(m.all_classes),
+        "wlots wsmov",
+        invariants.differ(
+            "planta, material, fecha, destino",
+            "select planta, material, fecha, case estacion when 'lavado' then 'reparacion' else 'scrap' end as destino, sum(cantidad) as n from wlots where not a_vacios group by all",
+            "select planta, material, fecha, estado as destino, sum(delta) as n from wsmov where delta > 0 and evento = 'traslado_bloqueado' and estado in ('reparacion', 'scrap') group by all",
+        ),
+    ),
     "tramos_con_foto": (lambda m: m.from_photo.tranches, "ftr", "select * from ftr"),
     "merma_con_foto": (lambda m: m.from_photo.routes, "froutes", "select * from froutes"),
     "inv_ciclo_sin_stock_de_la_foto": (

@@ -399,6 +399,24 @@ TABLE: dict[str, tuple[Build, str, str]] = {
         """select tipo_material, round(sum(recibido_mismo_pais * costo_unitario_usd) / 100, 2) as mismo_pais, round(sum(recibido_otro_pais * costo_unitario_usd) / 100, 2) as otro_pais
            from lend join prices using (tipo_material) where escenario = 'base' group by 1""",
     ),
+    "reporte_rangos_supuestos": (
+        lambda m: reports.assumption_ranges(gap.gap_sensitivity(m.gap, m.need, m.levels), reports.freight_coefficients(m.lent, m.prices)),
+        "gap lend prices",
+        f""", c as (select tipo_material, round(sum(recibido_mismo_pais * costo_unitario_usd) / 100, 2) as a, round(sum(recibido_otro_pais * costo_unitario_usd) / 100, 2) as b
+                    from lend join prices using (tipo_material) where escenario = 'base' group by 1),
+             k as (select sum(a) as a, sum(b) as b from c), s as (select escenario, sum(u) as usd, sum(f) as flete from (select escenario, tipo_material, round(sum(usd_flete) + sum(usd_compra) + sum(usd_desechable), 2) as u, round(sum(usd_flete), 2) as f from gap group by 1, 2) group by 1),
+             z as (select usd, flete from s where escenario = 'base'),
+             r as (select supuesto, x.usd as bajo, y.usd as alto from (values {", ".join(map(str, reports.RANGOS))}) as v(supuesto, desde, hasta) join s x on x.escenario = desde join s y on y.escenario = hasta
+                   union all select '{reports.RANGO_FLETE[0]}', usd - flete + a * 3 + b * 10, usd - flete + a * 8 + b * 25 from z, k)
+        select supuesto, round(bajo, 2) as bajo, round(alto, 2) as alto, round(usd, 2) as base, round(round(alto, 2) - round(bajo, 2), 2) as amplitud from r, z""",
+    ),
+    "reporte_racks_compartidos": (
+        lambda m: reports.shared_racks(m.plan[1]),
+        "parts",
+        "select planta, material, count(distinct cliente) as clientes from parts where tipo_material = 'RACK' group by 1, 2 having count(distinct cliente) > 1",
+    ),
+    "plan_derivado": (lambda m: m.plan[0], "plan", "select planta, parte, semana, piezas::bigint as piezas from plan"),
+    "instruccion_derivada": (lambda m: m.plan[1], "parts", "select planta, parte, material, tipo_material, ppc::bigint as piezas_por_contenedor from parts"),
     "reporte_tablero": (
         lambda m: reports.rule_board(m.rules, m.board),
         "rules board",

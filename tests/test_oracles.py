@@ -118,6 +118,7 @@ WRONG = {
     "inv_flujos_conservan": ("changes", put("delta", "delta * 2")), "inv_red_cuadra": ("customer", put("cantidad", "cantidad * 2")), "inv_calendario_necesidad": ("calendar", put("fin_base", "date_add(corte, 1)")),
     "inv_z_economico_valido": ("levels", put("z_servicio", "9.0")), "inv_brecha_cubierta": ("gap", put("deficit_pico", "deficit_pico + 10")), "inv_prestamos_cuadran": ("lent", put("recibido_mismo_pais", "recibido_mismo_pais + 1")),
     "inv_escenario_un_tipo": ("levels", put("z_servicio", "if(escenario = 'lavado_klt_1_dia', 3.9, 1.1)")), "inv_plan_con_embarques": ("plan", lambda both: (both[0], both[1].withColumn("material", F.lit("X")))),
+    "inv_sim_estaciones_validas": ("release", put("liberado", "liberado * 3")),
     "inv_calidad_datos_cuadra": ("board", put("violaciones", "violaciones + 1")), "inv_cifras_conocidas": ("all_violations", put("cifra_afectada", "'nada'")), "inv_impacto_completo": ("impact", put("valor_limpio", "cast(null as double)")),
 }
 

@@ -1,5 +1,7 @@
 """Faults by quota, strangers, and every fault alone: against loops, and against models of one fault by themselves."""
 
+import copy
+import datetime
 import random
 from collections import Counter
 from functools import cached_property
@@ -8,8 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from paths import SF
-from fleetledger.operators import cycle, quality
-from fleetledger.plans import variants
+from fleetledger.operators import cycle, quality, reports
+from fleetledger.plans import invariants, variants
 from fleetledger.plans.models import Models
 from fleetledger.sources import faults
 from fleetledger.sources import ledger as src
@@ -171,3 +173,43 @@ def test_a_cycle_that_counts_the_photo_is_seen(models):
 
     seen = {r["falla"] for r in invariants.cycle_without_photo(Wrong(models, PHOTO)).collect()}
     assert {"rotacion", "ruta"} <= seen
+
+
+def test_lots_and_stations_tell_what_is_wrong(models):
+    """A lot that loses its target, a day that says more is ready than its lots, and work on a Sunday."""
+    every = copy.copy(models.all_classes)
+    assert every.lots.where("not a_vacios").count() > 0 and invariants.lots_keep_target(every).count() == 0
+    every.__dict__["lots"] = every.lots.withColumn("a_vacios", F.lit(True))
+    assert {r["destino"] for r in invariants.lots_keep_target(every).collect()} == {"scrap"}
+    for column, value, fault in (("listo", "listo + 1", "listo distinto a la traza"), ("liberado", "if(weekday(fecha) = 6, 1, liberado)", "pasa la capacidad"), ("listo", "listo / 2", "sale antes de estar listo")):
+        broken = copy.copy(models)
+        broken.__dict__["release"] = models.release.withColumn(column, F.expr(value))
+        assert fault in {r["falla"] for r in invariants.stations_hold(broken).select("falla").distinct().collect()}
+
+
+def test_ranges_and_shared_racks(spark):
+    """Freight follows from its coefficients; of two racks one carries parts of two customers."""
+    names = {n for _, *ends in reports.RANGOS for n in ends}
+    rows = [("base", 100.0, 40.0)] + [(n, 100.0 + (k + 1) * 2.5, 40.0) for k, n in enumerate(sorted(names))]
+    sens = spark.createDataFrame(rows, "escenario string, usd_brecha double, usd_flete double")
+    coefficients = spark.createDataFrame([("KLT", 2.0, 1.0), ("RACK", 0.0, 1.0)], "tipo_material string, mismo_pais double, otro_pais double")
+    got = {r["supuesto"]: r for r in reports.assumption_ranges(sens, coefficients).collect()}
+    value = {n: b for n, b, _ in rows}
+    for name, low, high in reports.RANGOS:
+        assert (got[name]["bajo"], got[name]["alto"], got[name]["amplitud"]) == (value[low], value[high], value[high] - value[low])
+    freight = got[reports.RANGO_FLETE[0]]
+    assert (freight["bajo"], freight["alto"], freight["base"]) == (60.0 + 6 + 20, 60.0 + 16 + 50, 100.0) and len(got) == 5
+    told = [("P0", "r1", "C1-r1"), ("P0", "r1", "C2-r1"), ("P0", "r2", "C1-r2"), ("P1", "r1", "C1-r1"), ("P1", "r1", "C1-r1b")]
+    instruction = spark.createDataFrame([(*t, "RACK") for t in told] + [("P0", "k", "C1-k", "KLT"), ("P0", "k", "C2-k", "KLT")], "planta string, material string, parte string, tipo_material string")
+    assert [tuple(r) for r in reports.shared_racks(instruction).collect()] == [("P0", "r1", 2)]
+
+
+def test_repeated_deliveries_and_customer_codes(spark):
+    """The later documents of a delivery, whatever their numbers; customers whose code only zeros tell from one with outflows."""
+    line = lambda doc, pos, day, ref="R1", who="C1", event="salida_cliente", n=-5: ("P0", "M", 2020, doc, pos, event, ref, who, n, datetime.date(2020, 1, 1), day and datetime.date(2020, 1, day), 2.0)
+    rows = [line("B", 1, 2), line("A", 1, 4), line("A", 2, 3), line("C", 1, 9, ref="R2"), line("D", 1, 2, ref=None), line("E", 1, 2, ref=None), line("F", 1, 5, ref="R3"), line("G", 1, None, ref="R3")]
+    rows += [line("H", 1, 2, who="00C1", event="recogida_cliente", n=5), line("I", 1, 2, who="0C9", event="recogida_cliente", n=5), line("J", 1, 2, who=None, event="recogida_cliente", n=5)]
+    schema = "planta string, material string, anio_contable long, doc_material string, posicion int, evento string, ref_externa string, cliente string, cantidad long, fecha_contab date, fecha_registro date, costo_unitario_usd double"
+    lines = spark.createDataFrame(rows, schema)
+    assert {(r["doc_material"], r["posicion"], r["detalle"][-1]) for r in quality.repeated_documents(lines).collect()} == {("A", 1, "B"), ("A", 2, "B"), ("F", 1, "G")}
+    assert [(r["doc_material"], r["detalle"]) for r in quality.padded_customers(lines).collect()] == [("H", "cuenta C1")]
