@@ -165,9 +165,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of docs that hold no window of the benchmark, all columns as they were."""
+    """The rows of docs that hold no window of the benchmark, all columns as they were. The keys of what goes are written first: where
+    their files are small they meet the rows where these are scanned, and no text is shuffled."""
     anchors, postings = index(docs, benchmark, window)
     bad = phrase_hits(postings, anchors, window).select(F.col("key").alias("_fl_key"), F.col("doc_id").alias("_fl_id")).distinct()
+    bad = common.materialise(bad, "contaminated")
     rows = docs.select(common.whole_row(docs).alias("_fl_row"), common.row_key().alias("_fl_own_key"), F.col("doc_id").cast("long").alias("_fl_own_id"))
     same = (F.col("_fl_own_key") == F.col("_fl_key")) & F.col("_fl_own_id").eqNullSafe(F.col("_fl_id"))
     return rows.join(bad, same, "left_anti").select("_fl_row.*")

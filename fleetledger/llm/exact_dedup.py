@@ -226,7 +226,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 def keep_rows(docs: DataFrame, dropped: DataFrame, lone: DataFrame) -> DataFrame:
     """The rows of docs but those whose id and text digest are in `dropped` (_fl_id, _fl_digest), and of the rows without an id
-    one for each digest in `lone` (_fl_digest), all columns as they were. Digests in `lone` must be among the dropped."""
+    one for each digest in `lone` (_fl_digest), all columns as they were. Digests in `lone` must be among the dropped. Both are written
+    first: what is small by its files' size then meets the rows where they are scanned, and no text is shuffled."""
+    dropped, lone = common.materialise(dropped, "dropped"), common.materialise(lone, "lone-digests")
     marked = docs.select(common.whole_row(docs).alias("_fl_row"), F.col("doc_id").cast("long").alias("_fl_own"), digest().alias("_fl_mark"), F.coalesce("text", F.lit("")).alias("_fl_text"))
     same = F.col("_fl_own").eqNullSafe(F.col("_fl_id")) & (F.col("_fl_mark") == F.col("_fl_digest"))
     kept = marked.join(dropped, same, "left_anti").select("_fl_row")

@@ -329,3 +329,23 @@ def test_loser_tree():
     for k in range(1, 9):
         lists = [sorted((("k", str(rng.randint(10, 99)), rng.randint(0, 9)) for _ in range(rng.randint(0, 12))), key=warc.order) for _ in range(k)]
         assert list(warc.LoserTree(lists)) == sorted((x for y in lists for x in y), key=warc.order)
+
+
+def test_few_dropped_rows_shuffle_no_text(spark, tmp_path):
+    """Where little goes, the filters' last step joins without an exchange of the rows; where the bound is passed, it gives the same rows."""
+    rows = [(i, f"text number {i % 40} of many " + " ".join(f"w{i % 40}x{k}" for k in range(30))) for i in range(60)] + [(None, "nameless"), (None, "nameless")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents")
+    docs = spark.read.parquet(f"{tmp_path}/documents")
+    benchmark = spark.createDataFrame([("i", rows[3][1])], "item_id string, text string")
+    filters = [exact_dedup.drop_copies, simhash.drop_near_copies, lambda d: decontaminate.drop_contaminated(d, benchmark)]
+    bound, found = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), []
+    try:
+        for size in (bound, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+            made = [f(docs) for f in filters]
+            plans = [m._jdf.queryExecution().executedPlan().toString() for m in made]
+            assert [("BroadcastHashJoin" in p, "SortMergeJoin" in p) for p in plans] == [(size == bound, size != bound)] * 3
+            found.append([sorted(map(tuple, m.collect()), key=repr) for m in made])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert found[0] == found[1] and len(found[0][0]) == 41 and len(found[0][2]) == 60
