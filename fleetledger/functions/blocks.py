@@ -33,15 +33,18 @@ def inside(keys: Sequence[str], *order):
 
 def carried(local: DataFrame, keys: Sequence[str], totals: dict[str, Column], carry: dict[str, Column], then: dict[str, Column] | None = None) -> DataFrame:
     """local, stored rows of blocks, with the columns of `carry` and, made from these, of `then`: window expressions with before() or
-    behind(), over one row for each key and block with the aggregates `totals`."""
+    behind(), over one row for each key and block with the aggregates `totals`. They are null for keys of one block, which nothing is
+    carried to. Keys of several have the first or the last rows of their blocks, so that there are at most two a block: few enough to be
+    broadcast, whatever the rows and keys, and the rows stay where they are."""
     then = then or {}
-    per = local.groupBy(*keys, BLOCK).agg(*[c.alias(n) for n, c in totals.items()]).withColumns(carry).withColumns(then)
+    per = local.groupBy(*keys, BLOCK).agg(*[c.alias(n) for n, c in totals.items()]).withColumn("_blocks", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    per = per.where("_blocks > 1").withColumns(carry).withColumns(then)
     names = {k: f"_c_{k}" for k in (*keys, BLOCK)}
     per = per.select(*[F.col(k).alias(n) for k, n in names.items()], *carry, *then)
     same = F.lit(True)
     for k, n in names.items():
         same = same & F.col(k).eqNullSafe(F.col(n))
-    return local.join(per, same, "left").drop(*names.values())
+    return local.join(F.broadcast(per), same, "left").drop(*names.values())
 
 
 def before(keys: Sequence[str]):
@@ -71,7 +74,8 @@ def running_low(df: DataFrame, keys: Sequence[str], order: Sequence, value: Colu
     start = F.coalesce(F.sum("_sum").over(before(keys)), F.lit(0))
     least = F.min(F.col("_start") + F.col("_low")).over(before(keys))
     made = carried(local, keys, {"_sum": F.sum(value), "_low": F.min(low)}, {"_start": start}, {"_least": least})
-    return made.withColumns({total: F.col(total) + F.col("_start"), low: F.least(F.col(low) + F.col("_start"), "_least")}).drop(BLOCK, "_start", "_least")
+    moved = F.coalesce("_start", F.lit(0))
+    return made.withColumns({total: F.col(total) + moved, low: F.least(F.col(low) + moved, "_least")}).drop(BLOCK, "_start", "_least")
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Faults planted by quota: each kind takes from each plant a share of its universe, at least one line, and never a document that
 another kind has.
 
-Targets are the candidates with the smallest hashes. Which these are follows from histograms of the hash, digit by digit: all
-candidates before the digit at which the quota is reached are taken, those with it are looked at closer, and only a last handful is
-ranked. No plant is sorted, and none is the work of one task.
+Targets are the candidates with the smallest hashes. One pass over the lines keeps, of every kind, those whose hash is below a cut that
+some twice the quota should fall under; a kind whose list turns out too short goes over all lines. Which are the smallest follows from
+histograms of the hash, digit by digit: all candidates before the digit at which the quota is reached are taken, those with it are
+looked at closer, and only a last handful is ranked. No plant is sorted, and none is the work of one task.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ DOC = ("planta", "anio_contable", "doc_material")
 KEY = (*DOC, "posicion")
 #: Bits of a hash and of a histogram's digit; candidates that are ranked at most, but for equal hashes.
 BITS, DIGIT, LAST = 60, 12, 5000
+#: How many times a quota, and how many lines besides, are expected below a kind's cut.
+SPARE = (2, 1000)
 #: Fixed value: how many customers a code of the derived ledger stands for where faults are planted.
 FINER = 1009
 
@@ -60,10 +63,15 @@ def clean_lines(ledger: DataFrame, classes: DataFrame) -> DataFrame:
     return dirty_lines(ledger, classes, mark=F.lit(-1))
 
 
+def drawn_digits(*parts) -> Column:
+    """BITS bits of the MD5 of the parts, as hexadecimal digits."""
+    text = F.concat_ws("|", *[F.col(p).cast("string") if p in KEY else F.lit(p) for p in parts])
+    return F.substring(F.md5(text.cast("binary")), 1, BITS // 4)
+
+
 def draw(*parts) -> Column:
     """BITS bits of the MD5 of the parts."""
-    text = F.concat_ws("|", *[F.col(p).cast("string") if p in KEY else F.lit(p) for p in parts])
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
+    return F.conv(drawn_digits(*parts), 16, 10).cast("long")
 
 
 def smallest(candidates: DataFrame, wanted: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
@@ -124,24 +132,47 @@ def injected_value(kind: Kind) -> Column:
 LOG = ("defecto", "regla", *KEY, "material", "campo", "valor_original", "valor_inyectado")
 
 
+def shortlists(lines: DataFrame, universe: DataFrame, kinds: list[Kind]) -> DataFrame:
+    """lines below the cuts, once for each kind that they are candidates of (`_tipo`), with their hash as h; universe has a kind's
+    candidates in a plant as c_<kind> and its quota as n_<kind>. No kind has a cut where all candidates would be below it."""
+
+    def cut(k: Kind) -> Column:
+        wanted = F.col(f"n_{k.defecto}") * SPARE[0] + SPARE[1]
+        digits = F.lpad(F.lower(F.hex(F.floor(wanted / F.col(f"c_{k.defecto}") * 2.0**BITS).cast("long"))), BITS // 4, "0")
+        return F.when(F.col(f"c_{k.defecto}") > wanted, digits).otherwise("g").alias(f"_{k.defecto}")  # g: behind all digits
+
+    cuts = universe.select("planta", *[cut(k) for k in kinds])
+    below = lambda k: F.expr(k.candidatos) & (drawn_digits(k.defecto, *KEY) < F.col(f"_{k.defecto}"))
+    mine = F.explode(F.array(*[F.when(below(k), F.struct(F.lit(k.defecto).alias("tipo"), draw(k.defecto, *KEY).alias("h"))) for k in kinds])).alias("_x")
+    found = lines.join(F.broadcast(cuts), "planta").select(*lines.columns, mine).where("_x is not null")
+    return found.select(*lines.columns, F.col("_x.tipo").alias("_tipo"), F.col("_x.h").alias("h"))
+
+
 def targets(lines: DataFrame, kinds: list[Kind] | None = None) -> DataFrame:
     """The log of faults to plant: defecto, regla, the line's key and material, campo, valor_original, valor_inyectado. A kind's
     quota in a plant is max(1, round(rate x universe)), none where the rate is zero, and never more than its candidates; kinds choose
-    one after the other, and documents that one has touched are no candidates of the next."""
-    kinds = KINDS if kinds is None else kinds
+    one after the other, and documents that one has touched are no candidates of the next. Lines are read three times: for who got
+    what, for the quotas, and for the short lists."""
+    kinds = [k for k in (KINDS if kinds is None else kinds) if k.tasa > 0]
     customers, free, steps = free_customers(lines)
-    lines = stored(lines.join(free, ["planta", "material"], "left").withColumn("libres", F.coalesce("libres", F.lit(0))), "quota-lines")
-    universe = stored(lines.groupBy("planta").agg(*[F.count_if(F.expr(k.universo)).alias(k.defecto) for k in kinds]), "universe")
+    lines = lines.join(F.broadcast(free), ["planta", "material"], "left").withColumn("libres", F.coalesce("libres", F.lit(0)))
+    counts = lines.groupBy("planta").agg(*[F.count_if(F.expr(e)).alias(f"{c}_{k.defecto}") for k in kinds for c, e in (("u", k.universo), ("c", k.candidatos))])
+    quota = lambda k: F.greatest(F.lit(1), F.round(F.col(f"u_{k.defecto}") * k.tasa)).cast("long")
+    universe = stored(counts.withColumns({f"n_{k.defecto}": quota(k) for k in kinds}), "universe")
+    near = stored(shortlists(lines, universe, kinds), "quota-near")
     found: list[DataFrame] = []
     for kind in kinds:
-        if kind.tasa <= 0:
-            continue
-        mine = lines.where(kind.candidatos)
+        untouched = lambda df: df
         if found:
             touched = functools.reduce(DataFrame.unionByName, [f.select(*DOC) for f in found]).distinct()
-            mine = mine.join(touched, list(DOC), "left_anti")
-        wanted = universe.select("planta", F.greatest(F.lit(1), F.round(F.col(kind.defecto) * kind.tasa)).cast("long").alias("n"))
-        chosen = stored(smallest(mine.withColumn("h", draw(kind.defecto, *KEY)), wanted), "quota-chosen")
+            untouched = lambda df, t=touched: df.join(t, list(DOC), "left_anti")
+        own = universe.select("planta", F.col(f"n_{kind.defecto}").alias("n"), F.col(f"c_{kind.defecto}").alias("_c"))
+        mine = untouched(near.where(F.col("_tipo") == kind.defecto).drop("_tipo"))
+        # Where documents that others have leave a cut list too short, more than the list is needed.
+        enough = own.where(F.col("_c") > F.col("n") * SPARE[0] + SPARE[1]).join(mine.groupBy("planta").agg(F.count(F.lit(1)).alias("_m")), "planta", "left")
+        if not enough.where("coalesce(_m, 0) < n").isEmpty():
+            mine = untouched(lines.where(kind.candidatos)).withColumn("h", draw(kind.defecto, *KEY))
+        chosen = stored(smallest(mine, own.select("planta", "n")), "quota-chosen")
         if kind.defecto == "D07":
             chosen = strangers(chosen, customers, steps).withColumn("valor_inyectado", F.col("nuevo"))
         else:

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import stored
+
 
 @dataclass(frozen=True)
 class Vars:
@@ -105,14 +107,23 @@ def production_plan(customer: DataFrame, v: Vars = VARS) -> tuple[DataFrame, Dat
     return plan, parts.select("planta", "parte", "material", "tipo_material", "piezas_por_contenedor")
 
 
+def numbered(lines: DataFrame) -> DataFrame:
+    """Order lines with their number (_n) among those of one order and line number. Only lines whose number stands twice are sorted: the
+    others are the first, and are not shuffled."""
+    key = ["l_orderkey", "l_linenumber"]
+    twice = stored(lines.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*[F.col(c).alias(f"_{c}") for c in key]), "repeated-lines")
+    same = F.col(key[0]).eqNullSafe(F.col(f"_{key[0]}")) & F.col(key[1]).eqNullSafe(F.col(f"_{key[1]}"))
+    order = ("l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    again = lines.join(twice, same, "left_semi").withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
+    return lines.join(twice, same, "left_anti").withColumn("_n", F.lit(1)).unionByName(again)
+
+
 def customer_ledger(spark: SparkSession, sf_dir: str, v: Vars = VARS) -> DataFrame:
     """Movements with customers: 601/621 out, 622 back, 702 recognised loss."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("f", F.to_date("l_shipdate")).where(F.col("f") <= F.lit(v.fecha_extraccion))
+    li = numbered(li)
     part = F.col("l_partkey") % 20
     tipo = F.when(part < 12, "KLT").when(part < 18, "RACK").otherwise("CARTON")
-    same = Window.partitionBy("l_orderkey", "l_linenumber").orderBy(
-        "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"
-    )
     q = F.col("l_quantity").cast("int")
     loss = F.when(F.col("l_orderkey") % 7 == 0, F.floor(F.col("l_quantity") / 10)).when(((F.col("l_orderkey") + F.col("l_linenumber")) % 40 == 0) & (F.col("l_quantity") > 1), 1).otherwise(0)
     base = li.select(
@@ -122,7 +133,7 @@ def customer_ledger(spark: SparkSession, sf_dir: str, v: Vars = VARS) -> DataFra
         tipo.alias("tipo_material"), "f", q.alias("q"), loss.cast("int").alias("loss"),
         (10 + (F.col("l_partkey") * 7 + F.col("l_orderkey") * 3) % 40).cast("int").alias("lag"),
         F.lpad(F.col("l_orderkey").cast("string"), 10, "0").alias("doc"),
-        (F.col("l_linenumber") * 100 + F.row_number().over(same)).cast("int").alias("pos"),
+        (F.col("l_linenumber") * 100 + F.col("_n")).cast("int").alias("pos"),
     )
     keep = ("planta", "cliente", "material", "tipo_material")
     # One pass over the lines: each gives up to three movements.

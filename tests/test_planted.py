@@ -213,3 +213,24 @@ def test_repeated_deliveries_and_customer_codes(spark):
     lines = spark.createDataFrame(rows, schema)
     assert {(r["doc_material"], r["posicion"], r["detalle"][-1]) for r in quality.repeated_documents(lines).collect()} == {("A", 1, "B"), ("A", 2, "B"), ("F", 1, "G")}
     assert [(r["doc_material"], r["detalle"]) for r in quality.padded_customers(lines).collect()] == [("H", "cuenta C1")]
+
+
+def test_quota_from_short_lists(models, monkeypatch):
+    """Lists below a cut hold a small part of the lines and give the same log; lists that others' documents leave too short are made good."""
+    key = lambda log: sorted(tuple(r[c] for c in ("defecto", *faults.KEY, "valor_inyectado")) for r in log.collect())
+    lines, kinds = models.quota_lines.where("planta = 'P0' and mov_type in ('621', '622')"), [faults.KINDS[1]._replace(tasa=0.2), faults.KINDS[5]._replace(tasa=0.2)]
+    want = key(faults.targets(lines, kinds))
+    monkeypatch.setattr(faults, "SPARE", (1, 20))
+    made, whole = [], faults.shortlists
+    monkeypatch.setattr(faults, "shortlists", lambda *a: made.append(whole(*a)) or made[0])
+    assert key(faults.targets(lines, kinds)) == want
+    assert 0 < made[0].count() < lines.count() / 2
+
+
+def test_only_repeated_line_numbers_are_sorted(spark):
+    """Lines that share order and number are numbered in their order; all others are the first, null keys too."""
+    cols = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate date, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    line = lambda o, n, p: (o, n, p, 1, datetime.date(1997, 1, 1), 1.0, 1.0, 0.0, 0.0, "N", "O")
+    df = spark.createDataFrame([line(1, 1, 9), line(1, 1, 3), line(1, 2, 5), line(None, 1, 8), line(None, 1, 7), line(None, None, 4)], cols)
+    got = {(r["l_orderkey"], r["l_linenumber"], r["l_partkey"]): r["_n"] for r in src.numbered(df).collect()}
+    assert got == {(1, 1, 9): 2, (1, 1, 3): 1, (1, 2, 5): 1, (None, 1, 8): 2, (None, 1, 7): 1, (None, None, 4): 1}
