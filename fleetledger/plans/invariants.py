@@ -55,7 +55,7 @@ def monthly_balance(m: Models) -> DataFrame:
 
 def losses_of_702(m: Models) -> DataFrame:
     keys = ["planta", "material"]
-    return unequal(total(cycle.losses_usd(m.moves), keys, "unidades_perdidas"), total(m.customer.where("mov_type = '702'"), keys, F.abs("cantidad")), keys)
+    return unequal(total(cycle.losses_usd(m.moves_days), keys, "unidades_perdidas"), total(m.customer.where("mov_type = '702'"), keys, F.abs("cantidad")), keys)
 
 
 def all_routes(m: Models) -> DataFrame:
@@ -65,7 +65,7 @@ def all_routes(m: Models) -> DataFrame:
 
 def route_balance(m: Models) -> DataFrame:
     keys = ["planta", "cliente", "mes"]
-    return unequal(cycle.route_excess(m.monthly, m.account, m.curve).withColumn("n", F.col("saldo_fin_mes")), total(m.monthly, keys, "saldo_fin_mes"), keys)
+    return unequal(cycle.route_excess(m.monthly, m.account_days, m.curve).withColumn("n", F.col("saldo_fin_mes")), total(m.monthly, keys, "saldo_fin_mes"), keys)
 
 
 def valid_curve(m: Models) -> DataFrame:
@@ -74,7 +74,7 @@ def valid_curve(m: Models) -> DataFrame:
 
 
 def cohorts_add_up(m: Models) -> DataFrame:
-    made = cycle.cohort_cycle(m.rotation, m.tranches).withColumn("todo", F.lit("flota"))
+    made = cycle.cohort_cycle(m.rotation, m.tranches_days).withColumn("todo", F.lit("flota"))
     return unequal(total(made.where("nivel = 'flota'"), ["todo"], "contenedores_recogidos"), total(made.where("nivel = 'planta'"), ["todo"], "contenedores_recogidos"), ["todo"])
 
 
@@ -87,7 +87,7 @@ def cycle_without_photo(m: Models) -> DataFrame:
     turned = unequal(total(m.rotation, ["planta"], "contenedores_salida"), total(known, ["planta"], "cantidad"), ["planta"]).withColumn("llave", F.col("planta"))
     full = m.rotation.where("cohorte_completa").select("planta", "mes")
     mine = timed.withColumn("mes", F.trunc("fecha_salida", "month")).join(F.broadcast(full), ["planta", "mes"], "left_semi")
-    cohorts = cycle.cohort_cycle(m.rotation, m.tranches).where("nivel = 'flota'").withColumn("llave", F.lit("flota"))
+    cohorts = cycle.cohort_cycle(m.rotation, m.tranches_days).where("nivel = 'flota'").withColumn("llave", F.lit("flota"))
     cohorts = unequal(total(cohorts, ["llave"], "contenedores_recogidos"), total(mine.withColumn("llave", F.lit("flota")), ["llave"], "cantidad"), ["llave"])
     cycles = timed.groupBy("planta", "cliente").agg(rounded(F.sum(F.col("cantidad") * F.col("dias")).cast("double") / F.sum("cantidad"), 1).alias("n"))
     routes = unequal(m.routes.where("ciclo_promedio_dias is not null").withColumn("n", F.col("ciclo_promedio_dias")), cycles.join(m.routes.select("planta", "cliente"), ["planta", "cliente"], "left_semi"), ["planta", "cliente"])

@@ -12,7 +12,7 @@ from ..functions.kernels import rounded
 from ..operators import capacity, contract, cycle, gap, need, quality, reports, stock
 from ..sources import extract
 from . import adapters, invariants, planted
-from .models import Models
+from .models import ByDay, Models
 from .oracles import SQL, statement
 
 Build = Callable[[Models], DataFrame]
@@ -37,7 +37,7 @@ TABLE: dict[str, tuple[Build, str, str]] = {
         "select * replace (round(saldo_esperado, 6) as saldo_esperado), round(saldo_fin_mes - saldo_esperado, 6) as exceso_saldo from monthly",
     ),
     "mart_exceso_saldo_ruta": (
-        lambda m: cycle.route_excess(m.monthly, m.account, m.curve),
+        lambda m: cycle.route_excess(m.monthly, m.account_days, m.curve),
         "monthly acc surv",
         """, h as (select (select min(fecha_contab) from acc) + (select max(edad) from surv) as minima),
              r as (select planta, cliente, mes, fin_mes, sum(saldo_fin_mes)::bigint as s, sum(saldo_esperado) as e from monthly group by all),
@@ -49,14 +49,14 @@ TABLE: dict[str, tuple[Build, str, str]] = {
     "mart_rutas": (lambda m: m.routes, "routes", "select * from routes"),
     "mart_rutas_rotas": (lambda m: cycle.broken_routes(m.routes), "routes", "select * exclude (rota_por_merma, rota_por_ciclo, ruta_rota) from routes where ruta_rota"),
     "mart_perdidas_usd": (
-        lambda m: cycle.losses_usd(m.moves),
+        lambda m: cycle.losses_usd(m.moves_days),
         "loss",
         """select planta, material, tipo_material, cast(date_trunc('month', fecha_contab) as date) as mes, sum(n)::bigint as unidades_perdidas, max(costo_unitario_usd) as costo_unitario_usd,
                   round(sum(n * costo_unitario_usd), 2) as perdida_usd from loss where mov_type = '702' group by all""",
     ),
     "mart_rotacion_planta": (lambda m: m.rotation, "rot", "select * from rot"),
     "mart_ciclo_cohortes": (
-        lambda m: cycle.cohort_cycle(m.rotation, m.tranches),
+        lambda m: cycle.cohort_cycle(m.rotation, m.tranches_days),
         "rot ret",
         """, t as (select r.planta, r.dias, r.cantidad from ret r join rot c on c.planta = r.planta and c.mes = date_trunc('month', r.fecha_salida) where cohorte_completa),
              d as (select case when grouping(planta) = 1 then 'flota' else 'planta' end as nivel, planta, dias, sum(cantidad) as n from t group by grouping sets ((planta, dias), (dias))),
@@ -74,12 +74,12 @@ TABLE: dict[str, tuple[Build, str, str]] = {
                round(desechable_equiv_usd - (a + mant_por_ciclo_usd), 4) as ahorro_por_ciclo_usd, p::int as ciclos_payback, p <= vida_esperada_ciclos as recupera_inversion,
                round(viajes * (desechable_equiv_usd - (a + mant_por_ciclo_usd)), 2) as ahorro_neto_usd, round(perdida_reconocida_usd, 2) as perdida_reconocida_usd from c""",
     ),
-    "stock_inicial_minimo": (lambda m: stock.minimum_opening(m.ledger, "VACI"), "minopen", "select * from minopen"),
+    "stock_inicial_minimo": (lambda m: stock.minimum_opening(m.ledger_days, "VACI"), "minopen", "select * from minopen"),
     "int_mov_stock": (lambda m: m.changes, "smov", "select * from smov"),
     "int_stock_diario": (lambda m: m.daily, "dstock", "select * from dstock"),
     "mart_flota_semanal": (lambda m: m.fleet, "fleet", "select * from fleet"),
     "mart_flujos_semanales": (lambda m: stock.weekly_flows(m.ledger, m.places, m.classes), "flows", "select * from flows"),
-    "mart_red_semanal": (lambda m: stock.weekly_network(m.customer, m.classes), "net", "select * from net"),
+    "mart_red_semanal": (lambda m: stock.weekly_network(m.customer_days, m.classes), "net", "select * from net"),
     "int_calendario_necesidad": (lambda m: m.calendar, "cal", "select * from cal"),
     "int_uso_diario": (lambda m: m.use, "use", "select * from use"),
     "int_variabilidad_uso": (
@@ -189,7 +189,7 @@ TABLE: dict[str, tuple[Build, str, str]] = {
         select planta, tipo_material, material, fecha, delta::bigint as delta, f::bigint as faltante_acum, (s + f)::bigint as saldo from f""",
     ),
     "foto_al_corte": (
-        lambda m: stock.snapshot_at(m.ledger, m.snapshot, m.places, dt.date(1999, 1, 1)),
+        lambda m: stock.snapshot_at(m.ledger_days, m.snapshot, m.places, dt.date(1999, 1, 1)),
         "led places snap",
         """, x as (select planta, material, tipo_material, almacen, null as cliente, cantidad from snap
                    union all select planta, material, tipo_material, almacen, null, cantidad from led join places using (almacen) where estado <> 'fuera_ciclo' and fecha_contab < date '1999-01-01'
@@ -204,31 +204,31 @@ TABLE: dict[str, tuple[Build, str, str]] = {
         select 'raw_mb51' as tabla, x.c as columna, x.k as chequeo, x.v as valor, llave from x where x is not null""",
     ),
     "reporte_titular": (
-        lambda m: reports.headline(cycle.losses_usd(m.moves), m.routes),
+        lambda m: reports.headline(cycle.losses_usd(m.moves_days), m.routes),
         "loss routes",
         """, l as (select sum(n * costo_unitario_usd) as perdida_usd, sum(n)::bigint as unidades from loss where mov_type = '702')
         select l.*, round(sum(faltantes) * 100.0::double / sum(salidas_conciliadas)::double, 3) as tasa_flota_pct, count(case when ruta_rota then 1 end) as rutas_rotas, count(*) as rutas from routes, l group by all""",
     ),
     "reporte_perdida_por_tipo": (
-        lambda m: reports.loss_by_type(cycle.losses_usd(m.moves)),
+        lambda m: reports.loss_by_type(cycle.losses_usd(m.moves_days)),
         "loss",
         "select tipo_material, sum(n * costo_unitario_usd) as perdida_usd, sum(n)::bigint as unidades from loss where mov_type = '702' group by 1",
     ),
     "reporte_perdida_por_mes": (
-        lambda m: reports.loss_by_month(cycle.losses_usd(m.moves)),
+        lambda m: reports.loss_by_month(cycle.losses_usd(m.moves_days)),
         "loss",
         """select cast(date_trunc('month', fecha_contab) as date) as mes, sum(case when tipo_material = 'KLT' then n * costo_unitario_usd else 0 end) as KLT, sum(case when tipo_material = 'RACK' then n * costo_unitario_usd else 0 end) as RACK
            from loss where mov_type = '702' group by 1""",
     ),
     "reporte_pareto": (
-        lambda m: reports.pareto(cycle.losses_usd(m.moves)),
+        lambda m: reports.pareto(cycle.losses_usd(m.moves_days)),
         "loss",
         """, p as (select planta, sum(n * costo_unitario_usd) as perdida_usd from loss where mov_type = '702' group by 1),
              a as (select *, sum(perdida_usd) over (order by perdida_usd desc, planta rows unbounded preceding) / sum(perdida_usd) over () as a from p)
         select planta, perdida_usd, round(a * 100, 2) as acumulado_pct, coalesce(lag(a) over (order by perdida_usd desc, planta), 0) < 0.8 as en_80 from a""",
     ),
     "reporte_top_materiales": (
-        lambda m: reports.top_materials(cycle.losses_usd(m.moves)),
+        lambda m: reports.top_materials(cycle.losses_usd(m.moves_days)),
         "loss",
         """select planta, material, tipo_material, sum(n * costo_unitario_usd) as perdida_usd, sum(n)::bigint as unidades from loss where mov_type = '702' group by 1, 2, 3
            order by perdida_usd desc, planta, material limit 15""",
@@ -284,7 +284,7 @@ TABLE: dict[str, tuple[Build, str, str]] = {
              and v.mat is not distinct from i.mat group by 1, 2""",
     ),
     "deteccion_en_tablas": (
-        lambda m: quality.detection_in_tables(quality.injected_tables(m.customer, m.snapshot, m.plan[1]), m.all_violations),
+        lambda m: quality.detection_in_tables(quality.injected_tables(m.customer_days, m.snapshot, m.plan[1]), m.all_violations),
         "cust snap parts allviol",
         """, k as (select * from (values (5, 'm', 'D17', 'grupo_fuera_de_catalogo'), (9, 'm', 'D14', 'grupo_contradice_codigo'), (3, 'm', 'D13', 'unidad_de_precio'), (7, 'm', 'D18', 'moneda_distinta'), (11, 'm', 'D15', 'material_sin_maestro'),
                    (2, 'm', null, 'llave_maestro_duplicada'), (4, 'f', 'D09', 'material_sin_foto'), (1, 'f', 'D03', 'lgort_fuera_de_catalogo'), (6, 'p', 'D10', 'parte_sin_instruccion'), (8, 'p', 'D11', 'piezas_en_cero'),
@@ -361,7 +361,7 @@ TABLE: dict[str, tuple[Build, str, str]] = {
     "stg_stock_inicial": (lambda m: cycle.typed(m.snapshot, m.clean_master), "snap", "select planta, almacen, material, tipo_material, null as cliente, cantidad, fecha from snap"),
     "stg_instruccion_empaque": (lambda m: cycle.typed(m.plan[1], m.clean_master), "parts", "select planta, parte, material, tipo_material, ppc as piezas_por_contenedor from parts"),
     "reporte_exceso_mensual": (
-        lambda m: six(reports.excess_by_month(cycle.route_excess(m.monthly, m.account, m.curve), m.routes), "rota", "resto"),
+        lambda m: six(reports.excess_by_month(cycle.route_excess(m.monthly, m.account_days, m.curve), m.routes), "rota", "resto"),
         "exc routes",
         """select mes, round(median(case when ruta_rota then exceso_pct_ciclo end), 6) as rota, round(median(case when not ruta_rota then exceso_pct_ciclo end), 6) as resto
            from exc join routes using (planta, cliente) where alerta_valida group by 1""",
@@ -455,7 +455,7 @@ TABLE |= adapters.TABLE | invariants.TABLE | planted.TABLE
 def shared(spark: SparkSession, sf_dir: str) -> Models:
     """The models of a folder: queries of one session build each node once between them."""
     kept = spark.__dict__.setdefault("_fleetledger_models", {})
-    return kept.setdefault(sf_dir, Models(spark, sf_dir))
+    return kept.setdefault(sf_dir, ByDay(spark, sf_dir))
 
 
 def forget(spark: SparkSession) -> None:

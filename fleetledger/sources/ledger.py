@@ -118,10 +118,29 @@ def numbered(lines: DataFrame) -> DataFrame:
     return lines.join(twice, same, "left_anti").withColumn("_n", F.lit(1)).unionByName(again)
 
 
-def customer_ledger(spark: SparkSession, sf_dir: str, v: Vars = VARS) -> DataFrame:
-    """Movements with customers: 601/621 out, 622 back, 702 recognised loss."""
+#: What movements of a day have in common where nothing tells single lines apart.
+DAY = ("planta", "cliente", "material", "tipo_material", "mov_type", "almacen", "fecha_contab", "anio_contable", "doc_material")
+
+
+def by_day(moves: DataFrame) -> DataFrame:
+    """Movements summed up by DAY and sign, with their number (lineas): as many rows as there are accounts, places and days, however many
+    lines. Sums of quantities, of their sizes and of what has one sign are the same. A document's series (the letters it begins
+    with) stands for the document: one series has one class of movement, so that a day's events keep their order."""
+    n = F.col("lineas") if "lineas" in moves.columns else F.lit(1)
+    series = F.regexp_extract("doc_material", "^[A-Za-z]*", 0).alias("doc_material")
+    rows = moves.select(*[series if c == "doc_material" else c for c in DAY], F.signum("cantidad").cast("int").alias("signo"), F.col("cantidad").cast("long").alias("cantidad"), n.cast("long").alias("lineas"))
+    return day_sums(rows)
+
+
+def day_sums(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*DAY, "signo").agg(F.sum("cantidad").alias("cantidad"), F.sum("lineas").alias("lineas")).withColumn("posicion", F.lit(0))
+
+
+def customer_ledger(spark: SparkSession, sf_dir: str, v: Vars = VARS, lines: bool = True) -> DataFrame:
+    """Movements with customers: 601/621 out, 622 back, 702 recognised loss. Without `lines` they are not told apart: positions are left
+    out, which need their lines' numbers, and a document is its series."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumn("f", F.to_date("l_shipdate")).where(F.col("f") <= F.lit(v.fecha_extraccion))
-    li = numbered(li)
+    li = numbered(li) if lines else li.withColumn("_n", F.lit(0))
     part = F.col("l_partkey") % 20
     tipo = F.when(part < 12, "KLT").when(part < 18, "RACK").otherwise("CARTON")
     q = F.col("l_quantity").cast("int")
@@ -145,7 +164,7 @@ def customer_ledger(spark: SparkSession, sf_dir: str, v: Vars = VARS) -> DataFra
     legs = F.array(out, F.when(returnable & (F.col("q") > F.col("loss")), back), F.when(returnable & (F.col("loss") > 0), lost))
     moved = base.select(*keep, "doc", "pos", F.explode(legs).alias("m")).where("m is not null")
     return moved.select(
-        *keep, "m.mov_type", "m.almacen", "m.fecha_contab", "m.cantidad", F.concat("m.serie", "doc").alias("doc_material"), F.col("pos").alias("posicion"),
+        *keep, "m.mov_type", "m.almacen", "m.fecha_contab", "m.cantidad", (F.concat("m.serie", "doc") if lines else F.col("m.serie")).alias("doc_material"), F.col("pos").alias("posicion"),
         F.year("m.fecha_contab").cast("long").alias("anio_contable"),
     ).where(F.col("fecha_contab") <= F.lit(v.fecha_extraccion))
 
@@ -153,6 +172,8 @@ def customer_ledger(spark: SparkSession, sf_dir: str, v: Vars = VARS) -> DataFra
 def internal_transfers(customer: DataFrame) -> DataFrame:
     """311 transfers around the customer movements: cleaned after each pickup, filled before each shipment. Each is a document
     of its own, with two legs."""
+    summed = [c for c in ("lineas",) if c in customer.columns]
+
     def legs(kind: str, days: int, source: str, target: str, series: str) -> DataFrame:
         rows = customer.where(F.col("mov_type") == kind).withColumn("n", F.abs("cantidad"))
         pair = F.explode(F.array(F.struct(F.lit(source).alias("a"), (-F.col("n")).alias("n"), F.lit(0).alias("k")), F.struct(F.lit(target).alias("a"), F.col("n").alias("n"), F.lit(1).alias("k"))))
@@ -160,7 +181,7 @@ def internal_transfers(customer: DataFrame) -> DataFrame:
         return rows.select(
             "planta", F.lit(None).cast("string").alias("cliente"), "material", "tipo_material", F.lit("311").alias("mov_type"), F.col("leg.a").alias("almacen"),
             F.col("fecha").alias("fecha_contab"), F.col("leg.n").alias("cantidad"), F.concat(F.lit(series), F.col("posicion").cast("string"), "doc_material").alias("doc_material"),
-            (F.col("posicion") * 2 + F.col("leg.k")).cast("int").alias("posicion"), F.year("fecha").cast("long").alias("anio_contable"),
+            (F.col("posicion") * 2 + F.col("leg.k")).cast("int").alias("posicion"), F.year("fecha").cast("long").alias("anio_contable"), *summed,
         )
 
     return legs("622", 3, "SUCI", "VACI", "D").unionByName(legs("621", -2, "VACI", "LLEN", "E"))
