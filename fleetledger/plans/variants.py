@@ -18,7 +18,7 @@ from ..functions.kernels import ratio, rounded, running_sum
 from ..functions.tables import stored
 from ..operators import cycle, gap, need, quality, stock
 from ..sources import ledger as src
-from .models import Models
+from .models import ByDay, Models
 
 CLEAN = "limpio"
 #: The seven measured figures and the four identities.
@@ -47,7 +47,7 @@ def own(code: str) -> Column:
     return F.when(F.col(code).isNotNull(), F.concat(F.substring_index("planta", "|", 1), F.lit("|"), F.col(code)))
 
 
-class VariantModels(Models):
+class VariantModels(ByDay):
     """The models over all worlds at once."""
 
     @property
@@ -79,26 +79,56 @@ class VariantModels(Models):
         """The tables of each world, codes as in the base but for the plants."""
         b = self.base
         plan, instruction = b.plan
-        return src.dirty_tables(self.spread(b.customer), self.spread(b.snapshot), self.spread(plan), self.spread(instruction), only=self.mark(2))
+        materials = stored(b.customer_days.select("planta", "material", "tipo_material").distinct(), "materials")
+        return src.dirty_tables(self.spread(materials), self.spread(b.snapshot), self.spread(plan), self.spread(instruction), only=self.mark(2))
 
     @cached_property
     def master(self) -> DataFrame:
         return stored(self.tables["master"].withColumns({c: own(c) for c in ("material", "tipo_material")}), "world-master")
 
     @cached_property
-    def ledger(self) -> DataFrame:
-        """Lines as they come in, staged: type and unit cost are the world's master's."""
-        h = F.when(src.fault_mark() == self.mark(1), src.fault_mark()).otherwise(-1)
-        lines = src.dirty_lines(self.spread(self.base.ledger), self.classes, self.v, mark=h)
-        return stored(cycle.staged_movements(lines.withColumn("material", own("material")), self.master), "world-ledger")
+    def hit(self) -> DataFrame:
+        """The base's lines that a fault of the movements is on, in its world, with the fault's mark: a line has one mark."""
+        names = F.create_map(*[F.lit(x) for w, h, _ in self.chosen if h >= 0 for x in (h, w)])
+        marked = self.base.ledger.withColumn("marca", src.fault_mark()).where(F.col("marca").isin([h for _, h, _ in self.chosen if h >= 0]))
+        return stored(marked.withColumn("planta", F.concat(F.element_at(names, F.col("marca").cast("int")), F.lit("|"), "planta")), "world-hit")
+
+    def lines_of_hit(self, mark: Column) -> DataFrame:
+        return src.dirty_lines(self.hit, self.classes, self.v, mark=mark)
+
+    @cached_property
+    def ledger_days(self) -> DataFrame:
+        """By day, type and unit cost as the world's master has them. A world of a fault in the movements is the clean one without the
+        lines that the fault is on, and with what it makes of them; the others are the clean one as it is."""
+        marked = [w for w, h, _ in self.chosen if h >= 0]
+        clean = self.spread(stored(src.by_day(self.base.ledger_days), "clean-days"))
+        rows = clean.where(~self.world.isin(marked))
+        if marked:
+            gone = src.by_day(self.lines_of_hit(F.lit(-1))).withColumns({c: -F.col(c) for c in ("cantidad", "lineas")})
+            parts = [clean.where(self.world.isin(marked)), gone, src.by_day(self.lines_of_hit(F.col("marca")))]
+            rows = rows.unionByName(src.day_sums(functools.reduce(DataFrame.unionByName, parts)).where("lineas > 0"))
+        priced = F.broadcast(cycle.price_of(self.master))
+        return stored(rows.withColumn("material", own("material")).drop("tipo_material", "signo").join(priced, ["planta", "material"], "left"), "world-ledger")
+
+    @cached_property
+    def customer_days(self) -> DataFrame:
+        return self.ledger_days.where("mov_type <> '311'")
 
     @cached_property
-    def customer(self) -> DataFrame:
-        return self.ledger.where("mov_type <> '311'")
+    def moves_days(self) -> DataFrame:
+        return self.customer_days
 
     @cached_property
-    def moves(self) -> DataFrame:
-        return self.customer
+    def keys(self) -> DataFrame:
+        """mundo, n: how many different keys each world's lines have: those of the clean lines, less those of lines that a fault is on, and
+        those that it gives them. All lines of a key have one mark."""
+        key = ["planta", "anio_contable", "doc_material", "posicion"]
+        count = lambda df: df.select(self.world.alias("mundo"), *key).distinct().groupBy("mundo").agg(F.count(F.lit(1)).alias("n"))
+        whole = src.dirty_lines(self.base.ledger, self.classes, self.v, mark=F.lit(-1)).select(*key).distinct().agg(F.count(F.lit(1)).alias("todas"))
+        parts = count(self.lines_of_hit(F.col("marca"))).unionByName(count(self.lines_of_hit(F.lit(-1))).withColumn("n", -F.col("n")))
+        names = self.spark.createDataFrame([(w,) for w, *_ in self.chosen], "mundo string")
+        own_ = parts.groupBy("mundo").agg(F.sum("n").alias("n"))
+        return names.join(own_, "mundo", "left").crossJoin(F.broadcast(whole)).select("mundo", (F.col("todas") + F.coalesce("n", F.lit(0))).alias("n"))
 
     @cached_property
     def snapshot(self) -> DataFrame:
@@ -135,13 +165,13 @@ class VariantModels(Models):
         needed = need.fleet_need(self.need)
         first = needed.groupBy(self.world.alias("mundo")).agg(F.min("semana").alias("primera"))
         week1 = needed.withColumn("mundo", self.world).join(F.broadcast(first), "mundo").where("semana = primera").drop("mundo")
-        cohorts = cycle.cohort_cycle(self.rotation, self.tranches, self.world).where("nivel = 'flota'")
+        cohorts = cycle.cohort_cycle(self.rotation, self.tranches_days, self.world).where("nivel = 'flota'")
         fleet = self.fleet_t
         last = fleet.groupBy(self.world.alias("mundo")).agg(F.max("fecha_cierre").alias("ultimo"))
         closing = fleet.withColumn("mundo", self.world).join(F.broadcast(last), "mundo").where("fecha_cierre = ultimo").drop("mundo")
         cost = F.col("usd_flete") + F.col("usd_compra") + F.col("usd_desechable")
         parts = [
-            one("perdida", cycle.losses_usd(self.moves), F.sum("perdida_usd")), one("tco", cycle.cost_comparison(self.cost_t), F.sum("ahorro_neto_usd")),
+            one("perdida", cycle.losses_usd(self.moves_days), F.sum("perdida_usd")), one("tco", cycle.cost_comparison(self.cost_t), F.sum("ahorro_neto_usd")),
             one("brecha", base, F.sum(cost)), one("ocioso", base, F.sum("usd_capital_ocioso")), one("ciclo", cohorts, F.max("ciclo_promedio_dias")),
             one("necesidad", week1, F.sum("necesidad")), one("flota", closing, F.sum("flota")),
         ]
@@ -155,10 +185,10 @@ class VariantModels(Models):
     def identities(self) -> DataFrame:
         """mundo, medida, valor: how many rows break each identity; none where it holds."""
         carton = F.col("tipo_material").endswith("|CARTON")
-        key = F.struct("planta", "anio_contable", "doc_material", "posicion")
-        twice = self.ledger.groupBy(self.world.alias("mundo")).agg((F.count(F.lit(1)) - F.countDistinct(key)).alias("n"))
+        lines = self.ledger_days.groupBy(self.world.alias("mundo")).agg(F.sum("lineas").alias("lineas"))
+        twice = lines.join(self.keys, "mundo").select("mundo", (F.col("lineas") - F.col("n")).alias("n"))
         low = self.daily_t.where((F.col("saldo") < 0) & ~carton)
-        daily = self.account.groupBy(*cycle.ACCOUNT, "fecha_contab").agg(F.sum("delta_saldo").alias("delta"))
+        daily = self.account_days.groupBy(*cycle.ACCOUNT, "fecha_contab").agg(F.sum("delta_saldo").alias("delta"))
         owed = daily.withColumn("saldo", running_sum("delta", cycle.ACCOUNT, "fecha_contab")).where("saldo < 0")
         count = lambda df: df.groupBy(self.world.alias("mundo")).agg(F.count(F.lit(1)).alias("n"))
         parts = {"llave": twice, "stock": count(low), "saldo": count(owed), "conservacion": count(self.unkept)}
@@ -171,7 +201,7 @@ class VariantModels(Models):
         returnable = ~F.col("tipo_material").endswith("|CARTON")
         w = Window.partitionBy("planta", "material").orderBy("semana")
         change = self.fleet_t.where(returnable).withColumn("n", F.col("flota") - F.coalesce(F.lag("flota").over(w), F.lit(0))).select(*keys, "n")
-        lost = self.customer.where("mov_type = '702'").select("planta", "material", stock.week("fecha_contab").alias("semana"), (-F.abs("cantidad")).cast("long").alias("n"))
+        lost = self.customer_days.where("mov_type = '702'").select("planta", "material", stock.week("fecha_contab").alias("semana"), (-F.abs("cantidad")).cast("long").alias("n"))
         opened = self.snapshot.select("planta", "material", stock.week("fecha").alias("semana"), F.col("cantidad").cast("long").alias("n"))
         moved = lost.unionByName(opened).groupBy(*keys).agg(F.sum("n").alias("m"))
         return change.join(moved, keys, "full").where("coalesce(n, 0) <> coalesce(m, 0)")

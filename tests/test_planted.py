@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from paths import SF
 from fleetledger.operators import cycle, quality, reports
 from fleetledger.plans import invariants, variants
-from fleetledger.plans.models import Models
+from fleetledger.plans.models import ByDay, Models
 from fleetledger.sources import faults
 from fleetledger.sources import ledger as src
 from fleetledger.functions.tables import stored
@@ -234,3 +234,42 @@ def test_only_repeated_line_numbers_are_sorted(spark):
     df = spark.createDataFrame([line(1, 1, 9), line(1, 1, 3), line(1, 2, 5), line(None, 1, 8), line(None, 1, 7), line(None, None, 4)], cols)
     got = {(r["l_orderkey"], r["l_linenumber"], r["l_partkey"]): r["_n"] for r in src.numbered(df).collect()}
     assert got == {(1, 1, 9): 2, (1, 1, 3): 1, (1, 2, 5): 1, (None, 1, 8): 2, (None, 1, 7): 1, (None, None, 4): 1}
+
+
+@pytest.fixture(scope="module")
+def by_day(spark):
+    return ByDay(spark, SF)
+
+
+def test_sums_by_day_are_those_of_lines(models, by_day):
+    """Models that read the ledger by day give what those over its lines give, without storing or numbering a line."""
+    rows = lambda df: sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.select(*sorted(df.columns)).collect()), key=repr)
+    for name in ("routes", "rotation", "cost", "snapshot", "curve", "daily", "projected"):
+        assert rows(getattr(by_day, name)) == rows(getattr(models, name)), name
+    assert "customer" not in vars(by_day) and "tranches" not in vars(by_day)
+    assert by_day.customer_days.count() < models.customer.count()
+
+
+def test_days_keep_sign_number_and_order(spark):
+    """Lines of a day and series are one row for each sign; sums of sizes, numbers, and what of a day comes first are those of the lines."""
+    cols = "planta string, cliente string, material string, tipo_material string, mov_type string, almacen string, fecha_contab date, anio_contable long, doc_material string, posicion int, cantidad int"
+    day = datetime.date(1997, 5, 5)
+    line = lambda kind, doc, n, d=day: ("P0", "C0", "KLT-1", "KLT", kind, None, d, 1997, doc, 1, n)
+    moves = [line("621", "A01", -5, day - datetime.timedelta(9)), line("621", "A02", 2, day), line("621", "A03", -4, day), line("622", "B01", 3), line("622", "B02", 3), line("702", "C01", -2), line("622", "ZB02", 1)]
+    df = spark.createDataFrame(moves, cols)
+    got = {(r["doc_material"], r["signo"], r["fecha_contab"]): (r["cantidad"], r["lineas"]) for r in src.by_day(df).collect()}
+    assert got["A", 1, day] == (2, 1) and got["A", -1, day] == (-4, 1) and got["B", 1, day] == (6, 2) and got["C", -1, day] == (-2, 1) and got["ZB", 1, day] == (1, 1)
+    sums = lambda m: Counter({tuple(r)[:-1]: r["n"] for r in cycle.fifo_tranches(cycle.account_movements(m, src.no_snapshot(spark))).groupBy("fecha_salida", "tipo_cierre", "fecha_cierre", "dias").agg(F.sum("cantidad").alias("n")).collect()})
+    assert sums(df) == sums(src.by_day(df))
+
+
+def test_worlds_are_built_by_day(by_day):
+    """A world's lines are counted, and its keys, without a line of any world: copies have a key twice, a material twice in the master all its lines."""
+    chosen = [w for w in variants.worlds() if w[0] in (variants.CLEAN, "D01", "B03", "llave_maestro_duplicada")]
+    m = variants.VariantModels(by_day, chosen)
+    lines = {r["mundo"]: r["n"] for r in m.ledger_days.groupBy(m.world.alias("mundo")).agg(F.sum("lineas").alias("n")).collect()}
+    keys = {r["mundo"]: r["n"] for r in m.keys.collect()}
+    whole = by_day.ledger.withColumn("h", src.fault_mark())
+    n, d01, b03, double = whole.agg(F.count(F.lit(1)), F.count_if(F.expr("h = 4")), F.count_if(F.expr("h = 10")), F.count_if(F.expr("planta = 'P0' and split(material, '-')[1] = '2'"))).first()
+    assert lines == {variants.CLEAN: n, "D01": n + d01, "B03": n + b03, "llave_maestro_duplicada": n + double}
+    assert keys == {variants.CLEAN: n, "D01": n, "B03": n + b03, "llave_maestro_duplicada": n}
