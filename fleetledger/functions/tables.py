@@ -5,7 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Up to how many hashes are broadcast to the rows that may have them; beyond it they meet by a shuffle.
+FEW = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -26,3 +30,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/fleetledger/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def beside_hashes(df: DataFrame, key: Column, hashes: DataFrame, name: str) -> DataFrame:
+    """df with the row's key, a 64-bit hash, as `name` where it is among the hashes (_h, each once), else null."""
+    hashes = stored(hashes.select(F.col("_h").alias(name)), "hashes")
+    return df.join(F.broadcast(hashes) if hashes.count() <= FEW else hashes, key == F.col(name), "left")

@@ -273,3 +273,38 @@ def test_worlds_are_built_by_day(by_day):
     n, d01, b03, double = whole.agg(F.count(F.lit(1)), F.count_if(F.expr("h = 4")), F.count_if(F.expr("h = 10")), F.count_if(F.expr("planta = 'P0' and split(material, '-')[1] = '2'"))).first()
     assert lines == {variants.CLEAN: n, "D01": n + d01, "B03": n + b03, "llave_maestro_duplicada": n + double}
     assert keys == {variants.CLEAN: n, "D01": n, "B03": n + b03, "llave_maestro_duplicada": n}
+
+
+def test_rules_look_only_at_suspects(models, monkeypatch):
+    """Suspects are a small part of the lines, by broadcast hashes or by a shuffle, and every rule finds among them what it finds in all
+    lines; the lines are not written."""
+    from fleetledger.functions import tables
+
+    rows = lambda df: Counter(tuple(r) for r in df.collect())
+    lines, daily = models.lines, quality.account_days(models.lines)
+    bad, wrong = quality.days_without_balance(daily), quality.misspelt_customers(daily)
+    master, snapshot = models.dirty["master"], models.snapshot
+    rules = [
+        quality.duplicate_keys, quality.repeated_documents, lambda x: quality.padded_customers(x, wrong), lambda x: quality.pickups_without_balance(x, bad), lambda x: quality.padded_materials(x, models.master),
+        lambda x: quality.line_rules(x, models.places, models.pieces, models.v), lambda x: quality.other_document_prices(x, master, snapshot, models.v),
+    ]
+    want = [rows(rule(lines)) for rule in rules]
+    assert sum(map(bool, want)) >= 4
+    for few in (tables.FEW, 0):
+        monkeypatch.setattr(tables, "FEW", few)
+        near = stored(quality.suspects(lines, models.places, models.pieces, bad, wrong, models.v), "near")
+        assert [rows(rule(near)) for rule in rules] == want
+        assert 0 < near.count() < lines.count() / 10
+    assert not any("/lines-" in f for f in lines.inputFiles())
+
+
+def test_only_hit_lines_meet_the_log(spark, models):
+    """Lines without a fault go by the log, told by a hash of their key; those with one are what the log makes of them, null keys stay."""
+    line = lambda doc, pos, who="C1", n=-5: ("P0", 2020, doc, pos, "KLT-1", "621", "LLEN", who, n, datetime.date(2020, 1, 2), "salida_cliente")
+    cols = "planta string, anio_contable long, doc_material string, posicion int, material string, mov_type string, almacen string, cliente string, cantidad int, fecha_registro date, evento string"
+    lines = spark.createDataFrame([line("A", 1), line("A", 2), line("B", 1), line(None, 1), line("C", 1)], cols)
+    log = spark.createDataFrame([("P0", 2020, "A", 2, "cantidad", "7"), ("P0", 2020, "B", 1, "linea", "copia"), ("P0", 2020, "C", 1, "cliente", None)], "planta string, anio_contable int, doc_material string, posicion long, campo string, valor_inyectado string")
+    got = Counter((r["doc_material"], r["posicion"], r["cliente"], r["cantidad"], r["evento"]) for r in faults.planted(lines, log, models.classes).collect())
+    out = "salida_cliente"
+    assert got == {("A", 1, "C1", -5, out): 1, ("A", 2, "C1", 7, out): 1, ("B", 1, "C1", -5, out): 2, (None, 1, "C1", -5, out): 1, ("C", 1, None, -5, out): 1}
+    assert any("quota-hit" in f for f in faults.planted(lines, log, models.classes).inputFiles())
