@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import FEW, stored
 
 FIRST, HERE = Window.unboundedPreceding, Window.currentRow
 #: Column that numbers the blocks in the order of (key, order).
@@ -26,6 +26,11 @@ def in_blocks(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
     return df.repartitionByRange(n, *keys, *order).withColumn(BLOCK, F.spark_partition_id())
 
 
+def wide(df: DataFrame) -> int:
+    """Partitions for rows that grow with the lines: enough that none has to be sorted on disk."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 16 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def inside(keys: Sequence[str], *order):
     """The window of a key's rows in a block."""
     return Window.partitionBy(BLOCK, *keys).orderBy(*order)
@@ -78,6 +83,24 @@ def running_low(df: DataFrame, keys: Sequence[str], order: Sequence, value: Colu
     return made.withColumns({total: F.col(total) + moved, low: F.least(F.col(low) + moved, "_least")}).drop(BLOCK, "_start", "_least")
 
 
+def sums_by_day(df: DataFrame, keys: Sequence[str], day: str, order: Sequence, sums: dict[str, Column], most: int = 1_000_000) -> DataFrame:
+    """running_sums where `order` begins with the day: what a key has by day is summed first, so that a day's rows need only each other,
+    and are shuffled once. Where a key has more than `most` rows in a day, ranges are cut as in running_sums."""
+    per = stored(df.groupBy(*keys, day).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"_d_{n}") for n, c in sums.items()], F.count(F.lit(1)).alias("_rows")), "day-sums")
+    if (per.agg(F.max("_rows")).first()[0] or 0) > most:
+        return running_sums(df, keys, order, sums)
+    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(day)).rowsBetween(FIRST, -1)
+    names = {k: f"_k_{k}" for k in (*keys, day)}
+    starts = stored(per.select(*[F.col(k).alias(n) for k, n in names.items()], *[F.coalesce(F.sum(f"_d_{n}").over(w), F.lit(0)).alias(f"_p_{n}") for n in sums]), "day-starts")
+    upto = Window.partitionBy(*keys, day).orderBy(*order).rowsBetween(FIRST, HERE)
+    local = df.repartition(wide(df), *keys, day).withColumns({n: F.coalesce(F.sum(c).over(upto), F.lit(0)) for n, c in sums.items()})
+    same = F.lit(True)
+    for k, n in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    made = local.join(F.broadcast(starts) if starts.count() <= FEW else starts, same)
+    return made.withColumns({n: F.col(n) + F.col(f"_p_{n}") for n in sums}).drop(*names.values(), *[f"_p_{n}" for n in sums])
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
     """left with the last non-null `value` of right at or before `at`, of the same key; null where there is none. What a block's
     first rows need is handed on from the blocks before it."""
@@ -101,8 +124,15 @@ def interval_match(left: DataFrame, right: DataFrame, keys: Sequence[str], left_
     """
     a = left.select(*keys, "acum_fin", left_row, F.lit(None).cast(right.schema[right_row].dataType).alias(right_row))
     b = right.select(*keys, "acum_fin", F.lit(None).cast(left.schema[left_row].dataType).alias(left_row), right_row)
-    n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    points = in_blocks(a.unionByName(b), keys, ["acum_fin"]).repartition(n, BLOCK, *keys)  # serves the grouping and the windows below
+    return match_points(a.unionByName(b), keys, left_row, right_row)
+
+
+def match_points(both: DataFrame, keys: Sequence[str], left_row: str, right_row: str, width: int | None = None) -> DataFrame:
+    """interval_match of both sides' rows in one table: each has its own side's struct, the other's is null. With a width, whole numbers
+    are cut into blocks of so many units of the line, without a shuffle by ranges."""
+    n = wide(both) if width else int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = both.withColumn(BLOCK, F.floor((F.col("acum_fin") - 1) / width)) if width else in_blocks(both, keys, ["acum_fin"])
+    points = cut.repartition(n, BLOCK, *keys)  # serves the grouping and the windows below
     at = points.groupBy(BLOCK, *keys, "acum_fin").agg(F.first(left_row, True).alias(left_row), F.first(right_row, True).alias(right_row))
     # From the far end: what is ahead of a point is then a frame that only grows, and costs one step a row.
     order = inside(keys, F.desc("acum_fin"))

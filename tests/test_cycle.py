@@ -69,3 +69,25 @@ def test_empty_ledger(spark):
     account = cycle.account_movements(empty, no_snapshot(spark))
     cut = cycle.fifo_tranches(account)
     assert cut.count() == 0 and cycle.survival(cut).count() == 0 and cycle.routes(cycle.reconcilable_loss(empty, no_snapshot(spark)), cut).count() == 0
+
+
+def test_single_lines_by_day_and_units(spark, monkeypatch):
+    """Tranches of lines that are dealt by day and by units of the account are those of ranges: many blocks, ties, null customers, zeros,
+    days with more lines than one task should have; nothing is dealt by ranges but those."""
+    import random
+
+    from fleetledger.functions import blocks
+
+    rng = random.Random(8)
+    moves = [move(rng.choice(["621", "621", "622", "702"]), D(2024, 1, rng.randint(1, 28)), rng.choice([0, 1, 5, 9, 30]), f"{i:04}", rng.choice(["C1", "C1", "C2", None]), rng.choice(["M1", "M2"])) for i in range(900)]
+    snapshot = spark.createDataFrame([("P1", None, "M1", "KLT", "C1", 7, D(2023, 12, 31))], no_snapshot(spark).schema)
+    account = cycle.account_movements(spark.createDataFrame(moves, MOVES), snapshot).repartition(5)
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    want = rows(cycle.fifo_tranches(account))
+    monkeypatch.setattr(cycle, "UNITS", 40)
+    made, ranges = [], blocks.in_blocks
+    monkeypatch.setattr(blocks, "in_blocks", lambda *a: made.append(a) or ranges(*a))
+    assert rows(cycle.fifo_tranches(account, lines=True)) == want and not made
+    monkeypatch.setattr(cycle, "sums_by_day", lambda *a: blocks.sums_by_day(*a, most=3))
+    assert rows(cycle.fifo_tranches(account, lines=True)) == want and len(made) == 1
+    assert cycle.fifo_tranches(account.limit(0), lines=True).count() == 0
