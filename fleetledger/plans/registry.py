@@ -284,7 +284,7 @@ TABLE: dict[str, tuple[Build, str, str]] = {
              and v.mat is not distinct from i.mat group by 1, 2""",
     ),
     "deteccion_en_tablas": (
-        lambda m: quality.detection_in_tables(quality.injected_tables(m.customer_days, m.snapshot, m.plan[1]), m.all_violations),
+        lambda m: quality.detection_in_tables(quality.injected_tables(m.customer_days, m.snapshot, m.plan[1]), m.table_violations),
         "cust snap parts allviol",
         """, k as (select * from (values (5, 'm', 'D17', 'grupo_fuera_de_catalogo'), (9, 'm', 'D14', 'grupo_contradice_codigo'), (3, 'm', 'D13', 'unidad_de_precio'), (7, 'm', 'D18', 'moneda_distinta'), (11, 'm', 'D15', 'material_sin_maestro'),
                    (2, 'm', null, 'llave_maestro_duplicada'), (4, 'f', 'D09', 'material_sin_foto'), (1, 'f', 'D03', 'lgort_fuera_de_catalogo'), (6, 'p', 'D10', 'parte_sin_instruccion'), (8, 'p', 'D11', 'piezas_en_cero'),

@@ -308,3 +308,14 @@ def test_only_hit_lines_meet_the_log(spark, models):
     out = "salida_cliente"
     assert got == {("A", 1, "C1", -5, out): 1, ("A", 2, "C1", 7, out): 1, ("B", 1, "C1", -5, out): 2, (None, 1, "C1", -5, out): 1, ("C", 1, None, -5, out): 1}
     assert any("quota-hit" in f for f in faults.planted(lines, log, models.classes).inputFiles())
+
+
+def test_faults_of_tables_need_no_other_rules(spark):
+    """What the tables' faults are counted by is found without the rules of single movements: no key, delivery or balance is looked at."""
+    from fleetledger.plans import registry
+
+    m = Models(spark, SF)
+    got = {r["regla"]: (r["casos"], r["detectados"]) for r in registry.TABLE["deteccion_en_tablas"][0](m).collect()}
+    assert got and "violations" not in vars(m) and "contract_failures" not in vars(m)
+    moved = {r for r, *_ in quality.REGLAS if r in got and r in {rule for _, _, rule, _ in quality.FALLAS}}
+    assert moved == {"lgort_fuera_de_catalogo"}
