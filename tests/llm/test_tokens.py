@@ -52,6 +52,28 @@ def test_byte_bpe_as_tiktoken(docs, no_docs):
     assert byte_bpe.encode(no_docs, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_new_pieces_are_merged_together(monkeypatch):
+    """As tiktoken and the heap have them, over forgotten memories too; the heap is left with long pieces."""
+    rng = random.Random(2)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(RANKS), special_tokens={})
+    words = ["".join(rng.choices(letters, k=rng.randint(1, 63))) for letters in ("a", "ab", "etaoinshr", "éüßñ", "漢字書", "😀é", "-=\x00", "0123456789") for _ in range(60)]
+    spelt = [w.encode() for w in words]
+    assert byte_bpe.Encoder(RANKS, public_tokenizers.PATTERN).joins.merge(spelt) == [np.asarray(byte_bpe.merge(b, own._mergeable_ranks), "<u4").tobytes() for b in spelt]
+    texts = ["", *fuzz(), " ".join(words), "x" * 64, "ab" * 3000]
+    calls, heap = [], byte_bpe.merge
+    monkeypatch.setattr(byte_bpe, "merge", lambda piece, ranks: calls.append(piece) or heap(piece, ranks))
+    for remembered, at_a_time, places in ((300_000, 2_000_000, 1 << 19), (50, 400, 100)):
+        monkeypatch.setattr(byte_bpe, "REMEMBERED", remembered)
+        monkeypatch.setattr(byte_bpe, "AT_A_TIME", at_a_time)
+        monkeypatch.setattr(byte_bpe, "PLACES", places)
+        enc = byte_bpe.Encoder(RANKS, public_tokenizers.PATTERN)
+        got = list(enc.encode(map(enc.pieces, texts)))
+        assert [np.frombuffer(b, "<u4").tolist() for b in got] == [own.encode_ordinary(t) for t in texts]
+        assert calls and all(len(p.decode()) >= byte_bpe.LONG for p in calls)
+    monkeypatch.setattr(byte_bpe, "DECODED", 7)
+    assert [byte_bpe.decode_ids(b, RANKS).decode() for b in got] == texts
+
+
 def test_token_counts_as_sentencepiece(docs, no_docs):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     some = fuzz()
