@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -109,11 +108,11 @@ def failures(df: DataFrame, contract: Contract, key: tuple[str, ...]) -> DataFra
     wanted = [f.name for f in contract.fields]
     named = [(f.name, "column_in_dataframe", None) for f in contract.fields if f.name not in have and not f.optional] + [(n, "column_in_schema", None) for n in df.columns if contract.strict and n not in wanted and n not in told]
     text = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in key])
-    conds = [F.coalesce(cond, F.lit(False)) for f in contract.fields if f.name in have for _, cond in f.checks()] + [~F.coalesce(F.expr(rule), F.lit(False)) for rule in contract.rows.values()]
     bad = [F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(f.name).alias("columna"), F.lit(name).alias("chequeo"), F.col(f.name).cast("string").alias("valor"))) for f in contract.fields if f.name in have for name, cond in f.checks()]
     bad += [F.when(~F.coalesce(F.expr(rule), F.lit(False)), F.struct(empty.alias("columna"), F.lit(name).alias("chequeo"), empty.alias("valor"))) for name, rule in contract.rows.items()]
-    # Sound rows go before anything is built for them.
-    found = df.where(functools.reduce(lambda a, b: a | b, conds, F.lit(False))).select(*told, text.alias("llave"), F.explode(F.array(*bad)).alias("x")).where("x is not null").select(*told, "x.*", "llave")
+    # No filter over all checks at once: pushed below df's own projections, each of whose columns is then either name in it, it would
+    # be planned in as many forms as there are choices, 2 to the number of columns.
+    found = df.select(*told, text.alias("llave"), F.explode(F.array(*bad)).alias("x")).where("x is not null").select(*told, "x.*", "llave")
     if contract.unique:
         twice = df.groupBy(*contract.unique).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         twice = twice.select(F.lit(",".join(contract.unique)).alias("columna"), F.lit("multiple_fields_uniqueness").alias("chequeo"), F.col("n").cast("string").alias("valor"), F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("-")) for k in contract.unique]).alias("llave"))
