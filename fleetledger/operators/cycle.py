@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.blocks import match_points, running_sums, sums_by_day
+from ..functions.blocks import match_points, sums_by_day
 from ..functions.kernels import beside, filtered_sum, ratio, rounded, running_sum, weighted_percentiles, overall
 from ..sources.ledger import VARS, Vars
 
@@ -57,17 +57,19 @@ UNITS = 1_000_000
 def fifo_tranches(account: DataFrame, lines: bool = False) -> DataFrame:
     """What closed each outflow, first in first out: one row for each slice of an outflow and its closure, with nulls for
     the closure where the slice is still out. Ages of snapshot stock are unknown. Single `lines` of accounts are shuffled twice, to
-    their day and to their block of units, and what their days sum up to is small."""
+    their day and to their block of units, and what their days sum up to is small. Without `lines` the rows are sums by day: an account
+    has a few a day, however many lines, and is one window."""
     numbered = account.where("cantidad_abs <> 0").drop("delta_saldo").withColumn("salida", F.coalesce(F.col("mov_type") == "621", F.lit(False)) | F.col("en_foto"))
     sums = {"_out": F.when(F.col("salida"), F.col("cantidad_abs")), "_back": F.when(~F.col("salida"), F.col("cantidad_abs"))}
-    ends = sums_by_day(numbered, ACCOUNT, EVENT_ORDER[0], _event_order(), sums) if lines else running_sums(numbered, ACCOUNT, _event_order(), sums)
+    upto = {n: F.coalesce(running_sum(c, ACCOUNT, *_event_order()), F.lit(0)) for n, c in sums.items()}
+    ends = sums_by_day(numbered, ACCOUNT, EVENT_ORDER[0], _event_order(), sums) if lines else numbered.withColumns(upto)
     ends = ends.withColumn("acum_fin", F.when(F.col("salida"), F.col("_out")).otherwise(F.col("_back"))).where("cantidad_abs > 0")
     s = F.struct(
         "tipo_material", F.col("fecha_contab").alias("fecha_salida"), F.col("anio_contable").alias("anio_salida"), F.col("doc_material").alias("doc_salida"),
         F.col("posicion").alias("pos_salida"), F.col("en_foto").alias("salida_en_foto"))
     c = F.struct(F.col("mov_type").alias("tipo_cierre"), F.col("fecha_contab").alias("fecha_cierre"), F.col("anio_contable").alias("anio_cierre"), F.col("doc_material").alias("doc_cierre"))
     both = ends.select(*ACCOUNT, "acum_fin", F.when(F.col("salida"), s).alias("s"), F.when(~F.col("salida"), c).alias("c"))
-    met = match_points(both, ACCOUNT, "s", "c", UNITS if lines else None).where("s is not null")
+    met = match_points(both, ACCOUNT, "s", "c", UNITS).where("s is not null")
     return met.select(*ACCOUNT, "s.*", "c.*", "cantidad").withColumn("dias", F.when(~F.col("salida_en_foto"), F.datediff("fecha_cierre", "fecha_salida")))
 
 

@@ -2,7 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from fleetledger.operators import contract
+from paths import SF
+from fleetledger.operators import contract, cycle
+from fleetledger.plans import variants
+from fleetledger.plans.models import ByDay
+from fleetledger.sources import ledger as src
 
 
 def test_checks_are_planned_in_one_form(spark):
@@ -14,3 +18,32 @@ def test_checks_are_planned_in_one_form(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert all("isnotnull(x#" in line for line in plan if "Filter" in line)
     assert sorted(r["columna"] for r in found.collect()) == names[:4] and {r["chequeo"] for r in found.collect()} == {"not_nullable"}
+
+
+def test_worlds_run_only_accounts_that_a_fault_changes(spark):
+    """Tranches and balances of the other accounts are the clean ones: a sign that an account doesn't read changes none, a copied line its
+    own account's; and the changes of stock are summed up before they are spread."""
+    base = ByDay(spark, SF)
+    chosen = [w for w in variants.worlds() if w[0] in (variants.CLEAN, "D05", "D01", "material_sin_maestro", "D15")]
+    m = variants.VariantModels(base, chosen)
+    run = {r["w"]: r["n"] for r in m.account_days.select(*cycle.ACCOUNT).distinct().groupBy(m.world.alias("w")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    hit = base.ledger.where((src.fault_mark() == 4) & F.col("mov_type").isin("621", "622", "702")).select(*cycle.ACCOUNT).distinct().count()
+    assert set(run) == {variants.CLEAN, "D01"} and 0 < run["D01"] == hit
+    sums = {r["w"]: r["n"] for r in m.tranches_days.groupBy(m.world.alias("w")).agg(F.sum("cantidad").alias("n")).collect()}
+    clean = base.account_days.where("mov_type = '621'").agg(F.sum("cantidad_abs")).first()[0]
+    more = base.ledger.where((src.fault_mark() == 4) & (F.col("mov_type") == "621")).agg(F.sum(F.abs("cantidad"))).first()[0]
+    assert sums == {variants.CLEAN: clean, "D05": clean, "D15": clean, "D01": clean + (more or 0)}
+    assert m.customer_days.where("mov_type = '621'").count() < base.customer_days.where("mov_type = '621'").count()
+    assert "ledger_days" not in vars(m)
+
+
+def test_keys_are_counted_from_few_lines(spark):
+    """Order lines that stand twice get positions of their own; only movements whose document and line stand twice are looked at."""
+    base = ByDay(spark, SF)
+    assert base.repeated.count() == 0
+    once = base.customer.where("fecha_contab = date'1997-03-03'")
+    del base.__dict__["repeated"]
+    base.__dict__["customer"] = base.customer.unionByName(once)
+    twice = src.with_transfers(once)
+    key = ["planta", "anio_contable", "doc_material", "posicion"]
+    assert base.repeated.count() == 2 * twice.count() and base.repeated.select(*key).distinct().count() == twice.select(*key).distinct().count() > 0
