@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def unsorted_writes(spark: SparkSession, most: int = 16) -> Iterator[None]:
+    """Writes into a folder for each value keep that many files of a task open, and don't sort its rows by folder: a large task would do
+    that on disk. Where there are more folders, the rest of the task is sorted."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def beside_hashes(df: DataFrame, key: Column, hashes: DataFrame, name: str) -> DataFrame:
     """df with the row's key, a 64-bit hash, as `name` where it is among the hashes (_h, each once), else null."""
     hashes = stored(hashes.select(F.col("_h").alias(name)), "hashes")

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import unsorted_writes
+
 REQUIRED = ("WERKS", "MATNR", "MAKTX", "BWART", "BUDAT", "CPUDT", "CPUTM", "MENGE", "MEINS", "MBLNR", "ZEILE")
 OPTIONAL = ("LGORT", "MJAHR", "LIFNR", "KUNNR", "XBLNR", "SHKZG", "DMBTR", "WAERS")
 MASTER_REQUIRED = ("WERKS", "MATNR", "MAKTX", "MTART", "MATKL", "MEINS", "PEINH")
@@ -41,8 +43,9 @@ def read_text(spark: SparkSession, path: str, separator: str = ";", names: dict[
 
 
 def write_text(rows: DataFrame, path: str) -> None:
-    """Lines of text (planta, linea) in a folder for each plant."""
-    rows.select("planta", "linea").write.partitionBy("planta").text(path)
+    """Lines of text (planta, linea) in a folder for each plant, gzipped, and in the order in which they come."""
+    with unsorted_writes(rows.sparkSession):
+        rows.select("planta", "linea").write.partitionBy("planta").option("compression", "gzip").text(path)
 
 
 def extract_failures(rows: DataFrame, table: str, required: tuple[str, ...] = REQUIRED, decimal: str = ",", date_format: str = "dd.MM.yyyy") -> DataFrame:
