@@ -57,7 +57,7 @@ def extract_with_faults(m: Models) -> DataFrame:
 def contract_by_file(m: Models) -> DataFrame:
     """The movement contract over files of each plant, with the file of what fails."""
     path = f"{shared_dir(m.spark)}/fleetledger/plants-{uuid.uuid4().hex}"
-    inputs.write_by_plant(m.lines, path)
+    inputs.write_as_they_come(m.lines.select(*[f.name for f in contract.MOVEMENTS.fields]), path)
     found = contract.failures(inputs.plant_files(m.spark, path), contract.MOVEMENTS, ("planta", "doc_material", "posicion"))
     return found.groupBy("tabla", "archivo", "columna", "chequeo").agg(F.count(F.lit(1)).alias("casos"))
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import ratio, rounded
+from ..functions.tables import unsorted_writes
 from ..operators.stock import snapshot_at
 from .extract import roll_back
 
@@ -77,6 +78,12 @@ def write_by_plant(moves: DataFrame, path: str) -> None:
     moves.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("planta").parquet(path)
 
 
+def write_as_they_come(moves: DataFrame, path: str) -> None:
+    """Movements in a folder for each plant, neither shuffled nor sorted."""
+    with unsorted_writes(moves.sparkSession):
+        moves.write.partitionBy("planta").option("compression", "zstd").parquet(path)
+
+
 def write_measurements(measured: DataFrame, path: str) -> None:
     """Measurements as CSV with two decimals."""
     floats = {f.name: F.format_string("%.2f", f.name) for f in measured.schema if f.dataType.typeName() == "double"}

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from paths import SF
 from fleetledger.operators import contract, cycle, quality
-from fleetledger.plans import variants
+from fleetledger.plans import adapters, variants
 from fleetledger.plans.models import ByDay
+from fleetledger.sources import extract, inputs
 from fleetledger.sources import ledger as src
 
 
@@ -62,3 +63,40 @@ def test_impact_shuffles_only_keys_that_may_be_shared(spark):
     whole = m.lines.agg(quality.surplus()).first()[0]
     got = {r["medida"]: r for r in m.impact.collect()}["llave"]
     assert (got["valor_limpio"], got["valor"]) == (n - keys, whole)
+
+
+def test_folders_are_written_without_a_sort(spark, tmp_path):
+    """Rows go to their plant's folder in the order in which they come, also where there are more plants than files that a task keeps open;
+    extracts are gzipped, and read back whole. The session's setting is as it was."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    rows = spark.range(400, numPartitions=1).selectExpr("concat('P', id % 5) as planta", "id", "concat_ws(';', 'a', id) as linea")
+    inputs.write_as_they_come(rows, str(tmp_path / "moves"))
+    extract.write_text(rows, str(tmp_path / "text"))
+    many = spark.range(400, numPartitions=1).selectExpr("concat('P', id % 40) as planta", "id")
+    inputs.write_as_they_come(many, str(tmp_path / "many"))
+    assert spark.conf.get(name) == before
+    for plant in range(5):
+        assert [r["id"] for r in spark.read.parquet(str(tmp_path / "moves" / f"planta=P{plant}")).collect()] == list(range(plant, 400, 5))
+    assert len(list((tmp_path / "text").glob("planta=P*/*.txt.gz"))) == 5
+    back = extract.read_text(spark, str(tmp_path / "text"), columns=["x", "n"])
+    assert sorted(int(r["n"]) for r in back.collect()) == list(range(400)) and {r["archivo"] for r in back.collect()} == {f"planta=P{n}" for n in range(5)}
+    assert inputs.plant_files(spark, str(tmp_path / "many")).count() == 400
+
+
+def test_contract_by_file_shuffles_no_line(spark):
+    """The files hold what the contract names, and are written by the tasks that make the lines."""
+    m = ByDay(spark, SF)
+    read, wrote = [], inputs.write_as_they_come
+
+    def spy(moves, path):
+        read.append((moves.columns, moves._jdf.queryExecution().executedPlan().toString()))
+        wrote(moves, path)
+
+    adapters.inputs.write_as_they_come = spy
+    try:
+        assert adapters.contract_by_file(m).count() > 0
+    finally:
+        adapters.inputs.write_as_they_come = wrote
+    ((columns, plan),) = read
+    assert columns == [f.name for f in contract.MOVEMENTS.fields] and "rangepartitioning" not in plan
